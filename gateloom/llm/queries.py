@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gateloom.llm import langid, packing, secrets, tokencount
+from gateloom.llm import langid, mixing, packing, secrets, simhash, sketch, tokencount
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(documents(spark, sf_dir))
 
 
+def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sources(documents(spark, sf_dir))
+
+
+def op5_bottomk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.edited_fingerprints(documents(spark, sf_dir))
+
+
+def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(documents(spark, sf_dir))
+
+
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
@@ -30,10 +42,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_poisson_mixing": op2_poisson_mixing,
     "op4_secret_scan": op4_secret_scan,
+    "op5_bottomk_fingerprints": op5_bottomk_fingerprints,
+    "op7_simhash_components": op7_simhash_components,
     "op8_pattern_packing": op8_pattern_packing,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_poisson_mixing": mixing.ORACLE}
