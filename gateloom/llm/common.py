@@ -83,3 +83,13 @@ def ascii_words(text: str | None, lower: bool = False) -> list[bytes]:
 def texts_of(column) -> Iterable[str]:
     """An Arrow string column as Python strings; null becomes empty."""
     return ["" if x is None else x for x in column.to_pylist()]
+
+
+def blocked(docs: DataFrame, *columns: str) -> DataFrame:
+    """block, id, text (null: empty) and more columns of docs, dealt by block: a hash of doc_id and text, as many blocks as shuffle partitions.
+
+    id is doc_id as bigint, null as the least bigint. All stages that read the result in one plan share its shuffle.
+    """
+    n = shards(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *columns)
+    return rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).select("block", "id", "text", *columns).repartition(n, "block")
