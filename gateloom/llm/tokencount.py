@@ -5,6 +5,9 @@ piece run from a visible character into white space: where text[p - 1] is visibl
 at p whatever stands further left or right. Chunks are spliced at such a p that both encodings also show as the
 start of a token. If the overlap holds none, the overlap is widened, in the end to the whole text.
 
+Texts that aren't huge are cut at such boundaries too, into a visible stretch and the white space before it; the
+library encodes each distinct stretch once, and its count is remembered (a bounded number of them).
+
 Cases: a null or empty text has 0 bytes and 0 tokens; a null doc_id stays null; repeated rows each get their row; an
 empty table gives an empty table; other columns are ignored.
 """
@@ -12,6 +15,7 @@ empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -80,15 +84,61 @@ def long_ids(tok, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CH
     return ids
 
 
+class Stretches(dict):
+    """Token counts of stretches (ASCII white space, then visible characters); new ones beyond `most` aren't kept."""
+
+    PATTERN = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+$")
+    #: Letters, then signs: every splitting pattern ends a piece between the two.
+    STEM = re.compile(r"([ \t\n\r\x0b\x0c]*[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
+    #: White space to some pattern or to Python, but not ASCII's: next to it nothing is proven.
+    OTHER = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+
+    def __init__(self, tok, most: int = 1_500_000):
+        super().__init__()
+        self.tok, self.most, self.passing = tok, most, {}
+
+    def __missing__(self, x: str) -> int:
+        return self.passing[x]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        split = [[t] if not t.isascii() and self.OTHER.search(t) else self.PATTERN.findall(t) for t in texts]
+        found = set().union(*split).difference(self)
+        match = self.STEM.fullmatch
+        parts = {x: m.groups() for x in found if (m := match(x))}
+        new = list({y for pair in parts.values() for y in pair}.union(found.difference(parts)).difference(self))
+        self.passing = {}
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
+            into = self if len(self) + len(part) <= self.most else self.passing
+            for x, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                (into if len(x) < 100 else self.passing)[x] = len(e)
+        into = self if len(self) + len(parts) <= self.most else self.passing
+        for x, (stem, signs) in parts.items():
+            into[x] = self[stem] + self[signs]
+        return [sum(map(self.__getitem__, x)) for x in split]
+
+
+_STRETCHES: dict[int, Stretches] = {}
+
+
+def stretches_of(tok) -> Stretches:
+    """One memory of stretches for each tokenizer and Python worker."""
+    if id(tok) not in _STRETCHES:
+        _STRETCHES.clear()
+        _STRETCHES[id(tok)] = Stretches(tok)
+    return _STRETCHES[id(tok)]
+
+
 def counts(tok, texts: list[str], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
     if not hasattr(tok, "encode_batch_fast"):
         return [len(x) for x in tok.encode(list(texts), num_threads=1)] if texts else []
     out = [0] * len(texts)
     whole = [i for i, t in enumerate(texts) if len(t) <= chunk]
-    for a in range(0, len(whole), 256):
-        part = whole[a : a + 256]
-        for i, e in zip(part, tok.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
-            out[i] = len(e)
+    memory = stretches_of(tok)
+    for a in range(0, len(whole), 512):
+        part = whole[a : a + 512]
+        for i, n in zip(part, memory.counts([texts[i] for i in part]), strict=True):
+            out[i] = n
     for i, t in enumerate(texts):
         if len(t) > chunk:
             out[i] = len(long_ids(tok, t, chunk, overlap))
