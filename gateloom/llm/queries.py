@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gateloom.llm import langid, mixing, packing, secrets, simhash, sketch, tokencount
+from gateloom.llm import katz, langid, mixing, packing, secrets, simhash, sketch, substring, tokencount
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(documents(spark, sf_dir))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(documents(spark, sf_dir))
 
@@ -25,6 +29,10 @@ def op5_bottomk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(documents(spark, sf_dir))
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
@@ -43,8 +51,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_poisson_mixing": op2_poisson_mixing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_bottomk_fingerprints": op5_bottomk_fingerprints,
+    "op6_katz_scores": op6_katz_scores,
     "op7_simhash_components": op7_simhash_components,
     "op8_pattern_packing": op8_pattern_packing,
     "op9_token_counts": op9_token_counts,
