@@ -59,10 +59,11 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, power: fl
     else:
         share = F.coalesce(F.create_map(*[F.lit(x) for kv in sorted(weights.items()) for x in (kv[0], float(kv[1]))])[F.col("source")], F.lit(0.0)) if weights else F.lit(0.0)
     size = size.withColumn("_share", share)
-    total = size.agg(F.sum("_size").alias("_all"), F.sum("_share").alias("_shares"))
-    rate = F.when((F.col("_size") > 0) & (F.col("_shares") > 0), F.lit(float(factor)) * F.col("_all") * F.col("_share") / F.col("_shares") / F.col("_size")).otherwise(F.lit(1.0))
-    # total is one row
-    return size.join(F.broadcast(total)).select(F.coalesce(F.col("source"), F.lit("\0")).alias("_source"), rate.alias("_rate"))
+    total = size.agg(F.sum("_size").alias("size"), F.sum("_share").alias("share")).first()  # one row
+    rate = F.lit(1.0)
+    if total["size"] and total["share"]:
+        rate = F.when(F.col("_size") > 0, F.lit(float(factor)) * F.lit(total["size"]) * F.col("_share") / F.lit(total["share"]) / F.col("_size")).otherwise(rate)
+    return size.select(F.coalesce(F.col("source"), F.lit("\0")).alias("_source"), rate.alias("_rate"))
 
 
 def mixed_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = POWER, factor: float = FACTOR, seed: str = SEED) -> DataFrame:

@@ -12,6 +12,8 @@ each; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
 from gateloom.llm.common import stored, texts_of
 from gateloom.llm.tokencount import load, tokenizer_path
@@ -36,25 +39,59 @@ class ChunkIds(dict):
     only while the texts at hand need them.
     """
 
+    #: Lower-case letters and then signs: the tokenizer always splits between the two, and its normaliser changes neither.
+    STEM = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-/:-@\[-`{-~]*)")
+
     def __init__(self, tok, most: int = 1_500_000):
         super().__init__()
         self.tok, self.most, self.passing = tok, most, {}
+        # the same model for words of lower-case letters: many at a time, told apart by the ids that end a word
+        self.plain = Tokenizer(tok.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
 
     def __missing__(self, chunk: bytes) -> bytes:
         return self.passing[chunk]
 
     def learn(self, chunks: set[bytes]) -> None:
-        new = list(chunks)
         self.passing = {}
-        into = self if len(self) + len(new) <= self.most else self.passing
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
+        into = self if len(self) + 2 * len(chunks) <= self.most else self.passing
+        stems, signs, both, rest = set(), set(), [], []
+        for c in chunks:
+            if m := self.STEM.fullmatch(c):
+                x, y = m.groups()
+                if x and y:
+                    both.append((c, x, y))
+                (stems if x else signs).add(x or y)
+                if x and y:
+                    signs.add(y)
+            else:
+                rest.append(c)
+        rest += signs.difference(self)
+        stems = list(stems.difference(self))
+        for a in range(0, len(stems), 5_000):
+            part = stems[a : a + 5_000]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            cut, data, at = (4 * np.nonzero(self.ends[ids])[0] + 4).tolist(), ids.tobytes(), 0
+            for c, end in zip(part, cut, strict=True):
+                into[c] = data[at:end]
+                at = end
+        for a in range(0, len(rest), 20_000):
+            part = rest[a : a + 20_000]
             for c, e in zip(part, self.tok.encode_batch_fast([x.decode("utf-8", "surrogatepass") for x in part], add_special_tokens=False), strict=True):
                 into[c] = array("I", e.ids).tobytes()
+        for c, x, y in both:
+            into[c] = self[x] + self[y]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        # the tokenizer lower-cases all but its special tokens, which are written with <|
+        split = [(t if b"<|" in t else t.lower()).split() for t in data]
+        gc.disable()  # nothing here is cyclic, and the lists of ids would set it off again and again
         self.learn(set().union(*split).difference(self))
+        gc.enable()
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 

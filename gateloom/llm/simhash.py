@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gateloom.llm.common import ascii_words, shards, stored, texts_of
@@ -70,23 +70,27 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
 def within(planes: np.ndarray, block: np.ndarray, query: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each row (block, query): a word with the lanes whose fingerprints differ from the query in radius bits at most.
 
-    The counters are radius + 1 words in unary: word j holds the lanes with more than j differences so far.
+    The carry-save counters start so high that a lane overflows at its first difference beyond the radius.
     """
     alive = np.arange(len(query))
     out = np.zeros(len(query), np.uint64)
-    over = [np.zeros(len(query), np.uint64) for _ in range(radius + 1)]
+    m = radius.bit_length()
+    start = (1 << m) - 1 - radius
+    counters = [np.full(len(query), ~np.uint64(0) if start >> j & 1 else np.uint64(0)) for j in range(m)]
+    over = np.zeros(len(query), np.uint64)
     blk, q = block, query
     for bit in range(64):
         carry = planes[blk, bit] ^ (np.uint64(0) - (q >> np.uint64(bit) & _ONE))
-        for j in range(radius + 1):  # a difference ripples to the first counter that doesn't hold the lane yet
-            over[j], carry = over[j] | carry, over[j] & carry
+        for j in range(m):
+            counters[j], carry = counters[j] ^ carry, counters[j] & carry
+        over |= carry
         if bit % 4 == 3 and bit > 8:
-            left = over[radius] != ~np.uint64(0)
+            left = over != ~np.uint64(0)
             if left.sum() < 0.8 * len(left):  # abandon blocks whose lanes have all exceeded the radius
-                alive, blk, q, over = alive[left], blk[left], q[left], [x[left] for x in over]
+                alive, blk, q, over, counters = alive[left], blk[left], q[left], over[left], [x[left] for x in counters]
             if not len(alive):
                 return out
-    out[alive] = ~over[radius]
+    out[alive] = ~over
     return out
 
 
@@ -104,8 +108,8 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         at = new
 
 
-def links_in(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between fingerprints of equal key; key sorted."""
+def links_in(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS, check=None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a spanning forest of the links between fingerprints of equal key; key sorted. check(x, y): which pairs of places count."""
     n = len(fps)
     first = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0] if n else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, n])
@@ -131,7 +135,7 @@ def links_in(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np
                 bits = np.unpackbits(hit[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 r, lane = np.nonzero(bits)
                 x, y = q[some[r]], start[blk[some[r]]] + lane
-                new = x != y
+                new = x != y if check is None else (x != y) & check(x, y)
                 a.append(x[new])
                 b.append(y[new])
                 if sum(map(len, a)) > 2_000_000:
@@ -163,7 +167,7 @@ def links_in(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np
     flush()
     forest()
     child = np.nonzero(at != np.arange(n))[0]
-    return fps[child], fps[at[child]]
+    return child, at[child]
 
 
 def keys_of(fps: np.ndarray, bands: int = BANDS, radius: int = RADIUS) -> list[tuple[int, np.ndarray]]:
@@ -173,29 +177,35 @@ def keys_of(fps: np.ndarray, bands: int = BANDS, radius: int = RADIUS) -> list[t
     return [(t, fps & np.uint64(sum(m))) for t, m in enumerate(combinations(masks, bands - radius))]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
-    """Links (u, v) between fingerprints (fp bigint) that differ in radius bits at most, enough of them to connect all that are linked."""
+def links(distinct: DataFrame, radius: int = RADIUS, bands: int = BANDS, second: int | None = None) -> DataFrame:
+    """Links (u, v) between nodes whose fp differ in radius bits at most, enough of them to connect all that are linked.
+
+    distinct has node, fp and fp2 (bigint). second: links also need fp2 to differ in so many bits at most.
+    """
     n = shards(distinct.sparkSession)
+    names = ["node", "fp", "fp2"] if second is not None else ["node", "fp"]
 
     def spread(batches):
         for b in batches:
             fps = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for t, key in keys_of(fps, bands, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), t, np.int32)), pa.array(key.view(np.int64)), b.column("fp")], names=["t", "key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), t, np.int32)), pa.array(key.view(np.int64)), *b.columns], names=["t", "key", *names])
 
     def compare(batches):
-        parts = [(b.column("t").to_numpy(zero_copy_only=False), b.column("key").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False)) for b in batches]
+        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
         if not parts:
             return
-        t, key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+        t, key, node, fp, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
         for i in np.unique(t):
             own = np.nonzero(t == i)[0]
             own = own[np.argsort(key[own], kind="stable")]
-            u, v = links_in(key[own], fp[own].view(np.uint64), radius)
+            other = more[0][own].view(np.uint64) if more else None
+            u, v = links_in(key[own], fp[own].view(np.uint64), radius, (lambda x, y, o=other: np.bitwise_count(o[x] ^ o[y]) <= second) if more else None)
             if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[own[u]]), pa.array(node[own[v]])], names=["u", "v"])
 
-    return distinct.select("fp").mapInArrow(spread, "t int, key bigint, fp bigint").repartition(n, "t", "key").mapInArrow(compare, "u bigint, v bigint").distinct()
+    columns = ", ".join(f"{c} bigint" for c in names)
+    return distinct.select(*names).mapInArrow(spread, f"t int, key bigint, {columns}").repartition(n, "t", "key").mapInArrow(compare, "u bigint, v bigint").distinct()
 
 
 def components(found: DataFrame, most: int = 60) -> DataFrame:
@@ -225,8 +235,43 @@ def simhash_components(docs: DataFrame, k: int = WORDS, radius: int = RADIUS, ba
 def grouped(fps: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
     """fps(doc_id, fp) with component_id."""
     least = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("_least")), "distinct")
-    root = components(links(least, radius, bands))
+    root = components(links(least.withColumn("node", F.col("fp")), radius, bands))
     member = least.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "_least")
     ids = member.groupBy("root").agg(F.min("_least").alias("component_id"))
     named = member.join(ids, "root").select("fp", "component_id")
     return fps.join(named, "fp")
+
+
+#: For first_of_each(): shortest word of the searched fingerprint, its radius and bands; the radius of the second
+#: fingerprint, over five-word shingles, that shingle sets of a similarity of 0.8 stay within (10 bits are expected of them).
+LONG, NEAR_RADIUS, NEAR_BANDS, SHINGLE, SHINGLE_RADIUS = 4, 8, 10, 5, 14
+
+
+def two_fingerprints(text: str) -> tuple[int, int]:
+    """Of the distinct words of LONG bytes or more (all words if there are none), and of the five-word shingles."""
+    words = ascii_words(text, lower=True)
+    some = sorted({w for w in words if len(w) >= LONG}) or sorted(set(words))
+    return fingerprint(some, 1), fingerprint(words, SHINGLE)
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """One row of docs(doc_id, text, ...) for each group of near-duplicates, that of the least doc_id, with all columns as they are.
+
+    Documents are linked if the fingerprints of their distinct words differ in NEAR_RADIUS bits at most and those of their
+    five-word shingles in SHINGLE_RADIUS. Of rows equal in doc_id and text one stays.
+    """
+
+    def run(batches):
+        for b in batches:
+            fp = np.array([two_fingerprints(t) for t in texts_of(b.column("text"))], np.uint64).view(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("own"), pa.array(fp[:, 0]), pa.array(fp[:, 1])], names=["id", "own", "fp", "fp2"])
+
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("_own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    fps = keyed.select(F.col("_id").alias("id"), F.col("_own").alias("own"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id bigint, own bigint, fp bigint, fp2 bigint")
+    least = stored(fps.groupBy("fp", "fp2").agg(F.min(F.struct("id", "own")).alias("least")).withColumn("node", F.xxhash64("fp", "fp2")), "classes")
+    root = components(links(least, NEAR_RADIUS, NEAR_BANDS, SHINGLE_RADIUS))
+    member = least.join(root, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
+    stays = member.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("_id"), F.col("least.own").alias("_own")).distinct()
+    kept = keyed.join(stays, ["_id", "_own"], "left_semi")
+    once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_own").orderBy(F.lit(0)))).where("_n = 1")
+    return once.select(*docs.columns)
