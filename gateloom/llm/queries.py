@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gateloom.llm import katz, langid, mixing, packing, secrets, simhash, sketch, substring, tokencount
+from gateloom.llm import images, katz, langid, mixing, packing, secrets, simhash, sketch, substring, tokencount
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(documents(spark, sf_dir))
 
 
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The media column is made of the pages: no table holds images."""
+    return images.image_copies(images.rasters(spark.read.parquet(f"{sf_dir}/pages.parquet"))).withColumnRenamed("id", "page_id")
+
+
 def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sources(documents(spark, sf_dir))
 
@@ -50,6 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_image_copies": op1_image_copies,
     "op2_poisson_mixing": op2_poisson_mixing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_secret_scan": op4_secret_scan,
