@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
 class WordHashes(dict):
     """64-bit hashes of words, remembered; it forgets all when it holds too many, so its memory is bounded."""
 
-    def __init__(self, seed: int = 0, most: int = 1_000_000):
+    def __init__(self, seed: int = 0, most: int = 400_000):
         super().__init__()
         self.seed, self.most = seed, most
 
@@ -86,10 +88,47 @@ def texts_of(column) -> Iterable[str]:
 
 
 def blocked(docs: DataFrame, *columns: str) -> DataFrame:
-    """block, id, text (null: empty) and more columns of docs, dealt by block: a hash of doc_id and text, as many blocks as shuffle partitions.
+    """block, data: docs dealt by block, a hash of doc_id and text, as many blocks as shuffle partitions.
 
-    id is doc_id as bigint, null as the least bigint. All stages that read the result in one plan share its shuffle.
+    data is a compressed Arrow table of some rows: id (doc_id as bigint, null as the least bigint), text (null: empty) and
+    the columns asked for. opened() reads it. Stages of one plan that read both columns share the shuffle.
     """
     n = shards(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *columns)
-    return rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).select("block", "id", "text", *columns).repartition(n, "block")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
+
+    def split(batches):
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            block = table.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            table, block = table.drop_columns(["block"]).take(pa.array(order)), block[order]
+            edge = np.nonzero(np.r_[True, block[1:] != block[:-1]])[0] if len(block) else np.zeros(0, np.int64)
+            names, data = [], []
+            for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(block)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema) as to:
+                    to.write_table(table.slice(x, y - x).combine_chunks())
+                names.append(int(block[x]))
+                data.append(squeeze.compress(sink.getvalue().to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
+
+    return rows.mapInArrow(split, "block int, data binary").repartition(n, "block")
+
+
+def opened(data: Iterable[bytes]) -> pa.Table | None:
+    """The rows of a block; None if there are none."""
+    grow = zstandard.ZstdDecompressor()
+    parts = [pa.ipc.open_stream(grow.decompress(x)).read_all() for x in data]
+    return pa.concat_tables(parts) if parts else None
+
+
+def blocks_of(batches) -> Iterable[tuple[int, pa.Table]]:
+    """(block, rows) for each block in batches of a blocked() table."""
+    held: dict[int, list[bytes]] = {}
+    for b in batches:
+        for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist()):
+            held.setdefault(block, []).append(data)
+    for block in list(held):
+        yield block, opened(held.pop(block))

@@ -26,11 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from gateloom.llm.common import WordHashes, ascii_words, blocked, mixed, shards, texts_of
+from gateloom.llm.common import WordHashes, ascii_words, blocked, blocks_of, mixed, opened, shards, texts_of
 
 #: Counts up to this are discounted; tokens of a context beyond which it is split; folds and the one held out.
 K, SALT_TOKENS, FOLDS, HELD = 5, 4_000_000, 7, 2
+#: Bytes of a word's hash that tell it from the others after the same context.
+WIDE = 5
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _HASHES: dict[int, WordHashes] = {}
 ANSWER = "block int, level int, bucket int, x0 binary, x1 binary"
@@ -59,8 +62,9 @@ def unpack(data: bytes, width: int = 8) -> np.ndarray:
 class Block:
     """The tokens of some documents, their distinct words and pairs."""
 
-    def __init__(self, texts: list[str], held: list[bool]):
-        docs = [np.append(hashes_of(ascii_words(t, lower=True)), END) for t in texts]
+    def __init__(self, rows: pa.Table):
+        held = rows.column("held_out").to_pylist()
+        docs = [np.append(hashes_of(ascii_words(t, lower=True)), END) for t in texts_of(rows.column("text"))]
         self.size = np.fromiter(map(len, docs), np.int64, len(docs))
         flat = np.concatenate([*docs, np.array([BEGIN], np.uint64)])
         self.ids, inv = np.unique(flat, return_inverse=True)
@@ -109,16 +113,6 @@ def bucket_edges(sorted_hashes: np.ndarray, n: int) -> list[tuple[int, int, int]
     return [(int(bucket[a]), int(a), int(b)) for a, b in zip(edge, np.r_[edge[1:], len(bucket)])]
 
 
-def rows_of(batches) -> dict[int, tuple[list[str], list[bool]]]:
-    out: dict[int, tuple[list[str], list[bool]]] = {}
-    for b in batches:
-        for block, t, h in zip(b.column("block").to_pylist(), texts_of(b.column("text")), b.column("held_out").to_pylist()):
-            own = out.setdefault(block, ([], []))
-            own[0].append(t)
-            own[1].append(h)
-    return out
-
-
 def batch(names: list[str], *rows) -> pa.RecordBatch:
     types = {"block": pa.int32(), "level": pa.int32(), "bucket": pa.int32()}
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
@@ -137,8 +131,8 @@ def word_answers(rows: DataFrame, n: int) -> DataFrame:
     """Counts of single tokens over the corpus, for each block in the order of its words; and N and V in parts."""
 
     def ask(batches):
-        for block, (texts, held) in rows_of(batches).items():
-            own = Block(texts, held)
+        for block, rows in blocks_of(batches):
+            own = Block(rows)
             for bucket, a, b in bucket_edges(own.ids, n):
                 yield batch(["bucket", "block", "x0", "x1"], (bucket, block, pack(own.ids[a:b]), pack(own.count[a:b])))
 
@@ -156,7 +150,7 @@ def word_answers(rows: DataFrame, n: int) -> DataFrame:
                 at += len(own)
             yield batch(["block", "level", "bucket", "x0", "x1"], *((j, 0, bucket, stats, b"") for j in range(n)))
 
-    asked = rows.select("block", "text", "held_out").mapInArrow(ask, "bucket int, block int, x0 binary, x1 binary")
+    asked = rows.mapInArrow(ask, "bucket int, block int, x0 binary, x1 binary")
     return asked.repartition(n, "bucket").mapInArrow(answer, ANSWER)
 
 
@@ -178,20 +172,20 @@ def pair_answers(rows: DataFrame, words: DataFrame, n: int) -> DataFrame:
 
     def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        for block, (texts, held) in rows_of([table]).items():
-            own = Block(texts, held)
+        for block, rows in blocks_of([table]):
+            own = Block(rows)
             total = known_words(answers)[0]
             own.pairs(total)
             ends = np.cumsum(own.part_size)
             for bucket, a, b in bucket_edges(own.name, n):
                 p, q = (int(ends[a - 1]) if a else 0), int(ends[b - 1])
                 w = own.word[p:q]
-                out.append((bucket, block, pack(own.name[a:b]), pack(own.part_size[a:b]), pack(own.ids[w], 6), pack(own.pair_count[p:q]), pack(total[w])))
+                out.append((bucket, block, pack(own.name[a:b]), pack(own.part_size[a:b]), pack(own.ids[w], WIDE), pack(own.pair_count[p:q]), pack(total[w])))
         return pa.Table.from_batches([batch(names, *out)])
 
     def answer(batches):
         for bucket, parts in by_bucket(batches).items():
-            name, size, word, count, weight = ([unpack(p[i], 6 if i == 3 else 8) for p in parts] for i in range(1, 6))
+            name, size, word, count, weight = ([unpack(p[i], WIDE if i == 3 else 8) for p in parts] for i in range(1, 6))
             u, ctx = np.unique(np.concatenate(name), return_inverse=True)
             of = np.repeat(ctx, np.concatenate(size).astype(np.int64))
             w = np.concatenate(word)
@@ -252,8 +246,10 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     pairs = pair_answers(rows, words, n)
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        flags = table.column("held_out").to_pylist()
-        own = Block(list(texts_of(table.column("text"))), flags)
+        table = opened(table.column("data").to_pylist())
+        if table is None:
+            return empty
+        own = Block(table)
         total, tokens, distinct = known_words(answers)
         own.pairs(total)
         whole = tokens + distinct + 1
@@ -271,9 +267,11 @@ def katz_scores(docs: DataFrame) -> DataFrame:
         sums = lambda x: np.add.reduceat(x, own.first) if len(own.first) else x[:0]
         known = (total > 0).astype(np.int64)[own.token]
         return pa.table(
-            [table.column("doc_id"), table.column("held_out"), pa.array(own.size), pa.array(sums(known)), pa.array(np.full(len(flags), tokens)), pa.array(sums(np.log10(single)[own.token])), pa.array(sums(p[own.pair_of_token]))],
+            [table.column("doc_id"), table.column("held_out"), pa.array(own.size), pa.array(sums(known)), pa.array(np.full(len(table), tokens)), pa.array(sums(np.log10(single)[own.token])), pa.array(sums(p[own.pair_of_token]))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
+    types = [to_arrow_type(docs.schema["doc_id"].dataType), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    empty = pa.table([pa.array([], t) for t in types], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     schema = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return rows.groupBy("block").cogroup(words.unionByName(pairs).groupBy("block")).applyInArrow(run, schema)

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
-from gateloom.llm.common import WordHashes, ascii_words, blocked, mixed, shards, texts_of
+from gateloom.llm.common import WordHashes, ascii_words, blocked, blocks_of, mixed, opened, shards, texts_of
 
 #: Words of a window; words of an anchor.
 SPAN, K = 13, 5
@@ -137,14 +138,15 @@ def shared_anchors(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     n = shards(docs.sparkSession)
 
     def gather(batches):
-        held: dict[int, list] = {}
-        for b in batches:
-            for block, doc, t in zip(b.column("block").to_pylist(), b.column("id").to_pylist(), texts_of(b.column("text"))):
+        for block, rows in blocks_of(batches):
+            parts = []
+            for doc, t in zip(rows.column("id").to_pylist(), texts_of(rows.column("text"))):
                 own = anchors(hashes_of(ascii_words(t)), span, k)
                 if len(own):
                     own = np.unique(own)
-                    held.setdefault(block, []).append((own, np.full(len(own), doc, np.int64)))
-        for block, parts in held.items():
+                    parts.append((own, np.full(len(own), doc, np.int64)))
+            if not parts:
+                continue
             a, d = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((d, a))
             a, d = a[order], d[order]
@@ -172,7 +174,7 @@ def shared_anchors(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([own[both[at : at + len(own)]].tobytes()], pa.binary())], names=["block", "shared"])
                 at += len(own)
 
-    asked = docs.select("block", "id", "text").mapInArrow(gather, "block int, bucket int, a binary, low binary, high binary")
+    asked = docs.mapInArrow(gather, "block int, bucket int, a binary, low binary, high binary")
     return asked.repartition(n, "bucket").mapInArrow(answer, "block int, shared binary")
 
 
@@ -195,7 +197,7 @@ def routed(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in answers.column("shared").to_pylist())]))
         out: tuple[list, ...] = ([], [], [], [], [], [])
-        for block, doc, t in zip(rows.column("block").to_pylist(), rows.column("id").to_pylist(), texts_of(rows.column("text"))):
+        for block, doc, t in ((block, *x) for block, docs_ in blocks_of([rows]) for x in zip(docs_.column("id").to_pylist(), texts_of(docs_.column("text")))):
             words = ascii_words(t)
             a = anchors(hashes_of(words), span, k)
             if found := runs_of(a, known):
@@ -278,6 +280,9 @@ def without_repeats(docs: DataFrame, span: int = SPAN, k: int = K, text_too: boo
         at = {(d, o): (s, e) for d, o, s, e in zip(doc[edge].tolist(), own[edge].tolist(), edge.tolist(), np.r_[edge[1:], len(doc)].tolist())}
         ids = set(doc[edge].tolist())
         n, gone, sha, kept = [], [], [], []
+        rows = opened(rows.column("data").to_pylist())
+        if rows is None:
+            return empty
         for i, t in zip(rows.column("id").to_pylist(), texts_of(rows.column("text"))):
             words = ascii_words(t)
             s = at.get((i, hash_of(t))) if i in ids else None
@@ -291,5 +296,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, k: int = K, text_too: boo
         cols = [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
         return pa.table(cols + [pa.array(kept, pa.string())] * text_too, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * text_too)
 
+    arrow_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    empty = pa.table([pa.array([], arrow_type), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.string())] + [pa.array([], pa.string())] * text_too, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * text_too)
     schema = f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * text_too
     return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
