@@ -69,8 +69,8 @@ class ChunkIds(dict):
                     signs.add(y)
             else:
                 rest.append(c)
-        rest += signs.difference(self)
-        stems = list(stems.difference(self))
+        rest += [c for c in signs if c not in self]
+        stems = [c for c in stems if c not in self]
         for a in range(0, len(stems), 5_000):
             part = stems[a : a + 5_000]
             ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
@@ -90,7 +90,7 @@ class ChunkIds(dict):
         # the tokenizer lower-cases all but its special tokens, which are written with <|
         split = [(t if b"<|" in t else t.lower()).split() for t in data]
         gc.disable()  # nothing here is cyclic, and the lists of ids would set it off again and again
-        self.learn(set().union(*split).difference(self))
+        self.learn({c for c in set().union(*split) if c not in self})
         gc.enable()
         return [b"".join(map(self.__getitem__, words)) for words in split]
 

@@ -102,10 +102,10 @@ class Stretches(dict):
 
     def counts(self, texts: list[str]) -> list[int]:
         split = [[t] if not t.isascii() and self.OTHER.search(t) else self.PATTERN.findall(t) for t in texts]
-        found = set().union(*split).difference(self)
+        found = {x for x in set().union(*split) if x not in self}
         match = self.STEM.fullmatch
         parts = {x: m.groups() for x in found if (m := match(x))}
-        new = list({y for pair in parts.values() for y in pair}.union(found.difference(parts)).difference(self))
+        new = [y for y in {y for pair in parts.values() for y in pair}.union(found.difference(parts)) if y not in self]
         self.passing = {}
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
