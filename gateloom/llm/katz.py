@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gateloom.llm.common import WordHashes, ascii_words, blocked, blocks_of, mixed, opened, shards, texts_of
+from gateloom.llm.common import WordHashes, ascii_words, blocked, blocks_of, lean, mixed, opened, shards, texts_of
 
 #: Counts up to this are discounted; tokens of a context beyond which it is split; folds and the one held out.
 K, SALT_TOKENS, FOLDS, HELD = 5, 4_000_000, 7, 2
@@ -66,9 +66,13 @@ class Block:
         held = rows.column("held_out").to_pylist()
         docs = [np.append(hashes_of(ascii_words(t, lower=True)), END) for t in texts_of(rows.column("text"))]
         self.size = np.fromiter(map(len, docs), np.int64, len(docs))
-        flat = np.concatenate([*docs, np.array([BEGIN], np.uint64)])
+        docs.append(np.array([BEGIN], np.uint64))
+        flat = np.concatenate(docs)
+        del docs
         self.ids, inv = np.unique(flat, return_inverse=True)
-        self.begin, self.token = inv[-1], inv[:-1]
+        del flat
+        self.begin, self.token = int(inv[-1]), inv[:-1].astype(np.int32)
+        del inv
         self.train = np.repeat(~np.array(held, bool), self.size)
         self.first = np.cumsum(self.size) - self.size
         self.count = np.bincount(self.token[self.train], minlength=len(self.ids))
@@ -79,10 +83,15 @@ class Block:
         n = np.uint64(len(self.ids))
         before = np.r_[self.begin, self.token[:-1]]
         before[self.first] = self.begin
-        key = before.astype(np.uint64) * n + self.token.astype(np.uint64)
-        pair, self.pair_of_token = np.unique(key, return_inverse=True)
+        key = before.astype(np.uint64) * n
+        del before
+        key += self.token.astype(np.uint64)
+        pair, inv = np.unique(key, return_inverse=True)
+        self.pair_of_token = inv.astype(np.int32)
+        del key, inv
         count = np.bincount(self.pair_of_token[self.train], minlength=len(pair))
-        ctx, word = (pair // n).astype(np.int64), (pair % n).astype(np.int64)
+        ctx, word = (pair // n).astype(np.int32), (pair % n).astype(np.int32)
+        del pair
         # parts: one for each context, more for a hot one, whether or not the block has words in all of them
         own = np.unique(ctx)
         salts = 1 + total[own].astype(np.int64) // SALT_TOKENS
@@ -98,10 +107,10 @@ class Block:
         rank[order] = np.arange(len(order))
         self.name, self.part_ctx = name[order], self.part_ctx[order]
         by = np.argsort(rank[part].astype(np.uint64) * n + word.astype(np.uint64), kind="stable")
-        self.ctx, self.word, self.pair_count = at[by], word[by], count[by]
+        self.ctx, self.word, self.pair_count = at[by].astype(np.int32), word[by], count[by].astype(np.int32)
         self.part_size = np.bincount(rank[part], minlength=len(order))
-        back = np.empty(len(by), np.int64)
-        back[by] = np.arange(len(by))
+        back = np.empty(len(by), np.int32)
+        back[by] = np.arange(len(by), dtype=np.int32)
         self.pair_of_token = back[self.pair_of_token]
         self.contexts = len(own)
 
@@ -131,12 +140,14 @@ def word_answers(rows: DataFrame, n: int) -> DataFrame:
     """Counts of single tokens over the corpus, for each block in the order of its words; and N and V in parts."""
 
     def ask(batches):
+        lean()
         for block, rows in blocks_of(batches):
             own = Block(rows)
             for bucket, a, b in bucket_edges(own.ids, n):
                 yield batch(["bucket", "block", "x0", "x1"], (bucket, block, pack(own.ids[a:b]), pack(own.count[a:b])))
 
     def answer(batches):
+        lean()
         for bucket, parts in by_bucket(batches).items():
             ids = [unpack(x) for _, x, _ in parts]
             u, inv = np.unique(np.concatenate(ids), return_inverse=True)
@@ -171,6 +182,7 @@ def pair_answers(rows: DataFrame, words: DataFrame, n: int) -> DataFrame:
     names = ["bucket", "block", "x0", "x1", "x2", "x3", "x4"]
 
     def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
+        lean()
         out = []
         for block, rows in blocks_of([table]):
             own = Block(rows)
@@ -184,6 +196,7 @@ def pair_answers(rows: DataFrame, words: DataFrame, n: int) -> DataFrame:
         return pa.Table.from_batches([batch(names, *out)])
 
     def answer(batches):
+        lean()
         for bucket, parts in by_bucket(batches).items():
             name, size, word, count, weight = ([unpack(p[i], WIDE if i == 3 else 8) for p in parts] for i in range(1, 6))
             u, ctx = np.unique(np.concatenate(name), return_inverse=True)
@@ -246,6 +259,7 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     pairs = pair_answers(rows, words, n)
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        lean()
         table = opened(table.column("data").to_pylist())
         if table is None:
             return empty
