@@ -88,6 +88,13 @@ def texts_of(column) -> Iterable[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def bites(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterable[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def lean() -> None:
     """Makes this process give large arrays back to the system as soon as they are freed (glibc only; elsewhere nothing)."""
     pa.set_memory_pool(pa.system_memory_pool())

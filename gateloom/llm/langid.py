@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gateloom.llm.common import mixed, texts_of
+from gateloom.llm.common import bites, lean, mixed, texts_of
 
 #: Longest n-gram; labelled documents of a language that are learned from, at most; folds.
 ORDER, SAMPLE_DOCS, FOLDS = 5, 1200, 5
@@ -151,7 +151,7 @@ def train(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model:
 class Scorer:
     """Sums of word scores; remembers words (bounded: new ones beyond `most` are scored again when they come again)."""
 
-    def __init__(self, model: Model, most: int = 1_000_000):
+    def __init__(self, model: Model, most: int = 400_000):
         self.model, self.most = model, most
         self.at: dict[bytes, int] = {}
         self.row: dict[str, int] = {"": 0}
@@ -260,8 +260,9 @@ def languages(docs: DataFrame, learn_from: DataFrame | None = None, sample_docs:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        lean()
         scorer = scorer_of(sent.value)
-        for b in batches:
+        for b in bites(batches):
             texts = texts_of(b.column("text"))
             lang, score, h, out = decided(sent.value, scores(scorer, texts))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(h, pa.float64(), from_pandas=True), pa.array(out, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"])
@@ -300,8 +301,9 @@ def accepted(docs: DataFrame, learn_from: DataFrame | None = None, sample_docs:
     sent = spark.sparkContext.broadcast(fit(docs if learn_from is None else learn_from, sample_docs, order))
 
     def run(batches):
+        lean()
         scorer = scorer_of(sent.value)
-        for b in batches:
+        for b in bites(batches):
             keep = ~decided(sent.value, scores(scorer, texts_of(b.column("text"))))[3]
             yield b.filter(pa.array(keep))
 

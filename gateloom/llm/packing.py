@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from gateloom.llm.common import stored, texts_of
+from gateloom.llm.common import bites, stored, texts_of
 from gateloom.llm.tokencount import load, tokenizer_path
 
 #: Token ids of a sequence; partners tried for a length; groups that a length's ranks are counted in.
@@ -121,7 +121,7 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", size: int = S
     def run(batches):
         ids_of = chunk_ids(tokenizer_path(vocabulary))
         end = array("I", [end_id]).tobytes()
-        for b in batches:
+        for b in bites(batches, 1024):
             doc, piece, start, length, crc = [], [], [], [], []
             i = 0
             for part in groups_of(texts_of(b.column("text"))):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gateloom.llm.common import texts_of
+from gateloom.llm.common import bites, texts_of
 
 #: A credential value is a secret from so many guesses on (as log10).
 MIN_LOG10 = 9.0
@@ -132,7 +132,7 @@ def secret_spans(docs: DataFrame, least: float = MIN_LOG10) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in bites(batches):
             rows = [spans_of(t, least) for t in texts_of(b.column("text"))]
             count = lambda k: pa.array([sum(x[2] == k for x in all_) for _, all_ in rows], pa.int64())  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
@@ -158,7 +158,7 @@ def redacted(docs: DataFrame, least: float = MIN_LOG10, mark: str = "[SECRET]")
     """docs with each secret in text replaced by mark, all columns kept; n_chars, if there, follows the new text. A null text stays null."""
 
     def run(batches):
-        for b in batches:
+        for b in bites(batches):
             names = b.schema.names
             texts = b.column("text").to_pylist()
             new = [None if t is None else cut_out(t, spans_of(t, least)[1], mark) for t in texts]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gateloom.llm.common import ascii_words, shards, stored, texts_of
+from gateloom.llm.common import ascii_words, bites, shards, stored, texts_of
 
 #: Words of a shingle; bits that linked fingerprints differ in, at most; bands.
 WORDS, RADIUS, BANDS = 3, 3, 6
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, k: int = WORDS, keep: list[str] | None = None)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in bites(batches):
             fp = np.array([fingerprint(ascii_words(t, lower=True), k) for t in texts_of(b.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
@@ -262,7 +262,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in bites(batches):
             fp = np.array([two_fingerprints(t) for t in texts_of(b.column("text"))], np.uint64).view(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("own"), pa.array(fp[:, 0]), pa.array(fp[:, 1])], names=["id", "own", "fp", "fp2"])
 

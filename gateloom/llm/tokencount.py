@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gateloom.llm.common import texts_of
+from gateloom.llm.common import bites, texts_of
 
 #: Characters of a chunk, of the first overlap, and of texts that are encoded whole.
 CHUNK_CHARS, OVERLAP_CHARS = 16_384, 256
@@ -151,7 +151,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
 
     def run(batches):
         tok = load(tokenizer_path(vocabulary))
-        for b in batches:
+        for b in bites(batches):
             texts = texts_of(b.column("text"))
             n = counts(tok, texts, chunk, overlap)
             yield pa.RecordBatch.from_arrays(
