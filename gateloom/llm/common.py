@@ -88,6 +88,17 @@ def texts_of(column) -> Iterable[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+_MEMORY: dict[str, object] = {}
+
+
+def memory(key: str, make):
+    """What a Python worker remembers from task to task under key; it drops what it remembered under other keys."""
+    if key not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[key] = make()
+    return _MEMORY[key]
+
+
 def bites(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterable[pa.RecordBatch]:
     """The batches in slices of so many rows, so that few texts are Python objects at a time."""
     for b in batches:

@@ -28,19 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gateloom.llm.common import WordHashes, ascii_words, blocked, blocks_of, lean, mixed, opened, shards, texts_of
+from gateloom.llm.common import WordHashes, ascii_words, blocked, blocks_of, lean, memory, mixed, opened, shards, texts_of
 
 #: Counts up to this are discounted; tokens of a context beyond which it is split; folds and the one held out.
 K, SALT_TOKENS, FOLDS, HELD = 5, 4_000_000, 7, 2
 #: Bytes of a word's hash that tell it from the others after the same context.
 WIDE = 5
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_HASHES: dict[int, WordHashes] = {}
 ANSWER = "block int, level int, bucket int, x0 binary, x1 binary"
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
-    return _HASHES.setdefault(0, WordHashes(seed=1)).of(words)
+    return memory("hashes 1", lambda: WordHashes(seed=1)).of(words)
 
 
 #: White space can't be in a word, so these are nobody's hashes but the end's and the beginning's.

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gateloom.llm.common import bites, lean, mixed, texts_of
+from gateloom.llm.common import bites, lean, memory, mixed, texts_of
 
 #: Longest n-gram; labelled documents of a language that are learned from, at most; folds.
 ORDER, SAMPLE_DOCS, FOLDS = 5, 1200, 5
@@ -271,15 +271,9 @@ def languages(docs: DataFrame, learn_from: DataFrame | None = None, sample_docs:
     return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
-_SCORERS: dict[int, tuple[Model, Scorer]] = {}
-
-
 def scorer_of(model: Model) -> Scorer:
-    """One memory of words for each model and Python worker."""
-    if id(model) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[id(model)] = (model, Scorer(model))
-    return _SCORERS[id(model)][1]
+    """One memory of words for each Python worker and model."""
+    return memory(f"words {id(model)}", lambda: Scorer(model))
 
 
 def scores(scorer: Scorer, texts: list[str], chars: int = 4_000_000) -> np.ndarray:

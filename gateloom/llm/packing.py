@@ -16,7 +16,6 @@ import gc
 import re
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from gateloom.llm.common import bites, stored, texts_of
+from gateloom.llm.common import bites, memory, stored, texts_of
 from gateloom.llm.tokencount import load, tokenizer_path
 
 #: Token ids of a sequence; partners tried for a length; groups that a length's ranks are counted in.
@@ -42,7 +41,7 @@ class ChunkIds(dict):
     #: Lower-case letters and then signs: the tokenizer always splits between the two, and its normaliser changes neither.
     STEM = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-/:-@\[-`{-~]*)")
 
-    def __init__(self, tok, most: int = 1_500_000):
+    def __init__(self, tok, most: int = 1_200_000):
         super().__init__()
         self.tok, self.most, self.passing = tok, most, {}
         # the same model for words of lower-case letters: many at a time, told apart by the ids that end a word
@@ -95,10 +94,9 @@ class ChunkIds(dict):
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
-@lru_cache(2)
 def chunk_ids(path: str) -> ChunkIds:
-    """One memory of chunks for each vocabulary and Python worker."""
-    return ChunkIds(load(path))
+    """One memory of chunks for each Python worker."""
+    return memory(f"chunks {path}", lambda: ChunkIds(load(path)))
 
 
 def groups_of(texts: list[str], chars: int = 4_000_000):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gateloom.llm.common import WordHashes, ascii_words, blocked, blocks_of, mixed, opened, shards, texts_of
+from gateloom.llm.common import WordHashes, ascii_words, blocked, blocks_of, memory, mixed, opened, shards, texts_of
 
 #: Words of a window; words of an anchor.
 SPAN, K = 13, 5
@@ -112,11 +112,10 @@ def anchors(h: np.ndarray, span: int = SPAN, k: int = K) -> np.ndarray:
     return low
 
 
-_HASHES: dict[int, WordHashes] = {}
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
-    return _HASHES.setdefault(0, WordHashes()).of(words)
+    return memory("hashes 0", WordHashes).of(words)
 
 
 def kept_words(words: list[bytes], s: np.ndarray | None, span: int = SPAN) -> list[bytes]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gateloom.llm.common import bites, texts_of
+from gateloom.llm.common import bites, memory, texts_of
 
 #: Characters of a chunk, of the first overlap, and of texts that are encoded whole.
 CHUNK_CHARS, OVERLAP_CHARS = 16_384, 256
@@ -93,7 +93,7 @@ class Stretches(dict):
     #: White space to some pattern or to Python, but not ASCII's: next to it nothing is proven.
     OTHER = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
-    def __init__(self, tok, most: int = 1_500_000):
+    def __init__(self, tok, most: int = 1_200_000):
         super().__init__()
         self.tok, self.most, self.passing = tok, most, {}
 
@@ -118,26 +118,15 @@ class Stretches(dict):
         return [sum(map(self.__getitem__, x)) for x in split]
 
 
-_STRETCHES: dict[int, Stretches] = {}
-
-
-def stretches_of(tok) -> Stretches:
-    """One memory of stretches for each tokenizer and Python worker."""
-    if id(tok) not in _STRETCHES:
-        _STRETCHES.clear()
-        _STRETCHES[id(tok)] = Stretches(tok)
-    return _STRETCHES[id(tok)]
-
-
 def counts(tok, texts: list[str], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
     if not hasattr(tok, "encode_batch_fast"):
         return [len(x) for x in tok.encode(list(texts), num_threads=1)] if texts else []
     out = [0] * len(texts)
     whole = [i for i, t in enumerate(texts) if len(t) <= chunk]
-    memory = stretches_of(tok)
+    known = memory(f"stretches {id(tok)}", lambda: Stretches(tok))
     for a in range(0, len(whole), 512):
         part = whole[a : a + 512]
-        for i, n in zip(part, memory.counts([texts[i] for i in part]), strict=True):
+        for i, n in zip(part, known.counts([texts[i] for i in part]), strict=True):
             out[i] = n
     for i, t in enumerate(texts):
         if len(t) > chunk:
