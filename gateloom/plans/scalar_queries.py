@@ -1 +1,224 @@
+"""Queries over scalar functions, keywords and transforms."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gateloom.core.bind import CUSTOMER_CTE, EVENTS_CTE, LINEITEM_CTE, VECTOR_CTE, customer_events, lineitem_events, stream_events, table, vector_events
+from gateloom.functions import scalars as S
 from gateloom.plans.registry import query
+
+NAMES = ["FSC-A", "SSC-H", "Time", "FITC-A", "PE-Cy7-A", "PerCP-A", "Alexa Fluor 700-A", "BV421-A", "Event_length", "CD4 (APC-A)", "7-AAD-A", "DAPI-A", "plain"]
+FILES = ["unstained.fcs", "Blank tube.FCS", "FITC alone.fcs", "multistain FITC PE.fcs", "FMO PE.fcs", "PE-Cy7 alone.fcs", "negative.fcs", "sample_1.fcs", "a_very_long_sample_name_indeed.fcs"]
+GATES = ["CD4+ T-cells", "T cells", "Live/Dead", "singlets 1", "helper", "B-cell", "unknown", "NK", "Viable", "cytotoxic"]
+
+
+def values(spark: SparkSession, names: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(names)), "i int, name string")
+
+
+def values_sql(names: list[str]) -> str:
+    return "WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(names)) + ") t(i, name))"
+
+
+def case_sql(text: str, pairs) -> str:
+    return "CASE " + " ".join(f"WHEN contains({text}, '{k}') THEN '{v}'" for k, v in pairs) + " END"
+
+
+@query("name_is_scatter", values_sql(NAMES) + " SELECT name, regexp_matches(name, '(?i)FSC|SSC|Time|Width|Event') AS scatter, CASE WHEN regexp_matches(name, '(?i)FSC|SSC|Time|Width|Event') THEN 'Linear' ELSE 'Biex' END AS scale FROM v")
+def name_is_scatter(spark, sf_dir):
+    v = values(spark, NAMES)
+    return v.select("name", S.is_scatter(F.col("name")).alias("scatter"), S.display_scale(F.col("name")).alias("scale"))
+
+
+@query("name_short", values_sql(FILES) + " SELECT name, regexp_replace(name, '(?i)\\.fcs$', '') AS short, CASE WHEN length(regexp_replace(name, '(?i)\\.fcs$', '')) > 16 THEN substr(regexp_replace(name, '(?i)\\.fcs$', ''), 1, 15) || '…' ELSE regexp_replace(name, '(?i)\\.fcs$', '') END AS cut FROM v")
+def name_short(spark, sf_dir):
+    return values(spark, FILES).select("name", S.short_name(F.col("name")).alias("short"), S.short_name(F.col("name"), 16).alias("cut"))
+
+
+FLUOR_SQL = case_sql("regexp_replace(lower(name), '[\\s\\-]', '', 'g')", [(k.replace("-", ""), k) for k in S.EMISSION])
+
+
+@query("name_fluorochrome", values_sql(NAMES) + f", f AS (SELECT name, {FLUOR_SQL} AS fluor FROM v) SELECT name, fluor, CASE fluor " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.EMISSION.items()) + " ELSE 0 END AS emission FROM f")
+def name_fluorochrome(spark, sf_dir):
+    """The first fluorochrome of the table that a name holds."""
+    f = S.fluorochrome(F.col("name"))
+    return values(spark, NAMES).select("name", f.alias("fluor"), F.coalesce(S.emission(f), F.lit(0)).alias("emission"))
+
+
+ONTOLOGY_SQL = case_sql("regexp_replace(lower(name), '[^a-z0-9]', '', 'g')", [*S.ONTOLOGY.items(), *((k, S.ONTOLOGY[v]) for k, v in S.OTHER_SPELLINGS.items())])
+
+
+@query("name_ontology", values_sql(GATES) + f" SELECT name, {ONTOLOGY_SQL} AS cell FROM v")
+def name_ontology(spark, sf_dir):
+    return values(spark, GATES).select("name", S.ontology(F.col("name")).alias("cell"))
+
+
+ROLE_SQL = "(?i)" + S.FLUOR[4:].replace("\\b", "\\b")
+
+
+@query("name_control_role", values_sql(FILES) + f", u AS (SELECT min(i) AS u FROM v WHERE regexp_matches(name, '(?i)unstain|\\bblank\\b|no.?stain|^\\s*un\\b')) SELECT name, CASE WHEN i = u THEN 'Unstained' WHEN NOT regexp_matches(name, '{S.NOT_SINGLE}') AND regexp_matches(name, '{S.FLUOR}') THEN 'Single stain' ELSE 'Ignore' END AS role FROM v, u")
+def name_control_role(spark, sf_dir):
+    return S.control_roles(values(spark, FILES), "name", "i").select("name", "role")
+
+
+@query("name_positivity_role", values_sql(FILES) + " SELECT name, CASE WHEN contains(lower(name), 'unstain') OR contains(lower(name), 'blank') OR contains(lower(name), 'negative') THEN 'Unstained' WHEN contains(lower(name), 'fmo') THEN 'FMO' ELSE 'Sample' END AS role FROM v")
+def name_positivity_role(spark, sf_dir):
+    return values(spark, FILES).select("name", S.positivity_role(F.col("name")).alias("role"))
+
+
+@query("name_paths", "SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_replace(lower('$' || upper(url)), '^\\$', '') AS keyword FROM pages")
+def name_paths(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", S.base_name(F.col("url")).alias("base"), S.keyword(F.concat(F.lit("$"), F.upper("url"))).alias("keyword"))
+
+
+@query("name_csv_quote", "SELECT doc_id, CASE WHEN regexp_matches(text, '[,\"\\n]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS quoted FROM documents")
+def name_csv_quote(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.csv_quoted(F.col("text")).alias("quoted"))
+
+
+@query("name_legend", values_sql(["CD4 (1,234)", "CD8", "NK (7)", "a (b) (12)"]) + " SELECT name, regexp_replace(name, '\\s*\\([\\d,]+\\)\\s*$', '') AS plain FROM v")
+def name_legend(spark, sf_dir):
+    return values(spark, ["CD4 (1,234)", "CD8", "NK (7)", "a (b) (12)"]).select("name", S.without_count(F.col("name")).alias("plain"))
+
+
+@query("name_first_needle", values_sql(NAMES) + ", n AS (SELECT * FROM (VALUES (0, 'ssc'), (1, 'fitc')) t(o, needle)) SELECT arg_min(name, o * 1000 + i) AS channel FROM v JOIN n ON contains(lower(name), needle)")
+def name_first_needle(spark, sf_dir):
+    """The first channel that holds a needle: needles come in order, then channels."""
+    v = values(spark, NAMES)
+    n = spark.createDataFrame([(0, "ssc"), (1, "fitc")], "o int, needle string")
+    return v.join(F.broadcast(n), F.contains(F.lower("name"), F.col("needle"))).agg(F.min_by("name", F.struct("o", "i")).alias("channel"))
+
+
+@query("stars", "WITH p AS (SELECT c_custkey, (c_custkey % 100) / 1000.0::DOUBLE AS p FROM customer) SELECT c_custkey, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM p")
+def stars(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", S.stars((F.col("c_custkey") % 100) / F.lit(1000.0)).alias("stars"))
+
+
+@query("intensity_format")
+def intensity_format(spark, sf_dir):
+    return customer_events(spark, sf_dir).select("row_index", S.intensity(F.col("fl1_a")).alias("shown"))
+
+
+# ---- transforms ----
+
+
+@query("transform_asinh", f"WITH {CUSTOMER_CTE} SELECT row_index, round(asinh(fl1_a / 150.0), 9) AS t, round(sinh(asinh(fl1_a / 150.0)) * 150.0, 6) AS back FROM ev")
+def transform_asinh(spark, sf_dir):
+    t = S.asinh(F.col("fl1_a"))
+    return customer_events(spark, sf_dir).select("row_index", F.round(t, 9).alias("t"), F.round(S.asinh_inverse(t), 6).alias("back"))
+
+
+@query("transform_log", f"WITH {CUSTOMER_CTE} SELECT row_index, round(log10(greatest(fl1_a, 1.0)), 9) AS display, round(CASE WHEN fl1_a > 0 THEN log10(CASE WHEN fl1_a > 0 THEN fl1_a END / 262144.0::DOUBLE) / 4.5::DOUBLE + 1 END, 9) AS scaled FROM ev")
+def transform_log(spark, sf_dir):
+    x = F.col("fl1_a")
+    return customer_events(spark, sf_dir).select("row_index", F.round(S.log_display(x), 9).alias("display"), F.round(S.log_scaled(x), 9).alias("scaled"))
+
+
+@query("transform_auto_width", f"WITH {CUSTOMER_CTE} SELECT sample, round(greatest(0.05, least(2.24, (4.5::DOUBLE - log10(262144.0::DOUBLE / abs(least(min(fl1_a), -1.0)))) / 2)), 9) AS width FROM ev GROUP BY sample")
+def transform_auto_width(spark, sf_dir):
+    return customer_events(spark, sf_dir).groupBy("sample").agg(F.round(S.auto_width(F.min("fl1_a"), F.lit(262144.0)), 9).alias("width"))
+
+
+LOGICLE = S.Logicle()
+
+
+@query("transform_logicle_inverse", f"WITH d AS (SELECT DISTINCT l_quantity / 50.0 AS s FROM lineitem) SELECT s, round(({LOGICLE.a!r})::DOUBLE * exp(({LOGICLE.b!r})::DOUBLE * s) - ({LOGICLE.c!r})::DOUBLE * exp(({-LOGICLE.d!r})::DOUBLE * s) - ({LOGICLE.f!r})::DOUBLE, 4) AS x FROM d")
+def transform_logicle_inverse(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / F.lit(50.0)).alias("s")).distinct()
+    return d.select("s", F.round(LOGICLE.inverse(F.col("s")), 4).alias("x"))
+
+
+@query("transform_logicle")
+def transform_logicle(spark, sf_dir):
+    return customer_events(spark, sf_dir).select("row_index", "fl1_a", LOGICLE.forward(F.col("fl1_a")).alias("display"))
+
+
+@query("transform_scaling", f"WITH {VECTOR_CTE}, m AS (SELECT min(e0) AS a, max(e0) AS b, avg(e0) AS m, stddev_pop(e0) AS s FROM ev) SELECT row_index, round((e0 - a) / (b - a), 6) AS unit, round((e0 - m) / s, 6) AS z FROM ev, m")
+def transform_scaling(spark, sf_dir):
+    from gateloom.operators.embedding import scaled
+
+    ev = vector_events(spark, sf_dir, 1)
+    u, z = scaled(ev, ["e0"], "minmax"), scaled(ev, ["e0"])
+    return u.select("row_index", F.round("e0", 6).alias("unit")).join(z.select("row_index", F.round("e0", 6).alias("z")), "row_index")
+
+
+@query("coordinates", f"WITH {EVENTS_CTE} SELECT row_index, round(400 - (fl1_a - 0.0) / 500.0 * 400, 6) AS pixel, round(fl1_a, 6) AS back, fl1_a BETWEEN 10 AND 400 AS inside FROM ev")
+def coordinates(spark, sf_dir):
+    """To pixels on a flipped axis, and back."""
+    p = S.to_pixel(F.col("fl1_a"), 0.0, 500.0, 400.0, True)
+    return stream_events(spark, sf_dir).select("row_index", F.round(p, 6).alias("pixel"), F.round(S.to_data(p, 0.0, 500.0, 400.0, True), 6).alias("back"), F.col("fl1_a").between(10, 400).alias("inside"))
+
+
+@query("axis_range_first_sample", f"WITH {LINEITEM_CTE} SELECT min(fsc_a) AS low, max(fsc_a) AS high FROM ev WHERE sample = 'AF'")
+def axis_range_first_sample(spark, sf_dir):
+    """The first sample fixes the axis for all."""
+    r = lineitem_events(spark, sf_dir).groupBy("sample").agg(F.struct(F.min("fsc_a").alias("low"), F.max("fsc_a").alias("high")).alias("r"))
+    return r.agg(F.min_by("r", "sample").alias("r")).select("r.low", "r.high")
+
+
+@query("axis_ticks", "SELECT sign * pow(10.0, k)::DOUBLE AS tick FROM range(1, 7) d(k), (VALUES (1), (-1)) s(sign) WHERE sign * pow(10.0, k) BETWEEN -1000 AND 300000 UNION ALL SELECT 0.0::DOUBLE")
+def axis_ticks(spark, sf_dir):
+    """Decades on both sides of 0 within the axis."""
+    k = F.explode(F.sequence(F.lit(-6), F.lit(6))).alias("k")
+    t = F.when(F.col("k") == 0, 0.0).otherwise(F.signum(F.col("k").cast("double")) * F.pow(F.lit(10.0), F.abs("k")))
+    return spark.range(1).select(k).select(t.alias("tick")).where("tick between -1000 and 300000")
+
+
+@query("bin_middles", "SELECT i::INTEGER AS bin, round(10.0 + (i + 0.5) * (90.0 - 10.0) / 16, 9)::DOUBLE AS mid FROM range(0, 16) r(i)")
+def bin_middles(spark, sf_dir):
+    return spark.range(16).select(F.col("id").cast("int").alias("bin"), F.round(F.lit(10.0) + (F.col("id") + 0.5) * F.lit(80.0) / 16, 9).alias("mid"))
+
+
+# ---- keywords, maps, JSON ----
+
+
+@query("spill_parse", "WITH t AS (SELECT '2,FL1-A,FL2-A,1,0.25,0.1,1' AS s), p AS (SELECT string_split(s, ',') AS p FROM t) SELECT p[2 + r] AS source, p[2 + c] AS target, p[4 + r * 2 + c]::DOUBLE AS coef FROM p, range(0, 2) a(r), range(0, 2) b(c)")
+def spill_parse(spark, sf_dir):
+    names, coefs = S.spill(F.col("s"))
+    t = spark.createDataFrame([("2,FL1-A,FL2-A,1,0.25,0.1,1",)], "s string").select(names.alias("n"), F.posexplode(coefs).alias("i", "coef"))
+    return t.select(F.get("n", F.floor(F.col("i") / 2).cast("int")).alias("source"), F.get("n", F.col("i") % 2).alias("target"), "coef")
+
+
+@query("json_props", "SELECT event_id, json_extract_string(props, '$.k')::DOUBLE AS k FROM events")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("double").alias("k"))
+
+
+@query("map_lookup", f"WITH {EVENTS_CTE}, t AS (SELECT 'click' AS sample, 100.0 AS cut UNION ALL SELECT 'view', 200.0) SELECT ev.sample, count_if(fl1_a > coalesce(cut, 50.0)) AS n FROM ev LEFT JOIN t USING (sample) GROUP BY ev.sample")
+def map_lookup(spark, sf_dir):
+    cuts = F.create_map(F.lit("click"), F.lit(100.0), F.lit("view"), F.lit(200.0))
+    return stream_events(spark, sf_dir).groupBy("sample").agg(F.count_if(F.col("fl1_a") > F.coalesce(cuts[F.col("sample")], F.lit(50.0))).alias("n"))
+
+
+@query("keyword_search", "WITH k AS (SELECT '$' || upper(r_name) AS keyword, r_regionkey::VARCHAR AS value FROM region UNION ALL SELECT lower(n_name), n_regionkey::VARCHAR FROM nation) SELECT keyword, value FROM k WHERE contains(lower(keyword), 'a') OR contains(lower(value), 'a') ORDER BY CASE WHEN starts_with(keyword, '$') THEN 0 ELSE 1 END, lower(keyword)")
+def keyword_search(spark, sf_dir):
+    """Keywords that hold a text in name or value; those with $ first, then by name."""
+    k = table(spark, sf_dir, "region").select(F.concat(F.lit("$"), F.upper("r_name")).alias("keyword"), F.col("r_regionkey").cast("string").alias("value")).unionByName(table(spark, sf_dir, "nation").select(F.lower("n_name").alias("keyword"), F.col("n_regionkey").cast("string").alias("value")))
+    hit = F.lower("keyword").contains("a") | F.lower("value").contains("a")
+    return k.where(hit).orderBy(F.when(F.col("keyword").startswith("$"), 0).otherwise(1), F.lower("keyword"))
+
+
+@query("parameter_table", "WITH k AS (SELECT 'P' || (n_nationkey % 5 + 1) || (['N', 'S', 'R'])[(n_nationkey // 5) % 3 + 1] AS key, any_value(n_name ORDER BY n_nationkey) AS value FROM nation WHERE n_nationkey < 15 GROUP BY 1) SELECT regexp_extract(key, 'P(\\d+)', 1)::INTEGER AS idx, max(CASE WHEN key LIKE '%N' THEN value END) AS n, max(CASE WHEN key LIKE '%S' THEN value END) AS s, max(CASE WHEN key LIKE '%R' THEN value END) AS r FROM k GROUP BY 1")
+def parameter_table(spark, sf_dir):
+    """Keywords PnN, PnS, PnR as a row for each parameter."""
+    letter = F.element_at(F.array(F.lit("N"), F.lit("S"), F.lit("R")), (F.floor(F.col("n_nationkey") / 5) % 3 + 1).cast("int"))
+    k = table(spark, sf_dir, "nation").where("n_nationkey < 15").select((F.col("n_nationkey") % 5 + 1).cast("int").alias("idx"), F.lower(letter).alias("a"), F.col("n_name").alias("value"))
+    return k.groupBy("idx").pivot("a", ["n", "s", "r"]).agg(F.first("value"))
+
+
+@query("gate_boundary_points", "WITH g AS (SELECT * FROM (VALUES (0, 0.02, 0.01, 0.09, 0.01), (1, 0.09, 0.01, 0.09, 0.07), (2, 0.09, 0.07, 0.05, 0.075)) t(edge, x0, y0, x1, y1)) SELECT edge, i::INTEGER AS i, round(x0 + (x1 - x0) * i / 64.0::DOUBLE, 9) AS x, round(y0 + (y1 - y0) * i / 64.0::DOUBLE, 9) AS y FROM g, range(0, 64) r(i)")
+def gate_boundary_points(spark, sf_dir):
+    """64 points along each edge of a gate."""
+    g = spark.createDataFrame([(0, 0.02, 0.01, 0.09, 0.01), (1, 0.09, 0.01, 0.09, 0.07), (2, 0.09, 0.07, 0.05, 0.075)], "edge int, x0 double, y0 double, x1 double, y1 double")
+    g = g.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    at = lambda a, b: F.round(F.col(a) + (F.col(b) - F.col(a)) * F.col("i") / F.lit(64.0), 9)
+    return g.select("edge", "i", at("x0", "x1").alias("x"), at("y0", "y1").alias("y"))
+
+
+@query("audit_summary", "SELECT event_type AS type, count(*) AS n, min(strftime(ts, '%H:%M:%S')) AS first FROM events GROUP BY 1")
+def audit_summary(spark, sf_dir):
+    """Entries of a log by type, with a time stamp."""
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"), F.min(F.date_format("ts", "HH:mm:ss")).alias("first"))
