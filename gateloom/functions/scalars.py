@@ -171,10 +171,13 @@ class Logicle:
 
     def inverse(self, s: Column) -> Column:
         """Data value of a display value, as one expression."""
-        return F.lit(self.a) * F.exp(F.lit(self.b) * s) - F.lit(self.c) * F.exp(F.lit(-self.d) * s) - F.lit(self.f)
+        far = F.lit(self.x1) + F.abs(s - F.lit(self.x1))  # antisymmetric about the display value of 0
+        return F.signum(s - F.lit(self.x1)) * (F.lit(self.a) * F.exp(F.lit(self.b) * far) - F.lit(self.c) * F.exp(F.lit(-self.d) * far) - F.lit(self.f))
 
     def inverse_of(self, s):
-        return self.a * np.exp(self.b * np.asarray(s, float)) - self.c * np.exp(-self.d * np.asarray(s, float)) - self.f
+        s = np.asarray(s, float)
+        far = self.x1 + np.abs(s - self.x1)
+        return np.sign(s - self.x1) * (self.a * np.exp(self.b * far) - self.c * np.exp(-self.d * far) - self.f)
 
     def forward(self, x: Column, steps: int = 60) -> Column:
         """Display value: bisection on [-0.8, 1.2] as a fold, so it stays in the JVM; clamped there."""

@@ -125,7 +125,7 @@ def transform_auto_width(spark, sf_dir):
 LOGICLE = S.Logicle()
 
 
-@query("transform_logicle_inverse", f"WITH d AS (SELECT DISTINCT l_quantity / 50.0 AS s FROM lineitem) SELECT s, round(({LOGICLE.a!r})::DOUBLE * exp(({LOGICLE.b!r})::DOUBLE * s) - ({LOGICLE.c!r})::DOUBLE * exp(({-LOGICLE.d!r})::DOUBLE * s) - ({LOGICLE.f!r})::DOUBLE, 4) AS x FROM d")
+@query("transform_logicle_inverse", f"WITH d AS (SELECT DISTINCT l_quantity / 50.0 AS s FROM lineitem), m AS (SELECT s, ({LOGICLE.x1!r})::DOUBLE + abs(s - ({LOGICLE.x1!r})::DOUBLE) AS m FROM d) SELECT s, round(sign(s - ({LOGICLE.x1!r})::DOUBLE) * (({LOGICLE.a!r})::DOUBLE * exp(({LOGICLE.b!r})::DOUBLE * m) - ({LOGICLE.c!r})::DOUBLE * exp(({-LOGICLE.d!r})::DOUBLE * m) - ({LOGICLE.f!r})::DOUBLE), 4) AS x FROM m")
 def transform_logicle_inverse(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / F.lit(50.0)).alias("s")).distinct()
     return d.select("s", F.round(LOGICLE.inverse(F.col("s")), 4).alias("x"))

@@ -15,7 +15,8 @@ LINE, STREAM, VECTOR, CUSTOMER = (f"WITH {c}" for c in (LINEITEM_CTE, EVENTS_CTE
 
 
 def by_sample(source, **aggregates):
-    return lambda spark, sf_dir: source(spark, sf_dir).groupBy("sample").agg(*[F.round(v, 6).alias(k) for k, v in aggregates.items()])
+    """Aggregates of fl1_a by sample; each is a function of the column, as columns need a session."""
+    return lambda spark, sf_dir: source(spark, sf_dir).groupBy("sample").agg(*[F.round(f(F.col("fl1_a")), 6).alias(k) for k, f in aggregates.items()])
 
 
 def ratio_sql(a: str, b: str) -> str:
@@ -23,14 +24,13 @@ def ratio_sql(a: str, b: str) -> str:
 
 
 RSD = "(quantile_cont(fl1_a, 0.8413::DOUBLE) - quantile_cont(fl1_a, 0.1587::DOUBLE)) / 2"
-X = F.col("fl1_a")
-query("stat_mean_median", STREAM + " SELECT sample, round(avg(fl1_a), 6) AS mean, round(median(fl1_a), 6) AS median FROM ev GROUP BY sample")(by_sample(stream_events, mean=statistics.mean(X), median=statistics.median(X)))
-query("stat_sd_cv", STREAM + " SELECT sample, round(stddev_pop(fl1_a), 6) AS sd, round(100 * stddev_pop(fl1_a) / avg(fl1_a), 6) AS cv FROM ev GROUP BY sample")(by_sample(stream_events, sd=statistics.sd(X), cv=statistics.cv(X)))
-query("stat_rsd_rcv", STREAM + f" SELECT sample, round({RSD}, 6) AS rsd, round(100 * {RSD} / median(fl1_a), 6) AS rcv FROM ev GROUP BY sample")(by_sample(stream_events, rsd=statistics.rsd(X), rcv=statistics.rcv(X)))
-query("stat_percentiles", STREAM + " SELECT sample, round(quantile_cont(fl1_a, 0.05::DOUBLE), 6) AS p5, round(quantile_cont(fl1_a, 0.333::DOUBLE), 6) AS p33, round(quantile_cont(fl1_a, 1.0::DOUBLE), 6) AS p100 FROM ev GROUP BY sample")(by_sample(stream_events, p5=statistics.percentile(X, 5), p33=statistics.percentile(X, 33.3), p100=statistics.percentile(X, 140)))
-query("stat_min_max", CUSTOMER + " SELECT sample, round(min(fl1_a), 6) AS least, round(max(fl1_a), 6) AS most FROM ev GROUP BY sample")(by_sample(customer_events, least=F.min("fl1_a"), most=F.max("fl1_a")))
+query("stat_mean_median", STREAM + " SELECT sample, round(avg(fl1_a), 6) AS mean, round(median(fl1_a), 6) AS median FROM ev GROUP BY sample")(by_sample(stream_events, mean=statistics.mean, median=statistics.median))
+query("stat_sd_cv", STREAM + " SELECT sample, round(stddev_pop(fl1_a), 6) AS sd, round(100 * stddev_pop(fl1_a) / avg(fl1_a), 6) AS cv FROM ev GROUP BY sample")(by_sample(stream_events, sd=statistics.sd, cv=statistics.cv))
+query("stat_rsd_rcv", STREAM + f" SELECT sample, round({RSD}, 6) AS rsd, round(100 * {RSD} / median(fl1_a), 6) AS rcv FROM ev GROUP BY sample")(by_sample(stream_events, rsd=statistics.rsd, rcv=statistics.rcv))
+query("stat_percentiles", STREAM + " SELECT sample, round(quantile_cont(fl1_a, 0.05::DOUBLE), 6) AS p5, round(quantile_cont(fl1_a, 0.333::DOUBLE), 6) AS p33, round(quantile_cont(fl1_a, 1.0::DOUBLE), 6) AS p100 FROM ev GROUP BY sample")(by_sample(stream_events, p5=lambda x: statistics.percentile(x, 5), p33=lambda x: statistics.percentile(x, 33.3), p100=lambda x: statistics.percentile(x, 140)))
+query("stat_min_max", CUSTOMER + " SELECT sample, round(min(fl1_a), 6) AS least, round(max(fl1_a), 6) AS most FROM ev GROUP BY sample")(by_sample(customer_events, least=F.min, most=F.max))
 query("stat_geomean", CUSTOMER + " SELECT sample, round(exp(avg(CASE WHEN fl1_a > 0 THEN ln(CASE WHEN fl1_a > 0 THEN fl1_a END) END)), 4) AS geomean, count_if(fl1_a <= 0) AS excluded, count(*) AS total FROM ev GROUP BY sample")(
-    lambda spark, sf_dir: customer_events(spark, sf_dir).groupBy("sample").agg(F.round(statistics.geomean(X), 4).alias("geomean"), F.count_if(X <= 0).alias("excluded"), F.count("*").alias("total"))
+    lambda spark, sf_dir: customer_events(spark, sf_dir).groupBy("sample").agg(F.round(statistics.geomean(F.col("fl1_a")), 4).alias("geomean"), F.count_if(F.col("fl1_a") <= 0).alias("excluded"), F.count("*").alias("total"))
 )
 query("stat_correlation", VECTOR + " SELECT cluster, round(CASE WHEN stddev_pop(e0) > 0 AND stddev_pop(e1) > 0 THEN covar_pop(e0, e1) / (stddev_pop(e0) * stddev_pop(e1)) ELSE 0 END, 6) AS r, 0.0 AS constant FROM ev GROUP BY cluster")(
     lambda spark, sf_dir: vector_events(spark, sf_dir).groupBy("cluster").agg(F.round(statistics.correlation(F.col("e0"), F.col("e1")), 6).alias("r"), statistics.correlation(F.col("e0"), F.lit(5.0)).alias("constant"))
@@ -89,7 +89,7 @@ def stat_export_table(spark, sf_dir):
 
 @query("stat_channel_summary", CUSTOMER + " SELECT sample, round(median(fl1_a), 6) AS median, round(avg(fl1_a), 6) AS mean, round(stddev_samp(fl1_a), 6) AS sd, round(100 * stddev_samp(fl1_a) / abs(avg(fl1_a)), 6) AS cv FROM ev GROUP BY sample")
 def stat_channel_summary(spark, sf_dir):
-    a = customer_events(spark, sf_dir).groupBy("sample").agg(F.median(X).alias("median"), F.avg(X).alias("mean"), F.stddev_samp(X).alias("sd"))
+    a = customer_events(spark, sf_dir).groupBy("sample").agg(F.median("fl1_a").alias("median"), F.avg("fl1_a").alias("mean"), F.stddev_samp("fl1_a").alias("sd"))
     return a.select("sample", F.round("median", 6).alias("median"), F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round(F.lit(100.0) * statistics.ratio(F.col("sd"), F.abs("mean")), 6).alias("cv"))
 
 
