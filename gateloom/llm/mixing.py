@@ -66,15 +66,25 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, power: fl
     return size.select(F.coalesce(F.col("source"), F.lit("\0")).alias("_source"), rate.alias("_rate"))
 
 
+def replicated(docs: DataFrame, weights: Mapping[str, float] | None, power: float, factor: float, seed: str) -> DataFrame:
+    """row (all columns of docs), copy, rate, shuffle_key; within row no name can clash with those used here."""
+    rate = rates(docs.select(F.col("text").cast("string").alias("text"), "source"), weights, power, factor)
+    rows = join_small(docs.select(F.struct("*").alias("row"), F.coalesce(F.col("source"), F.lit("\0")).alias("_source")), rate, ["_source"])
+    rows = rows.withColumn("n", copies(F.col("row.doc_id"), F.col("_rate"), seed)).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("shuffle"), F.lit(seed), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    rows = rows.select("row", "copy", F.round("_rate", 6).alias("rate"), key.alias("shuffle_key"))
+    return rows.repartition(shards(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
+
+
 def mixed_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = POWER, factor: float = FACTOR, seed: str = SEED) -> DataFrame:
-    """The rows of docs(doc_id, text, source, ...) repeated to the target weights and shuffled, with columns copy, rate, shuffle_key."""
-    plain = docs.withColumn("text", F.col("text").cast("string"))
-    rate = rates(plain, weights, power, factor)
-    rows = join_small(plain.withColumn("_source", F.coalesce(F.col("source"), F.lit("\0"))), rate, ["_source"])
-    rows = rows.withColumn("_n", copies(F.col("doc_id"), F.col("_rate"), seed)).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("shuffle"), F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
-    rows = rows.withColumn("shuffle_key", key).withColumn("rate", F.round("_rate", 6))
-    return rows.select(*docs.columns, "copy", "rate", "shuffle_key").repartition(shards(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
+    """The rows of docs(doc_id, text, source, ...) repeated to the target weights and shuffled, with columns copy, rate, shuffle_key (with _ if docs has one of the name)."""
+    taken = {c.lower() for c in docs.columns}
+    return replicated(docs, weights, power, factor, seed).select("row.*", *[F.col(c).alias(c + "_" * (c in taken)) for c in ("copy", "rate", "shuffle_key")])
+
+
+def mixed_rows(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = POWER, factor: float = FACTOR, seed: str = SEED) -> DataFrame:
+    """The same with the columns of docs only."""
+    return replicated(docs, weights, power, factor, seed).select("row.*")
 
 
 #: The same rows in DuckDB's SQL.

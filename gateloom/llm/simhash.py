@@ -266,12 +266,13 @@ def first_of_each(docs: DataFrame) -> DataFrame:
             fp = np.array([two_fingerprints(t) for t in texts_of(b.column("text"))], np.uint64).view(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("own"), pa.array(fp[:, 0]), pa.array(fp[:, 1])], names=["id", "own", "fp", "fp2"])
 
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("_own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    fps = keyed.select(F.col("_id").alias("id"), F.col("_own").alias("own"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id bigint, own bigint, fp bigint, fp2 bigint")
+    # within row no name of docs can clash with those used here
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own"))
+    fps = keyed.select("id", "own", F.col("row.text").cast("string").alias("text")).mapInArrow(run, "id bigint, own bigint, fp bigint, fp2 bigint")
     least = stored(fps.groupBy("fp", "fp2").agg(F.min(F.struct("id", "own")).alias("least")).withColumn("node", F.xxhash64("fp", "fp2")), "classes")
     root = components(links(least, NEAR_RADIUS, NEAR_BANDS, SHINGLE_RADIUS))
     member = least.join(root, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
-    stays = member.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("_id"), F.col("least.own").alias("_own")).distinct()
-    kept = keyed.join(stays, ["_id", "_own"], "left_semi")
-    once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_own").orderBy(F.lit(0)))).where("_n = 1")
-    return once.select(*docs.columns)
+    stays = member.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.own").distinct()
+    kept = keyed.join(stays, ["id", "own"], "left_semi")
+    once = kept.withColumn("n", F.row_number().over(Window.partitionBy("id", "own").orderBy(F.lit(0)))).where("n = 1")
+    return once.select("row.*")
