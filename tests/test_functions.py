@@ -140,3 +140,31 @@ def test_clusters_and_hull():
     d = ((y[:, None] - y[None]) ** 2).sum(2) + np.eye(180) * 1e9
     assert (truth[d.argmin(1)] == truth).mean() > 0.95
     assert len(models.hull(np.array([(0, 0), (2, 0), (2, 2), (0, 2), (1, 1)]))) == 4
+
+
+def test_surfaces(spark):
+    from gateloom.operators import surfaces
+    from gateloom.operators.gates import Gate
+
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in np.concatenate([rng.normal(0, 1, (3000, 2)), [[-10, -10], [10, 10]]])], "x double, y double")
+    s = surfaces.surface(df, "x", "y")
+    around, across = Gate("rectangle", "x", "y", (-4.0, 4.0), (-4.0, 4.0)), Gate("rectangle", "x", "y", (0.0, 5.0), (-5.0, 5.0))
+    assert surfaces.boundary_confidence(s, around) < 0.05 < surfaces.boundary_confidence(s, across)
+    assert surfaces.edge_confidence(s, across)[3] == (3, "through") and {v for _, v in surfaces.edge_confidence(s, around)} <= {"good", "flat"}
+    assert surfaces.boundary_confidence(s, Gate("interval", "x", None, (0.0, 1.0))) is None
+    assert surfaces.blurred(np.ones((8, 8))) == pytest.approx(np.ones((8, 8)))
+    assert surfaces.valleys([0, 5, 1, 6, 0]) == [2] and surfaces.valleys([0, 1, 0]) == []
+
+
+def area(p):
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1]))) / 2
+
+
+def test_outline_of_a_ring():
+    from gateloom.operators.surfaces import outline
+
+    a = np.linspace(math.radians(60), math.radians(300), 60)
+    pts = np.concatenate([np.stack([r * np.cos(a), r * np.sin(a)], axis=1) for r in (7, 8.5, 10)])
+    assert area(outline(pts, 2.0)) < 0.9 * area(outline(pts, 0.0))
+    assert len(outline(np.array([(0, 0), (2, 0), (2, 2), (0, 2), (1, 1)], float))) >= 4
