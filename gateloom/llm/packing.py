@@ -41,7 +41,7 @@ class ChunkIds(dict):
     #: Lower-case letters and then signs: the tokenizer always splits between the two, and its normaliser changes neither.
     STEM = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-/:-@\[-`{-~]*)")
 
-    def __init__(self, tok, most: int = 1_200_000):
+    def __init__(self, tok, most: int = 900_000):
         super().__init__()
         self.tok, self.most, self.passing = tok, most, {}
         # the same model for words of lower-case letters: many at a time, told apart by the ids that end a word

@@ -93,7 +93,7 @@ class Stretches(dict):
     #: White space to some pattern or to Python, but not ASCII's: next to it nothing is proven.
     OTHER = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
-    def __init__(self, tok, most: int = 1_200_000):
+    def __init__(self, tok, most: int = 900_000):
         super().__init__()
         self.tok, self.most, self.passing = tok, most, {}
 
