@@ -2,12 +2,12 @@
 
 Each image (binary PGM, or rows of bytes that raster() makes of a text) gives corners at two scales (Harris response, the greatest in
 their surroundings; all above a fixed response are kept), each with an orientation (direction of the intensity
-centroid) and 64 binary tests of a smoothed patch turned by it. Descriptors meet in Hamming tables: two halves of 32 bits, of
-which one is equal wherever two descriptors differ in one bit at most. In a table's group every corner is set against
-the corner of the least image id only, so a group of any size gives one row for each corner, never all pairs. Matches
-vote for the turn, scale and shift between the two images; the score of a pair is the number of matches in bins of
-LEAST_BIN or more, so that several pieces that moved apart (an insertion) add up. A pair is linked if the score is LEAST
-or more and SHARE of the corners of the image that has fewer. Links become classes; copies of one image all link to it.
+centroid) and 64 binary tests of a smoothed patch turned by it. Equal images are one picture. Descriptors meet in Hamming
+tables: two halves of 32 bits, of which one is equal wherever two descriptors differ in one bit at most. An image asks with
+so many of its corners that a link can't miss them all, with those of rare keys first, and all pairs of images that meet are
+compared, corner by corner. Matches vote for the turn, scale and shift between the two images; the score of a pair is the
+number of corners of the image with fewer in bins of LEAST_BIN or more, so that several pieces that moved apart (an
+insertion) add up. A pair is linked if the score is LEAST or more and SHARE of those corners. Links become classes.
 
 Cases: a null, empty or undecodable image has no corner, no link and a class of its own; null ids get no link; repeated
 ids count as one image; an empty table gives an empty table; other columns are ignored.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ WIDTH, PATCH, TURNS, RESPONSE, BIN = 64, 7, 16, 2.0e6, 6
 LEAST_BIN, LEAST, SHARE, BITS = 4, 8, 0.4, 4
 #: Corners this near in rows and columns compete.
 NEAR = 13
+#: Pictures whose keys are counted, about.
+SAMPLE = 20_000
 
 
 def raster(text: str, width: int = WIDTH) -> bytes:
@@ -130,8 +133,12 @@ def described(images: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+#: A corner as it is stored and compared: its descriptor, place, scale and turn.
+CORNER = np.dtype([("d", "<u8"), ("y", "<i4"), ("x", "<i4"), ("scale", "u1"), ("turn", "u1")])
+
+
 def corners(images: DataFrame) -> DataFrame:
-    """id, y, x, scale, turn, d: the corners of images(id bigint, image binary)."""
+    """id, pixels (a digest of shape and pixels; null without pixels), n, data (n records of CORNER) of images(id bigint, image binary)."""
 
     def run(batches):
         lean()
@@ -143,72 +150,155 @@ def corners(images: DataFrame) -> DataFrame:
                 held += part[-1].size
                 if held >= 1_000_000 or i == len(data) - 1:
                     image, y, x, scale, turn, d = described(part)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[at : at + len(part)], pa.int64()).take(pa.array(image)), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(scale.astype(np.int8)), pa.array(turn.astype(np.int8)), pa.array(d.view(np.int64))],
-                        names=["id", "y", "x", "scale", "turn", "d"],
-                    )
+                    order = np.argsort(image, kind="stable")
+                    rows = np.zeros(len(order), CORNER)
+                    for name, v in zip(CORNER.names, (d, y, x, scale, turn)):
+                        rows[name] = v[order]
+                    n = np.bincount(image, minlength=len(part))
+                    packed = [r.tobytes() for r in np.split(rows, np.cumsum(n)[:-1])]
+                    pixels = [xxhash.xxh3_128_digest(b"%d %d " % p.shape + p.tobytes()) if p.size else None for p in part]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + len(part)], pa.int64()), pa.array(pixels, pa.binary()), pa.array(n.astype(np.int32)), pa.array(packed, pa.binary())], names=["id", "pixels", "n", "data"])
                     at, part, held = i + 1, [], 0
 
-    return images.select("id", "image").mapInArrow(run, "id bigint, y int, x int, scale tinyint, turn tinyint, d bigint")
+    return images.select("id", "image").mapInArrow(run, "id bigint, pixels binary, n int, data binary")
+
+
+def keys(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of descriptors in the two tables: a half and the number of the table."""
+    return (d & np.uint64(0xFFFFFFFF)).view(np.int64), (d >> np.uint64(32) | np.uint64(1 << 32)).view(np.int64)
+
+
+def common_keys(pictures: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that occur twice or more in a sample of SAMPLE pictures or so, sorted, and how often. They order an image's corners, nothing else."""
+    every = max(1, pictures.count() // SAMPLE)
+    rows = pictures.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("data").limit(2 * SAMPLE).toArrow()
+    d = [np.frombuffer(x, CORNER)["d"] for x in rows.column("data").to_pylist()]
+    key, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(k for v in d for k in keys(v))]), return_counts=True)
+    return key[n > 1], n[n > 1]
 
 
-def votes(found: DataFrame) -> DataFrame:
-    """a, b, bin: a row for each corner of b that meets one of a in a table, a the table's least id.
+def least_score(n) -> np.ndarray:
+    """The score that links an image of n corners to one of as many or more."""
+    return np.maximum(LEAST, np.ceil(SHARE * np.asarray(n) - 1e-9)).astype(np.int64)
 
-    A table's groups pass through in order of id; only their first corner is held.
+
+def candidates(pictures: DataFrame) -> DataFrame:
+    """a, b: pairs of pictures(id, n, data) that may be linked; b has as many corners as a, or fewer.
+
+    A link needs least_score(n) corners of the image with fewer, so of any n - least_score(n) + 1 of its corners at least one is
+    among them: each image asks with that many, those of the rarest keys, and every corner of every image answers. A key's
+    questions pass first and are held; its other corners stream past them. No corner is left out for its key's size.
     """
-    n = shards(found.sparkSession)
+    n_parts = shards(pictures.sparkSession)
+    common, often = common_keys(pictures)
 
     def spread(batches):
         for b in batches:
-            b = b.filter(b.column("id").is_valid())
-            d = b.column("d").to_numpy(zero_copy_only=False).view(np.uint64)
-            low, high = d & np.uint64(0xFFFFFFFF), d >> np.uint64(32)
-            y, x, s, t = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("y", "x", "scale", "turn"))
-            place = pa.array(y << 32 | x << 8 | s << 4 | t)
-            for key, other in ((low, high), (high | np.uint64(1 << 32), low)):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("id"), place, pa.array(other.astype(np.uint32).view(np.int32))], names=["key", "id", "place", "other"])
+            ids, n = b.column("id").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+            if not n.sum():
+                continue
+            d = np.concatenate([np.frombuffer(x, CORNER)["d"] for x in b.column("data").to_pylist()])
+            of = np.repeat(np.arange(len(n)), n)
+            low, high = keys(d)
+            seen = np.zeros(len(d), np.int64)
+            for k in (low, high):
+                at = np.minimum(np.searchsorted(common, k), max(0, len(common) - 1))
+                if len(common):
+                    seen += np.where(common[at] == k, often[at], 0)
+            order = np.lexsort((d, seen, of))
+            rank = np.empty(len(d), np.int64)
+            rank[order] = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
+            asks = rank < (n - least_score(n) + 1)[of]
+            info = pa.array((n[of] << 1 | ~asks).astype(np.int32))
+            for k, other in ((low, d >> np.uint64(32)), (high, d & np.uint64(0xFFFFFFFF))):
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(ids[of]), pa.array(other.astype(np.uint32).view(np.int32)), pa.array(info)], names=["key", "id", "other", "info"])
 
     def match(batches):
-        lead = None
+        held, last = None, None
         for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if lead is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(lead, cols)]
-            key, i, place, other = cols
-            first = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
-            at = np.repeat(first, np.diff(np.r_[first, len(key)]))
-            lead = [c[first[-1] :][:1] for c in cols]
-            apart = np.bitwise_count(other.view(np.uint32) ^ other[at].view(np.uint32))
-            # equal in both halves: the first table has it
-            hit = (i > i[at]) & (apart <= BITS) & ((key < 1 << 32) | (apart > 0))
-            at, q, p = at[hit], place[hit], place[at[hit]]
-            (y, x, s, t), (ly, lx, ls, lt) = ((v >> 32, v >> 8 & 0xFFFFFF, v >> 4 & 15, v & 15) for v in (q, p))
-            turn = (t - lt) % TURNS
-            c, sn, grown = np.cos(turn * 2 * np.pi / TURNS), np.sin(turn * 2 * np.pi / TURNS), 2.0 ** (s - ls)
-            x, y, lx, ly = x * 2.0**s, y * 2.0**s, lx * 2.0**ls, ly * 2.0**ls
-            tx, ty = np.rint((x - grown * (c * lx - sn * ly)) / BIN).astype(np.int64), np.rint((y - grown * (sn * lx + c * ly)) / BIN).astype(np.int64)
-            where = ((ty & 0xFFFFFFFF) << 24) | ((tx & 0xFFFF) << 8) | (turn << 2) | (s - ls + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(i[at]), pa.array(i[hit]), pa.array(where)], names=["a", "b", "bin"])
-
-    rows = found.select("id", "y", "x", "scale", "turn", "d").mapInArrow(spread, "key bigint, id bigint, place bigint, other int")
-    return rows.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(match, "a bigint, b bigint, bin bigint")
-
-
-def links(found: DataFrame, size: DataFrame) -> DataFrame:
-    """a, b, score: pairs of images whose corners agree on turn, scale and shift; size has n_corners by id."""
-    bins = votes(found).groupBy("a", "b", "bin").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_BIN)
-    pairs = bins.groupBy("a", "b").agg(F.sum("n").alias("score")).where(F.col("score") >= LEAST)
+            key, i, other, info = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            other, n, asks = other.view(np.uint32), info >> 1, (info & 1) == 0
+            first = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0] if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.r_[first, len(key)])
+            some = size > 1
+            some[:1] = some[-1:] = True  # these may go on in another batch
+            for f, e in zip(first[some].tolist(), (first + size)[some].tolist()):
+                own = np.nonzero(asks[f:e])[0] + f
+                more = (i[own], other[own], n[own])
+                held = more if last != key[f] else tuple(np.concatenate(x) for x in zip(held, more))
+                last = key[f]
+                qi, qo, qn = held
+                if not len(qi) or e - f == len(qi) == 1:
+                    continue
+                out = []
+                for q in range(0, len(qi), step := max(1, 2_000_000 // (e - f))):
+                    a, o, m = qi[q : q + step, None], qo[q : q + step, None], qn[q : q + step, None]
+                    near = np.bitwise_count(o ^ other[None, f:e]) <= BITS
+                    # two questions that stand in different batches meet in the later one only, so both ways count
+                    x, y = np.nonzero(near & (a != i[None, f:e]))
+                    p, r = x + q, y + f
+                    smaller = (qn[p] < n[r]) | ((qn[p] == n[r]) & (qi[p] > i[r]))
+                    both = asks[r]
+                    p, r, smaller = p[smaller | both], r[smaller | both], smaller[smaller | both]
+                    out.append(np.stack([np.where(smaller, i[r], qi[p]), np.where(smaller, qi[p], i[r])]))
+                pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+                for q in range(0, pairs.shape[1], 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0, q : q + 100_000]), pa.array(pairs[1, q : q + 100_000])], names=["a", "b"])
+
+    rows = pictures.select("id", "n", "data").mapInArrow(spread, "key bigint, id bigint, other int, info int")
+    asked = rows.repartition(n_parts, "key").sortWithinPartitions("key", F.col("info").bitwiseAND(1), "id")
+    return asked.mapInArrow(match, "a bigint, b bigint").distinct()
+
+
+def score(a: np.ndarray, b: np.ndarray, least: int = LEAST_BIN) -> int:
+    """How many corners of b (fewer than a's, or as many) agree with corners of a: all are compared, and bins of LEAST_BIN or more count.
+
+    0 where fewer than least corners of b match at all.
+    """
+    near = np.bitwise_count(a["d"][:, None] ^ b["d"]) <= BITS
+    if near.any(axis=0).sum() < least:
+        return 0
+    p, q = np.nonzero(near)
+    a, own = a[p], b[q]
+    turn = (own["turn"].astype(np.int64) - a["turn"]) % TURNS
+    s, ls = own["scale"].astype(np.int64), a["scale"].astype(np.int64)
+    c, sn, grown = np.cos(turn * 2 * np.pi / TURNS), np.sin(turn * 2 * np.pi / TURNS), 2.0 ** (s - ls)
+    x, y, lx, ly = own["x"] * 2.0**s, own["y"] * 2.0**s, a["x"] * 2.0**ls, a["y"] * 2.0**ls
+    tx, ty = np.rint((x - grown * (c * lx - sn * ly)) / BIN).astype(np.int64), np.rint((y - grown * (sn * lx + c * ly)) / BIN).astype(np.int64)
+    where = ((ty & 0xFFFFFFFF) << 24) | ((tx & 0xFFFF) << 8) | (turn << 2) | (s - ls + 1)
+    # a corner of b votes once in a bin, and counts once however many bins it is in
+    vote = np.unique(np.stack([where, q]), axis=1)
+    _, at, n = np.unique(vote[0], return_inverse=True, return_counts=True)
+    return len(np.unique(vote[1][n[at] >= LEAST_BIN]))
+
+
+def links(pictures: DataFrame) -> DataFrame:
+    """a, b, score: pairs of pictures whose corners agree on turn, scale and shift."""
+
+    def run(batches):
+        for r in batches:
+            a, b = ([np.frombuffer(x, CORNER) for x in r.column(c).to_pylist()] for c in ("da", "db"))
+            least = least_score([len(y) for y in b])
+            got = np.array([score(x, y, m) for x, y, m in zip(a, b, least.tolist())], np.int64)
+            keep = got >= least
+            yield pa.RecordBatch.from_arrays([r.column("a").filter(pa.array(keep)), r.column("b").filter(pa.array(keep)), pa.array(got[keep])], names=["a", "b", "score"])
+
+    pairs = stored(candidates(pictures), "candidates")
     for c in ("a", "b"):
-        pairs = pairs.join(size.select(F.col("id").alias(c), F.col("n_corners").alias(f"n{c}")), c)
-    return pairs.where(F.col("score") >= F.lit(SHARE) * F.least("na", "nb")).select("a", "b", "score")
+        pairs = pairs.join(pictures.select(F.col("id").alias(c), F.col("data").alias(f"d{c}")), c)
+    return pairs.select("a", "b", "da", "db").mapInArrow(run, "a bigint, b bigint, score bigint")
 
 
 def image_copies(images: DataFrame) -> DataFrame:
     """id, n_corners, n_links, class_id (the least id of its class) for each row of images(id bigint, image binary)."""
     found = stored(corners(images), "corners")
-    size = found.groupBy("id").agg(F.count("*").alias("n_corners"))
-    near = stored(links(found, size).select(F.col("b").alias("u"), F.col("a").alias("v")), "copies")
+    size = found.groupBy("id").agg(F.sum("n").cast("bigint").alias("n_corners"))
+    some = found.where("id IS NOT NULL AND pixels IS NOT NULL")
+    # equal images are one picture, that of the least id, and link to it whatever corners they have
+    pictures = stored(some.groupBy("pixels").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("data").alias("data")), "pictures")
+    same = some.select("id", "pixels").join(pictures.select(F.col("id").alias("first"), "pixels"), "pixels").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    # an id of several images links as one
+    near = stored(links(pictures).select(F.col("b").alias("u"), F.col("a").alias("v")).union(same).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "copies")
     root = components(near)
     degree = near.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     out = images.select("id").join(size, "id", "left").join(degree, "id", "left").join(root.withColumnRenamed("node", "id"), "id", "left")

@@ -214,6 +214,25 @@ def test_images(spark):
     assert images.decoded(images.raster("ab>c\nd" + "x" * 100)).shape == (4, 64)
 
 
+def test_image_copies_behind_unrelated_leads(spark):
+    """Each corner of two copies stands first in an unrelated image too, each time another one; equal small images link as well."""
+    rng = np.random.default_rng(4)
+    made = lambda n: np.rec.fromarrays([rng.integers(0, 1 << 64, n, np.uint64), rng.permutation(400)[:n] * 5, rng.integers(0, 60, n), np.zeros(n), np.zeros(n)], dtype=images.CORNER)
+    copy = made(30)
+    edited = copy.copy()
+    edited["y"] += 12
+    edited["d"][:15] ^= np.uint64(1)
+    pictures = {100: copy, 101: edited}
+    for i in range(10):
+        pictures[i] = made(30)
+        pictures[i]["d"][:3] = copy["d"][3 * i : 3 * i + 3]
+    df = spark.createDataFrame([(i, len(r), bytearray(r.tobytes())) for i, r in pictures.items()], "id bigint, n int, data binary")
+    assert [(r["a"], r["b"], r["score"]) for r in images.links(df).collect()] == [(100, 101, 30)]
+    small = images.raster("few corners" * 5)
+    rows = spark.createDataFrame([(3, small), (1, small), (2, images.raster("others" * 5))], "id bigint, image binary")
+    assert {r["id"]: r["class_id"] for r in images.image_copies(rows).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_queries_and_sql(spark, small):
     for name, q in queries.QUERIES.items():
         source = "pages" if name.startswith("op1_") else "documents"
