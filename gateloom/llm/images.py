@@ -7,7 +7,7 @@ tables: two halves of 32 bits, of which one is equal wherever two descriptors di
 so many of its corners that a link can't miss them all, with those of rare keys first, and all pairs of images that meet are
 compared, corner by corner. Matches vote for the turn, scale and shift between the two images; the score of a pair is the
 number of corners of the image with fewer in bins of LEAST_BIN or more, so that several pieces that moved apart (an
-insertion) add up. A pair is linked if the score is LEAST or more and SHARE of those corners. Links become classes.
+insertion) add up. A pair is linked if the score is LEAST or more (all corners, where there are fewer) and SHARE of those corners. Links become classes.
 
 Cases: a null, empty or undecodable image has no corner, no link and a class of its own; null ids get no link; repeated
 ids count as one image; an empty table gives an empty table; other columns are ignored.
@@ -27,9 +27,9 @@ from gateloom.llm.simhash import components
 #: Width of a text's raster; radius of a patch; steps of the orientation; least response; edge of a voting bin.
 WIDTH, PATCH, TURNS, RESPONSE, BIN = 64, 7, 16, 2.0e6, 6
 #: Votes that a bin needs to count; score of a link; its share of the corners of the image with fewer; differing bits.
-LEAST_BIN, LEAST, SHARE, BITS = 4, 8, 0.4, 4
+LEAST_BIN, LEAST, SHARE, BITS = 3, 8, 0.4, 4
 #: Corners this near in rows and columns compete.
-NEAR = 13
+NEAR = 9
 #: Pictures whose keys are counted, about.
 SAMPLE = 20_000
 
@@ -179,7 +179,9 @@ def common_keys(pictures: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def least_score(n) -> np.ndarray:
     """The score that links an image of n corners to one of as many or more."""
-    return np.maximum(LEAST, np.ceil(SHARE * np.asarray(n) - 1e-9)).astype(np.int64)
+    n = np.asarray(n)
+    # an image of LEAST corners or fewer links if all agree, and if they are enough for a bin
+    return np.maximum(np.clip(n, LEAST_BIN, LEAST), np.ceil(SHARE * n - 1e-9)).astype(np.int64)
 
 
 def candidates(pictures: DataFrame) -> DataFrame:

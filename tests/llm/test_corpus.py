@@ -233,6 +233,23 @@ def test_image_copies_behind_unrelated_leads(spark):
     assert {r["id"]: r["class_id"] for r in images.image_copies(rows).collect()} == {1: 1, 2: 2, 3: 1}
 
 
+def test_small_images_and_crops_link(spark):
+    """A crop of five corners links to its whole; most crops to half of a text's rows do."""
+    rng = np.random.default_rng(8)
+    whole = np.rec.fromarrays([rng.integers(0, 1 << 64, 30, np.uint64), rng.permutation(400)[:30] * 5, rng.integers(0, 60, 30), np.zeros(30), np.zeros(30)], dtype=images.CORNER)
+    df = spark.createDataFrame([(i, len(r), bytearray(r.tobytes())) for i, r in ((1, whole), (2, whole[9:14]), (3, whole[:2]))], "id bigint, n int, data binary")
+    assert [(r["a"], r["b"]) for r in images.links(df).collect()] == [(1, 2)]
+    pages = [images.decoded(images.raster(r["html"])) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").orderBy("page_id").collect()]
+    n = len(pages)
+    pages += [p[len(p) // 4 : len(p) // 4 + len(p) // 2] for p in pages]
+    image, *cols = images.described(pages)
+    y, x, scale, turn, d = cols
+    rows = np.rec.fromarrays([d, y, x, scale, turn], dtype=images.CORNER)
+    own = [rows[image == i] for i in range(len(pages))]
+    linked = [images.score(a, b) >= images.least_score(len(b)) for a, b in (sorted((own[i], own[i + n]), key=len)[::-1] for i in range(n))]
+    assert sum(linked) >= 0.8 * n, sum(linked) / n
+
+
 def test_queries_and_sql(spark, small):
     for name, q in queries.QUERIES.items():
         source = "pages" if name.startswith("op1_") else "documents"
