@@ -242,37 +242,150 @@ def grouped(fps: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFra
     return fps.join(named, "fp")
 
 
-#: For first_of_each(): shortest word of the searched fingerprint, its radius and bands; the radius of the second
-#: fingerprint, over five-word shingles, that shingle sets of a similarity of 0.8 stay within (10 bits are expected of them).
-LONG, NEAR_RADIUS, NEAR_BANDS, SHINGLE, SHINGLE_RADIUS = 4, 8, 10, 5, 14
+#: For first_of_each(): words of a shingle; similarity of shingle sets from which on documents are linked; documents whose shingles are counted, about.
+SHINGLE, SIMILAR, SAMPLE = 5, 0.8, 5_000
 
 
-def two_fingerprints(text: str) -> tuple[int, int]:
-    """Of the distinct words of LONG bytes or more (all words if there are none), and of the five-word shingles."""
+def shingle_set(text: str) -> np.ndarray:
+    """XXH64 of the distinct shingles of SHINGLE words, sorted; of all words together if they are fewer; none without a word."""
     words = ascii_words(text, lower=True)
-    some = sorted({w for w in words if len(w) >= LONG}) or sorted(set(words))
-    return fingerprint(some, 1), fingerprint(words, SHINGLE)
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = {b" ".join(g) for g in zip(*(words[i:] for i in range(SHINGLE)))} if len(words) >= SHINGLE else {b" ".join(words)}
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
+
+
+def node_of(members: np.ndarray) -> int:
+    """The digest that stands for a set."""
+    return xxhash.xxh3_64_intdigest(members.tobytes())
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sorted sets, not both empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def set_links(texts: DataFrame, least: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Links (u, v) of the nodes (digests of shingle sets) of a similarity of SIMILAR or more, enough to connect all that are linked.
+
+    texts has id, own and text, least the node and its least (id, own). Of two similar sets each has one of the first
+    n - ceil(SIMILAR n) + 1 members of the other among its own first ones, in any order of all members: rare ones go first
+    here (common has members and how often they are seen). Sets with a first member in common are compared with the least
+    of them, and then all those with each other that no link has connected yet. Only the texts that are compared move.
+    """
+    n_parts = shards(texts.sparkSession)
+    member, often = common
+
+    def spread(batches):
+        for b in bites(batches):
+            key, node, size = [], [], []
+            for h in map(shingle_set, texts_of(b.column("text"))):
+                n = len(h)
+                seen = np.zeros(n, np.int64)
+                if len(member):
+                    at = np.minimum(np.searchsorted(member, h), len(member) - 1)
+                    seen = np.where(member[at] == h, often[at], 0)
+                most = n - int(np.ceil(SIMILAR * n - 1e-9)) + 1 if n else 0
+                key.append(h[np.lexsort((h, seen))[:most]])
+                node.append(np.full(most, node_of(h), np.uint64))
+                size.append(np.full(most, n, np.int32))
+            if key:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(node).view(np.int64)), pa.array(np.concatenate(size))], names=["key", "node", "n"])
+
+    def several(batches):
+        # rows of keys that two nodes or more have, each node once; the last row waits for the next batch
+        held, met = None, False
+        for b in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if held is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
+            key, node = cols[:2]
+            if not len(key):
+                continue
+            new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+            cols = [c[new] for c in cols]
+            same = cols[0][1:] == cols[0][:-1]
+            keep = np.r_[met, same] | np.r_[same, False]
+            held, met = [c[-1:] for c in cols], bool(keep[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep[:-1]]) for c in cols], names=["key", "node", "n"])
+        if held is not None and met:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["key", "node", "n"])
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """node, data (32 bits of each member of its set) of the nodes of pairs; a bitmap of bounded size lets few other texts through."""
+        need = stored(least.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node").select("least.id", "least.own"), "needed")
+        bits = np.zeros(1 << 22, bool)
+        bits[need.select(F.pmod("own", F.lit(1 << 22)).alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
+        packed = np.packbits(bits).tobytes()
+
+        def run(batches):
+            known = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+            for b in bites(batches):
+                b = b.filter(pa.array(known[b.column("own").to_numpy(zero_copy_only=False) % (1 << 22)]))
+                sets = [shingle_set(t) for t in texts_of(b.column("text"))]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("own"), pa.array(np.array([node_of(x) for x in sets], np.uint64).view(np.int64)), pa.array([np.unique(x.astype(np.uint32)).tobytes() for x in sets], pa.binary())], names=["id", "own", "node", "data"])
+
+        some = texts.mapInArrow(run, "id bigint, own bigint, node bigint, data binary")
+        return stored(some.join(need, ["id", "own"], "left_semi").dropDuplicates(["id", "own"]).select("node", "data"), "compared")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        def run(batches):
+            for b in bites(batches):
+                sets = ([np.frombuffer(x, np.uint32) for x in b.column(c).to_pylist()] for c in ("du", "dv"))
+                keep = pa.array([jaccard(x, y) >= SIMILAR - 1e-12 for x, y in zip(*sets)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("u", "v")], names=["u", "v"])
+
+        sets = compared(pairs)
+        for c in ("u", "v"):
+            pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("data").alias(f"d{c}")), c)
+        return stored(pairs.select("u", "v", "du", "dv").mapInArrow(run, "u bigint, v bigint"), "similar")
+
+    near = (F.col("n") >= F.lit(SIMILAR - 1e-9) * F.col("m")) & (F.col("m") >= F.lit(SIMILAR - 1e-9) * F.col("n"))
+    rows = texts.select("text").mapInArrow(spread, "key bigint, node bigint, n int").repartition(n_parts, "key").sortWithinPartitions("key", "node")
+    shared = stored(rows.mapInArrow(several, "key bigint, node bigint, n int"), "shared")
+    lead = shared.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead")).select("key", F.col("lead.node").alias("v"), F.col("lead.n").alias("m"))
+    first = stored(shared.join(lead, "key").where((F.col("node") > F.col("v")) & near).select(F.col("node").alias("u"), "v").distinct(), "pairs")
+    found = verified(first)
+    apart = shared.join(components(found), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    open_keys = apart.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    apart = stored(apart.join(open_keys, "key"), "apart")
+    other = apart.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("s"))
+    more = apart.join(other, "key").where((F.col("node") > F.col("v")) & (F.col("root") != F.col("s")) & near).select(F.col("node").alias("u"), "v").distinct()
+    return found.union(verified(stored(more.join(first, ["u", "v"], "left_anti"), "pairs")))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs(doc_id, text, ...) for each group of near-duplicates, that of the least doc_id, with all columns as they are.
 
-    Documents are linked if the fingerprints of their distinct words differ in NEAR_RADIUS bits at most and those of their
-    five-word shingles in SHINGLE_RADIUS. Of rows equal in doc_id and text one stays.
+    Documents are linked if their sets of shingles of five words have a Jaccard similarity of SIMILAR or more; those
+    without a word are one group. Of rows equal in doc_id and text one stays.
     """
 
     def run(batches):
         for b in bites(batches):
-            fp = np.array([two_fingerprints(t) for t in texts_of(b.column("text"))], np.uint64).view(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("own"), pa.array(fp[:, 0]), pa.array(fp[:, 1])], names=["id", "own", "fp", "fp2"])
+            node = pa.array(np.array([node_of(shingle_set(t)) for t in texts_of(b.column("text"))], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("own"), node], names=["id", "own", "node"])
 
     # within row no name of docs can clash with those used here
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own"))
-    fps = keyed.select("id", "own", F.col("row.text").cast("string").alias("text")).mapInArrow(run, "id bigint, own bigint, fp bigint, fp2 bigint")
-    least = stored(fps.groupBy("fp", "fp2").agg(F.min(F.struct("id", "own")).alias("least")).withColumn("node", F.xxhash64("fp", "fp2")), "classes")
-    root = components(links(least, NEAR_RADIUS, NEAR_BANDS, SHINGLE_RADIUS))
+    texts = keyed.select("id", "own", F.col("row.text").cast("string").alias("text"))
+    nodes = texts.mapInArrow(run, "id bigint, own bigint, node bigint")
+    least = stored(nodes.groupBy("node").agg(F.min(F.struct("id", "own")).alias("least")), "classes")
+    every = max(1, least.count() // SAMPLE)
+    some = texts.where(F.pmod("own", F.lit(every)) == 0).mapInArrow(members, "h bigint").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(200_000).toArrow()
+    h, n = (some.column(c).to_numpy() for c in ("h", "count"))
+    order = np.argsort(h.view(np.uint64))
+    root = components(set_links(texts, least, (h.view(np.uint64)[order], n[order])))
     member = least.join(root, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     stays = member.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.own").distinct()
     kept = keyed.join(stays, ["id", "own"], "left_semi")
     once = kept.withColumn("n", F.row_number().over(Window.partitionBy("id", "own").orderBy(F.lit(0)))).where("n = 1")
     return once.select("row.*")
+
+
+def members(batches):
+    """h: the shingles of texts."""
+    for b in bites(batches):
+        for t in texts_of(b.column("text")):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], names=["h"])

@@ -198,6 +198,24 @@ def test_near_duplicate_choice(docs, rows, empty, nulls):
     assert simhash.first_of_each(empty).count() == 0 and simhash.first_of_each(nulls).count() == 1
 
 
+def test_near_duplicates_just_above_the_threshold(spark):
+    """Texts whose sets of five-word shingles are 0.8 to 0.85 alike leave one; those just below stay."""
+    rng = np.random.default_rng(6)
+    text = lambda n: [f"w{i}" for i in rng.integers(0, 50_000, n)]
+    rows, groups = [], 80
+    for g in range(groups):
+        w = text(int(rng.integers(60, 300)))
+        k = len(w)
+        grown = w + text(round(0.2 * k)) if g % 2 else w[: round(0.82 * k)]
+        rows += [(4 * g, " ".join(w)), (4 * g + 1, " ".join(grown)), (4 * g + 2, " ".join(w[: round(0.7 * k)] + text(3)))]
+    sets = [shingles(t) for _, t in rows]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    gone = {rows[3 * g + 1][0] for g in range(groups) if alike(sets[3 * g], sets[3 * g + 1]) >= 0.8}
+    gone |= {rows[3 * g + 2][0] for g in range(groups) if max(alike(sets[3 * g], sets[3 * g + 2]), alike(sets[3 * g + 1], sets[3 * g + 2]) if rows[3 * g + 1][0] in gone else 0) >= 0.8}
+    kept = {r["doc_id"] for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(gone) > groups // 2 and kept == {i for i, _ in rows} - gone
+
+
 def test_images(spark):
     rng = np.random.default_rng(1)
     pic = lambda: np.kron(rng.integers(0, 255, (30, 16)), np.ones((5, 5))).astype(np.uint8)
