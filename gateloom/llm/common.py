@@ -19,10 +19,12 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or, where it is unset, one made here."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or, where it is unset and all run in one process, one made here."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir isn't set: the executors need a folder that all of them and the driver see")
         found = tempfile.mkdtemp(prefix="gateloom-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -147,6 +149,50 @@ def blocked(docs: DataFrame, *columns: str) -> DataFrame:
     return rows.mapInArrow(split, "block int, data binary").repartition(n, "block")
 
 
+def slots(n: int) -> np.ndarray:
+    """An int for each of n partitions that Spark's hash partitioning of an int column sends to it."""
+    out, left, a = np.full(n, -1, np.int32), n, 0
+    while left:
+        v = np.arange(a, a + 4 * n, dtype=np.uint32)
+        rotated = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+        with np.errstate(over="ignore"):
+            h = rotated(v * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42)
+            h = (rotated(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+            h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+            h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        part = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % n
+        first, at = np.unique(part, return_index=True)
+        new = out[first] < 0
+        out[first[new]] = v[at[new]].astype(np.int32)
+        left, a = int((out < 0).sum()), a + 4 * n
+    return out
+
+
+def dealt(part: np.ndarray, columns: dict[str, np.ndarray], names: np.ndarray) -> pa.RecordBatch:
+    """part, data: the rows of equal-length columns, packed for each part (a number below len(names)); gathered() unpacks them."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    order = np.argsort(part, kind="stable")
+    part, columns = part[order], [c[order] for c in columns.values()]
+    edge = np.nonzero(np.r_[True, part[1:] != part[:-1]])[0] if len(part) else np.zeros(0, np.int64)
+    data = [squeeze.compress(b"".join(np.ascontiguousarray(c[x:y]).view(np.uint8).reshape(y - x, -1).T.tobytes() for c in columns)) for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(part)])]
+    return pa.RecordBatch.from_arrays([pa.array(names[part[edge]], pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
+
+def gathered(batches: Iterable[pa.RecordBatch], types: dict[str, np.dtype]) -> dict[str, np.ndarray]:
+    """All rows of a task's dealt() batches, by column."""
+    grow, width = zstandard.ZstdDecompressor(), sum(np.dtype(t).itemsize for t in types.values())
+    found: dict[str, list[np.ndarray]] = {c: [np.zeros(0, t)] for c, t in types.items()}
+    for b in batches:
+        for packed in b.column("data").to_pylist():
+            raw, at = np.frombuffer(grow.decompress(packed), np.uint8), 0
+            n = len(raw) // width
+            for c, t in types.items():
+                k = np.dtype(t).itemsize
+                found[c].append(np.ascontiguousarray(raw[at : at + n * k].reshape(k, n).T).view(t).reshape(-1))
+                at += n * k
+    return {c: np.concatenate(found.pop(c)) for c in types}
+
+
 def opened(data: Iterable[bytes]) -> pa.Table | None:
     """The rows of a block; None if there are none."""
     grow = zstandard.ZstdDecompressor()

@@ -2,12 +2,16 @@
 
 Each image (binary PGM, or rows of bytes that raster() makes of a text) gives corners at two scales (Harris response, the greatest in
 their surroundings; all above a fixed response are kept), each with an orientation (direction of the intensity
-centroid) and 64 binary tests of a smoothed patch turned by it. Equal images are one picture. Descriptors meet in Hamming
-tables: two halves of 32 bits, of which one is equal wherever two descriptors differ in one bit at most. An image asks with
-so many of its corners that a link can't miss them all, with those of rare keys first, and all pairs of images that meet are
-compared, corner by corner. Matches vote for the turn, scale and shift between the two images; the score of a pair is the
-number of corners of the image with fewer in bins of LEAST_BIN or more, so that several pieces that moved apart (an
-insertion) add up. A pair is linked if the score is LEAST or more (all corners, where there are fewer) and SHARE of those corners. Links become classes.
+centroid) and 64 binary tests of a smoothed patch turned by it. Equal images are one picture.
+
+A corner weighs the more the fewer pictures hold it: page furniture that all share says little, yet an image of nothing else
+still has all its own weight in it. Descriptors meet in Hamming tables: two halves of 32 bits, of which one is equal wherever two
+descriptors differ in one bit at most. An image asks with its weightiest corners, ASKED of its weight; SHARE of it must agree for a
+link (corners at the edge that a cut may have changed count only if they match), so part of what it asks with meets. Two corners that meet must also stand in like surroundings, told by a majority of
+hashes of the corners around them. Pairs in which NEED of the weight met are compared, corner by corner: matches vote for the turn,
+scale and shift between the two images, bins of LEAST_BIN or more count, so that several pieces that moved apart (an insertion) add
+up, and a pair is linked if SHARE of the weight agrees. Links become classes. Under a key that many alike images hold each is first
+compared with few others; then all that no link has connected yet.
 
 Cases: a null, empty or undecodable image has no corner, no link and a class of its own; null ids get no link; repeated
 ids count as one image; an empty table gives an empty table; other columns are ignored.
@@ -20,18 +24,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from gateloom.llm.common import bites, lean, shards, stored
+from gateloom.llm.common import bites, dealt, gathered, join_small, lean, mixed, shards, slots, stored
 from gateloom.llm.simhash import components
 
 #: Width of a text's raster; radius of a patch; steps of the orientation; least response; edge of a voting bin.
 WIDTH, PATCH, TURNS, RESPONSE, BIN = 64, 7, 16, 2.0e6, 6
-#: Votes that a bin needs to count; score of a link; its share of the corners of the image with fewer; differing bits.
-LEAST_BIN, LEAST, SHARE, BITS = 3, 8, 0.4, 4
+#: Votes that a bin needs to count; corners that a link needs, and their share of the weight of the image with fewer; differing bits.
+LEAST_BIN, LEAST, SHARE, BITS = 3, 8, 0.6, 4
+#: Share of its weight that an image asks with, and that must meet; differing bits of surroundings, which are so many rows to both sides.
+ASKED, NEED, FAR, AROUND = 0.5, 0.05, 20, 48
+#: Keys that reach the driver at most; pictures of a key from which on it is dealt in parts, and entries that all parts have.
+COMMON, SPLIT, LEADS = 500_000, 4_096, 32
 #: Corners this near in rows and columns compete.
 NEAR = 9
-#: Pictures whose keys are counted, about.
-SAMPLE = 20_000
 
 
 def raster(text: str, width: int = WIDTH) -> bytes:
@@ -168,98 +175,299 @@ def keys(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (d & np.uint64(0xFFFFFFFF)).view(np.int64), (d >> np.uint64(32) | np.uint64(1 << 32)).view(np.int64)
 
 
-def common_keys(pictures: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that occur twice or more in a sample of SAMPLE pictures or so, sorted, and how often. They order an image's corners, nothing else."""
-    every = max(1, pictures.count() // SAMPLE)
-    rows = pictures.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("data").limit(2 * SAMPLE).toArrow()
-    d = [np.frombuffer(x, CORNER)["d"] for x in rows.column("data").to_pylist()]
-    key, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(k for v in d for k in keys(v))]), return_counts=True)
-    return key[n > 1], n[n > 1]
-
-
-def least_score(n) -> np.ndarray:
-    """The score that links an image of n corners to one of as many or more."""
-    n = np.asarray(n)
-    # an image of LEAST corners or fewer links if all agree, and if they are enough for a bin
-    return np.maximum(np.clip(n, LEAST_BIN, LEAST), np.ceil(SHARE * n - 1e-9)).astype(np.int64)
+class Weights:
+    """How much a corner tells: log2(1 + pictures / pictures with its rarer half).
 
+    Halves of fewer than `least` pictures count as `least`, and few pictures as 1,000: what two of ten hold isn't common yet.
+    """
 
-def candidates(pictures: DataFrame) -> DataFrame:
-    """a, b: pairs of pictures(id, n, data) that may be linked; b has as many corners as a, or fewer.
+    def __init__(self, key: np.ndarray, often: np.ndarray, least: int, pictures: int):
+        self.key, self.often, self.least, self.pictures = key, often, least, max(1_000, pictures)
+        self.asked = np.ones(len(key), bool)
+
+    def known(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a key is among the counted ones, and where."""
+        if not len(self.key):
+            return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return self.key[at] == key, at
+
+    def held(self, key: np.ndarray) -> np.ndarray:
+        """How many pictures hold a key, `least` or more."""
+        known, at = self.known(key)
+        return np.where(known, np.maximum(self.often[at], self.least), self.least) if len(self.key) else np.full(len(key), self.least)
+
+    def of(self, d: np.ndarray) -> np.ndarray:
+        low, high = keys(d)
+        return np.log2(1 + self.pictures / np.minimum(self.held(low), self.held(high)))
+
+    def asking(self, d: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The share of its image's weight for each corner that asks, else 0. d: the corners of images of n corners each."""
+        of, w = np.repeat(np.arange(len(n)), n), self.of(d)
+        whole = np.bincount(of, w, minlength=len(n))
+        order = np.lexsort((mixed(d), -w, of))
+        sums = np.cumsum(w[order]) - w[order]
+        before = np.empty(len(d))
+        before[order] = sums - np.repeat(sums[np.minimum(np.cumsum(n) - n, len(d) - 1)], n)
+        return np.where(before <= ASKED * whole[of], w / whole[of], 0).astype(np.float32)
+
+
+def flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, numbers of corners and all corners of a batch of pictures that have some."""
+    ids, n = b.column("id").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+    return ids[n > 0], n[n > 0], np.concatenate([np.zeros(0, CORNER), *(np.frombuffer(x, CORNER) for x in b.column("data").to_pylist())])
+
+
+def weights(pictures: DataFrame) -> Weights:
+    """Counts the pictures of each key. Of all keys at most COMMON reach the driver: their least count follows from the number of corners."""
+    n = shards(pictures.sparkSession)
+    names = slots(n)
+    size = pictures.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("c")).first()
+    least = max(1, -(-2 * size["c"] // COMMON))
 
-    A link needs least_score(n) corners of the image with fewer, so of any n - least_score(n) + 1 of its corners at least one is
-    among them: each image asks with that many, those of the rarest keys, and every corner of every image answers. A key's
-    questions pass first and are held; its other corners stream past them. No corner is left out for its key's size.
+    def spread(batches):
+        for b in bites(batches, 4096):
+            key = np.concatenate([np.zeros(0, np.int64), *(np.unique(k) for x in b.column("data").to_pylist() for k in keys(np.frombuffer(x, CORNER)["d"]))])
+            key, often = np.unique(key, return_counts=True)
+            yield dealt((mixed(key) % np.uint64(n)).astype(np.int64), {"key": key, "n": often.astype(np.int32)}, names)
+
+    def count(batches):
+        got = gathered(batches, {"key": np.int64, "n": np.int32})
+        key, inv = np.unique(got["key"], return_inverse=True)
+        often = np.zeros(len(key), np.int64)
+        np.add.at(often, inv, got["n"])
+        some = (often >= least) & (often > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(often[some])], names=["key", "n"])
+
+    rows = pictures.select("data").mapInArrow(spread, "part int, data binary").repartition(n, "part").mapInArrow(count, "key bigint, n bigint").toArrow()
+    key, often = (rows.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(key)
+    out = Weights(key[order], often[order], least, size["n"])
+    told = pictures.sparkSession.sparkContext.broadcast(out)
+
+    def asked(batches):
+        for b in bites(batches, 4096):
+            _, n, r = flat(b)
+            if len(n):
+                some = told.value.asking(r["d"], n) > 0
+                for k in keys(r["d"][some]):
+                    known, at = told.value.known(k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(at[known]))], names=["at"])
+
+    out.asked[:] = False
+    out.asked[pictures.select("id", "n", "data").mapInArrow(asked, "at bigint").distinct().toArrow().column("at").to_numpy()] = True
+    return out
+
+
+def surroundings(of: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """64 bits for each corner: the majority of hashes of the halves of all corners of its image and scale within AROUND rows."""
+    y = (of.astype(np.int64) * 2 + r["scale"]) * (1 << 22) + r["y"]
+    order = np.argsort(y, kind="stable")
+    y, d = y[order], r["d"][order]
+    out = np.zeros(len(d), np.uint64)
+    low, high = (mixed(k.view(np.uint64)) for k in keys(d))
+    a, b = np.searchsorted(y, y - AROUND, "left"), np.searchsorted(y, y + AROUND, "right")
+    for bits in range(0, 64, 8):  # eight bits at a time: few sums are held
+        votes = np.zeros((len(d) + 1, 8), np.int32)
+        for h in (low, high):
+            votes[1:] += np.unpackbits((h >> np.uint64(bits)).astype(np.uint8)[:, None], axis=1, bitorder="little").astype(np.int32) * 2 - 1
+        votes = np.cumsum(votes, axis=0, dtype=np.int32)
+        out |= np.packbits(votes[b] > votes[a], axis=1, bitorder="little").reshape(-1).astype(np.uint64) << np.uint64(bits)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def agreeing(n) -> np.ndarray:
+    """Corners that must agree for a link to an image of n corners."""
+    return np.clip(n, LEAST_BIN, LEAST)
+
+
+#: A corner under one of its keys: its part of the key and how many there are, the other half, its image with the number of its corners, its surroundings, its share of the image's weight (0: it doesn't ask).
+ENTRY = {"key": np.int64, "salt": np.int32, "split": np.int32, "other": np.uint32, "id": np.int64, "n": np.int32, "around": np.uint64, "asks": np.float32}
+
+
+def entries(pictures: DataFrame, weigh: Weights) -> DataFrame:
+    """Corners under their keys, dealt by key. Keys that are known to be asked by nobody are left out.
+
+    An image asks with its weightiest corners, those that hold ASKED of its weight together; all its corners answer. A key of
+    more than SPLIT pictures is dealt in parts; LEADS or so of its entries, the first by a hash of the id, go to all of them.
     """
-    n_parts = shards(pictures.sparkSession)
-    common, often = common_keys(pictures)
+    spark = pictures.sparkSession
+    n_parts = shards(spark)
+    names, told = slots(n_parts), spark.sparkContext.broadcast(weigh)
 
     def spread(batches):
-        for b in batches:
-            ids, n = b.column("id").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-            if not n.sum():
+        weigh = told.value
+        for b in bites(batches, 2048):
+            ids, n, r = flat(b)
+            if not len(n):
                 continue
-            d = np.concatenate([np.frombuffer(x, CORNER)["d"] for x in b.column("data").to_pylist()])
-            of = np.repeat(np.arange(len(n)), n)
-            low, high = keys(d)
-            seen = np.zeros(len(d), np.int64)
-            for k in (low, high):
-                at = np.minimum(np.searchsorted(common, k), max(0, len(common) - 1))
-                if len(common):
-                    seen += np.where(common[at] == k, often[at], 0)
-            order = np.lexsort((d, seen, of))
-            rank = np.empty(len(d), np.int64)
-            rank[order] = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
-            asks = rank < (n - least_score(n) + 1)[of]
-            info = pa.array((n[of] << 1 | ~asks).astype(np.int32))
-            for k, other in ((low, d >> np.uint64(32)), (high, d & np.uint64(0xFFFFFFFF))):
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(ids[of]), pa.array(other.astype(np.uint32).view(np.int32)), pa.array(info)], names=["key", "id", "other", "info"])
-
-    def match(batches):
-        held, last = None, None
-        for b in batches:
-            key, i, other, info = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            other, n, asks = other.view(np.uint32), info >> 1, (info & 1) == 0
-            first = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0] if len(key) else np.zeros(0, np.int64)
-            size = np.diff(np.r_[first, len(key)])
-            some = size > 1
-            some[:1] = some[-1:] = True  # these may go on in another batch
-            for f, e in zip(first[some].tolist(), (first + size)[some].tolist()):
-                own = np.nonzero(asks[f:e])[0] + f
-                more = (i[own], other[own], n[own])
-                held = more if last != key[f] else tuple(np.concatenate(x) for x in zip(held, more))
-                last = key[f]
-                qi, qo, qn = held
-                if not len(qi) or e - f == len(qi) == 1:
-                    continue
-                out = []
-                for q in range(0, len(qi), step := max(1, 2_000_000 // (e - f))):
-                    a, o, m = qi[q : q + step, None], qo[q : q + step, None], qn[q : q + step, None]
-                    near = np.bitwise_count(o ^ other[None, f:e]) <= BITS
-                    # two questions that stand in different batches meet in the later one only, so both ways count
-                    x, y = np.nonzero(near & (a != i[None, f:e]))
-                    p, r = x + q, y + f
-                    smaller = (qn[p] < n[r]) | ((qn[p] == n[r]) & (qi[p] > i[r]))
-                    both = asks[r]
-                    p, r, smaller = p[smaller | both], r[smaller | both], smaller[smaller | both]
-                    out.append(np.stack([np.where(smaller, i[r], qi[p]), np.where(smaller, qi[p], i[r])]))
-                pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-                for q in range(0, pairs.shape[1], 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0, q : q + 100_000]), pa.array(pairs[1, q : q + 100_000])], names=["a", "b"])
-
-    rows = pictures.select("id", "n", "data").mapInArrow(spread, "key bigint, id bigint, other int, info int")
-    asked = rows.repartition(n_parts, "key").sortWithinPartitions("key", F.col("info").bitwiseAND(1), "id")
-    return asked.mapInArrow(match, "a bigint, b bigint").distinct()
-
-
-def score(a: np.ndarray, b: np.ndarray, least: int = LEAST_BIN) -> int:
-    """How many corners of b (fewer than a's, or as many) agree with corners of a: all are compared, and bins of LEAST_BIN or more count.
-
-    0 where fewer than least corners of b match at all.
+            of, d = np.repeat(np.arange(len(n)), n), r["d"]
+            asks, around = weigh.asking(d, n), surroundings(of, r)
+            for t, k in enumerate(keys(d)):
+                known, at = weigh.known(k)
+                use = np.nonzero(~known | weigh.asked[at])[0] if len(weigh.asked) else np.arange(len(k))
+                k, i = k[use], of[use]
+                held = weigh.held(k)
+                split, draw = 1 + held // SPLIT, mixed(ids.view(np.uint64))[i]
+                lead = (split > 1) & (draw.astype(np.float64) / 2.0**64 * held < LEADS)
+                times = np.where(lead, split, 1)
+                row = np.repeat(np.arange(len(k)), times)
+                salt = np.where(lead[row], np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times), (draw[row] % split[row].astype(np.uint64)).astype(np.int64))
+                part = (mixed(k[row].view(np.uint64) + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n_parts)).astype(np.int64)
+                other = (d >> np.uint64(32) if t == 0 else d & np.uint64(0xFFFFFFFF)).astype(np.uint32)[use]
+                columns = (k, salt.astype(np.int32), split.astype(np.int32)[row], other, ids[i], n[i].astype(np.int32), around[use], asks[use])
+                yield dealt(part, {c: x if len(x) == len(row) and c in ("salt", "split") else x[row] for c, x in zip(ENTRY, columns)}, names)
+
+    return pictures.select("id", "n", "data").mapInArrow(spread, "part int, data binary").repartition(n_parts, "part")
+
+
+def meeting(e: dict[str, np.ndarray], group: np.ndarray, apart: np.ndarray | None = None):
+    """x, y: places of entries of one group (runs of equal numbers) that may be the same corner, x of the image with fewer corners, which asks.
+
+    Each corner of x's image meets one of y's image at most. apart: only entries that differ in it meet.
+    """
+    first = np.nonzero(np.r_[True, group[1:] != group[:-1]])[0] if len(group) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(group)])
+    at = np.cumsum(np.r_[False, group[1:] != group[:-1]])[: len(group)]
+    asks = np.nonzero((e["asks"] > 0) & (size[at] > 1))[0] if len(group) else first
+    ends = np.cumsum(size[at[asks]])
+    a = 0
+    while a < len(asks):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 1_000_000, "right")))
+        q, a = asks[a:b], b
+        m = size[at[q]]
+        x = np.repeat(q, m)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[at[q]], m)
+        off = np.bitwise_count(e["other"][x] ^ e["other"][y])
+        # equal in both halves: the first table has it
+        near = (off <= BITS) & (np.bitwise_count(e["around"][x] ^ e["around"][y]) <= FAR) & ((off > 0) | (e["key"][x] >> 32 == 0))
+        x, y = x[near], y[near]
+        n, i = e["n"], e["id"]
+        near = (n[x] < n[y]) | ((n[x] == n[y]) & (i[x] > i[y]))
+        if apart is not None:
+            near &= apart[x] != apart[y]
+        x, y = x[near], y[near]
+        order = np.lexsort((i[y], x))
+        x, y = x[order], y[order]
+        new = np.r_[True, (x[1:] != x[:-1]) | (i[y[1:]] != i[y[:-1]])] if len(x) else near[:0]
+        yield x[new], y[new]
+
+
+HELD = "key bigint, other bigint, id bigint, n int, around bigint, asks float"
+MET = f"b bigint, a bigint, w double, entry struct<{HELD}>"
+
+
+def met(rows: list[np.ndarray], entry: dict[str, np.ndarray] | None = None) -> pa.RecordBatch:
+    kind = pa.struct([("key", pa.int64()), ("other", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("around", pa.int64()), ("asks", pa.float32())])
+    if entry is not None:
+        n = len(entry["id"])
+        held = pa.StructArray.from_arrays([pa.array(entry[f.name].view(np.int64) if f.name == "around" else entry[f.name].astype(f.type.to_pandas_dtype())) for f in kind], fields=list(kind))
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), held], names=["b", "a", "w", "entry"])
+    b, a, w = rows
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(a, pa.int64()), pa.array(w, pa.float64()), pa.nulls(len(b), kind)], names=["b", "a", "w", "entry"])
+
+
+def summed(b: list, a: list, w: list) -> list[np.ndarray]:
+    """The weights of equal pairs added up."""
+    b, a, w = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, b), (np.int64, a), (np.float64, w)))
+    order = np.lexsort((a, b))
+    b, a, w = b[order], a[order], w[order]
+    new = np.nonzero(np.r_[True, (b[1:] != b[:-1]) | (a[1:] != a[:-1])])[0] if len(b) else np.zeros(0, np.int64)
+    return [b[new], a[new], np.add.reduceat(w, new) if len(new) else w]
+
+
+def meet(batches, dense: int):
+    """MET rows of the entries of a task: pairs with the weight of b's corners that met a's; and all entries of keys too dense to give all pairs.
+
+    In a key where more than dense pairs an entry meet, each gives those with the first dense in an order of hashes, the same in all keys.
+    """
+    lean()
+    e = gathered(batches, ENTRY)
+    order = np.lexsort((mixed(e["id"].view(np.uint64)), e["salt"], e["key"]))
+    e = {c: x[order] for c, x in e.items()}
+    new = (e["key"][1:] != e["key"][:-1]) | (e["salt"][1:] != e["salt"][:-1])
+    group = np.cumsum(np.r_[False, new])[: len(order)]
+    size = np.bincount(group)
+    total, few = np.zeros(len(size), np.int64), np.zeros(len(size), bool)
+    few[group[e["split"] > 1]] = True
+    given = np.zeros(len(order), np.int64)
+    out, held = ([], [], []), 0
+    for x, y in meeting(e, group):
+        total += np.bincount(group[x], minlength=len(size))
+        few |= total > dense * size
+        late, early = np.maximum(x, y), np.minimum(x, y)
+        by = np.lexsort((early, late))
+        x, y, late = x[by], y[by], late[by]
+        rank = np.arange(len(late)) - np.searchsorted(late, late, "left") + given[late]
+        keep = ~few[group[late]] | (rank < dense)
+        x, y = x[keep], y[keep]
+        np.add.at(given, late[keep], 1)
+        out[0].append(e["id"][x]), out[1].append(e["id"][y]), out[2].append(e["asks"][x].astype(np.float64))
+        held += len(x)
+        if held > 2_000_000:
+            yield met(summed(*out))
+            out, held = ([], [], []), 0
+    yield met(summed(*out))
+    own = np.nonzero(few[group])[0]
+    for a in range(0, len(own), 100_000):
+        yield met([], {c: x[own[a : a + 100_000]] for c, x in e.items()})
+
+
+def candidates(pictures: DataFrame, weigh: Weights, dense: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(b, a, w) of pairs that met, w the share of b's weight that did; and the entries of dense keys (all that are dealt in parts). See entries() and meet()."""
+    found = stored(entries(pictures, weigh).mapInArrow(lambda batches: meet(batches, dense), MET), "met")
+    pairs = found.where("entry IS NULL").groupBy("b", "a").agg(F.sum("w").alias("w"))
+    return pairs, found.where("entry IS NOT NULL").select("entry.*")
+
+
+def across(dense: DataFrame, root: DataFrame) -> DataFrame:
+    """b, a: pairs that meet under a dense key and that are in no class together yet (root: node, root)."""
+    n_parts = shards(dense.sparkSession)
+
+    def run(batches):
+        table = pa.Table.from_batches(batches, schema) if (batches := list(batches)) else None
+        if table is None:
+            return
+        table = table.sort_by("key")
+        column = lambda c: table.column(c).to_numpy()
+        e = {c: column(c).view(np.uint64) if c == "around" else column(c) for c in schema.names}
+        group = np.cumsum(np.r_[False, e["key"][1:] != e["key"][:-1]])[: len(table)]
+        for x, y in meeting(e, group, e["root"]):
+            pair = np.unique(np.stack([e["id"][x], e["id"][y]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["b", "a"])
+
+    rows = dense.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    some = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("asks").alias("z")).where("x < y AND z > 0").select("key")
+    names = [x.split()[0] for x in HELD.split(", ")] + ["root"]
+    rows = stored(rows.join(some, "key").select(*names).distinct(), "open")
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in rows.schema])
+    return rows.repartition(n_parts, "key").mapInArrow(run, "b bigint, a bigint").distinct()
+
+
+def at_edge(r: np.ndarray) -> np.ndarray:
+    """Corners so near the edge of what an image's corners span that a cut there would have changed their patch; in columns only beyond WIDTH."""
+    out = np.zeros(len(r), bool)
+    for scale in (0, 1):
+        own = np.nonzero(r["scale"] == scale)[0]
+        for axis, least in (("y", 0), ("x", WIDTH >> scale)):
+            v = r[axis][own]
+            if len(v) and v.max() - v.min() > least:
+                out[own[(v < v.min() + PATCH) | (v > v.max() - PATCH)]] = True
+    return out
+
+
+def score(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[int, float]:
+    """How many corners of b (fewer than a's, or as many) agree with corners of a, and their share of b's weight: bins of LEAST_BIN or more count.
+
+    Corners at_edge() that match nothing are left out of that weight.
     """
     near = np.bitwise_count(a["d"][:, None] ^ b["d"]) <= BITS
-    if near.any(axis=0).sum() < least:
-        return 0
+    some = near.any(axis=0)
+    whole = max(1e-300, weight[some | ~at_edge(b)].sum())
+    if weight[some].sum() < SHARE * whole:
+        return 0, 0.0
     p, q = np.nonzero(near)
     a, own = a[p], b[q]
     turn = (own["turn"].astype(np.int64) - a["turn"]) % TURNS
@@ -271,40 +479,53 @@ def score(a: np.ndarray, b: np.ndarray, least: int = LEAST_BIN) -> int:
     # a corner of b votes once in a bin, and counts once however many bins it is in
     vote = np.unique(np.stack([where, q]), axis=1)
     _, at, n = np.unique(vote[0], return_inverse=True, return_counts=True)
-    return len(np.unique(vote[1][n[at] >= LEAST_BIN]))
+    agree = np.unique(vote[1][n[at] >= LEAST_BIN])
+    return len(agree), float(weight[agree].sum() / whole)
 
 
-def links(pictures: DataFrame) -> DataFrame:
-    """a, b, score: pairs of pictures whose corners agree on turn, scale and shift."""
+def verified(pairs: DataFrame, pictures: DataFrame, weigh: Weights) -> DataFrame:
+    """The pairs (b, a) whose corners agree on turn, scale and shift, in SHARE of b's weight or more."""
+    told = pairs.sparkSession.sparkContext.broadcast(weigh)
 
     def run(batches):
-        for r in batches:
+        for r in bites(batches):
             a, b = ([np.frombuffer(x, CORNER) for x in r.column(c).to_pylist()] for c in ("da", "db"))
-            least = least_score([len(y) for y in b])
-            got = np.array([score(x, y, m) for x, y, m in zip(a, b, least.tolist())], np.int64)
-            keep = got >= least
-            yield pa.RecordBatch.from_arrays([r.column("a").filter(pa.array(keep)), r.column("b").filter(pa.array(keep)), pa.array(got[keep])], names=["a", "b", "score"])
+            keep = []
+            for x, y in zip(a, b):
+                n, share = score(x, y, told.value.of(y["d"]))
+                keep.append(n >= agreeing(len(y)) and share >= SHARE - 1e-9)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([r.column("b").filter(keep), r.column("a").filter(keep)], names=["b", "a"])
 
-    pairs = stored(candidates(pictures), "candidates")
     for c in ("a", "b"):
         pairs = pairs.join(pictures.select(F.col("id").alias(c), F.col("data").alias(f"d{c}")), c)
-    return pairs.select("a", "b", "da", "db").mapInArrow(run, "a bigint, b bigint, score bigint")
+    return pairs.select("a", "b", "da", "db").mapInArrow(run, "b bigint, a bigint")
+
+
+def links(pictures: DataFrame, dense: int = 16) -> DataFrame:
+    """b, a: links of pictures(id, n, data), enough to connect all that are linked."""
+    weigh = weights(pictures)
+    pairs, rest = candidates(pictures, weigh, dense)
+    found = stored(verified(pairs.where(F.col("w") >= NEED), pictures, weigh), "linked")
+    if not rest.limit(1).count():
+        return found
+    root = components(found.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    return found.union(verified(stored(across(rest, root), "across"), pictures, weigh))
 
 
 def image_copies(images: DataFrame) -> DataFrame:
-    """id, n_corners, n_links, class_id (the least id of its class) for each row of images(id bigint, image binary)."""
+    """id, n_corners, class_id (the least id of its class) for each row of images(id bigint, image binary)."""
     found = stored(corners(images), "corners")
     size = found.groupBy("id").agg(F.sum("n").cast("bigint").alias("n_corners"))
     some = found.where("id IS NOT NULL AND pixels IS NOT NULL")
     # equal images are one picture, that of the least id, and link to it whatever corners they have
-    pictures = stored(some.groupBy("pixels").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("data").alias("data")), "pictures")
-    same = some.select("id", "pixels").join(pictures.select(F.col("id").alias("first"), "pixels"), "pixels").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
-    # an id of several images links as one
-    near = stored(links(pictures).select(F.col("b").alias("u"), F.col("a").alias("v")).union(same).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "copies")
+    first = some.groupBy("pixels").agg(F.min("id").alias("first"), F.count("*").alias("k")).where("k > 1")
+    same = stored(some.select("id", "pixels").join(first, "pixels").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct(), "equal")
+    pictures = join_small(some.drop("pixels"), same.where("u <> v").select(F.col("u").alias("id")).distinct(), ["id"], "left_anti")
+    near = links(pictures).select(F.col("b").alias("u"), F.col("a").alias("v")).union(same)
     root = components(near)
-    degree = near.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    out = images.select("id").join(size, "id", "left").join(degree, "id", "left").join(root.withColumnRenamed("node", "id"), "id", "left")
-    return out.select("id", F.coalesce("n_corners", F.lit(0)).cast("bigint").alias("n_corners"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("root", "id").alias("class_id"))
+    out = images.select("id").join(size, "id", "left").join(root.withColumnRenamed("node", "id"), "id", "left")
+    return out.select("id", F.coalesce("n_corners", F.lit(0)).cast("bigint").alias("n_corners"), F.coalesce("root", "id").alias("class_id"))
 
 
 def rasters(pages: DataFrame, id_column: str = "page_id", text: str = "html") -> DataFrame:
