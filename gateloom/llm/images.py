@@ -22,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -34,9 +35,11 @@ WIDTH, PATCH, TURNS, RESPONSE, BIN = 64, 7, 16, 2.0e6, 6
 #: Votes that a bin needs to count; corners that a link needs, and their share of the weight of the image with fewer; differing bits.
 LEAST_BIN, LEAST, SHARE, BITS = 3, 8, 0.6, 4
 #: Share of its weight that an image asks with, and that must meet; differing bits of surroundings, which are so many rows to both sides.
-ASKED, NEED, FAR, AROUND = 0.5, 0.05, 20, 48
+ASKED, NEED, FAR, AROUND = 0.5, 0.08, 20, 24
 #: Keys that reach the driver at most; pictures of a key from which on it is dealt in parts, and entries that all parts have.
 COMMON, SPLIT, LEADS = 500_000, 4_096, 32
+#: Bits that tell keys of several pictures, and of them in a piece.
+SEVERAL, PAGE = 1 << 26, 1 << 20
 #: Corners this near in rows and columns compete.
 NEAR = 9
 
@@ -175,6 +178,14 @@ def keys(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (d & np.uint64(0xFFFFFFFF)).view(np.int64), (d >> np.uint64(32) | np.uint64(1 << 32)).view(np.int64)
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def grown(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+
+
 class Weights:
     """How much a corner tells: log2(1 + pictures / pictures with its rarer half).
 
@@ -184,6 +195,8 @@ class Weights:
     def __init__(self, key: np.ndarray, often: np.ndarray, least: int, pictures: int):
         self.key, self.often, self.least, self.pictures = key, often, least, max(1_000, pictures)
         self.asked = np.ones(len(key), bool)
+        #: One bit for each of SEVERAL hash values of keys, set if two pictures or more hold a key with it.
+        self.several = np.full(SEVERAL // 8, 255, np.uint8)
 
     def known(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether a key is among the counted ones, and where."""
@@ -192,6 +205,13 @@ class Weights:
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return self.key[at] == key, at
 
+    def useful(self, key: np.ndarray) -> np.ndarray:
+        """False for keys that can't make two pictures meet: known to be asked by nobody, or held by one picture."""
+        known, at = self.known(key)
+        h = mixed(key.view(np.uint64)) % np.uint64(SEVERAL)
+        out = self.several[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1 == 1
+        return out & (~known | self.asked[at]) if len(self.asked) else out
+
     def held(self, key: np.ndarray) -> np.ndarray:
         """How many pictures hold a key, `least` or more."""
         known, at = self.known(key)
@@ -237,12 +257,32 @@ def weights(pictures: DataFrame) -> Weights:
         often = np.zeros(len(key), np.int64)
         np.add.at(often, inv, got["n"])
         some = (often >= least) & (often > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(often[some])], names=["key", "n"])
-
-    rows = pictures.select("data").mapInArrow(spread, "part int, data binary").repartition(n, "part").mapInArrow(count, "key bigint, n bigint").toArrow()
+        h = np.unique(mixed(key[often > 1].view(np.uint64)) % np.uint64(SEVERAL))
+        page, first = np.unique(h // np.uint64(PAGE), return_index=True)
+        for p, part in zip(page.tolist(), np.split(h % np.uint64(PAGE), first[1:])):
+            bits = np.zeros(PAGE, bool)
+            bits[part.astype(np.int64)] = True
+            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([len(part)]), pa.array([squeeze(np.packbits(bits, bitorder="little"))], pa.binary())], names=["key", "n", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(often[some]), pa.nulls(int(some.sum()), pa.binary())], names=["key", "n", "bits"])
+
+    def merged(batches):
+        pages: dict[int, np.ndarray] = {}
+        for b in batches:
+            for p, data in zip(b.column("key").to_pylist(), b.column("bits").to_pylist()):
+                bits = grown(data)
+                pages[p] = bits if p not in pages else pages[p] | bits
+        if pages:
+            yield pa.RecordBatch.from_arrays([pa.array(list(pages)), pa.array([squeeze(x) for x in pages.values()], pa.binary())], names=["key", "bits"])
+
+    found = stored(pictures.select("data").mapInArrow(spread, "part int, data binary").repartition(n, "part").mapInArrow(count, "key bigint, n bigint, bits binary"), "keys")
+    rows = found.where("bits IS NULL").select("key", "n").toArrow()
     key, often = (rows.column(c).to_numpy() for c in ("key", "n"))
     order = np.argsort(key)
     out = Weights(key[order], often[order], least, size["n"])
+    out.several[:] = 0
+    # one row for each page: SEVERAL bits at most reach the driver
+    for r in found.where("bits IS NOT NULL").select("key", "bits").repartition(n, "key").mapInArrow(merged, "key bigint, bits binary").collect():
+        out.several[r["key"] * PAGE // 8 : (r["key"] + 1) * PAGE // 8] = grown(r["bits"])
     told = pictures.sparkSession.sparkContext.broadcast(out)
 
     def asked(batches):
@@ -306,8 +346,7 @@ def entries(pictures: DataFrame, weigh: Weights) -> DataFrame:
             of, d = np.repeat(np.arange(len(n)), n), r["d"]
             asks, around = weigh.asking(d, n), surroundings(of, r)
             for t, k in enumerate(keys(d)):
-                known, at = weigh.known(k)
-                use = np.nonzero(~known | weigh.asked[at])[0] if len(weigh.asked) else np.arange(len(k))
+                use = np.nonzero(weigh.useful(k))[0]
                 k, i = k[use], of[use]
                 held = weigh.held(k)
                 split, draw = 1 + held // SPLIT, mixed(ids.view(np.uint64))[i]
@@ -497,8 +536,10 @@ def verified(pairs: DataFrame, pictures: DataFrame, weigh: Weights) -> DataFrame
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([r.column("b").filter(keep), r.column("a").filter(keep)], names=["b", "a"])
 
+    pairs = stored(pairs.select("b", "a"), "to-verify")
+    some = join_small(pictures.select("id", "data"), pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), ["id"], "left_semi")
     for c in ("a", "b"):
-        pairs = pairs.join(pictures.select(F.col("id").alias(c), F.col("data").alias(f"d{c}")), c)
+        pairs = pairs.join(some.select(F.col("id").alias(c), F.col("data").alias(f"d{c}")), c)
     return pairs.select("a", "b", "da", "db").mapInArrow(run, "b bigint, a bigint")
 
 

@@ -298,7 +298,7 @@ def test_images_against_all_pairs(spark, monkeypatch):
 
 
 def test_small_images_and_crops_link(spark):
-    """A crop of five corners links to its whole; most crops to half of a text's rows do."""
+    """A crop of five corners links to its whole; most crops to half of a page's rows do, 30 to 100 rows."""
     rng = np.random.default_rng(8)
     whole = corner_rows(rng, 30)
     assert linked(spark, {1: whole, 2: whole[9:14], 3: whole[:2]}) == [(2, 1)]
@@ -310,8 +310,8 @@ def test_small_images_and_crops_link(spark):
     rows = np.rec.fromarrays([d, y, x, scale, turn], dtype=images.CORNER)
     own = {i: rows[image == i] for i in range(len(pages))}
     found = {tuple(sorted(p)) for p in linked(spark, own)}
-    assert sum((i, i + n) in found for i in range(n)) >= 0.7 * n, len(found)
-    assert sum(a % n != b % n for a, b in found) <= 0.05 * n
+    assert sum((i, i + n) in found for i in range(n)) >= 0.6 * n, len(found)
+    assert sum(a % n != b % n for a, b in found) <= 0.005 * n * (2 * n - 1)
 
 
 def test_queries_and_sql(spark, small):
