@@ -35,7 +35,7 @@ WIDTH, PATCH, TURNS, RESPONSE, BIN = 64, 7, 16, 2.0e6, 6
 #: Votes that a bin needs to count; corners that a link needs, and their share of the weight of the image with fewer; differing bits.
 LEAST_BIN, LEAST, SHARE, BITS = 3, 8, 0.6, 4
 #: Share of its weight that an image asks with, and that must meet; differing bits of surroundings, which are so many rows to both sides.
-ASKED, NEED, FAR, AROUND = 0.5, 0.08, 20, 24
+ASKED, NEED, FAR, AROUND = 0.5, 0.05, 20, 32
 #: Keys that reach the driver at most; pictures of a key from which on it is dealt in parts, and entries that all parts have.
 COMMON, SPLIT, LEADS = 500_000, 4_096, 32
 #: Bits that tell keys of several pictures, and of them in a piece.

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gateloom.llm.common import ascii_words, bites, shards, stored, texts_of
+from gateloom.llm.common import ascii_words, bites, dealt, gathered, mixed, shards, slots, stored, texts_of
 
 #: Words of a shingle; bits that linked fingerprints differ in, at most; bands.
 WORDS, RADIUS, BANDS = 3, 3, 6
@@ -108,18 +108,16 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         at = new
 
 
-def links_in(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS, check=None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a spanning forest of the links between fingerprints of equal key; key sorted. check(x, y): which pairs of places count."""
+def pairs_in(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS):
+    """x, y: places x < y of all fingerprints of equal key (sorted) that differ in radius bits at most; each y gets its x in order."""
     n = len(fps)
     first = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0] if n else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, n])
     many = size > 1
-    at = np.arange(n)
     # small keys share planes: lanes of a block beyond a key's own fingerprints are masked off
-    a, b = [], []
     blocks, base, count, queries = [], [], [], []
 
-    def flush() -> None:
+    def flush():
         if not blocks:
             return
         planes = np.concatenate(blocks)
@@ -135,37 +133,45 @@ def links_in(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS, check=None)
                 bits = np.unpackbits(hit[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 r, lane = np.nonzero(bits)
                 x, y = q[some[r]], start[blk[some[r]]] + lane
-                new = x != y if check is None else (x != y) & check(x, y)
-                a.append(x[new])
-                b.append(y[new])
-                if sum(map(len, a)) > 2_000_000:
-                    forest()
+                new = x < y
+                yield x[new], y[new]
         blocks.clear(), base.clear(), count.clear(), queries.clear()
 
-    def forest() -> None:
-        nonlocal at
-        if a:
-            at = roots(n, np.concatenate([*a, np.arange(n)]), np.concatenate([*b, at]))
-            a.clear(), b.clear()
-
     held = nblocks = 0
     for f, s in zip(first[many].tolist(), size[many].tolist()):
         own = planes_of(fps[f : f + s])
-        blocks.append(own)
-        k = len(own)
-        base += range(f, f + s, 64)
-        count += [min(64, s - i) for i in range(0, s, 64)]
         q = np.arange(f, f + s)
-        for i in range(k):  # each pair once: a block meets the queries before its end
+        for i in range(len(own)):  # each pair once: a block meets the queries before its end
             part = q[: min(s, 64 * (i + 1))]
-            queries.append(np.stack([np.full(len(part), nblocks + i), part], axis=1))
+            blocks.append(own[i : i + 1])
+            base.append(f + 64 * i)
+            count.append(min(64, s - 64 * i))
+            queries.append(np.stack([np.full(len(part), nblocks), part], axis=1))
+            nblocks += 1
             held += len(part)
-        nblocks += k
-        if held >= 4 * ROWS:
-            flush()
-            held = nblocks = 0
-    flush()
-    forest()
+            if held >= 4 * ROWS:
+                yield from flush()
+                held = nblocks = 0
+    yield from flush()
+
+
+def links_in(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a spanning forest of the links between fingerprints of equal key; key sorted."""
+    n = len(fps)
+    at = np.arange(n)
+    a, b = [], []
+
+    def forest() -> np.ndarray:
+        out = roots(n, np.concatenate([*a, np.arange(n)]), np.concatenate([*b, at])) if a else at
+        a.clear(), b.clear()
+        return out
+
+    for x, y in pairs_in(key, fps, radius):
+        a.append(x)
+        b.append(y)
+        if sum(map(len, a)) > 2_000_000:
+            at = forest()
+    at = forest()
     child = np.nonzero(at != np.arange(n))[0]
     return child, at[child]
 
@@ -177,35 +183,29 @@ def keys_of(fps: np.ndarray, bands: int = BANDS, radius: int = RADIUS) -> list[t
     return [(t, fps & np.uint64(sum(m))) for t, m in enumerate(combinations(masks, bands - radius))]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, bands: int = BANDS, second: int | None = None) -> DataFrame:
-    """Links (u, v) between nodes whose fp differ in radius bits at most, enough of them to connect all that are linked.
-
-    distinct has node, fp and fp2 (bigint). second: links also need fp2 to differ in so many bits at most.
-    """
+def links(distinct: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
+    """Links (u, v) between nodes whose fp differ in radius bits at most, enough of them to connect all that are linked. distinct has node and fp (bigint)."""
     n = shards(distinct.sparkSession)
-    names = ["node", "fp", "fp2"] if second is not None else ["node", "fp"]
 
     def spread(batches):
         for b in batches:
             fps = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for t, key in keys_of(fps, bands, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), t, np.int32)), pa.array(key.view(np.int64)), *b.columns], names=["t", "key", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), t, np.int32)), pa.array(key.view(np.int64)), *b.columns], names=["t", "key", "node", "fp"])
 
     def compare(batches):
         parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
         if not parts:
             return
-        t, key, node, fp, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
+        t, key, node, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
         for i in np.unique(t):
             own = np.nonzero(t == i)[0]
             own = own[np.argsort(key[own], kind="stable")]
-            other = more[0][own].view(np.uint64) if more else None
-            u, v = links_in(key[own], fp[own].view(np.uint64), radius, (lambda x, y, o=other: np.bitwise_count(o[x] ^ o[y]) <= second) if more else None)
+            u, v = links_in(key[own], fp[own].view(np.uint64), radius)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(node[own[u]]), pa.array(node[own[v]])], names=["u", "v"])
 
-    columns = ", ".join(f"{c} bigint" for c in names)
-    return distinct.select(*names).mapInArrow(spread, f"t int, key bigint, {columns}").repartition(n, "t", "key").mapInArrow(compare, "u bigint, v bigint").distinct()
+    return distinct.select("node", "fp").mapInArrow(spread, "t int, key bigint, node bigint, fp bigint").repartition(n, "t", "key").mapInArrow(compare, "u bigint, v bigint").distinct()
 
 
 def components(found: DataFrame, most: int = 60) -> DataFrame:
@@ -244,6 +244,10 @@ def grouped(fps: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFra
 
 #: For first_of_each(): words of a shingle; similarity of shingle sets from which on documents are linked; documents whose shingles are counted, about.
 SHINGLE, SIMILAR, SAMPLE = 5, 0.8, 5_000
+#: Bits that fingerprints of two such sets differ in, at most: on average it is a tenth of 64 at this similarity, and half for unrelated sets.
+FAR = 22
+#: Nodes of a key from which on it is dealt in parts, and nodes that all parts have.
+SPLIT, LEADS = 4_096, 32
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -266,51 +270,104 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def set_links(texts: DataFrame, least: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def set_print(members: np.ndarray) -> int:
+    """The majority of each bit over the members of a set."""
+    ones = np.unpackbits(members.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(members), bitorder="little").view(np.uint64)[0])
+
+
+#: A set under one of its first members: part of the key and how many there are, the set's node, size and fingerprint.
+ENTRY = {"key": np.uint32, "salt": np.int32, "split": np.int32, "node": np.uint64, "n": np.int32, "fp": np.uint64}
+MET = "u bigint, v bigint, key bigint, node bigint, n int, fp bigint"
+
+
+def sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be SIMILAR."""
+    return np.minimum(n, m) >= (SIMILAR - 1e-9) * np.maximum(n, m)
+
+
+def met(**columns: np.ndarray) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    kinds = {"u": pa.int64(), "v": pa.int64(), "key": pa.int64(), "node": pa.int64(), "n": pa.int32(), "fp": pa.int64()}
+    signed = lambda x: x.view(np.int64) if x.dtype == np.uint64 else x
+    return pa.RecordBatch.from_arrays([pa.array(signed(columns[c]), t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
+
+
+def meet(batches):
+    """MET rows of the entries of a task: each set with the first one by a hash that may be similar, under each key; and the entries of keys where more meet."""
+    e = gathered(batches, ENTRY)
+    order = np.lexsort((mixed(e["node"]), e["salt"], e["key"]))
+    e = {c: x[order] for c, x in e.items()}
+    new = (e["key"][1:] != e["key"][:-1]) | (e["salt"][1:] != e["salt"][:-1])
+    # a collision of keys or a set of equal rows shows as one node twice
+    group = np.cumsum(np.r_[False, new])[: len(order)]
+    met_one, more = np.zeros(len(order), bool), np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
+    out, held = [], 0
+    for x, y in pairs_in(group, e["fp"], FAR):
+        fit = sizes_fit(e["n"][x], e["n"][y]) & (e["node"][x] != e["node"][y])
+        x, y = x[fit], y[fit]
+        by = np.lexsort((x, y))
+        x, y = x[by], y[by]
+        lead = ~met_one[y] & (np.r_[True, y[1:] != y[:-1]] if len(y) else fit[:0])
+        more[group[y[~lead]]] = True
+        met_one[y] = True
+        out.append(np.unique(np.stack([e["node"][y[lead]], e["node"][x[lead]]]), axis=1))
+        held += out[-1].shape[1]
+        if held > 1_000_000:
+            pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+            yield met(u=pairs[0], v=pairs[1])
+            out, held = [], 0
+    pairs = np.unique(np.concatenate([np.zeros((2, 0), np.uint64), *out], axis=1), axis=1)
+    yield met(u=pairs[0], v=pairs[1])
+    own = np.nonzero(more[group] | (e["split"] > 1))[0]
+    for i in range(0, len(own), 100_000):
+        yield met(**{c: e[c][own[i : i + 100_000]] for c in ("key", "node", "n", "fp")})
+
+
+def set_links(texts: DataFrame, least: DataFrame, common: tuple[np.ndarray, np.ndarray], every: int = 1) -> DataFrame:
     """Links (u, v) of the nodes (digests of shingle sets) of a similarity of SIMILAR or more, enough to connect all that are linked.
 
     texts has id, own and text, least the node and its least (id, own). Of two similar sets each has one of the first
     n - ceil(SIMILAR n) + 1 members of the other among its own first ones, in any order of all members: rare ones go first
-    here (common has members and how often they are seen). Sets with a first member in common are compared with the least
-    of them, and then all those with each other that no link has connected yet. Only the texts that are compared move.
+    here (common has members and how often one of `every` documents has them). Sets with a first member in common are compared
+    by fingerprint, bit-sliced; each is set against the first of those within FAR bits, and then, where no link
+    has connected them yet, all others are. What counts is the Jaccard similarity. Only the texts that are compared move.
     """
-    n_parts = shards(texts.sparkSession)
-    member, often = common
+    spark = texts.sparkSession
+    n_parts = shards(spark)
+    names, told = slots(n_parts), spark.sparkContext.broadcast((*common, every))
 
     def spread(batches):
-        for b in bites(batches):
-            key, node, size = [], [], []
+        member, often, every = told.value
+        for b in bites(batches, 2048):
+            key, node, size, fp, times = [], [], [], [], []
             for h in map(shingle_set, texts_of(b.column("text"))):
                 n = len(h)
+                if not n:
+                    continue
                 seen = np.zeros(n, np.int64)
                 if len(member):
                     at = np.minimum(np.searchsorted(member, h), len(member) - 1)
                     seen = np.where(member[at] == h, often[at], 0)
-                most = n - int(np.ceil(SIMILAR * n - 1e-9)) + 1 if n else 0
-                key.append(h[np.lexsort((h, seen))[:most]])
-                node.append(np.full(most, node_of(h), np.uint64))
-                size.append(np.full(most, n, np.int32))
-            if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(node).view(np.int64)), pa.array(np.concatenate(size))], names=["key", "node", "n"])
-
-    def several(batches):
-        # rows of keys that two nodes or more have, each node once; the last row waits for the next batch
-        held, met = None, False
-        for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if held is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
-            key, node = cols[:2]
-            if not len(key):
+                first = np.lexsort((h, seen))[: n - int(np.ceil(SIMILAR * n - 1e-9)) + 1]
+                key.append(h[first])
+                times.append(seen[first] * every)
+                node.append(node_of(h))
+                size.append(n)
+                fp.append(set_print(h))
+            if not key:
                 continue
-            new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-            cols = [c[new] for c in cols]
-            same = cols[0][1:] == cols[0][:-1]
-            keep = np.r_[met, same] | np.r_[same, False]
-            held, met = [c[-1:] for c in cols], bool(keep[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep[:-1]]) for c in cols], names=["key", "node", "n"])
-        if held is not None and met:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["key", "node", "n"])
+            i = np.repeat(np.arange(len(key)), [len(k) for k in key])
+            key, times = np.concatenate(key), np.concatenate(times)
+            node, size, fp = np.array(node, np.uint64), np.array(size, np.int32), np.array(fp, np.uint64)
+            split, draw = 1 + times // SPLIT, mixed(node)[i]
+            lead = (split > 1) & (draw.astype(np.float64) / 2.0**64 * times < LEADS)
+            copies = np.where(lead, split, 1)
+            row = np.repeat(np.arange(len(key)), copies)
+            salt = np.where(lead[row], np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies), (draw[row] % split[row].astype(np.uint64)).astype(np.int64))
+            short = (key[row] >> np.uint64(32)).astype(np.uint32)  # keys that collide add candidates only
+            part = (mixed(short.astype(np.uint64) + (salt.astype(np.uint64) << np.uint64(32))) % np.uint64(n_parts)).astype(np.int64)
+            yield dealt(part, dict(zip(ENTRY, (short, salt.astype(np.int32), split[row].astype(np.int32), node[i[row]], size[i[row]], fp[i[row]]))), names)
 
     def compared(pairs: DataFrame) -> DataFrame:
         """node, data (32 bits of each member of its set) of the nodes of pairs; a bitmap of bounded size lets few other texts through."""
@@ -341,18 +398,27 @@ def set_links(texts: DataFrame, least: DataFrame, common: tuple[np.ndarray, np.n
             pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("data").alias(f"d{c}")), c)
         return stored(pairs.select("u", "v", "du", "dv").mapInArrow(run, "u bigint, v bigint"), "similar")
 
-    near = (F.col("n") >= F.lit(SIMILAR - 1e-9) * F.col("m")) & (F.col("m") >= F.lit(SIMILAR - 1e-9) * F.col("n"))
-    rows = texts.select("text").mapInArrow(spread, "key bigint, node bigint, n int").repartition(n_parts, "key").sortWithinPartitions("key", "node")
-    shared = stored(rows.mapInArrow(several, "key bigint, node bigint, n int"), "shared")
-    lead = shared.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead")).select("key", F.col("lead.node").alias("v"), F.col("lead.n").alias("m"))
-    first = stored(shared.join(lead, "key").where((F.col("node") > F.col("v")) & near).select(F.col("node").alias("u"), "v").distinct(), "pairs")
-    found = verified(first)
-    apart = shared.join(components(found), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    open_keys = apart.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    apart = stored(apart.join(open_keys, "key"), "apart")
-    other = apart.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("s"))
-    more = apart.join(other, "key").where((F.col("node") > F.col("v")) & (F.col("root") != F.col("s")) & near).select(F.col("node").alias("u"), "v").distinct()
-    return found.union(verified(stored(more.join(first, ["u", "v"], "left_anti"), "pairs")))
+    def across(batches):
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if table is None:
+            return
+        table = table.sort_by("key")
+        key, node, n, fp, root = (table.column(c).to_numpy() for c in ("key", "node", "n", "fp", "root"))
+        for x, y in pairs_in(key, fp.view(np.uint64), FAR):
+            open_ = sizes_fit(n[x], n[y]) & (root[x] != root[y])
+            pair = np.unique(np.stack([np.maximum(node[x], node[y])[open_], np.minimum(node[x], node[y])[open_]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["u", "v"])
+
+    rows = texts.select("text").mapInArrow(spread, "part int, data binary").repartition(n_parts, "part")
+    both = stored(rows.mapInArrow(meet, MET), "met")
+    pairs = both.where("u IS NOT NULL").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    found = verified(stored(pairs, "pairs"))
+    # the rest: keys whose sets are in several classes yet
+    rest = both.where("key IS NOT NULL").select("key", "node", "n", "fp").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_keys = rest.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    rest = stored(rest.join(open_keys, "key").distinct(), "apart")
+    more = rest.repartition(n_parts, "key").mapInArrow(across, "u bigint, v bigint").distinct()
+    return found.union(verified(stored(more, "pairs")))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
@@ -376,7 +442,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     some = texts.where(F.pmod("own", F.lit(every)) == 0).mapInArrow(members, "h bigint").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(200_000).toArrow()
     h, n = (some.column(c).to_numpy() for c in ("h", "count"))
     order = np.argsort(h.view(np.uint64))
-    root = components(set_links(texts, least, (h.view(np.uint64)[order], n[order])))
+    root = components(set_links(texts, least, (h.view(np.uint64)[order], n[order]), every))
     member = least.join(root, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     stays = member.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.own").distinct()
     kept = keyed.join(stays, ["id", "own"], "left_semi")

@@ -232,6 +232,27 @@ def test_images(spark):
     assert images.decoded(images.raster("ab>c\nd" + "x" * 100)).shape == (4, 64)
 
 
+def test_near_duplicates_against_all_pairs(spark, monkeypatch):
+    """Short texts too, a large group of near copies, and keys dealt in parts: what stays is what brute force leaves."""
+    rng = np.random.default_rng(12)
+    line = [f"l{i}" for i in range(9)]
+    rows = []
+    for g in range(60):
+        w = line + [f"w{i}" for i in rng.integers(0, 3_000, int(rng.integers(4, 90)))]
+        for _ in range(45 if g == 0 else int(rng.integers(1, 5))):
+            v = list(w)
+            for _ in range(int(rng.integers(0, 3))):
+                v[int(rng.integers(0, len(v)))] = f"e{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(v)))
+    sets = [shingles(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = set(simhash.roots(len(rows), *np.array(links).T).tolist())
+    for split in (4096, 10):
+        monkeypatch.setattr(simhash, "SPLIT", split)
+        got = {r["doc_id"] for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        assert got == want and 60 <= len(want) < len(rows)
+
+
 def corner_rows(rng, n):
     return np.rec.fromarrays([rng.integers(0, 1 << 64, n, np.uint64), rng.permutation(400)[:n] * 5, rng.integers(0, 60, n), np.zeros(n), np.zeros(n)], dtype=images.CORNER)
 
