@@ -2,9 +2,9 @@
 
 Pieces are told apart by their length only, so a plan for the histogram (at most `size` rows, whatever the corpus) is a
 plan for all of them: patterns of few lengths that fill a sequence are enumerated, their repeat counts are fitted to
-the histogram by non-negative least squares and rounded down, and what is left is packed best fit, longest first,
+the histogram by non-negative least squares and rounded, so often as much is left; the rest is packed best fit, longest first,
 again on counts. A piece finds its place by its rank among the pieces of its length; ranks are counted in salted
-groups, so that a length that most pieces share isn't gathered in one task.
+groups, so that a length that most pieces share isn't gathered in one task. Pieces that fill a sequence need no rank.
 
 Cases: a null or empty text is one document of the end id alone; a null doc_id is kept; repeated rows are packed
 each; an empty table gives an empty table; other columns are ignored.
@@ -16,6 +16,7 @@ import gc
 import re
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,11 @@ from tokenizers import Tokenizer, pre_tokenizers
 from gateloom.llm.common import bites, memory, stored, texts_of
 from gateloom.llm.tokencount import load, tokenizer_path
 
-#: Token ids of a sequence; partners tried for a length; groups that a length's ranks are counted in.
-SIZE, PARTNERS, SALTS = 2048, 24, 64
+#: Token ids of a sequence; patterns tried for a longest length; their pieces at most; the part of a sequence that a pattern may leave empty;
+#: one of so many short pieces isn't fitted.
+SIZE, TRIES, PIECES, SLACK, KEPT = 2048, 20, 7, 0.01, 8
+#: Groups that a length's ranks are counted in.
+SALTS = 64
 
 
 class ChunkIds(dict):
@@ -141,32 +145,43 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", size: int = S
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def patterns(lengths: np.ndarray, size: int = SIZE, partners: int = PARTNERS) -> list[tuple[int, ...]]:
-    """Patterns of one, two and three lengths that fill a sequence exactly, or as nearly as one more length can."""
-    have = sorted(map(int, lengths), reverse=True)
-    asc = np.array(have[::-1])
-    found = {(x,) for x in have if x == size}
+def patterns(have: np.ndarray, size: int = SIZE, tries: int = TRIES, most: int = PIECES, seed: int = 3) -> list[tuple[int, ...]]:
+    """Patterns of up to `most` lengths, longest first. have: how often each length occurs.
 
-    def nearest(room: int) -> int | None:
-        k = int(np.searchsorted(asc, room, "right"))
-        return int(asc[k - 1]) if k else None
-
-    for x in have:
-        if (y := nearest(size - x)) is not None:
-            found.add(tuple(sorted((x, y), reverse=True)))
-        room = asc[asc <= size - x]
-        if len(room):
-            for y in room[np.unique(np.linspace(0, len(room) - 1, partners).astype(int))]:
-                if (z := nearest(size - x - int(y))) is not None:
-                    found.add(tuple(sorted((x, int(y), z), reverse=True)))
-    return sorted(found, reverse=True)
+    For each length as the longest: `tries` patterns whose next pieces are drawn as the histogram has them, and whose last one
+    fills the sequence exactly, or as nearly as a length can; of these also the two-piece one.
+    """
+    asc = np.nonzero(have)[0]
+    if not len(asc):
+        return []
+    rng = np.random.default_rng(seed)
+    cum = np.cumsum(have[asc], dtype=np.float64)
+    # number of lengths up to each room
+    upto = np.searchsorted(asc, np.arange(size + 1), "right")
+    longest = np.repeat(asc, tries)
+    k = np.tile(np.arange(tries) % (most - 1), len(asc))  # pieces drawn between the first and the last
+    taken, room = [longest], size - longest
+    for i in range(most - 2):
+        can = upto[np.minimum(room, longest)]
+        draw = rng.random(len(room)) * np.where(can > 0, cum[np.maximum(can, 1) - 1], 0)
+        y = np.where((can > 0) & (i < k), asc[np.minimum(np.searchsorted(cum, draw, "right"), np.maximum(can, 1) - 1)], 0)
+        taken.append(y)
+        room = room - y
+    for _ in range(2):
+        can = upto[np.minimum(room, longest)]
+        z = np.where(can > 0, asc[np.maximum(can, 1) - 1], 0)
+        taken.append(z)
+        room = room - z
+    rows = -np.sort(-np.stack(taken, axis=1), axis=1)
+    return sorted({tuple(x for x in r if x) for r in rows.tolist()}, reverse=True)
 
 
 def fitted(have: np.ndarray, found: list[tuple[int, ...]], size: int = SIZE, rounds: int = 400) -> np.ndarray:
     """Repeat counts x >= 0 that minimise |A x - have|^2, A counting lengths in patterns: accelerated projected gradient."""
     rows = np.array([x for p in found for x in p], np.int64)
     cols = np.repeat(np.arange(len(found)), [len(p) for p in found])
-    step = 1.0 / max(1.0, float(np.bincount(rows, minlength=size + 1).max() * 3))
+    # no eigenvalue of A'A is above the greatest sum of a column of |A| times that of a row
+    step = 1.0 / max(1.0, float(np.bincount(rows, minlength=size + 1).max()) * max(map(len, found), default=1))
     x = y = np.zeros(len(found))
     t = 1.0
     target = have.astype(float)
@@ -179,14 +194,16 @@ def fitted(have: np.ndarray, found: list[tuple[int, ...]], size: int = SIZE, rou
     return x
 
 
-def best_fit(left: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit, longest first, on counts: equal bins and equal lengths are handled together."""
+def best_fit(left: np.ndarray, size: int = SIZE, begun: list[tuple[tuple[int, ...], int]] = ()) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit, longest first, on counts: equal bins and equal lengths are handled together. begun: sequences that may have room."""
     bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     done: list[tuple[tuple[int, ...], int]] = []
 
     def put(p: tuple[int, ...], n: int, room: int) -> None:
         (bins.setdefault(room, []) if room else done).append((p, n))
 
+    for p, n in begun:
+        put(p, n, size - sum(p))
     for x in range(size, 0, -1):
         n = int(left[x])
         while n:
@@ -210,29 +227,50 @@ def best_fit(left: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...],
     return done + [g for group in bins.values() for g in group]
 
 
-def plan(have: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that together use each length as often as have says."""
+def rounded(x: np.ndarray, found: list[tuple[int, ...]], have: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeat counts: those of patterns with one longest piece keep their sum, and no length is used more often than it occurs."""
+    left, out = have.astype(np.int64).copy(), []
+    first = np.array([p[0] for p in found])
+    total = np.concatenate([np.round(np.cumsum(x[first == v])) for v in dict.fromkeys(first.tolist())])
+    start = np.r_[True, first[1:] != first[:-1]]
+    whole = np.where(start, total, np.diff(np.r_[0.0, total])).astype(np.int64)
+    for i in np.argsort(-x, kind="stable").tolist():
+        times = Counter(found[i])
+        n = min([int(whole[i]), *(int(left[v]) // c for v, c in times.items())])
+        if n > 0:
+            out.append((found[i], n))
+            for v, c in times.items():
+                left[v] -= n * c
+    return out
+
+
+def plan(have: np.ndarray, size: int = SIZE, rounds: int = 6) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) that together use each length as often as have says: patterns fitted and rounded, again on what is left, then best fit."""
     left, out = have.astype(np.int64).copy(), []
-    found = patterns(np.nonzero(have)[0], size) if have.any() else []
-    if found:
-        x = fitted(have, found, size)
-        for k in np.argsort(-x, kind="stable"):
-            p = found[k]
-            times = {v: p.count(v) for v in p}
-            n = min([int(x[k] + 1e-6), *(int(left[v]) // c for v, c in times.items())])
-            if n > 0:
-                out.append((p, n))
-                for v, c in times.items():
-                    left[v] -= n * c
-    packed = [*out, *best_fit(left, size)]
-    plain = best_fit(have, size)
-    return min(packed, plain, key=lambda q: sum(n for _, n in q))
+    # some short pieces are kept for the room that residuals leave
+    kept = np.where(np.arange(size + 1) <= size // 8, left // KEPT, 0)
+    left -= kept
+    for k in range(rounds):
+        found = patterns(left, size, seed=3 + k)
+        took = rounded(fitted(left, found, size), found, left) if found else []
+        # a pattern that wastes much is left to best fit
+        took = [(p, n) for p, n in took if size - sum(p) <= SLACK * size]
+        if not took:
+            break
+        for p, n in took:
+            for v in p:
+                left[v] -= n
+        out += took
+    return best_fit(left + kept, size, out)
 
 
 def pack(cut: DataFrame, size: int = SIZE, salts: int = SALTS) -> DataFrame:
     """Adds sequence_id and offset to the rows of cut(doc_id, piece, length, ...); no sequence holds more than size."""
     spark = cut.sparkSession
-    cut = stored(cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")), "pieces")
+    whole = stored(cut, "cut")
+    full = whole.where(F.col("length") == size).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    cut = whole.where(F.col("length") != size)
+    cut = (cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")))
     # at most size x salts rows, however long the table
     counted = cut.groupBy("length", "_salt").count().collect()
     have = np.zeros(size + 1, np.int64)
@@ -258,11 +296,12 @@ def pack(cut: DataFrame, size: int = SIZE, salts: int = SALTS) -> DataFrame:
     ranked = cut.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(F.broadcast(first), ["length", "_salt"]).join(F.broadcast(spots), "length").withColumn("_rank", F.col("_before") + F.col("_n"))
     ranked = ranked.withColumn("_k", F.size(F.filter("_from", lambda x: x <= F.col("_rank"))) - 1)
-    return ranked.select(
+    placed = ranked.select(
         *[c for c in cut.columns if c != "_salt"],
         (F.get("_base", "_k") + F.col("_rank") - F.get("_from", "_k")).alias("sequence_id"),
         F.get("_offset", "_k").alias("offset"),
     )
+    return placed.union(full)
 
 
 def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", size: int = SIZE, end_id: int = 0) -> DataFrame:
