@@ -94,7 +94,32 @@ def test_plans_use_each_length_once(lengths):
         for v in p:
             used[v] += n
     assert used == Counter(lengths)
-    assert sum(n for _, n in out) <= sum(n for _, n in packing.best_fit(have, 50))
+    assert sum(n for _, n in out) <= 1.08 * sum(n for _, n in packing.best_fit(have, 50)) + 1
+
+
+def test_non_negative_fit():
+    """Patterns with one solution each, and one that would need a negative count."""
+    found = [(5, 5), (5, 3, 2), (3, 3, 3)]
+    a = np.zeros((11, 3))
+    for k, p in enumerate(found):
+        for v in p:
+            a[v, k] += 1
+    x = packing.fitted(a @ np.array([3, 4, 2]), found, 10, 4000)
+    assert np.allclose(x, [3, 4, 2], atol=1e-3)
+    have = a @ np.array([3, 4, -2])
+    x = packing.fitted(have, found, 10, 4000)
+    grad = a.T @ (a @ x - have)
+    assert (x >= 0).all() and x[2] == 0 and np.allclose(grad[x > 1e-6], 0, atol=1e-2) and grad[2] >= -1e-2
+
+
+def test_patterns_hold_most_sequences():
+    rng = np.random.default_rng(1)
+    have = np.bincount(np.clip(rng.lognormal(6, 0.9, 30_000).astype(int), 5, 2047), minlength=2049)
+    least = -(-int((have * np.arange(2049)).sum()) // 2048)
+    found = packing.patterns(have)
+    took = packing.rounded(packing.fitted(have, found), found, have)
+    assert all(sum(p) <= 2048 and len(p) <= packing.PIECES + 1 for p in found) and sum(n for _, n in took) > 0.7 * least
+    assert sum(n for _, n in packing.plan(have)) <= 1.005 * least + 1
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -112,7 +137,7 @@ SECRET = st.lists(st.sampled_from(["password", "PassWD", "toKen", "token", "se
 @given(SECRET)
 @settings(max_examples=400, deadline=None)
 def test_base_spans(text):
-    base, spans = secrets.spans_of(text)
+    base, spans = secrets.spans_of(text, secrets.Guesser({}))
     assert base == plain_base(text) and set(base) <= set(spans)
 
 
@@ -122,7 +147,44 @@ def test_guess_costs():
     assert max(map(secrets.guess_cost, cheap)) < secrets.MIN_LOG10 <= min(map(secrets.guess_cost, dear))
     assert secrets.guess_cost("Zq8") == pytest.approx(3 * math.log10(62)) and secrets.guess_cost("") == 0
     text = "db_pwd: 'x8Kd02Lqpz9Vw', pwd = changeme"
-    assert secrets.shown(secrets.spans_of(text)[1]) == "guess:9:22"
+    assert secrets.shown(secrets.spans_of(text, secrets.Guesser({}))[1]) == "guess:9:22"
+
+
+@given(st.text(st.sampled_from("aAsSd12p4$x9"), min_size=1, max_size=9))
+@settings(max_examples=150, deadline=None)
+def test_guess_costs_against_all_segmentations(value):
+    """The programme finds the cheapest of all 2^(n-1) segmentations."""
+    if secrets.REFERENCE.fullmatch(value):
+        return
+    g = secrets.Guesser({"as": 500, "pass": 7, "sad": 40, "dad": 9})
+    brute = math.log10(secrets.alphabet(value))
+    cost = {(i, i + 1): (brute, False) for i in range(len(value))}
+    for a, b, c in g.pieces(value):
+        if c + 0.3 < cost.get((a, b), (math.inf, True))[0] or (a, b) not in cost:
+            cost[a, b] = (c, True)
+    best = math.inf
+    for cuts in range(1 << (len(value) - 1)):
+        at = [0, *(i + 1 for i in range(len(value) - 1) if cuts >> i & 1), len(value)]
+        spans = list(zip(at, at[1:]))
+        if all(x in cost for x in spans):
+            best = min(best, sum(cost[x][0] + 0.3 * (cost[x][1] and x[0] > 0) for x in spans))
+    assert g.cost(value) == pytest.approx(best)
+    # the words among the pieces are all those of the dictionary
+    low = value.lower()
+    words = {(a, b) for a in range(len(value)) for b in range(a + 3, len(value) + 1) if low[a:b] in g.rank}
+    assert words <= {(a, b) for a, b, _ in g.pieces(value)}
+
+
+def test_ordinary_values_are_cheap(spark):
+    g = secrets.Guesser({})
+    for v in ("international", "configuration", "elephant", "os.environ", "${DB_PASSWORD}", "*" * 200, "<your-token>", "{{secret}}", "changeme123", "Summer2024", "qwertyuiop", "abababababababab"):
+        assert g.cost(v) < secrets.MIN_LOG10, (v, g.cost(v))
+    for v in ("b7db7aa4a5fcc78305", "Xk3#9vLq!2pZ", "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"):
+        assert g.cost(v) >= secrets.MIN_LOG10
+    docs = spark.createDataFrame([(1, "token=b7db7aa4a5fcc78305 and password: quokkaquokka " + "quokka wombat " * 50), (2, "wombat quokka " * 9)], "doc_id bigint, text string")
+    assert secrets.word_ranks(docs)["quokka"] > len(secrets.WORDS) and "b7db7aa4a5fcc78305" not in secrets.word_ranks(docs)
+    got = secrets.secret_spans(docs).first()
+    assert (got["n_assign"], got["n_guess"], got["spans"].split(",")[:2]) == (2, 1, ["assign:0:24", "guess:6:24"])
 
 
 def test_secret_scan(docs, rows, empty, nulls):
