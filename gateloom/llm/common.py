@@ -101,6 +101,11 @@ def memory(key: str, make):
     return _MEMORY[key]
 
 
+def forget() -> None:
+    """Drops all that memory() holds."""
+    _MEMORY.clear()
+
+
 def bites(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterable[pa.RecordBatch]:
     """The batches in slices of so many rows, so that few texts are Python objects at a time."""
     for b in batches:

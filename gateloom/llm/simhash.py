@@ -25,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gateloom.llm.common import ascii_words, bites, dealt, gathered, mixed, shards, slots, stored, texts_of
+from gateloom.llm.common import ascii_words, bites, dealt, forget, gathered, lean, mixed, shards, slots, stored, texts_of
 
 #: Words of a shingle; bits that linked fingerprints differ in, at most; bands.
 WORDS, RADIUS, BANDS = 3, 3, 6
 #: Rows (query x block) that are compared at a time.
 ROWS = 400_000
+#: Fingerprints of a key from which on they are compared in blocks.
+FEW = 8
 _ONE = np.uint64(1)
 
 
@@ -109,12 +111,21 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pairs_in(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS):
-    """x, y: places x < y of all fingerprints of equal key (sorted) that differ in radius bits at most; each y gets its x in order."""
+    """x, y: places x < y of all fingerprints of equal key (sorted) that differ in radius bits at most; each y gets its x in order.
+
+    Keys of FEW fingerprints or less don't fill the lanes of a block: theirs are counted one pair at a time.
+    """
     n = len(fps)
     first = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0] if n else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, n])
-    many = size > 1
-    # small keys share planes: lanes of a block beyond a key's own fingerprints are masked off
+    many = size > FEW
+    small = np.repeat(~many, size)
+    for d in range(min(FEW, n) - 1, 0, -1):
+        x = np.nonzero(small[:-d] & (key[d:] == key[:-d]))[0]
+        x = x[np.bitwise_count(fps[x] ^ fps[x + d]) <= radius]
+        if len(x):
+            yield x, x + d
+    # lanes of a block beyond a key's own fingerprints are masked off
     blocks, base, count, queries = [], [], [], []
 
     def flush():
@@ -149,7 +160,7 @@ def pairs_in(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS):
             queries.append(np.stack([np.full(len(part), nblocks), part], axis=1))
             nblocks += 1
             held += len(part)
-            if held >= 4 * ROWS:
+            if held >= 4 * ROWS or nblocks >= 20_000:
                 yield from flush()
                 held = nblocks = 0
     yield from flush()
@@ -295,6 +306,8 @@ def met(**columns: np.ndarray) -> pa.RecordBatch:
 
 def meet(batches):
     """MET rows of the entries of a task: each set with the first one by a hash that may be similar, under each key; and the entries of keys where more meet."""
+    forget()
+    lean()
     e = gathered(batches, ENTRY)
     order = np.lexsort((mixed(e["node"]), e["salt"], e["key"]))
     e = {c: x[order] for c, x in e.items()}
