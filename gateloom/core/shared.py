@@ -10,10 +10,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, or in a temporary folder where that is unset."""
+    """A new path in spark.checkpoint.dir, or, where that is unset and all run in one process, in a temporary folder."""
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not top:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir isn't set: the executors need a folder that all of them and the driver see")
         top = tempfile.mkdtemp(prefix="gateloom-")
         sc.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

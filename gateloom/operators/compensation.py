@@ -109,3 +109,23 @@ def residual_pairs(df: DataFrame, channels: Sequence[str], threshold: float = 0.
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.col(f"r{i}"), F.lit(0.0)).alias("r")) for i, (a, b) in enumerate(pairs)])
     out = one.select(F.explode(rows).alias("p")).select("p.*")
     return out.withColumn("flagged", F.abs("r") > threshold).withColumn("direction", F.when(F.col("r") > 0, "under").otherwise("over"))
+
+
+def auto_controls(events: DataFrame, by: str, channels: Sequence[str], unstained=None) -> DataFrame:
+    """sample, channel: in the samples' order each but the unstained one gets the detector of the highest median that none before it has.
+
+    A row for each sample and channel reaches the driver; samples beyond the number of detectors get none.
+    """
+    m = events if unstained is None else events.where(F.col(by) != F.lit(unstained))
+    rows = m.groupBy(by).agg(*[F.median(c).alias(c) for c in channels]).orderBy(by).collect()
+    used: dict[str, object] = {}
+    for r in rows:
+        free = [c for c in channels if c not in used and r[c] is not None]
+        if free:
+            used[max(free, key=lambda c: r[c])] = r[by]
+    return events.sparkSession.createDataFrame([(v, c) for c, v in used.items()], f"sample {events.schema[by].dataType.simpleString()}, channel string")
+
+
+def threshold(own: Column, mixture: Column, otsu: Column, cofactor: float = 150.0) -> Column:
+    """The user's threshold (on the arcsinh scale) before the mixture's and Otsu's."""
+    return F.coalesce(F.sinh(own.cast("double")) * F.lit(cofactor), mixture, otsu)

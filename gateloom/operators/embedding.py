@@ -96,6 +96,8 @@ def grid_clusters(events: DataFrame, features: Sequence[str], bins: int = 20, de
     names = [f"c{i}" for i in range(min(3, len(features)))]
     p = pca(events, features, len(names), row)
     m = p.agg(*[f(c).alias(f"{c}_{f.__name__}") for c in names for f in (F.min, F.max)]).first()
+    if m[0] is None:
+        return p.select(row, F.lit(-1).alias("label"))
     cell = {c: F.least(F.lit(bins - 1), F.floor((F.col(c) - F.lit(m[f"{c}_min"])) / F.lit(max(1e-12, m[f"{c}_max"] - m[f"{c}_min"])) * bins)).cast("int") for c in names}
     p = p.withColumns(cell)
     rows = p.groupBy(*names).count().where(F.col("count") >= dense).collect()  # at most bins ^ components rows
@@ -125,8 +127,9 @@ def pca(events: DataFrame, features: Sequence[str], k: int = 2, row: str = "row_
 
 
 def tsne(events: DataFrame, features: Sequence[str], by: str, n: int, row: str = "row_index", perplexity: float = 30.0, rounds: int = 500, seed: int = 42) -> DataFrame:
-    """by, row, d1, d2: t-SNE of n rows of each sample, pooled; exact, so n x samples is bounded by FIT_ROWS."""
-    rows = equal_sample(events, n, by, row, seed).orderBy(by, row).limit(FIT_ROWS).select(by, row, *features).toPandas()
+    """by, row, d1, d2: t-SNE of n rows of each sample, pooled; exact, so n is FIT_ROWS / samples at most, the same for all."""
+    n = max(1, min(n, FIT_ROWS // max(1, events.select(by).distinct().count())))
+    rows = equal_sample(events, n, by, row, seed).select(by, row, *features).orderBy(by, row).toPandas()
     if not len(rows):
         return events.sparkSession.createDataFrame([], f"{by} {events.schema[by].dataType.simpleString()}, {row} bigint, d1 double, d2 double")
     x = rows[list(features)].to_numpy(float)

@@ -105,6 +105,21 @@ class Gate:
         return replace(self, xs=tuple(shift(v, dx, x_scale) for v in self.xs), ys=tuple(shift(v, dy, y_scale) for v in self.ys))
 
 
+def engine_chain(gates: Sequence[Gate], channels: Iterable[str]) -> Column:
+    """A chain by the headless engine's rules, which differ from Gate.column(): ranges go from the first number to the last, all others are
+    polygons, and a gate without its channels, with fewer than two numbers for a range or three vertices lets everything pass."""
+    have, out = set(channels), F.lit(True)
+    for g in gates:
+        if g.x not in have:
+            continue
+        if g.kind.lower() in ("range", "h_range"):
+            if len(g.xs) >= 2:
+                out &= (F.col(g.x) >= F.lit(g.xs[0])) & (F.col(g.x) <= F.lit(g.xs[-1]))
+        elif g.y in have and len(g.xs) >= 3:
+            out &= replace(g, kind="polygon", invert=False).column(have)
+    return out
+
+
 def quadrants(x: str, y: str, cx: float, cy: float, prefix: str = "") -> list[Population]:
     """The four sibling populations that one drawn cross makes."""
     return [Population(f"{prefix} Q{i}".strip(), Gate(f"q{i}", x, y, (cx,), (cy,))) for i in (1, 2, 3, 4)]

@@ -123,7 +123,7 @@ def stat_frequency_of(spark, sf_dir):
 def gate_everywhere(spark, sf_dir):
     """One gate under the root of every sample, in place of one of its name."""
     names = [r["sample"] for r in lineitem_events(spark, sf_dir).select("sample").distinct().collect()]  # a row for each sample
-    s = Session(trees={names[0]: (Population("Cells", ELLIPSE),)}).gate_everywhere(Population("Cells", CELLS), names)
+    s = Session(trees={n: (Population("Cells", ELLIPSE),) for n in names[:1]}).gate_everywhere(Population("Cells", CELLS), names)
     return spark.createDataFrame([(r["sample"], r["name"], r["type"]) for r in tree_rows(s.trees)], "sample string, name string, type string")
 
 

@@ -8,7 +8,8 @@ import xml.etree.ElementTree as ET
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gateloom.operators.gates import Gate, Population
 
@@ -127,7 +128,7 @@ def gating_xml(trees: Mapping[str, Sequence[Population]]) -> str:
         g = Gate(r["type"], r["x_channel"], r["y_channel"], tuple(r["xs"]), tuple(r["ys"]), r["angle"])
         if not g.xs or g.kind == "index" or g.kind.startswith("q"):
             continue
-        ident = {f"{{{GATING}}}id": f"{r['sample']}_{r['id']}"} | ({f"{{{GATING}}}parent_id": f"{r['sample']}_{r['parent_id']}"} if "parent_id" in r else {})
+        ident = {f"{{{GATING}}}id": f"{r['sample']}_{r['id']}", f"{{{GATING}}}name": r["name"]} | ({f"{{{GATING}}}parent_id": f"{r['sample']}_{r['parent_id']}"} if "parent_id" in r else {})
         if g.kind in ("interval", "line", "rectangle"):
             e = ET.SubElement(root, f"{{{GATING}}}RectangleGate", ident)
             dimension(e, g.x, min(g.xs), max(g.xs))
@@ -222,6 +223,26 @@ def call(name: str, session: Session, arguments: Mapping | None = None):
     return COMMANDS[name](session, dict(arguments or {}))
 
 
+@command("ping")
+def _ping(session: Session, arguments: dict) -> dict:
+    return {"pong": True}
+
+
+@command("echo")
+def _echo(session: Session, arguments: dict) -> dict:
+    return arguments
+
+
+@command("capabilities")
+def _capabilities(session: Session, arguments: dict) -> dict:
+    return {"commands": sorted(COMMANDS)}
+
+
+@command("import_files")
+def _import(session: Session, arguments: dict) -> Session:
+    return replace(session, files=(*session.files, *(f for f in arguments["files"] if f not in session.files)))
+
+
 @command("get_state")
 def _state(session: Session, arguments: dict) -> dict:
     return {"experiment": session.name, "samples": [os.path.basename(f) for f in session.files], "n_gates": len(tree_rows(session.trees)), "compensated": session.compensated}
@@ -280,3 +301,21 @@ def methods_text(session: Session, most_gates: int = 8, most_analyses: int = 5)
         parts.append("Actions: " + ", ".join(f"{n} {k.lower()}" for k, n in sorted(kinds.items())) + ".")
     parts += [f"Gates: {'; '.join(gates)}."] * bool(gates) + [f"Analyses: {'; '.join(done)}."] * bool(done)
     return " ".join(parts)
+
+
+def label_of(channel: Column, aliases: Mapping[str, str]) -> Column:
+    """The marker that a channel is mapped to, else its own name."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])[channel], channel) if aliases else channel
+
+
+def gating_methods(counts: DataFrame, tree: Sequence[Population], aliases: Mapping[str, str] | None = None) -> DataFrame:
+    """text: one row, a paragraph on a tree of populations. counts is a tree_counts() table; shares are of the parent, mean and SD over samples."""
+    names = dict(aliases or {})
+    nodes = [(i, "/".join(path), path[-1], gates[-1].kind, " vs ".join(names.get(c, c) for c in (gates[-1].x, gates[-1].y) if c), path[-2] if len(path) > 1 else "all events") for i, (path, gates) in enumerate(n for p in tree for n in p.walk())]
+    share = F.col("count") * 100.0 / F.col("parent_count")
+    stat = counts.where("parent_count > 0").groupBy("population").agg(F.avg(share).alias("m"), F.coalesce(F.stddev_samp(share), F.lit(0.0)).alias("sd"), F.count("*").alias("n"))
+    rows = counts.sparkSession.createDataFrame(nodes, "i int, population string, name string, kind string, axes string, parent string").join(stat, "population", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    part = F.format_string("%s (%s gate on %s; %.1f±%.1f%% of %s, n=%d)", "name", "kind", "axes", F.coalesce("m", F.lit(0.0)), F.coalesce("sd", F.lit(0.0)), "parent", zero(F.col("n")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", part.alias("t")))), lambda x: x["t"]), "; ")
+    return rows.agg(F.concat(F.lit("Populations were identified hierarchically: "), text, F.lit(". Frequencies are mean±SD of the parent population across the analysed samples.")).alias("text"))
