@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gateloom.llm import images, katz, langid, mixing, packing, secrets, simhash, sketch, substring, tokencount
+from gateloom.llm import copair, images, katz, langid, mixing, packing, secrets, simhash, sketch, substring, tokencount, topk, whiten
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(documents(spark, sf_dir))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_scores(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_cobucketed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes files, so it has no SQL."""
+    return copair.co_bucketed(spark.read.parquet(f"{sf_dir}/sales.parquet"), spark.read.parquet(f"{sf_dir}/sale_lines.parquet"))
+
+
+def op13_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_image_copies": op1_image_copies,
     "op2_poisson_mixing": op2_poisson_mixing,
@@ -65,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pattern_packing": op8_pattern_packing,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_exact_topk": op11_exact_topk,
+    "op12_cobucketed_pair": op12_cobucketed_pair,
+    "op13_exact_whitening": op13_exact_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_poisson_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_poisson_mixing": mixing.ORACLE, "op11_exact_topk": topk.ORACLE}
