@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from gateloom.llm.common import shards, slots
 
-#: Rows of a block, queries of a group at most.
-BLOCK, GROUP = 4096, 256
+#: Rows of a block, queries of a group at most, and queries that read a block's lists together: so many that their bounds stay in the processor's cache.
+BLOCK, GROUP, TOGETHER = 4096, 256, 64
 #: A query stops reading a block when so small a share of its rows (or 4 k rows) can still be among the best.
 FEW = 1 / 32
 #: A double is exact for whole numbers up to this.
@@ -153,7 +153,7 @@ def best_of_block(x: np.ndarray, order: np.ndarray, q: np.ndarray, own: np.ndarr
         else:
             upper = lower
         if n > k:
-            kth = np.partition(lower, n - k, axis=0)[n - k] if x.dtype == np.float64 else np.sort(lower, axis=0)[n - k]
+            kth = np.partition(np.ascontiguousarray(lower.T), n - k, axis=1)[:, n - k] if x.dtype == np.float64 else np.sort(lower, axis=0)[n - k]
             left = upper >= kth
         else:
             left = np.ones(lower.shape, bool)
@@ -163,7 +163,8 @@ def best_of_block(x: np.ndarray, order: np.ndarray, q: np.ndarray, own: np.ndarr
             out[who[j]] = rows, x[rows] @ q[j]
         if ready.all():
             break
-        q, up, down, who, own, lower = q[~ready], up[~ready], down[~ready], who[~ready], own[:, ~ready], lower[:, ~ready]
+        rest = np.nonzero(~ready)[0]
+        q, up, down, who, own, lower = q[rest], up[rest], down[rest], who[rest], own.take(rest, axis=1), lower.take(rest, axis=1)
     return out
 
 
@@ -181,7 +182,8 @@ def searched(rows: Iterable[pa.RecordBatch], k: int):
                 x, q = (np.array([[int(c) for c in v] for v in m.tolist()], object).reshape(m.shape) for m in (x, q))
             own = (ids[:, None] == q_ids[None, :]) & known[:, None]
             found: dict[str, list] = {"query_id": [], "key": [], "vec_id": [], "score": []}
-            for qid, key, (at, score) in zip(q_ids.tolist(), keys.tolist(), best_of_block(x, order, q, own, k)):
+            best = (r for i in range(0, len(q), TOGETHER) for r in best_of_block(x, order, q[i : i + TOGETHER], own[:, i : i + TOGETHER], k))
+            for qid, key, (at, score) in zip(q_ids.tolist(), keys.tolist(), best):
                 ranked = sorted((-int(s), not known[i], int(ids[i])) for i, s in zip(at.tolist(), score.tolist()))[:k]
                 found["query_id"] += [qid] * len(ranked)
                 found["key"] += [key] * len(ranked)
