@@ -1,4 +1,4 @@
-"""The folder that the driver and all executors see."""
+"""The folder that the driver and all executors see, and tables that are kept there between jobs."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -24,3 +24,38 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def local_form(path: str) -> str:
     """A path for open(): without file:."""
     return re.sub("^file:(//)?", "", path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Stages:
+    """Tables written between the rounds of an iteration, each under a name; writing a name anew removes what it held two writes ago.
+
+    The table before the last stays, as the last may still be compared with it. close() removes all but those named.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        df.write.parquet(path)
+        held = self.held.setdefault(name, [])
+        held.append(path)
+        while len(held) > 2:
+            removed(self.spark, held.pop(0))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self, *keep: str) -> None:
+        for name, paths in self.held.items():
+            for path in paths[:-1] if name in keep else paths:
+                removed(self.spark, path)

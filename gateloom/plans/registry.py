@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from gateloom.plans import analysis_queries, engine_queries, gate_queries, scalar_queries, source_queries, statistic_queries, surface_queries  # noqa: E402, F401
+from gateloom.plans import analysis_queries, engine_queries, gate_queries, method_queries, scalar_queries, source_queries, statistic_queries, surface_queries  # noqa: E402, F401
