@@ -20,6 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
+import re
+import shutil
 import uuid
 from collections.abc import Iterable
 from functools import reduce
@@ -166,27 +169,42 @@ def plan_of_files(entries: DataFrame) -> DataFrame:
     return rows.select("name", "bucket", F.sha2(text, 256).alias("lineage_sha256"), F.when(alone, F.get("e", 0)["file"]).alias("stays"))
 
 
-class Folder:
-    """A folder of any Hadoop file system."""
+class Files:
+    """Files below a path of any Hadoop file system, for numbers of files. A shared folder that is mounted is listed as such, which also shows the checksum files that Spark hides."""
 
     def __init__(self, spark: SparkSession, path: str):
-        sc = spark.sparkContext
-        self.make = sc._jvm.org.apache.hadoop.fs.Path
-        self.path, conf = path, sc._jsc.hadoopConfiguration()
-        self.fs = self.make(path).getFileSystem(conf)
-        self.plain = self.fs.getUri().getScheme() == "file" and sc._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(conf).getScheme() == "file"
-        if "LocalFileSystem" in self.fs.getClass().getName():
-            self.fs = self.fs.getRawFileSystem()  # which shows files of checksums too
-
-    def files(self) -> list[str]:
-        out, found = [], self.fs.listFiles(self.make(self.path), True) if self.fs.exists(self.make(self.path)) else None
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.path_of, conf = fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self.path_of(path).getFileSystem(conf)
+        self.mounted = self.fs.getUri().getScheme() == "file"
+        self.plain = self.mounted and fs.FileSystem.getDefaultUri(conf).getScheme() == "file"
+
+    def names(self, path: str) -> list[str]:
+        if self.mounted:
+            top = re.sub("^file:(//)?", "", path)
+            return [f"{'' if self.plain else 'file:'}{folder}/{name}" for folder, _, found in os.walk(top) for name in found]
+        out, found = [], self.fs.listFiles(self.path_of(path), True) if self.fs.exists(self.path_of(path)) else None
         while found is not None and found.hasNext():
-            at = found.next().getPath()
-            out.append(at.toUri().getPath() if self.plain else at.toString())
+            out.append(found.next().getPath().toString())
+        return out
+
+    def below(self, path: str) -> list[tuple[str, int | None, bool]]:
+        """path, the number in its folder's name (null: none), whether it is a data file."""
+        out = []
+        for text in self.names(path):
+            folder, name = text.rsplit("/", 2)[1:]
+            number = folder.rpartition("=")[2]
+            out.append((text, int(number) if "=" in folder and number.isdigit() else None, name.endswith(".parquet") and name[0] not in "._"))
         return out
 
     def remove(self, path: str) -> None:
-        self.fs.delete(self.make(path), True)
+        """A file, or a folder with all in it."""
+        if not self.mounted:
+            self.fs.delete(self.path_of(path), True)
+        elif os.path.isdir(path := re.sub("^file:(//)?", "", path)):
+            shutil.rmtree(path)
+        else:
+            os.remove(path)
 
 
 def co_bucketed(first: DataFrame, other: DataFrame, key: str = "sale_id", spread: str = "item_id", names: tuple[str, str] = ("sales", "sale_lines"), buckets: int = 600, page: int = PAGE) -> DataFrame:
@@ -231,19 +249,21 @@ def co_bucketed(first: DataFrame, other: DataFrame, key: str = "sale_id", spread
         name = free("bucket", tables[n])
         write_files(moved.select(*[F.col(f"`{c}`") for c in tables[n].columns], bucket.alias(name)), name, key, final[n])
 
-    paths = []
+    paths, files = [], Files(spark, top)
     for n in names:
-        for path in Folder(spark, start[n]).files():
-            data, at = path.endswith(".parquet"), path.rsplit("/", 2)[1].rpartition("=")[2]
-            if data and at.isdigit() and int(at) in stays[n]:
-                paths.append((n, stays[n][int(at)], path, False))
+        gone = set()
+        for path, at, data in files.below(start[n]):
+            if data and at in stays[n]:
+                paths.append((n, stays[n][at], path, False))
             else:
-                Folder(spark, start[n]).remove(path)
-        for path in Folder(spark, final[n]).files():
-            if path.endswith(".parquet"):
-                paths.append((n, int(path.rsplit("/", 2)[1].rpartition("=")[2]), path, True))
+                gone.add(path if at is None or at in stays[n] else path.rpartition("/")[0])
+        for path, at, data in files.below(final[n]):
+            if data:
+                paths.append((n, at, path, True))
             else:
-                Folder(spark, final[n]).remove(path)
+                gone.add(path)
+        for path in gone:
+            files.remove(path)
     where = spark.createDataFrame(paths, "name string, bucket int, path string, rewritten boolean")
     columns = reduce(lambda a, n: a.when(F.col("name") == n, F.lit(",".join(tables[n].columns))), names, F)
     return plan.join(F.broadcast(where), ["name", "bucket"]).select(F.col("name").alias("table_name"), "path", columns.alias("columns"), F.col("bucket").cast("bigint"), "n_rows", "n_joined", "ids_sha256", "lineage_sha256", "rewritten")
