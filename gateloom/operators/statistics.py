@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gateloom.core import order
+
 
 def where(x: Column, keep: Column | None) -> Column:
     return x if keep is None else F.when(keep, x)
@@ -75,24 +77,28 @@ def by_key(key: str) -> Column:
 
 
 def mad(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
-    """by, mad: the median of absolute deviations from the median, unscaled."""
-    middle = df.groupBy(*by).agg(F.median(x).alias("_m"))
-    joined = df.join(F.broadcast(middle), list(by)) if by else df.withColumn("_m", F.lit(df.agg(F.median(x)).first()[0]))  # a row for each group of samples
-    return joined.groupBy(*by).agg(F.coalesce(F.median(F.abs(F.col(x) - F.col("_m"))), F.lit(0.0)).alias("mad"))
+    """by, mad: the median of absolute deviations from the median, unscaled; 0 for a group without numbers."""
+    middle = order.order_statistics(df, by, [x], [0.5]).select(*by, F.col("value").alias("_m"))
+    groups = df.select(*by).distinct()
+    far = order.joined(df, middle, by).select(*by, F.abs(F.col(x) - F.col("_m")).alias("_d"))
+    found = order.order_statistics(far, by, ["_d"], [0.5]).select(*by, F.col("value").alias("mad"))
+    return order.joined(groups, found, by, "left").select(*by, F.coalesce("mad", F.lit(0.0)).alias("mad"))
+
+
+def quantiles(df: DataFrame, by: Sequence[str], x: str, names: dict[float, str], how: str = "linear") -> DataFrame:
+    """by and a column for each fraction, exact; 0 for a group without numbers."""
+    groups, found = df.select(*by).distinct(), order.wide_form(order.order_statistics(df, by, [x], list(names), how), by, names)
+    return order.joined(groups, found, by, "left").select(*by, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names.values()])
 
 
 def nearest_rank(df: DataFrame, by: Sequence[str], x: str, p: float, name: str = "value") -> DataFrame:
     """by, name: the order statistic at round(p / 100 (n - 1))."""
-    order = Window.partitionBy(*by).orderBy(x)
-    ranked = df.where(F.col(x).isNotNull()).select(*by, x, (F.row_number().over(order) - 1).alias("_r"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
-    return ranked.where(F.col("_r") == F.floor(F.lit(p / 100.0) * (F.col("_n") - 1) + 0.5)).select(*by, F.col(x).alias(name))
+    return order.order_statistics(df, by, [x], [p / 100.0], "nearest").select(*by, F.col("value").alias(name))
 
 
 def floor_rank(df: DataFrame, by: Sequence[str], x: str, p: float, name: str = "value") -> DataFrame:
     """by, name: the order statistic at floor(p / 100 (n - 1))."""
-    order = Window.partitionBy(*by).orderBy(x)
-    ranked = df.where(F.col(x).isNotNull()).select(*by, x, (F.row_number().over(order) - 1).alias("_r"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
-    return ranked.where(F.col("_r") == F.floor(F.lit(p / 100.0) * (F.col("_n") - 1))).select(*by, F.col(x).alias(name))
+    return order.order_statistics(df, by, [x], [p / 100.0], "floor").select(*by, F.col("value").alias(name))
 
 
 def upper_median(x: Column) -> Column:
@@ -101,7 +107,6 @@ def upper_median(x: Column) -> Column:
 
 
 def average_ranks(df: DataFrame, x: str, name: str = "rank") -> DataFrame:
-    """df with ranks over all rows, ties sharing the mean of theirs, and the number of ties; the ranks of distinct values are counted, not rows."""
-    ties = df.groupBy(x).agg(F.count("*").alias("_t"))
-    before = ties.withColumn("_b", F.coalesce(F.sum("_t").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return df.join(before, x).withColumn(name, F.col("_b") + (F.col("_t") + 1) / 2).withColumnRenamed("_t", "ties").drop("_b")
+    """df with ranks over all rows, ties sharing the mean of theirs, and the number of ties; distinct values are summed up by ranges, rows are only joined with them."""
+    ties = order.running(df.groupBy(x).agg(F.count("*").alias("_t")), [], [x], F.col("_t"), "_b")
+    return df.join(ties, x).withColumn(name, F.col("_b") + (F.col("_t") + 1) / 2).withColumnRenamed("_t", "ties").drop("_b")

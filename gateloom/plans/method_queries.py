@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gateloom.core.bind import EVENTS_CTE, LINEITEM_CTE, lineitem_events, stream_events, vector_events
+from gateloom.core.bind import EVENTS_CTE, LINEITEM_CTE, lineitem_events, stream_events, table, vector_events
+from gateloom.core.order import numbered
 from gateloom.functions.scales import Scale
-from gateloom.operators import bayes, umap
+from gateloom.operators import bayes, beads, density, stability, umap
 from gateloom.operators.gates import Gate, Population
 from gateloom.plans.registry import query
 from gateloom.sources import wsp
@@ -72,3 +73,71 @@ def workspace_members(spark, sf_dir):
     """Row numbers of each population, as an import hands them on; summed up here."""
     m = wsp.memberships(lineitem_events(spark, sf_dir, with_index=True), round_trip(["AF", "NF", "NO", "RF", "RO", "AO"]))
     return m.groupBy("sample", "population").agg(F.count("*").alias("count"), F.sum("row_index").alias("places"))
+
+
+# ---- densities, calibration, stability ----
+
+GRID = 128
+BINNED = (
+    STREAM
+    + ", q AS (SELECT sample, count(*) AS n, min(fl1_a) AS a, max(fl1_a) AS b, stddev_samp(fl1_a) AS sd, (quantile_cont(fl1_a, 0.75::DOUBLE) - quantile_cont(fl1_a, 0.25::DOUBLE)) / 1.34::DOUBLE AS iqr FROM ev GROUP BY sample),"
+    + " h AS (SELECT sample, n, a, b, 0.9::DOUBLE * (CASE WHEN iqr > 0 AND sd > 0 THEN least(iqr, sd) WHEN sd > 0 THEN sd ELSE 1 END) * pow(n, -0.2::DOUBLE) AS h FROM q),"
+    + f" g AS (SELECT sample, n, h, a - 3 * h AS start, (b + 3 * h - (a - 3 * h)) / {GRID - 1} AS step FROM h),"
+    + f" p AS (SELECT sample, (fl1_a - start) / step AS pl, least(floor((fl1_a - start) / step), {GRID - 2})::BIGINT AS i FROM ev JOIN g USING (sample)),"
+    + " w AS (SELECT sample, i, i + 1 - pl AS w FROM p UNION ALL SELECT sample, i + 1, pl - i FROM p),"
+    + " s AS (SELECT sample, i, sum(w) AS w FROM w GROUP BY ALL HAVING sum(w) > 0)"
+)
+
+
+@query("density_binned", BINNED + " SELECT sample, i, round(w, 4) AS w, round(start + step * i, 4) AS x FROM s JOIN g USING (sample)")
+def density_binned(spark, sf_dir):
+    """What a density keeps of the data: a grid that values share out their weight on."""
+    b = density.binned(stream_events(spark, sf_dir), ["sample"], "fl1_a", GRID)
+    return b.select("sample", "i", F.round("w", 4).alias("w"), F.round(F.col("start") + F.col("step") * F.col("i"), 4).alias("x"))
+
+
+@query("density_curve", BINNED + f", o AS (SELECT unnest(range({GRID}))::BIGINT AS k), d AS (SELECT g.sample, k, sum(CASE WHEN abs(i - k) <= greatest(1, ceil(8 * h / step)) THEN w * exp(-0.5::DOUBLE * pow((i - k) * step / h, 2)) ELSE 0 END) / max(h * sqrt(2 * pi()) * n) AS density FROM g JOIN s USING (sample), o GROUP BY g.sample, k) SELECT sample, k, round(density, 6) AS density FROM d")
+def density_curve(spark, sf_dir):
+    d = density.density(stream_events(spark, sf_dir), ["sample"], "fl1_a", GRID)
+    low = d.groupBy("sample").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    k = F.round((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * (GRID - 1)).cast("bigint")
+    return d.join(low, "sample").select("sample", k.alias("k"), F.round("density", 6).alias("density"))
+
+
+@query("density_nested")
+def density_nested(spark, sf_dir):
+    """A population and one inside it, as shares of all events of the sample."""
+    ev = stream_events(spark, sf_dir)
+    return density.nested_density(ev, {"Upper": F.col("fl2_a") > 20, "Upper/Bright": (F.col("fl2_a") > 20) & (F.col("fl1_a") > 50)}, "fl1_a", points=64)
+
+
+@query("density_surface")
+def density_surface(spark, sf_dir):
+    return density.density_2d(lineitem_events(spark, sf_dir), ["sample"], "fsc_a", "ssc_a", 32)
+
+
+@query("bead_calibration")
+def bead_calibration(spark, sf_dir):
+    """Beads made of the order lines: the line's number decides the population, its price the scatter within; so known values come back."""
+    ev = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 5")
+    noise = F.exp((F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(2001)) / 1000.0 - 1) * 0.08)
+    known = [400.0, 1600.0, 6400.0, 25600.0, 102400.0]
+    beads_ = ev.select((F.element_at(F.array(*map(F.lit, known)), F.col("l_linenumber").cast("int")) / 3 * noise).alias("fl1_a"), F.col("l_quantity").cast("double").alias("fl2_a"))
+    return beads.calibrated(beads_, {"fl1_a": known, "fl2_a": [1.0, None, 2.0]})
+
+
+def acquired(spark, sf_dir):
+    """Events of a sample, numbered in the order of their time."""
+    ev = stream_events(spark, sf_dir).withColumnRenamed("row_index", "event_id")
+    return numbered(ev, ["sample"], ["time", "event_id"])
+
+
+@query("qc_stability_bins")
+def qc_stability_bins(spark, sf_dir):
+    return stability.bin_verdicts(acquired(spark, sf_dir), ["fl1_a"])
+
+
+@query("qc_stability_kept")
+def qc_stability_kept(spark, sf_dir):
+    ev = acquired(spark, sf_dir)
+    return stability.stable(ev, stability.bin_verdicts(ev, ["fl1_a"])).groupBy("sample").agg(F.count("*").alias("kept"), F.min("row_index").alias("first"), F.max("row_index").alias("last"))

@@ -19,15 +19,27 @@ def by_sample(source, **aggregates):
     return lambda spark, sf_dir: source(spark, sf_dir).groupBy("sample").agg(*[F.round(f(F.col("fl1_a")), 6).alias(k) for k, f in aggregates.items()])
 
 
+def quantiles(spark, sf_dir, names: dict[float, str], digits: int = 6):
+    """Exact quantiles of fl1_a by sample."""
+    q = statistics.quantiles(stream_events(spark, sf_dir), ["sample"], "fl1_a", names)
+    return q.select("sample", *[F.round(n, digits).alias(n) for n in names.values()])
+
+
 def ratio_sql(a: str, b: str) -> str:
     return f"CASE WHEN ({b}) = 0 THEN 0 ELSE ({a}) / ({b}) END"
 
 
 RSD = "(quantile_cont(fl1_a, 0.8413::DOUBLE) - quantile_cont(fl1_a, 0.1587::DOUBLE)) / 2"
-query("stat_mean_median", STREAM + " SELECT sample, round(avg(fl1_a), 6) AS mean, round(median(fl1_a), 6) AS median FROM ev GROUP BY sample")(by_sample(stream_events, mean=statistics.mean, median=statistics.median))
+query("stat_mean_median", STREAM + " SELECT sample, round(avg(fl1_a), 6) AS mean, round(median(fl1_a), 6) AS median FROM ev GROUP BY sample")(
+    lambda spark, sf_dir: by_sample(stream_events, mean=statistics.mean)(spark, sf_dir).join(quantiles(spark, sf_dir, {0.5: "median"}), "sample")
+)
 query("stat_sd_cv", STREAM + " SELECT sample, round(stddev_pop(fl1_a), 6) AS sd, round(100 * stddev_pop(fl1_a) / avg(fl1_a), 6) AS cv FROM ev GROUP BY sample")(by_sample(stream_events, sd=statistics.sd, cv=statistics.cv))
-query("stat_rsd_rcv", STREAM + f" SELECT sample, round({RSD}, 6) AS rsd, round(100 * {RSD} / median(fl1_a), 6) AS rcv FROM ev GROUP BY sample")(by_sample(stream_events, rsd=statistics.rsd, rcv=statistics.rcv))
-query("stat_percentiles", STREAM + " SELECT sample, round(quantile_cont(fl1_a, 0.05::DOUBLE), 6) AS p5, round(quantile_cont(fl1_a, 0.333::DOUBLE), 6) AS p33, round(quantile_cont(fl1_a, 1.0::DOUBLE), 6) AS p100 FROM ev GROUP BY sample")(by_sample(stream_events, p5=lambda x: statistics.percentile(x, 5), p33=lambda x: statistics.percentile(x, 33.3), p100=lambda x: statistics.percentile(x, 140)))
+query("stat_rsd_rcv", STREAM + f" SELECT sample, round({RSD}, 6) AS rsd, round(100 * {RSD} / median(fl1_a), 6) AS rcv FROM ev GROUP BY sample")(
+    lambda spark, sf_dir: quantiles(spark, sf_dir, {0.1587: "low", 0.5: "mid", 0.8413: "high"}, 15).select("sample", F.round((F.col("high") - F.col("low")) / 2, 6).alias("rsd"), F.round(F.lit(100.0) * statistics.ratio((F.col("high") - F.col("low")) / 2, F.col("mid")), 6).alias("rcv"))
+)
+query("stat_percentiles", STREAM + " SELECT sample, round(quantile_cont(fl1_a, 0.05::DOUBLE), 6) AS p5, round(quantile_cont(fl1_a, 0.333::DOUBLE), 6) AS p33, round(quantile_cont(fl1_a, 1.0::DOUBLE), 6) AS p100 FROM ev GROUP BY sample")(
+    lambda spark, sf_dir: quantiles(spark, sf_dir, {0.05: "p5", 0.333: "p33", 1.0: "p100"})
+)
 query("stat_min_max", CUSTOMER + " SELECT sample, round(min(fl1_a), 6) AS least, round(max(fl1_a), 6) AS most FROM ev GROUP BY sample")(by_sample(customer_events, least=F.min, most=F.max))
 query("stat_geomean", CUSTOMER + " SELECT sample, round(exp(avg(CASE WHEN fl1_a > 0 THEN ln(CASE WHEN fl1_a > 0 THEN fl1_a END) END)), 4) AS geomean, count_if(fl1_a <= 0) AS excluded, count(*) AS total FROM ev GROUP BY sample")(
     lambda spark, sf_dir: customer_events(spark, sf_dir).groupBy("sample").agg(F.round(statistics.geomean(F.col("fl1_a")), 4).alias("geomean"), F.count_if(F.col("fl1_a") <= 0).alias("excluded"), F.count("*").alias("total"))
@@ -36,7 +48,7 @@ query("stat_correlation", VECTOR + " SELECT cluster, round(CASE WHEN stddev_pop(
     lambda spark, sf_dir: vector_events(spark, sf_dir).groupBy("cluster").agg(F.round(statistics.correlation(F.col("e0"), F.col("e1")), 6).alias("r"), statistics.correlation(F.col("e0"), F.lit(5.0)).alias("constant"))
 )
 query("stat_box_plot", STREAM + " SELECT sample, quantile_cont(fl1_a, 0.0::DOUBLE) AS low, quantile_cont(fl1_a, 0.25::DOUBLE) AS q1, quantile_cont(fl1_a, 0.5::DOUBLE) AS mid, quantile_cont(fl1_a, 0.75::DOUBLE) AS q3, quantile_cont(fl1_a, 1.0::DOUBLE) AS high FROM ev GROUP BY sample")(
-    lambda spark, sf_dir: stream_events(spark, sf_dir).groupBy("sample").agg(F.percentile("fl1_a", [0.0, 0.25, 0.5, 0.75, 1.0]).alias("p")).select("sample", *[F.col("p")[i].alias(n) for i, n in enumerate(("low", "q1", "mid", "q3", "high"))])
+    lambda spark, sf_dir: quantiles(spark, sf_dir, {0.0: "low", 0.25: "q1", 0.5: "mid", 0.75: "q3", 1.0: "high"}, 15)
 )
 
 
