@@ -2,10 +2,15 @@
 
     spark.dataSource.register(FcsSource)
     spark.read.format("fcs").load("/data/*.fcs")              # sample, row_index, a double column for each channel
+    spark.read.format("fcs").schema("sample string, row_index bigint, `FSC-A` double").load(...)  # only these channels are decoded
     spark.read.format("fcs").option("what", "keywords").load(...)  # sample, keyword, value
+    spark.read.format("fcs").option("what", "files").load(...)  # sample, path, events, bytes, error: which files can't be read, and why
+
+A file is cut into ranges of events of splitBytes (64 MB) at most, each a partition that reads its own bytes only. Unreadable files are an error, or with option
+onBad = skip are left out (what = files names them either way).
 
 The data source opens paths as files, for local and mounted stores. read_events() and read_keywords() go through Spark's own
-reader of binary files, and so through any store that Spark reads.
+reader of binary files, and so through any store that Spark reads, one file a row.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from gateloom.core.order import joined
+
 SCATTER = re.compile("FSC|SSC|Time|Width|Event", re.I)
 
 
@@ -54,36 +61,51 @@ def channels(words: Mapping[str, str]) -> list[tuple[str, str]]:
     return [(words.get(f"$P{i}N") or f"P{i}", words.get(f"$P{i}S", "")) for i in range(1, int(words.get("$PAR", 0)) + 1)]
 
 
-def matrix(data: bytes, words: Mapping[str, str] | None = None) -> np.ndarray:
-    """Events x parameters as float64: list mode of floats, doubles, or integers of 8 to 64 bits, masked to their range."""
-    words = words or keywords(data)
+def row_type(words: Mapping[str, str]) -> np.dtype:
+    """An event's bytes: list mode of floats, doubles, or integers of 8 to 64 bits."""
     if words.get("$MODE", "L").upper() != "L":
         raise ValueError("only list mode is read")
-    par, tot, kind = int(words["$PAR"]), int(words["$TOT"]), words.get("$DATATYPE", "F").upper()
+    par, kind = int(words["$PAR"]), words.get("$DATATYPE", "F").upper()
     order = "<" if words.get("$BYTEORD", "1,2,3,4").startswith("1") else ">"
-    start = segment(data, 1)[0] or int(words["$BEGINDATA"])
-    if kind in "FD":
-        return np.frombuffer(data, f"{order}f{4 if kind == 'F' else 8}", par * tot, start).reshape(tot, par).astype(float)
+    if kind in ("F", "D"):
+        return np.dtype([(f"p{i}", f"{order}f{4 if kind == 'F' else 8}") for i in range(par)])
     if kind != "I":
         raise ValueError(f"data type {kind} is not read")
     bits = [int(words[f"$P{i}B"]) for i in range(1, par + 1)]
     if any(b not in (8, 16, 32, 64) for b in bits):
         raise ValueError("integers of other than 8, 16, 32 or 64 bits are not read")
-    rows = np.frombuffer(data, np.dtype([(f"p{i}", f"{order}u{b // 8}") for i, b in enumerate(bits)]), tot, start)
-    out = np.empty((tot, par))
-    for i, b in enumerate(bits):
-        top = int(float(words.get(f"$P{i + 1}R", 0)))
-        mask = (1 << (top - 1).bit_length()) - 1 if 0 < top < 1 << b else (1 << b) - 1
-        out[:, i] = rows[f"p{i}"] & np.array(mask, rows.dtype[i])
-    return out
+    return np.dtype([(f"p{i}", f"{order}u{b // 8}") for i, b in enumerate(bits)])
 
 
-def written(events: np.ndarray, names: Sequence[str], markers: Sequence[str] | None = None, extra: Mapping[str, str] | None = None) -> bytes:
-    """An FCS 3.1 file of little-endian 32-bit floats; offsets beyond eight digits stand in the text only."""
-    data = np.ascontiguousarray(events, "<f4").tobytes()
-    words = {"$BEGINANALYSIS": "0", "$ENDANALYSIS": "0", "$BEGINSTEXT": "0", "$ENDSTEXT": "0", "$NEXTDATA": "0", "$MODE": "L", "$DATATYPE": "F", "$BYTEORD": "1,2,3,4", "$PAR": str(len(names)), "$TOT": str(len(events))}
-    for i, n in enumerate(names, 1):
-        words |= {f"$P{i}N": n, f"$P{i}B": "32", f"$P{i}E": "0,0", f"$P{i}R": "262144"}
+def decoded(rows: np.ndarray, words: Mapping[str, str], i: int) -> np.ndarray:
+    """Parameter i (from 0) of rows as doubles, integers masked to their range."""
+    v = rows[f"p{i}"]
+    if v.dtype.kind == "f":
+        return v.astype(float)
+    b = 8 * v.dtype.itemsize
+    top = int(float(words.get(f"$P{i + 1}R", 0)))
+    mask = (1 << (top - 1).bit_length()) - 1 if 0 < top < 1 << b else (1 << b) - 1
+    return (v & np.array(mask, v.dtype)).astype(float)
+
+
+def data_start(head: bytes, words: Mapping[str, str]) -> int:
+    return segment(head, 1)[0] or int(words["$BEGINDATA"])
+
+
+def matrix(data: bytes, words: Mapping[str, str] | None = None) -> np.ndarray:
+    """Events x parameters as float64."""
+    words = words or keywords(data)
+    kind, tot = row_type(words), int(words["$TOT"])
+    rows = np.frombuffer(data, kind, tot, data_start(data, words)) if tot else np.zeros(0, kind)
+    return np.stack([decoded(rows, words, i) for i in range(len(kind))], axis=1) if len(kind) else np.empty((tot, 0))
+
+
+def head_of(n: int, names: Sequence[str], markers: Sequence[str] | None = None, extra: Mapping[str, str] | None = None) -> bytes:
+    """Header and text of an FCS 3.1 file of n events of little-endian 32-bit floats; offsets beyond eight digits stand in the text only."""
+    size = 4 * n * len(names)
+    words = {"$BEGINANALYSIS": "0", "$ENDANALYSIS": "0", "$BEGINSTEXT": "0", "$ENDSTEXT": "0", "$NEXTDATA": "0", "$MODE": "L", "$DATATYPE": "F", "$BYTEORD": "1,2,3,4", "$PAR": str(len(names)), "$TOT": str(n)}
+    for i, name in enumerate(names, 1):
+        words |= {f"$P{i}N": name, f"$P{i}B": "32", f"$P{i}E": "0,0", f"$P{i}R": "262144"}
         if markers and markers[i - 1]:
             words[f"$P{i}S"] = markers[i - 1]
     words |= dict(extra or {})
@@ -92,22 +114,29 @@ def written(events: np.ndarray, names: Sequence[str], markers: Sequence[str] | N
         full = words | {"$BEGINDATA": str(begin), "$ENDDATA": str(end)}
         text = ("/" + "".join(f"{k}/{v.replace('/', '//')}/" for k, v in full.items())).encode()
         a = 58 + len(text)
-        b = a + len(data) - 1 if data else 0
+        b = a + size - 1 if size else 0
         if (a, b) == (begin, end):
             break
         begin, end = a, b
     place = lambda v: f"{v if v <= 99_999_999 else 0:>8}"
     header = "FCS3.1    " + place(58) + place(58 + len(text) - 1) + place(begin) + place(end) + place(0) + place(0)
-    return header.encode() + text + data
+    return header.encode() + text
+
+
+def written(events: np.ndarray, names: Sequence[str], markers: Sequence[str] | None = None, extra: Mapping[str, str] | None = None) -> bytes:
+    """A whole file."""
+    return head_of(len(events), names, markers, extra) + np.ascontiguousarray(events, "<f4").tobytes()
 
 
 def sample_name(path: str) -> str:
     return re.sub(r"(?i)\.fcs$", "", path.rstrip("/").rsplit("/", 1)[-1])
 
 
-class OneFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class Part(InputPartition):
+    """Events first to last (excluded) of a file whose data begin at start; words are its keywords."""
+
+    def __init__(self, path: str, words: dict[str, str], start: int = 0, first: int = 0, last: int = 0, error: str | None = None):
+        self.path, self.words, self.start, self.first, self.last, self.error = path, words, start, first, last, error
 
 
 def found(path: str, recursive: bool) -> list[str]:
@@ -120,46 +149,80 @@ def found(path: str, recursive: bool) -> list[str]:
     return files
 
 
-def panel(files: Sequence[str]) -> list[tuple[str, str]]:
+def opened(path: str) -> Part:
+    """All events of a file, by its header and text alone; what is wrong with it is its error."""
+    try:
+        with open(path, "rb") as f:
+            head = f.read(58)
+            if head[:3] != b"FCS":
+                raise ValueError("not an FCS file")
+            a, b = segment(head, 0)
+            f.seek(a)
+            words = parsed_text(f.read(b - a + 1))
+        start, n, width = data_start(head, words), int(words["$TOT"]), row_type(words).itemsize
+        if start + n * width > os.path.getsize(path):
+            raise ValueError(f"{n} events of {width} bytes don't fit in the file")
+        return Part(path, words, start, 0, n)
+    except (OSError, ValueError, KeyError) as e:
+        return Part(path, {}, error=f"{type(e).__name__}: {e}")
+
+
+def readable(files: Sequence[str], skip: bool) -> list[Part]:
+    """The files that can be read; without skip a bad one is an error."""
+    parts = [opened(f) for f in files]
+    bad = [f"{p.path} ({p.error})" for p in parts if p.error]
+    if bad and not skip:
+        raise ValueError("unreadable: " + ", ".join(bad))
+    return [p for p in parts if not p.error]
+
+
+def panel(parts: Sequence[Part]) -> list[tuple[str, str]]:
     """The channels that all files share; files of different channel layouts are rejected."""
     seen: dict[tuple[str, ...], str] = {}
-    first: list[tuple[str, str]] = []
-    for f in files:
-        with open(f, "rb") as g:
-            head = g.read(58)
-            a, b = segment(head, 0)
-            g.seek(a)
-            own = channels(parsed_text(g.read(b - a + 1)))
-        first = first or own
-        seen.setdefault(tuple(n for n, _ in own), f)
+    for p in parts:
+        seen.setdefault(tuple(n for n, _ in channels(p.words)), p.path)
         if len(seen) > 1:
             raise ValueError("files differ in channel layout: " + ", ".join(seen.values()))
-    return first
+    return channels(parts[0].words) if parts else []
+
+
+def ranges(part: Part, size: int) -> list[Part]:
+    """Pieces of a file of size bytes at most, whole events each."""
+    step = max(1, size // max(1, row_type(part.words).itemsize))
+    return [Part(part.path, part.words, part.start, a, min(a + step, part.last)) for a in range(0, part.last, step)]
 
 
 class FcsReader(DataSourceReader):
-    def __init__(self, files: list[str], what: str, names: list[str]):
-        self.files, self.what, self.names = files, what, names
+    def __init__(self, files: list[str], what: str, names: list[str], skip: bool, size: int):
+        self.files, self.what, self.names, self.skip, self.size = files, what, names, skip, size
 
     def partitions(self) -> list[InputPartition]:
-        return [OneFile(f) for f in self.files]
-
-    def read(self, partition: OneFile) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
-            data = f.read()
-        words, sample = keywords(data), sample_name(partition.path)
+        if self.what == "files":
+            return [opened(f) for f in self.files]
+        parts = readable(self.files, self.skip)
+        return [r for p in parts for r in ranges(p, self.size)] if self.what == "events" else parts
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        words, sample = part.words, sample_name(part.path)
+        if self.what == "files":
+            yield pa.RecordBatch.from_pylist([{"sample": sample, "path": part.path, "events": None if part.error else part.last, "bytes": os.path.getsize(part.path), "error": part.error}], pa.schema([("sample", pa.string()), ("path", pa.string()), ("events", pa.int64()), ("bytes", pa.int64()), ("error", pa.string())]))
+            return
         if self.what == "keywords":
             yield pa.RecordBatch.from_arrays([pa.array([sample] * len(words)), pa.array(list(words)), pa.array(list(words.values()))], names=["sample", "keyword", "value"])
             return
-        events = matrix(data, words)
-        for a in range(0, len(events), 50_000):
-            part = events[a : a + 50_000]
-            cols = [pa.array(np.ascontiguousarray(part[:, i]), from_pandas=True) for i in range(part.shape[1])]  # NaN becomes null
-            yield pa.RecordBatch.from_arrays([pa.array([sample] * len(part)), pa.array(np.arange(a, a + len(part))), *cols], names=["sample", "row_index", *self.names])
+        kind, own = row_type(words), [n for n, _ in channels(words)]
+        with open(part.path, "rb") as f:
+            f.seek(part.start + part.first * kind.itemsize)
+            for a in range(part.first, part.last, 50_000):
+                n = min(50_000, part.last - a)
+                rows = np.frombuffer(f.read(n * kind.itemsize), kind, n)
+                columns = {"sample": lambda: pa.array([sample] * n), "row_index": lambda: pa.array(np.arange(a, a + n))}
+                cols = [columns[c]() if c in columns else pa.array(decoded(rows, words, own.index(c)), from_pandas=True) for c in self.names]  # NaN becomes null
+                yield pa.RecordBatch.from_arrays(cols, names=self.names)
 
 
 class FcsSource(DataSource):
-    """Format "fcs": options path, recursive (false), what (events or keywords)."""
+    """Format "fcs": options path, recursive (false), what (events, keywords or files), onBad (fail or skip), splitBytes. A schema of some of the columns is read as such."""
 
     @classmethod
     def name(cls) -> str:
@@ -168,13 +231,25 @@ class FcsSource(DataSource):
     def files(self) -> list[str]:
         return found(self.options["path"], self.options.get("recursive", "false").lower() == "true")
 
+    def skip(self) -> bool:
+        return self.options.get("onBad", "fail").lower() == "skip"
+
     def schema(self) -> str:
-        if self.options.get("what", "events") == "keywords":
+        what = self.options.get("what", "events")
+        if what == "keywords":
             return "sample string, keyword string, value string"
-        return "sample string, row_index bigint, " + ", ".join(f"`{n}` double" for n, _ in panel(self.files()))
+        if what == "files":
+            return "sample string, path string, events bigint, bytes bigint, error string"
+        return "sample string, row_index bigint, " + ", ".join(f"`{n}` double" for n, _ in panel(readable(self.files(), self.skip())))
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return FcsReader(self.files(), self.options.get("what", "events"), schema.fieldNames()[2:])
+        names, what = schema.fieldNames(), self.options.get("what", "events")
+        files = self.files()
+        if what == "events":
+            have = {"sample", "row_index", *(n for n, _ in panel(readable(files, self.skip())))}
+            if missing := [n for n in names if n not in have]:
+                raise ValueError("no such channel: " + ", ".join(missing))
+        return FcsReader(files, what, names, self.skip(), int(self.options.get("splitBytes", 1 << 26)))
 
 
 def read_keywords(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
@@ -227,19 +302,42 @@ def channel_table(words: DataFrame) -> DataFrame:
 def write_files(events: DataFrame, names: Sequence[str], folder: str) -> DataFrame:
     """sample, file, events: one FCS file for each sample, written by the task that holds it, rows in order. folder is one that all executors see.
 
-    A file is one object in memory, so a sample must fit in a task.
+    Events are sorted by Spark and stream through the task, so a sample may be larger than its memory; the counts, which a file has at its head, are a row for each sample.
     """
     wanted = list(names)
+    rows = joined(events.select("sample", "row_index", *wanted), events.groupBy("sample").agg(F.count("*").alias("_n")), ["sample"])
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("row_index")
-        path = os.path.join(folder, f"{key[0]}.fcs")
-        part = f"{path}.{os.getpid()}.part"  # a task that is run again leaves a whole file
-        with open(part, "wb") as f:
-            f.write(written(pdf[wanted].to_numpy(float), wanted))
-        os.replace(part, path)
-        return pd.DataFrame({"sample": [key[0]], "file": [path], "events": [len(pdf)]})
-
-    return events.select("sample", "row_index", *wanted).groupBy("sample").applyInPandas(run, "sample string, file string, events bigint")
+    def run(batches):
+        at, out, part, path, done = None, None, "", "", []
+
+        def close():
+            if out is not None:
+                out.close()
+                os.replace(part, path)
+
+        try:
+            for b in batches:
+                names_ = b.column("sample").to_pylist()
+                edges = [0, *(i for i in range(1, len(names_)) if names_[i] != names_[i - 1]), len(names_)]
+                for x, y in zip(edges[:-1], edges[1:]):
+                    if y > x and (out is None or names_[x] != at):
+                        close()
+                        at, path = names_[x], os.path.join(folder, f"{names_[x]}.fcs")
+                        part = f"{path}.{os.getpid()}.part"  # a task that is run again leaves a whole file
+                        out = open(part, "wb")  # noqa: SIM115
+                        n = b.column("_n")[x].as_py()
+                        out.write(head_of(n, wanted))
+                        done.append((at, path, n))
+                    if y > x:
+                        block = b.slice(x, y - x)
+                        out.write(np.stack([block.column(c).to_numpy(zero_copy_only=False).astype("<f4") for c in wanted], axis=1).tobytes())
+            close()
+            out = None
+        finally:
+            if out is not None:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["sample", "file", "events"])
+
+    ordered = rows.repartition(parts, "sample").sortWithinPartitions("sample", "row_index")
+    return ordered.mapInArrow(run, "sample string, file string, events bigint")

@@ -47,6 +47,39 @@ def test_source_and_mixed_panels(spark, tmp_path):
         spark.read.format("fcs").load(str(tmp_path / "none")).count()
 
 
+def test_ranges_columns_and_bad_files(spark, tmp_path):
+    """A file of many partitions; only the wanted channels are read; files that can't be read are reported, and skipped if asked."""
+    big = np.arange(3000.0).reshape(1000, 3)
+    (tmp_path / "big.fcs").write_bytes(fcs.written(big, ["x", "y", "z"]))
+    (tmp_path / "bad.fcs").write_bytes(b"not one")
+    whole = fcs.written(X, ["x", "y", "z"])
+    (tmp_path / "cut.fcs").write_bytes(whole[:-4])
+    spark.dataSource.register(fcs.FcsSource)
+    read = spark.read.format("fcs").option("onBad", "skip").option("splitBytes", "1200")
+    df = read.load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == 10
+    got = df.orderBy("row_index").toPandas()
+    assert (got[["x", "y", "z"]].to_numpy() == big).all() and got["row_index"].tolist() == list(range(1000)) and set(got["sample"]) == {"big"}
+    some = read.schema("z double, sample string").load(str(tmp_path))
+    assert some.columns == ["z", "sample"] and some.agg(F.sum("z")).first()[0] == big[:, 2].sum()
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "z#" in plan and "x#" not in plan and "row_index" not in plan
+    with pytest.raises(Exception, match="no such channel"):
+        read.schema("q double").load(str(tmp_path)).count()
+    with pytest.raises(Exception, match="unreadable"):
+        spark.read.format("fcs").load(str(tmp_path)).count()
+    report = {r["sample"]: r for r in spark.read.format("fcs").option("what", "files").load(str(tmp_path)).collect()}
+    assert report["big"]["events"] == 1000 and report["big"]["error"] is None and "not an FCS file" in report["bad"]["error"] and "don't fit" in report["cut"]["error"]
+
+
+def test_written_files_stream(spark, tmp_path):
+    ev = spark.range(700).select((F.col("id") % 3).cast("string").alias("sample"), F.floor(F.col("id") / 3).alias("row_index"), F.col("id").cast("double").alias("x")).repartition(7)
+    made = {r["sample"]: r for r in fcs.write_files(ev, ["x"], str(tmp_path)).collect()}
+    assert {k: r["events"] for k, r in made.items()} == {"0": 234, "1": 233, "2": 233} and sorted(p.name for p in tmp_path.iterdir()) == ["0.fcs", "1.fcs", "2.fcs"]
+    assert fcs.matrix((tmp_path / "1.fcs").read_bytes())[:, 0].tolist() == [float(i) for i in range(1, 700, 3)]
+    assert fcs.write_files(ev.limit(0), ["x"], str(tmp_path)).count() == 0
+
+
 def test_workspace(tmp_path):
     f = tmp_path / "s.fcs"
     f.write_bytes(b"")
