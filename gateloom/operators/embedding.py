@@ -1,7 +1,9 @@
-"""Embeddings, clustering and classification; methods that don't scale run on a stated, bounded sample and say so."""
+"""Embeddings, clustering and classification of all rows; only t-SNE, which is exact, runs on a stated, bounded sample."""
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,11 +14,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gateloom.core.order import running
+from gateloom.core.shared import Stages
 from gateloom.functions.scalars import asinh
-from gateloom.operators import models
+from gateloom.operators import graphs, maps, models
 from gateloom.operators.analysis import equal_sample, percentile_box, positivity_filter
+from gateloom.operators.neighbours import neighbour_graph
 
-#: Rows that a method without a distributed form is fitted on, at most.
+#: Rows that t-SNE is fitted on, at most; umap.py lays out all.
 FIT_ROWS = 5_000
 
 
@@ -57,12 +62,6 @@ def mixture_clusters(events: DataFrame, features: Sequence[str], k: int, row: st
     return out.select(row, "label", F.array_max(vector_to_array("_p")).alias("confidence"))
 
 
-def fit_sample(events: DataFrame, features: Sequence[str], row: str, n: int = FIT_ROWS) -> np.ndarray:
-    """At most n rows by hash of their number, in the order of it."""
-    rows = events.select(row, *features).orderBy(F.xxhash64(row), row).limit(n).select(*features).toPandas()
-    return rows.to_numpy(float)
-
-
 def assigned(events: DataFrame, features: Sequence[str], codes: np.ndarray, label: np.ndarray, row: str) -> DataFrame:
     """row, label of the nearest code for every row; the codes go along, a bounded number."""
     names = list(features)
@@ -78,45 +77,71 @@ def assigned(events: DataFrame, features: Sequence[str], codes: np.ndarray, labe
 
 
 def som_clusters(events: DataFrame, features: Sequence[str], k: int, row: str = "row_index", side: int = 10, seed: int = 42) -> DataFrame:
-    """row, label: a self-organising map fitted on a sample, its codes merged to k, and all rows assigned."""
-    s = scaled(events, features)
-    codes = models.som(fit_sample(s, features, row), side, seed=seed)
+    """row, label: a self-organising map of all rows, its codes merged to k, each row with its code's label."""
+    stages = Stages(events.sparkSession)
+    s = stages.store(scaled(complete(events, features, row), features), "map-rows")
+    if not s.take(1):
+        return s.select(row, F.lit(0).alias("label"))
+    codes = maps.map_codes(s, features, side, seed=seed)
     return assigned(s, features, codes, models.merged_codes(codes, k), row)
 
 
-def graph_clusters(events: DataFrame, features: Sequence[str], neighbours: int = 30, row: str = "row_index", seed: int = 0) -> DataFrame:
-    """row, label: communities of the neighbour graph of a sample; the other rows get the label of the nearest sampled row."""
-    s = scaled(events, features)
-    x = fit_sample(s, features, row)
-    return assigned(s, features, x, models.phenograph(x, neighbours, seed), row)
-
-
-def grid_clusters(events: DataFrame, features: Sequence[str], bins: int = 20, dense: int = 3, core: int = 40, row: str = "row_index") -> DataFrame:
-    """row, label: occupied cells of a grid over principal components, joined where cells with `core` neighbours touch; -1 elsewhere."""
-    names = [f"c{i}" for i in range(min(3, len(features)))]
+def complete(events: DataFrame, features: Sequence[str], row: str) -> DataFrame:
+    """row and features as doubles, of rows that have all of them."""
+    rows = events.select(row, *[F.col(c).cast("double").alias(c) for c in features])
+    return rows.filter(F.forall(F.array(*features), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))))
+
+
+def graph_clusters(events: DataFrame, features: Sequence[str], neighbours: int = 30, row: str = "row_index", seed: int = 0, local: int = graphs.LOCAL_EDGES) -> DataFrame:
+    """row, label: communities of the neighbour graph of all rows, edges weighted by the share of neighbours that their ends have in common. label is the least row id of the community, in the stored order."""
+    stages = Stages(events.sparkSession)
+    rows = stages.store(scaled(complete(events, features, row), features).select(F.monotonically_increasing_id().alias("id"), row, F.array(*[F.col(c).cast("float") for c in features]).alias("v")), "graph-rows")
+    if len(rows.take(2)) < 2:
+        return rows.select(row, F.lit(0).alias("label"))
+    graph = neighbour_graph(rows.select("id", "v"), neighbours, stages, seed=seed)
+    near = graph.select("id", F.transform("nb", lambda e: e["b"]).alias("near"))
+    pairs = near.select(F.col("id").alias("a"), F.col("near").alias("na"), F.explode("near").alias("b")).join(near.toDF("b", "nb"), "b")
+    common = F.size(F.array_intersect("na", "nb"))
+    edges = pairs.select("a", "b", (common / F.greatest(F.size("na") + F.size("nb") - common, F.lit(1))).alias("w")).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").alias("w"))
+    found = graphs.communities(rows.select("id"), edges, stages, local=local, seed=seed)
+    order = running(found.groupBy("community").agg(F.count("*").alias("_n")), [], ["community"], F.lit(1).cast("bigint"), "label")
+    out = stages.store(rows.select("id", row).join(found, "id").join(order.select("community", F.col("label").cast("int").alias("label")), "community").select(row, "label"), "graph-clusters")
+    stages.close("graph-clusters")
+    return out
+
+
+def grid_clusters(events: DataFrame, features: Sequence[str], bins: int = 20, dense: int = 3, core: int = 40, row: str = "row_index", components: int = 5, eps: float | None = None) -> DataFrame:
+    """row, label: occupied cells of a grid over principal components, joined where a cell with `core` rows in and around it touches; -1 elsewhere.
+
+    Cells count if they have `dense` rows. Neighbours are cells that touch, at a corner too; with eps only those whose middles are at most eps cells apart. Cells find their neighbours by a join and their cluster by connected components, so the
+    grid may have bins ** components cells.
+    """
+    names = [f"c{i}" for i in range(min(components, len(features)))]
+    stages = Stages(events.sparkSession)
     p = pca(events, features, len(names), row)
     m = p.agg(*[f(c).alias(f"{c}_{f.__name__}") for c in names for f in (F.min, F.max)]).first()
     if m[0] is None:
         return p.select(row, F.lit(-1).alias("label"))
     cell = {c: F.least(F.lit(bins - 1), F.floor((F.col(c) - F.lit(m[f"{c}_min"])) / F.lit(max(1e-12, m[f"{c}_max"] - m[f"{c}_min"])) * bins)).cast("int") for c in names}
-    p = p.withColumns(cell)
-    rows = p.groupBy(*names).count().where(F.col("count") >= dense).collect()  # at most bins ^ components rows
-    count = {tuple(r[c] for c in names): r["count"] for r in rows}
-    near = [d for d in np.ndindex(*[3] * len(names)) if any(v != 1 for v in d)]
-    around = {c: [n for d in near if (n := tuple(a + v - 1 for a, v in zip(c, d))) in count] for c in count}
-    cores = {c for c in count if count[c] + sum(count[n] for n in around[c]) >= core}
-    label: dict[tuple, int] = {}
-    for c in sorted(cores):
-        if c in label:
-            continue
-        k, todo = len(set(label.values())), [c]
-        while todo:
-            x = todo.pop()
-            if label.setdefault(x, k) == k and x in cores:
-                todo += [n for n in around[x] if n not in label]
-    spark = events.sparkSession
-    schema = ", ".join(f"{c} int" for c in names) + ", label int"
-    return p.join(F.broadcast(spark.createDataFrame([(*c, k) for c, k in label.items()], schema)), names, "left").select(row, F.coalesce("label", F.lit(-1)).alias("label"))
+    number = sum((cell[c].cast("bigint") * F.lit(bins ** i) for i, c in enumerate(names)), F.lit(0))
+    rows = stages.store(p.select(row, number.alias("cell")), "grid-rows")
+    cells = stages.store(rows.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") >= dense), "cells")
+    steps = [d for d in itertools.product((-1, 0, 1), repeat=len(names)) if any(d) and (eps is None or sum(v * v for v in d) <= eps * eps)]
+    digit = [F.floor(F.col("cell") / bins**i) % bins for i in range(len(names))]
+    inside = lambda d: F.array(*[x + F.lit(v) for x, v in zip(digit, d)])
+    to = F.array(*[F.when(F.forall(inside(d), lambda x: x.between(0, bins - 1)), F.col("cell") + F.lit(sum(v * bins**i for i, v in enumerate(d)))) for d in steps])
+    near = stages.store(cells.select(F.col("cell").alias("a"), F.explode(F.array_compact(to)).alias("b")).join(cells.select(F.col("cell").alias("b"), "n"), "b"), "touching")
+    around = cells.join(near.groupBy(F.col("a").alias("cell")).agg(F.sum("n").alias("near")), "cell", "left")
+    cores = stages.store(around.filter(F.col("n") + F.coalesce("near", F.lit(0)) >= core).select("cell"), "cores")
+    links = near.join(cores.withColumnRenamed("cell", "a"), "a").join(cores.withColumnRenamed("cell", "b"), "b").select("a", "b")
+    joined_ = graphs.components(cores.select(F.col("cell").alias("id")), links, stages).select(F.col("id").alias("cell"), "component")
+    edge = near.join(joined_.withColumnRenamed("cell", "b"), "b").groupBy(F.col("a").alias("cell")).agg(F.min("component").alias("reached"))  # a cell at the rim goes to the least cluster that it touches
+    found = cells.select("cell").join(joined_, "cell", "left").join(edge, "cell", "left").select("cell", F.coalesce("component", "reached").alias("component")).filter("component IS NOT NULL")
+    order = running(found.select("component").distinct(), [], ["component"], F.lit(1).cast("bigint"), "label")
+    labels = found.join(order, "component").select("cell", F.col("label").cast("int").alias("label"))
+    out = stages.store(rows.join(labels, "cell", "left").select(row, F.coalesce("label", F.lit(-1)).alias("label")), "grid-clusters")
+    stages.close("grid-clusters")
+    return out
 
 
 def pca(events: DataFrame, features: Sequence[str], k: int = 2, row: str = "row_index") -> DataFrame:

@@ -355,7 +355,8 @@ def cluster_mixture(spark, sf_dir):
 
 @query("cluster_grid")
 def cluster_grid(spark, sf_dir):
-    return embedding.grid_clusters(vector_events(spark, sf_dir), [f"e{i}" for i in range(8)])
+    """Few rows for five components, so coarse cells."""
+    return embedding.grid_clusters(vector_events(spark, sf_dir), [f"e{i}" for i in range(8)], bins=6, dense=2, core=8)
 
 
 @query("classifier_features", "WITH f AS (SELECT l_returnflag || l_linestatus AS sample, 'ship' || l_linenumber AS feature, count(*) AS c FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL), t AS (SELECT l_returnflag || l_linestatus AS sample, count(*) AS n FROM lineitem GROUP BY 1) SELECT f.sample, feature, round(100.0::DOUBLE * c / n, 6) AS value, round((100.0::DOUBLE * c / n - avg(100.0::DOUBLE * c / n) OVER w) / stddev_pop(100.0::DOUBLE * c / n) OVER w, 4) AS z FROM f JOIN t USING (sample) WINDOW w AS (PARTITION BY feature)")

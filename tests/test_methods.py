@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gateloom.core.shared import Stages, exists
 from gateloom.functions.scales import Scale
-from gateloom.operators import bayes, neighbours, umap
+from gateloom.operators import bayes, neighbours, snapshots, umap
 from gateloom.operators.gates import Gate, Population, tree_counts
 from gateloom.sources import wsp
 
@@ -238,3 +238,28 @@ def test_scales_of_columns_and_numbers(spark, scale):
     x = [-5e3, -1.0, 0.0, 0.5, 3.0, 1e3, 2e5]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(scale.column(F.col("x"))).collect()]
     assert np.allclose(got, scale.of(x), atol=1e-9) and all(a <= b for a, b in zip(got, got[1:]))
+
+
+# ---- snapshots ----
+
+
+def test_snapshot_is_made_once(spark, tmp_path):
+    calls = []
+
+    def make(rows):
+        calls.append(1)
+        return rows.select("row_index", (F.col("f0") * 2).alias("d1"))
+
+    x, _ = groups(30, 2)
+    df, folder = frame(spark, x), f"file://{tmp_path}/kept"
+    first = snapshots.kept(folder, df, "twice", {"k": 1}, make).orderBy("row_index").collect()
+    again = snapshots.kept(folder, df.repartition(7), "twice", {"k": 1}, make)  # other order, same rows
+    assert again.orderBy("row_index").collect() == first and len(calls) == 1
+    assert "snapshot-" in again._jdf.queryExecution().executedPlan().toString()
+    snapshots.kept(folder, df, "twice", {"k": 2}, make)
+    snapshots.kept(folder, df.filter("row_index <> 3"), "twice", {"k": 1}, make)
+    snapshots.kept(folder, df.unionAll(df.filter("row_index = 3")), "twice", {"k": 1}, make)
+    assert len(calls) == 4 and len([p for p in (tmp_path / "kept").iterdir() if p.name.endswith(".part")]) == 0
+    key = snapshots.digest(df, "twice", {"k": 1})
+    assert snapshots.restored(spark, folder, key).count() == 30 and snapshots.restored(spark, folder, "none") is None
+    assert snapshots.with_coordinates(df, again).count() == 30
