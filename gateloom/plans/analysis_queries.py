@@ -181,13 +181,15 @@ def cell_cycle_fit(spark, sf_dir):
     return dna_histogram(spark, sf_dir).groupBy("sample").applyInPandas(fit, "sample string, pct_g1 double, pct_s double, pct_g2 double, mu_g1 double, mu_g2 double, cv_g1 double, cv_g2 double, r2 double, rmse double")
 
 
-@query("cell_cycle_bounds", "WITH p AS (SELECT * FROM (VALUES (100.0, 5.0, 200.0, 10.0), (100.0, 40.0, 200.0, 60.0), (10.0, 30.0, 400.0, 5.0)) t(m1, s1, m2, s2)) SELECT m1::DOUBLE AS m1, greatest(20, least(300, CASE WHEN m1 + 1.5 * s1 >= m2 - 1.5 * s2 THEN (m1 + 1.5 * s1 + m2 - 1.5 * s2) / 2 ELSE m1 + 1.5 * s1 END))::DOUBLE AS g1_hi, greatest(20, least(300, CASE WHEN m1 + 1.5 * s1 >= m2 - 1.5 * s2 THEN (m1 + 1.5 * s1 + m2 - 1.5 * s2) / 2 ELSE m2 - 1.5 * s2 END))::DOUBLE AS g2_lo FROM p")
+@query("cell_cycle_bounds", "WITH p AS (SELECT n_nationkey, 60.0::DOUBLE + 4 * n_nationkey AS m1, 3.0::DOUBLE + n_nationkey % 7 * 6 AS s1, 120.0::DOUBLE + 8 * n_nationkey AS m2, 5.0::DOUBLE + n_regionkey * 9 AS s2 FROM nation) SELECT n_nationkey, greatest(20, least(300, CASE WHEN m1 + 1.5 * s1 >= m2 - 1.5 * s2 THEN (m1 + 1.5 * s1 + m2 - 1.5 * s2) / 2 ELSE m1 + 1.5 * s1 END))::DOUBLE AS g1_hi, greatest(20, least(300, CASE WHEN m1 + 1.5 * s1 >= m2 - 1.5 * s2 THEN (m1 + 1.5 * s1 + m2 - 1.5 * s2) / 2 ELSE m2 - 1.5 * s2 END))::DOUBLE AS g2_lo FROM p")
 def cell_cycle_bounds(spark, sf_dir):
+    """Bounds of phases from peaks and widths, which each nation's numbers give."""
     from gateloom.functions.scalars import phase_bounds
 
-    p = spark.createDataFrame([(100.0, 5.0, 200.0, 10.0), (100.0, 40.0, 200.0, 60.0), (10.0, 30.0, 400.0, 5.0)], "m1 double, s1 double, m2 double, s2 double")
+    n, r = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")
+    p = table(spark, sf_dir, "nation").select("n_nationkey", (n * 4 + 60).alias("m1"), (n % 7 * 6 + 3).alias("s1"), (n * 8 + 120).alias("m2"), (r * 9 + 5).alias("s2"))
     a, b = phase_bounds(*[F.col(c) for c in ("m1", "s1", "m2", "s2")], F.lit(20.0), F.lit(300.0))
-    return p.select("m1", a.alias("g1_hi"), b.alias("g2_lo"))
+    return p.select("n_nationkey", a.alias("g1_hi"), b.alias("g2_lo"))
 
 
 @query("proliferation_fit")
@@ -377,10 +379,16 @@ def classifier_importance(spark, sf_dir):
 # ---- panels ----
 
 
-@query("spectral_conflicts", "WITH p AS (SELECT * FROM (VALUES (0, 'FITC-A', 'fitc', 519), (1, 'PE-A', 'pe', 578), (2, 'AF647-A', 'af647', 668), (3, 'APC-A', 'apc', 660), (4, 'GFP-A', 'gfp', 509)) t(i, channel, fluor, em)) SELECT a.channel AS channel_a, b.channel AS channel_b, a.fluor AS fluor_a, b.fluor AS fluor_b, abs(a.em - b.em) AS gap FROM p a JOIN p b ON a.i < b.i AND abs(a.em - b.em) <= 30")
+PANEL = ["FITC-A", "PE-A", "AF647-A", "APC-A", "GFP-A", "Time"]
+FLUORS = {"FITC-A": ("fitc", 519), "PE-A": ("pe", 578), "AF647-A": ("af647", 668), "APC-A": ("apc", 660), "GFP-A": ("gfp", 509)}
+
+
+@query("spectral_conflicts", "WITH n AS (SELECT min(p_partkey) AS i, ([" + ", ".join(f"'{c}'" for c in PANEL) + "])[p_partkey % 6 + 1] AS channel FROM part GROUP BY 2), p AS (SELECT * FROM n JOIN (VALUES " + ", ".join(f"('{c}', '{f}', {e})" for c, (f, e) in FLUORS.items()) + ") t(channel, fluor, em) USING (channel)) SELECT a.channel AS channel_a, b.channel AS channel_b, a.fluor AS fluor_a, b.fluor AS fluor_b, abs(a.em - b.em) AS gap FROM p a JOIN p b ON a.i < b.i AND abs(a.em - b.em) <= 30")
 def spectral_conflicts(spark, sf_dir):
+    """Channels of a panel, named by the parts, whose colours lie too near."""
     from gateloom.functions.scalars import emission, fluorochrome
 
-    c = spark.createDataFrame([(i, n) for i, n in enumerate(["FITC-A", "PE-A", "AF647-A", "APC-A", "GFP-A", "Time"])], "i int, channel string")
+    name = F.element_at(F.array(*map(F.lit, PANEL)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    c = table(spark, sf_dir, "part").groupBy(name.alias("channel")).agg(F.min("p_partkey").alias("i"))
     f = fluorochrome(F.col("channel"))
     return analysis.spectral_conflicts(c.select("i", "channel", f.alias("fluor"), emission(f).alias("em")).where("em is not null"))

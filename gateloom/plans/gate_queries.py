@@ -275,10 +275,11 @@ def join_full_matrix(spark, sf_dir):
     return analysis.full_matrix(v.select("population"), ev.select("sample"), v, 0)
 
 
-@query("join_parent_population", "WITH n AS (SELECT * FROM (VALUES (1, NULL, 'Cells'), (2, 1, 'Child'), (3, 1, 'Low'), (4, 2, 'Deep')) t(id, parent_id, name)) SELECT c.name, coalesce(p.name, 'root') AS parent FROM n c LEFT JOIN n p ON c.parent_id = p.id")
+@query("join_parent_population", "WITH n AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey >= 5 THEN n_nationkey % 5 END AS parent_id, n_name AS name FROM nation) SELECT c.name, coalesce(p.name, 'root') AS parent FROM n c LEFT JOIN n p ON c.parent_id = p.id")
 def join_parent_population(spark, sf_dir):
-    n = spark.createDataFrame([(1, None, "Cells"), (2, 1, "Child"), (3, 1, "Low"), (4, 2, "Deep")], "id int, parent_id int, name string")
-    return n.alias("c").join(F.broadcast(n.alias("p")), F.col("c.parent_id") == F.col("p.id"), "left").select(F.col("c.name"), F.coalesce(F.col("p.name"), F.lit("root")).alias("parent"))
+    """Nations as a tree: the first five are at its root, the others below them."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") >= 5, F.col("n_nationkey") % 5).alias("parent_id"), F.col("n_name").alias("name"))
+    return n.alias("c").join(n.alias("p"), F.col("c.parent_id") == F.col("p.id"), "left").select(F.col("c.name"), F.coalesce(F.col("p.name"), F.lit("root")).alias("parent"))
 
 
 @query("join_marker_alias", "WITH c AS (SELECT DISTINCT p_brand AS channel FROM part), a AS (SELECT 'Brand#1' AS channel, 'CD4' AS marker) SELECT CASE WHEN marker IS NULL THEN c.channel ELSE marker || ' (' || c.channel || ')' END AS label FROM c LEFT JOIN a USING (channel)")

@@ -14,12 +14,16 @@ FILES = ["unstained.fcs", "Blank tube.FCS", "FITC alone.fcs", "multistain FITC P
 GATES = ["CD4+ T-cells", "T cells", "Live/Dead", "singlets 1", "helper", "B-cell", "unknown", "NK", "Viable", "cytotoxic"]
 
 
-def values(spark: SparkSession, names: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(names)), "i int, name string")
+def values(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """i, name: a name for each part, of the list by its key; every second round of the list is in capitals."""
+    part, i = table(spark, sf_dir, "part"), F.col("p_partkey")
+    name = F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
+    return part.select(i.alias("i"), F.when(F.floor(i / len(names)) % 2 == 1, F.upper(name)).otherwise(name).alias("name"))
 
 
 def values_sql(names: list[str]) -> str:
-    return "WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(names)) + ") t(i, name))"
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"WITH w AS (SELECT p_partkey AS i, ([{listed}])[p_partkey % {len(names)} + 1] AS name FROM part), v AS (SELECT i, CASE WHEN (i // {len(names)}) % 2 = 1 THEN upper(name) ELSE name END AS name FROM w)"
 
 
 def case_sql(text: str, pairs) -> str:
@@ -28,13 +32,13 @@ def case_sql(text: str, pairs) -> str:
 
 @query("name_is_scatter", values_sql(NAMES) + " SELECT name, regexp_matches(name, '(?i)FSC|SSC|Time|Width|Event') AS scatter, CASE WHEN regexp_matches(name, '(?i)FSC|SSC|Time|Width|Event') THEN 'Linear' ELSE 'Biex' END AS scale FROM v")
 def name_is_scatter(spark, sf_dir):
-    v = values(spark, NAMES)
+    v = values(spark, sf_dir, NAMES)
     return v.select("name", S.is_scatter(F.col("name")).alias("scatter"), S.display_scale(F.col("name")).alias("scale"))
 
 
 @query("name_short", values_sql(FILES) + " SELECT name, regexp_replace(name, '(?i)\\.fcs$', '') AS short, CASE WHEN length(regexp_replace(name, '(?i)\\.fcs$', '')) > 16 THEN substr(regexp_replace(name, '(?i)\\.fcs$', ''), 1, 15) || '…' ELSE regexp_replace(name, '(?i)\\.fcs$', '') END AS cut FROM v")
 def name_short(spark, sf_dir):
-    return values(spark, FILES).select("name", S.short_name(F.col("name")).alias("short"), S.short_name(F.col("name"), 16).alias("cut"))
+    return values(spark, sf_dir, FILES).select("name", S.short_name(F.col("name")).alias("short"), S.short_name(F.col("name"), 16).alias("cut"))
 
 
 FLUOR_SQL = case_sql("regexp_replace(lower(name), '[\\s\\-]', '', 'g')", [(k.replace("-", ""), k) for k in S.EMISSION])
@@ -44,7 +48,7 @@ FLUOR_SQL = case_sql("regexp_replace(lower(name), '[\\s\\-]', '', 'g')", [(k.rep
 def name_fluorochrome(spark, sf_dir):
     """The first fluorochrome of the table that a name holds."""
     f = S.fluorochrome(F.col("name"))
-    return values(spark, NAMES).select("name", f.alias("fluor"), F.coalesce(S.emission(f), F.lit(0)).alias("emission"))
+    return values(spark, sf_dir, NAMES).select("name", f.alias("fluor"), F.coalesce(S.emission(f), F.lit(0)).alias("emission"))
 
 
 ONTOLOGY_SQL = case_sql("regexp_replace(lower(name), '[^a-z0-9]', '', 'g')", [*S.ONTOLOGY.items(), *((k, S.ONTOLOGY[v]) for k, v in S.OTHER_SPELLINGS.items())])
@@ -52,7 +56,7 @@ ONTOLOGY_SQL = case_sql("regexp_replace(lower(name), '[^a-z0-9]', '', 'g')", [*S
 
 @query("name_ontology", values_sql(GATES) + f" SELECT name, {ONTOLOGY_SQL} AS cell FROM v")
 def name_ontology(spark, sf_dir):
-    return values(spark, GATES).select("name", S.ontology(F.col("name")).alias("cell"))
+    return values(spark, sf_dir, GATES).select("name", S.ontology(F.col("name")).alias("cell"))
 
 
 ROLE_SQL = "(?i)" + S.FLUOR[4:].replace("\\b", "\\b")
@@ -60,12 +64,12 @@ ROLE_SQL = "(?i)" + S.FLUOR[4:].replace("\\b", "\\b")
 
 @query("name_control_role", values_sql(FILES) + f", u AS (SELECT min(i) AS u FROM v WHERE regexp_matches(name, '(?i)unstain|\\bblank\\b|no.?stain|^\\s*un\\b')) SELECT name, CASE WHEN i = u THEN 'Unstained' WHEN NOT regexp_matches(name, '{S.NOT_SINGLE}') AND regexp_matches(name, '{S.FLUOR}') THEN 'Single stain' ELSE 'Ignore' END AS role FROM v, u")
 def name_control_role(spark, sf_dir):
-    return S.control_roles(values(spark, FILES), "name", "i").select("name", "role")
+    return S.control_roles(values(spark, sf_dir, FILES), "name", "i").select("name", "role")
 
 
 @query("name_positivity_role", values_sql(FILES) + " SELECT name, CASE WHEN contains(lower(name), 'unstain') OR contains(lower(name), 'blank') OR contains(lower(name), 'negative') THEN 'Unstained' WHEN contains(lower(name), 'fmo') THEN 'FMO' ELSE 'Sample' END AS role FROM v")
 def name_positivity_role(spark, sf_dir):
-    return values(spark, FILES).select("name", S.positivity_role(F.col("name")).alias("role"))
+    return values(spark, sf_dir, FILES).select("name", S.positivity_role(F.col("name")).alias("role"))
 
 
 @query("name_paths", "SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_replace(lower('$' || upper(url)), '^\\$', '') AS keyword FROM pages")
@@ -81,13 +85,13 @@ def name_csv_quote(spark, sf_dir):
 
 @query("name_legend", values_sql(["CD4 (1,234)", "CD8", "NK (7)", "a (b) (12)"]) + " SELECT name, regexp_replace(name, '\\s*\\([\\d,]+\\)\\s*$', '') AS plain FROM v")
 def name_legend(spark, sf_dir):
-    return values(spark, ["CD4 (1,234)", "CD8", "NK (7)", "a (b) (12)"]).select("name", S.without_count(F.col("name")).alias("plain"))
+    return values(spark, sf_dir, ["CD4 (1,234)", "CD8", "NK (7)", "a (b) (12)"]).select("name", S.without_count(F.col("name")).alias("plain"))
 
 
-@query("name_first_needle", values_sql(NAMES) + ", n AS (SELECT * FROM (VALUES (0, 'ssc'), (1, 'fitc')) t(o, needle)) SELECT arg_min(name, o * 1000 + i) AS channel FROM v JOIN n ON contains(lower(name), needle)")
+@query("name_first_needle", values_sql(NAMES) + ", n AS (SELECT * FROM (VALUES (0, 'ssc'), (1, 'fitc')) t(o, needle)) SELECT arg_min(name, o * 1000000000 + i) AS channel FROM v JOIN n ON contains(lower(name), needle)")
 def name_first_needle(spark, sf_dir):
     """The first channel that holds a needle: needles come in order, then channels."""
-    v = values(spark, NAMES)
+    v = values(spark, sf_dir, NAMES)
     n = spark.createDataFrame([(0, "ssc"), (1, "fitc")], "o int, needle string")
     return v.join(F.broadcast(n), F.contains(F.lower("name"), F.col("needle"))).agg(F.min_by("name", F.struct("o", "i")).alias("channel"))
 
@@ -97,9 +101,10 @@ def stars(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", S.stars((F.col("c_custkey") % 100) / F.lit(1000.0)).alias("stars"))
 
 
-@query("intensity_format")
+@query("intensity_format", f"WITH {CUSTOMER_CTE} SELECT row_index, CASE WHEN abs(fl1_a) >= 1e5 OR (abs(fl1_a) < 0.01 AND fl1_a <> 0) THEN format('{{:.2e}}', fl1_a) WHEN fl1_a > -0.5 AND fl1_a < 0 THEN '-0' ELSE format('{{:,}}', round(fl1_a)::BIGINT) END AS shown, CASE WHEN fl1_a = 0 THEN '0' ELSE format('{{:.2e}}', fl1_a * 1e6::DOUBLE) END AS large FROM ev")
 def intensity_format(spark, sf_dir):
-    return customer_events(spark, sf_dir).select("row_index", S.intensity(F.col("fl1_a")).alias("shown"))
+    x = F.col("fl1_a")
+    return customer_events(spark, sf_dir).select("row_index", S.intensity(x).alias("shown"), S.intensity(x * 1e6).alias("large"))
 
 
 # ---- transforms ----
@@ -159,27 +164,33 @@ def axis_range_first_sample(spark, sf_dir):
     return r.agg(F.min_by("r", "sample").alias("r")).select("r.low", "r.high")
 
 
-@query("axis_ticks", "SELECT sign * pow(10.0, k)::DOUBLE AS tick FROM range(1, 7) d(k), (VALUES (1), (-1)) s(sign) WHERE sign * pow(10.0, k) BETWEEN -1000 AND 300000 UNION ALL SELECT 0.0::DOUBLE")
+@query("axis_ticks", f"WITH {CUSTOMER_CTE}, a AS (SELECT sample, min(fl1_a) AS low, 30 * max(fl1_a) AS high FROM ev GROUP BY sample), t AS (SELECT sign * pow(10.0, k)::DOUBLE AS tick FROM range(1, 7) d(k), (VALUES (1), (-1)) s(sign) UNION ALL SELECT 0.0::DOUBLE) SELECT sample, tick FROM a JOIN t ON tick BETWEEN low AND high")
 def axis_ticks(spark, sf_dir):
-    """Decades on both sides of 0 within the axis."""
-    k = F.explode(F.sequence(F.lit(-6), F.lit(6))).alias("k")
+    """Decades on both sides of 0 within each sample's axis."""
+    a = customer_events(spark, sf_dir).groupBy("sample").agg(F.min("fl1_a").alias("low"), (F.max("fl1_a") * 30).alias("high"))
+    k = a.select("*", F.explode(F.sequence(F.lit(-6), F.lit(6))).alias("k"))
     t = F.when(F.col("k") == 0, 0.0).otherwise(F.signum(F.col("k").cast("double")) * F.pow(F.lit(10.0), F.abs("k")))
-    return spark.range(1).select(k).select(t.alias("tick")).where("tick between -1000 and 300000")
+    return k.select("sample", "low", "high", t.alias("tick")).where("tick between low and high").select("sample", "tick")
 
 
-@query("bin_middles", "SELECT i::INTEGER AS bin, round(10.0 + (i + 0.5) * (90.0 - 10.0) / 16, 9)::DOUBLE AS mid FROM range(0, 16) r(i)")
+@query("bin_middles", f"WITH {EVENTS_CTE}, a AS (SELECT sample, min(fl1_a) AS low, max(fl1_a) AS high FROM ev GROUP BY sample) SELECT sample, i::INTEGER AS bin, round(low + (i + 0.5) * (high - low) / 16, 6)::DOUBLE AS mid FROM a, range(0, 16) r(i)")
 def bin_middles(spark, sf_dir):
-    return spark.range(16).select(F.col("id").cast("int").alias("bin"), F.round(F.lit(10.0) + (F.col("id") + 0.5) * F.lit(80.0) / 16, 9).alias("mid"))
+    """The middles of each sample's bins."""
+    a = stream_events(spark, sf_dir).groupBy("sample").agg(F.min("fl1_a").alias("low"), F.max("fl1_a").alias("high"))
+    b = a.select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("bin"))
+    return b.select("sample", "bin", F.round(F.col("low") + (F.col("bin") + 0.5) * (F.col("high") - F.col("low")) / 16, 6).alias("mid"))
 
 
 # ---- keywords, maps, JSON ----
 
 
-@query("spill_parse", "WITH t AS (SELECT '2,FL1-A,FL2-A,1,0.25,0.1,1' AS s), p AS (SELECT string_split(s, ',') AS p FROM t) SELECT p[2 + r] AS source, p[2 + c] AS target, p[4 + r * 2 + c]::DOUBLE AS coef FROM p, range(0, 2) a(r), range(0, 2) b(c)")
+@query("spill_parse", "WITH t AS (SELECT n_name AS name, '2,A' || n_nationkey || ',B' || n_regionkey || ',1,0.' || (10 + n_nationkey) || ',0.0' || (1 + n_regionkey) || ',1' AS s FROM nation), p AS (SELECT name, string_split(s, ',') AS p FROM t) SELECT name, p[2 + r] AS source, p[2 + c] AS target, p[4 + r * 2 + c]::DOUBLE AS coef FROM p, range(0, 2) a(r), range(0, 2) b(c)")
 def spill_parse(spark, sf_dir):
+    """The spillover keyword of a file, made here of each nation's numbers."""
+    text = F.concat(F.lit("2,A"), F.col("n_nationkey").cast("string"), F.lit(",B"), F.col("n_regionkey").cast("string"), F.lit(",1,0."), (F.col("n_nationkey") + 10).cast("string"), F.lit(",0.0"), (F.col("n_regionkey") + 1).cast("string"), F.lit(",1"))
     names, coefs = S.spill(F.col("s"))
-    t = spark.createDataFrame([("2,FL1-A,FL2-A,1,0.25,0.1,1",)], "s string").select(names.alias("n"), F.posexplode(coefs).alias("i", "coef"))
-    return t.select(F.get("n", F.floor(F.col("i") / 2).cast("int")).alias("source"), F.get("n", F.col("i") % 2).alias("target"), "coef")
+    t = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), text.alias("s")).select("name", names.alias("n"), F.posexplode(coefs).alias("i", "coef"))
+    return t.select("name", F.get("n", F.floor(F.col("i") / 2).cast("int")).alias("source"), F.get("n", F.col("i") % 2).alias("target"), "coef")
 
 
 @query("json_props", "SELECT event_id, json_extract_string(props, '$.k')::DOUBLE AS k FROM events")
@@ -209,12 +220,13 @@ def parameter_table(spark, sf_dir):
     return k.groupBy("idx").pivot("a", ["n", "s", "r"]).agg(F.first("value"))
 
 
-@query("gate_boundary_points", "WITH g AS (SELECT * FROM (VALUES (0, 0.02, 0.01, 0.09, 0.01), (1, 0.09, 0.01, 0.09, 0.07), (2, 0.09, 0.07, 0.05, 0.075)) t(edge, x0, y0, x1, y1)) SELECT edge, i::INTEGER AS i, round(x0 + (x1 - x0) * i / 64.0::DOUBLE, 9) AS x, round(y0 + (y1 - y0) * i / 64.0::DOUBLE, 9) AS y FROM g, range(0, 64) r(i)")
+@query("gate_boundary_points", "WITH g AS (SELECT s_suppkey AS edge, s_acctbal::DOUBLE AS x0, s_nationkey::DOUBLE AS y0, s_acctbal::DOUBLE / 2 + 10 AS x1, s_nationkey::DOUBLE - 30 AS y1 FROM supplier) SELECT edge, i::INTEGER AS i, round(x0 + (x1 - x0) * i / 64.0::DOUBLE, 6) AS x, round(y0 + (y1 - y0) * i / 64.0::DOUBLE, 6) AS y FROM g, range(0, 64) r(i)")
 def gate_boundary_points(spark, sf_dir):
-    """64 points along each edge of a gate."""
-    g = spark.createDataFrame([(0, 0.02, 0.01, 0.09, 0.01), (1, 0.09, 0.01, 0.09, 0.07), (2, 0.09, 0.07, 0.05, 0.075)], "edge int, x0 double, y0 double, x1 double, y1 double")
+    """64 points along each edge; the edges are made of the suppliers' numbers."""
+    x, y = F.col("s_acctbal").cast("double"), F.col("s_nationkey").cast("double")
+    g = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("edge"), x.alias("x0"), y.alias("y0"), (x / 2 + 10).alias("x1"), (y - 30).alias("y1"))
     g = g.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    at = lambda a, b: F.round(F.col(a) + (F.col(b) - F.col(a)) * F.col("i") / F.lit(64.0), 9)
+    at = lambda a, b: F.round(F.col(a) + (F.col(b) - F.col(a)) * F.col("i") / F.lit(64.0), 6)
     return g.select("edge", "i", at("x0", "x1").alias("x"), at("y0", "y1").alias("y"))
 
 

@@ -76,10 +76,15 @@ def source_sample_summary(spark, sf_dir):
     return stream_events(spark, sf_dir).groupBy("sample").agg(F.count("*").alias("events"), F.min("row_index").alias("first"))
 
 
-@query("source_gate_rows")
+ROWS = workspace.tree_rows({"s": TREE})
+ROWS_SQL = ", ".join(f"({i}, '{r['name']}', '{r['type']}', {str(r['invert']).lower()}, {int(r['parent_id'][1:]) if 'parent_id' in r else 'NULL'})" for i, r in enumerate(ROWS, 1))
+
+
+@query("source_gate_rows", f"WITH {LINEITEM_CTE}, s AS (SELECT sample, dense_rank() OVER (ORDER BY sample) - 1 AS k FROM (SELECT DISTINCT sample FROM ev)), t AS (SELECT * FROM (VALUES {ROWS_SQL}) t(i, name, type, invert, p)) SELECT sample, 'G' || (k * {len(ROWS)} + i) AS id, 'G' || (k * {len(ROWS)} + p) AS parent_id, name, type, invert FROM s, t")
 def source_gate_rows(spark, sf_dir):
-    """A tree as rows, and rows as the tree again."""
-    rows = workspace.tree_rows(workspace.trees_of(workspace.tree_rows({"AF": TREE})))
+    """The tree of every sample in the table as rows, and those as trees and rows again; the driver holds sample names and gates."""
+    samples = sorted(r["sample"] for r in lineitem_events(spark, sf_dir).select("sample").distinct().collect())
+    rows = workspace.tree_rows(workspace.trees_of(workspace.tree_rows({s: TREE for s in samples})))
     return spark.createDataFrame([(r["sample"], r["id"], r.get("parent_id"), r["name"], r["type"], r["invert"]) for r in rows], "sample string, id string, parent_id string, name string, type string, invert boolean")
 
 
