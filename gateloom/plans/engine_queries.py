@@ -49,8 +49,8 @@ def comp_threshold_order(spark, sf_dir):
 @query(
     "gating_methods",
     "WITH t AS (" + TREE_SQL + """), s AS (SELECT population, avg(100.0::DOUBLE * count / parent_count) AS m, coalesce(stddev_samp(100.0::DOUBLE * count / parent_count), 0) AS sd, count(*) AS n FROM t WHERE parent_count > 0 GROUP BY population),
-k AS (SELECT * FROM (VALUES (1, 'Cells', 'Cells', 'rectangle', 'Size vs ssc_a', 'all events'), (2, 'Cells/Child', 'Child', 'polygon', 'fl1_a vs fl2_a', 'Cells'), (3, 'Cells/Low', 'Low', 'interval', 'fl1_a', 'Cells'), (4, 'Big', 'Big', 'interval', 'Size', 'all events')) v(i, population, name, kind, axes, parent))
-SELECT 'Populations were identified hierarchically: ' || string_agg(printf('%s (%s gate on %s; %.1f±%.1f%% of %s, n=%d)', name, kind, axes, coalesce(m, 0), coalesce(sd, 0), parent, coalesce(n, 0)), '; ' ORDER BY i) || '. Frequencies are mean±SD of the parent population across the analysed samples.' AS text FROM k LEFT JOIN s USING (population)""",
+k AS (SELECT * FROM (VALUES (1, 'Cells', 'Cells', 'rectangle', 'Size and ssc_a', 'the sample'), (2, 'Cells/Child', 'Child', 'polygon', 'fl1_a and fl2_a', 'Cells'), (3, 'Cells/Low', 'Low', 'interval', 'fl1_a', 'Cells'), (4, 'Big', 'Big', 'interval', 'Size', 'the sample')) v(i, population, name, kind, axes, parent))
+SELECT 'Gates, from the outermost in. ' || string_agg(printf('%s is a %s on %s and held %.1f%% of %s (SD %.1f, samples: %d)', name, kind, axes, coalesce(m, 0), parent, coalesce(sd, 0), coalesce(n, 0)), '. ' ORDER BY i) || '. Each percentage is averaged over the samples in which the enclosing population has events.' AS text FROM k LEFT JOIN s USING (population)""",
 )
 def gating_methods_query(spark, sf_dir):
     """The paragraph on a tree: each population's gate, axes and its share of its parent over the samples."""

@@ -128,7 +128,8 @@ def gating_xml(trees: Mapping[str, Sequence[Population]]) -> str:
         g = Gate(r["type"], r["x_channel"], r["y_channel"], tuple(r["xs"]), tuple(r["ys"]), r["angle"])
         if not g.xs or g.kind == "index" or g.kind.startswith("q"):
             continue
-        ident = {f"{{{GATING}}}id": f"{r['sample']}_{r['id']}", f"{{{GATING}}}name": r["name"]} | ({f"{{{GATING}}}parent_id": f"{r['sample']}_{r['parent_id']}"} if "parent_id" in r else {})
+        inside = {f"{{{GATING}}}eventsInside": "false" if r["invert"] else "true"}
+        ident = {f"{{{GATING}}}id": f"{r['sample']}_{r['id']}", f"{{{GATING}}}name": r["name"]} | inside | ({f"{{{GATING}}}parent_id": f"{r['sample']}_{r['parent_id']}"} if "parent_id" in r else {})
         if g.kind in ("interval", "line", "rectangle"):
             e = ET.SubElement(root, f"{{{GATING}}}RectangleGate", ident)
             dimension(e, g.x, min(g.xs), max(g.xs))
@@ -311,11 +312,10 @@ def label_of(channel: Column, aliases: Mapping[str, str]) -> Column:
 def gating_methods(counts: DataFrame, tree: Sequence[Population], aliases: Mapping[str, str] | None = None) -> DataFrame:
     """text: one row, a paragraph on a tree of populations. counts is a tree_counts() table; shares are of the parent, mean and SD over samples."""
     names = dict(aliases or {})
-    nodes = [(i, "/".join(path), path[-1], gates[-1].kind, " vs ".join(names.get(c, c) for c in (gates[-1].x, gates[-1].y) if c), path[-2] if len(path) > 1 else "all events") for i, (path, gates) in enumerate(n for p in tree for n in p.walk())]
+    nodes = [(i, "/".join(path), path[-1], gates[-1].kind, " and ".join(names.get(c, c) for c in (gates[-1].x, gates[-1].y) if c), path[-2] if len(path) > 1 else "the sample") for i, (path, gates) in enumerate(n for p in tree for n in p.walk())]
     share = F.col("count") * 100.0 / F.col("parent_count")
     stat = counts.where("parent_count > 0").groupBy("population").agg(F.avg(share).alias("m"), F.coalesce(F.stddev_samp(share), F.lit(0.0)).alias("sd"), F.count("*").alias("n"))
     rows = counts.sparkSession.createDataFrame(nodes, "i int, population string, name string, kind string, axes string, parent string").join(stat, "population", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    part = F.format_string("%s (%s gate on %s; %.1f±%.1f%% of %s, n=%d)", "name", "kind", "axes", F.coalesce("m", F.lit(0.0)), F.coalesce("sd", F.lit(0.0)), "parent", zero(F.col("n")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", part.alias("t")))), lambda x: x["t"]), "; ")
-    return rows.agg(F.concat(F.lit("Populations were identified hierarchically: "), text, F.lit(". Frequencies are mean±SD of the parent population across the analysed samples.")).alias("text"))
+    part = F.format_string("%s is a %s on %s and held %.1f%% of %s (SD %.1f, samples: %d)", "name", "kind", "axes", F.coalesce("m", F.lit(0.0)), "parent", F.coalesce("sd", F.lit(0.0)), F.coalesce("n", F.lit(0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", part.alias("t")))), lambda x: x["t"]), ". ")
+    return rows.agg(F.concat(F.lit("Gates, from the outermost in. "), text, F.lit(". Each percentage is averaged over the samples in which the enclosing population has events.")).alias("text"))

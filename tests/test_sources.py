@@ -90,7 +90,7 @@ def test_workspace(tmp_path):
     assert skipped == 1 and back.trees == {"s": tree} and back.files == (str(f),) and back.common_transform(["x"]) == ("log", 150.0)
     assert "Gates: a gate." in workspace.methods_text(back)
     xml = workspace.gating_xml(back.trees)
-    assert xml.count("Gate ") == 2 and "PolygonGate" in xml and "RectangleGate" in xml
+    assert xml.count('eventsInside="false"') == 1 and xml.count('eventsInside="true"') == 1 and xml.count("Gate ") == 2 and "PolygonGate" in xml and "RectangleGate" in xml
     with pytest.raises(ValueError, match="unknown command"):
         workspace.call("no", s)
     assert s.loaded(["x"]).trees == {} and not s.loaded(["x"]).transforms
