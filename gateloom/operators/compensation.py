@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gateloom.core.order import joined, order_statistics
 from gateloom.operators.statistics import correlation, ratio
 
 
@@ -95,6 +97,38 @@ def huber_slope(x: np.ndarray, y: np.ndarray, delta: float = 1.35, rounds: int =
     return k
 
 
+def huber_slopes(df: DataFrame, by: Sequence[str], x: str, y: str, delta: float = 1.35, rounds: int = 30, least: float = 1e-6) -> DataFrame:
+    """by, slope: huber_slope() of every group, for groups of any size. A round is an exact median of residuals and one aggregation of weighted products; a row for each group (a control) reaches the driver.
+
+    Rows with a null or NaN in x or y are left out; a group without others has 0.
+    """
+    spark, keys = df.sparkSession, list(by)
+    rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).withColumn("_ok", ~(F.isnull("_x") | F.isnull("_y") | F.isnan("_x") | F.isnan("_y")))
+    ok = F.col("_ok")
+    first = rows.groupBy(*keys).agg(F.sum(F.when(ok, F.col("_x") * F.col("_y"))).alias("xy"), F.sum(F.when(ok, F.col("_x") * F.col("_x"))).alias("xx")).collect()
+    slope = {tuple(r[k] for k in keys): r["xy"] / r["xx"] if r["xx"] else 0.0 for r in first}
+    live = {g for g in slope if any(tuple(r[k] for k in keys) == g and r["xx"] for r in first)}
+    schema = [df.schema[k] for k in keys]
+    table = lambda values, name: spark.createDataFrame([(*g, float(v)) for g, v in values.items()], T.StructType([*schema, T.StructField(name, T.DoubleType())]))
+    for _ in range(rounds):
+        if not live:
+            break
+        far = joined(rows.filter(ok), table({g: slope[g] for g in live}, "_k"), keys).withColumn("_r", F.abs(F.col("_y") - F.col("_k") * F.col("_x")))
+        scale = {tuple(r[k] for k in keys): 1.4826 * r["value"] for r in order_statistics(far, keys, ["_r"], [0.5]).collect()}
+        live = {g for g in live if scale.get(g)}
+        if not live:
+            break
+        w = F.least(F.lit(1.0), F.lit(delta) * F.col("_s") / F.greatest("_r", F.lit(1e-300)))
+        sums = joined(far, table({g: scale[g] for g in live}, "_s"), keys).groupBy(*keys).agg(F.sum(w * F.col("_x") * F.col("_y")).alias("xy"), F.sum(w * F.col("_x") * F.col("_x")).alias("xx")).collect()
+        for r in sums:
+            g = tuple(r[k] for k in keys)
+            new = r["xy"] / r["xx"]
+            if abs(new - slope[g]) < least * max(1.0, abs(new)):
+                live.discard(g)
+            slope[g] = new
+    return table(slope, "slope")
+
+
 def stain_index(df: DataFrame, by: Sequence[str], x: str, threshold: Column) -> DataFrame:
     """by, stain_index: (median of positives - median of negatives) / (2 x SD of negatives), with a verdict."""
     pos, neg = F.when(F.col(x) >= threshold, F.col(x)), F.when(F.col(x) < threshold, F.col(x))

@@ -73,12 +73,7 @@ def comp_slopes(spark, sf_dir):
 
 @query("comp_huber_slopes")
 def comp_huber_slopes(spark, sf_dir):
-    def fit(pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "slope": [compensation.huber_slope(pdf["e0"].to_numpy(), pdf["e1"].to_numpy())]})
-
-    return vector_events(spark, sf_dir, 2).select("cluster", "e0", "e1").groupBy("cluster").applyInPandas(fit, "cluster int, slope double")
+    return compensation.huber_slopes(vector_events(spark, sf_dir, 2), ["cluster"], "e0", "e1")
 
 
 @query("comp_stain_index", STREAM + ", s AS (SELECT sample, round((median(CASE WHEN fl1_a >= 100 THEN fl1_a END) - median(CASE WHEN fl1_a < 100 THEN fl1_a END)) / (2 * greatest(stddev_pop(CASE WHEN fl1_a < 100 THEN fl1_a END), 1e-9)), 2) AS stain_index FROM ev GROUP BY sample) SELECT *, CASE WHEN stain_index >= 5 THEN 'Good' WHEN stain_index >= 2 THEN 'Moderate' ELSE 'Weak' END AS verdict FROM s")

@@ -38,8 +38,10 @@ def surface_edge_confidence(spark, sf_dir):
 
 @query("surface_valleys")
 def surface_valleys(spark, sf_dir):
-    """Places between peaks of a channel, where a gate's edge snaps to."""
-    h = histograms.gaussian_blur(histograms.histogram(stream_events(spark, sf_dir), ["sample"], "fl1_a", 128), ["sample"], 3, 128)
+    """Places between peaks of a channel, where a gate's edge snaps to. The channel is made of order lines: the line's number decides the peak, a hash the scatter about it."""
+    noise = F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(1000)) / 1000.0 + F.pmod(F.xxhash64("l_suppkey", "l_orderkey", "l_linenumber"), F.lit(1000)) / 1000.0 - 1
+    ev = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("sample"), (F.col("l_linenumber") % 3 * 4 + noise).alias("fl1_a"))
+    h = histograms.gaussian_blur(histograms.histogram(ev, ["sample"], "fl1_a", 128), ["sample"], 3, 128)
 
     def find(pdf):
         import pandas as pd

@@ -79,3 +79,17 @@ def test_average_ranks(spark):
     data = [(v,) for v in [3.0, 1.0, 3.0, 2.0, 3.0, 1.0]]
     got = sorted((r["x"], r["rank"], r["ties"]) for r in statistics.average_ranks(spark.createDataFrame(data, "x double"), "x").collect())
     assert got == [(1.0, 1.5, 2)] * 2 + [(2.0, 3.0, 1)] + [(3.0, 5.0, 3)] * 3
+
+
+def test_huber_slopes_are_those_of_each_group(spark):
+    from gateloom.operators.compensation import huber_slope, huber_slopes
+
+    rng = np.random.default_rng(8)
+    x, g = rng.uniform(1, 10, 300), np.array(["a", "b", "zero"])[np.arange(300) % 3]
+    y = np.where(g == "a", 2.0, -0.5) * x + rng.normal(0, 0.3, 300) + np.where(rng.random(300) < 0.1, 60, 0)
+    x = np.where(g == "zero", 0.0, x)
+    rows = [(str(k), float(a), float(b)) for k, a, b in zip(g, x, y)] + [("a", None, 1.0), ("none", None, 1.0)]
+    got = {r["g"]: r["slope"] for r in huber_slopes(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()}
+    assert got["zero"] == got["none"] == 0
+    for k, true in (("a", 2.0), ("b", -0.5)):
+        assert got[k] == pytest.approx(huber_slope(x[g == k], y[g == k]), abs=1e-4) and got[k] == pytest.approx(true, abs=0.15)
