@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gateloom.core.order import joined
 from gateloom.operators.gates import Gate
 from gateloom.operators.histograms import display_bin
 
@@ -133,3 +134,35 @@ def outline(points: np.ndarray, concavity: float = 2.0) -> list[tuple[float, flo
                 continue
         done.append(a)
     return done
+
+
+def outlines(df: DataFrame, by: Sequence[str], x: str, y: str, cells: int = 64, concavity: float = 2.0) -> DataFrame:
+    """by, i, x, y: outline() of each group, of all its points.
+
+    The hull of a group is that of its batches' hulls; of the points within, one for each cell of a grid over the group's ranges stays, so a group ends as a few thousand points whatever its size.
+    Points with a null or NaN are left out.
+    """
+    keys = list(by)
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
+    own = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(~(F.isnull("x") | F.isnull("y") | F.isnan("x") | F.isnan("y")))
+    ends = own.groupBy(*keys).agg(*[f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("a", F.min), ("b", F.max))])
+    cell = lambda c: F.when(F.col(f"b{c}") > F.col(f"a{c}"), F.floor((F.col(c) - F.col(f"a{c}")) / (F.col(f"b{c}") - F.col(f"a{c}")) * cells)).otherwise(F.lit(0))
+    inner = joined(own, ends, keys).groupBy(*keys, cell("x").alias("cx"), cell("y").alias("cy")).agg(F.min_by(F.struct("x", "y"), F.xxhash64("x", "y")).alias("p")).select(*keys, "p.x", "p.y")
+
+    def table(like, key: Sequence, points: Sequence[tuple[float, float]]):
+        return type(like)({k: [v] * len(points) for k, v in zip(keys, key)} | {"x": [p[0] for p in points], "y": [p[1] for p in points]})
+
+    def hulls(batches):
+        from gateloom.operators.models import hull
+
+        for b in batches:
+            for key, part in b.groupby(keys, dropna=False, sort=False) if keys else [((), b)]:
+                yield table(b, [None if k != k else k for k in key], hull(part[["x", "y"]].to_numpy(float)))
+
+    def drawn(part):
+        out = table(part, [part[k].iloc[0] for k in keys], outline(part[["x", "y"]].to_numpy(float), concavity))
+        out.insert(len(keys), "i", range(len(out)))
+        return out
+
+    rim = own.mapInPandas(hulls, f"{kinds}{', ' * bool(keys)}x double, y double")
+    return rim.unionAll(inner).groupBy(*keys).applyInPandas(drawn, f"{kinds}{', ' * bool(keys)}i int, x double, y double")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gateloom.core.bind import EVENTS_CTE, LINEITEM_CTE, VECTOR_CTE, lineitem_events, stream_events, table, vector_events
+from gateloom.core.order import numbered
 from gateloom.operators import analysis, histograms
 from gateloom.operators.gates import Gate, Population, chain, first_match, members, nodes, percent, population, quadrants, rule, tree_counts
 from gateloom.operators.statistics import median, rcv
@@ -215,11 +216,11 @@ def population_deepest_label(spark, sf_dir):
     return ev.groupBy("sample", label.alias("population")).agg(F.count("*").alias("n")).where("population is not null")
 
 
-@query("population_from_mask", "WITH " + LINEITEM_CTE + f" SELECT sample, string_agg(row_index::VARCHAR, ',' ORDER BY row_index) AS rows FROM ev WHERE {SQL_CELLS} AND {SQL_CHILD} AND fl1_a > 0.06 AND ssc_a > 38 GROUP BY sample")
+@query("population_from_mask", "WITH " + LINEITEM_CTE + f" SELECT sample, row_index, row_number() OVER (PARTITION BY sample ORDER BY row_index) - 1 AS place FROM ev WHERE {SQL_CELLS} AND {SQL_CHILD} AND fl1_a > 0.06 AND ssc_a > 38")
 def population_from_mask(spark, sf_dir):
-    """Rows of a mask as a sorted list by sample."""
+    """An index population of a mask: its rows, each with its place in the sample's sorted list."""
     ev = population(lineitem_events(spark, sf_dir, with_index=True), [CELLS, CHILD]).where("fl1_a > 0.06 and ssc_a > 38")
-    return ev.groupBy("sample").agg(F.array_join(F.transform(F.sort_array(F.collect_list("row_index")), lambda x: x.cast("string")), ",").alias("rows"))
+    return numbered(ev.select("sample", "row_index"), ["sample"], ["row_index"], "place")
 
 
 @query("gate_elastic_peak", "WITH " + LINEITEM_CTE + ", r AS (SELECT sample, min(fsc_a) AS x0, max(fsc_a) AS x1, min(ssc_a) AS y0, max(ssc_a) AS y1 FROM ev GROUP BY sample), g AS (SELECT sample, trunc((fsc_a - x0) / (x1 - x0) * 127)::INTEGER AS px, 127 - trunc((ssc_a - y0) / (y1 - y0) * 127)::INTEGER AS py, count(*) AS n FROM ev JOIN r USING (sample) GROUP BY ALL), w AS (SELECT * FROM g WHERE abs(px - 60) <= 21 AND abs(py - 60) <= 21) SELECT sample, px, py, n FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY n DESC, py, px) AS k FROM w) WHERE k = 1")

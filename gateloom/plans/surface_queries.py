@@ -54,16 +54,9 @@ def surface_valleys(spark, sf_dir):
 
 @query("population_outline")
 def population_outline(spark, sf_dir):
-    """A concave outline of each cluster in two channels, from at most 2,000 of its events by hash."""
-    ev = analysis.equal_sample(vector_events(spark, sf_dir, 2), 2_000, "cluster")
+    """A concave outline of each cluster in two channels."""
+    return surfaces.outlines(vector_events(spark, sf_dir, 2), ["cluster"], "e0", "e1").withColumnRenamed("x", "e0").withColumnRenamed("y", "e1")
 
-    def draw(pdf):
-        import pandas as pd
-
-        pts = surfaces.outline(pdf[["e0", "e1"]].to_numpy())
-        return pd.DataFrame([(pdf["cluster"].iloc[0], i, x, y) for i, (x, y) in enumerate(pts)], columns=["cluster", "i", "x", "y"])
-
-    return ev.groupBy("cluster").applyInPandas(draw, "cluster int, i int, x double, y double")
 
 
 @query("filter_debris")

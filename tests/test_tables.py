@@ -125,3 +125,19 @@ def test_tree_isolates_the_odd_bins():
     assert sorted(stability.isolation_leaf(x)) == list(range(90))
     assert len(stability.isolation_leaf(np.random.default_rng(1).normal(size=(100, 3)))) == 100
     assert stability.short_runs(np.array([0, 0, 0, 0, 0, 1, 0, 0, 1, 0, 0, 0, 0, 0], bool)).tolist() == [False] * 5 + [True] * 4 + [False] * 5
+
+
+def test_outlines_hold_all_points_of_the_hull(spark):
+    from gateloom.operators.models import hull
+    from gateloom.operators.surfaces import outlines
+
+    rng = np.random.default_rng(6)
+    p = {g: rng.normal(k, 1 + k, (500, 2)) for k, g in enumerate("ab")}
+    rows = [(g, *map(float, r)) for g, v in p.items() for r in v] + [("a", None, 1.0), (None, 2.0, 3.0)]
+    got = outlines(spark.createDataFrame(rows, "g string, x double, y double").repartition(6), ["g"], "x", "y").toPandas()
+    for g, v in p.items():
+        shape = set(map(tuple, got[got["g"] == g][["x", "y"]].to_numpy().tolist()))
+        assert set(hull(v)) <= shape <= set(map(tuple, v.tolist())) and len(shape) >= len(hull(v))
+    assert len(got[got["g"].isna()]) == 1
+    whole = outlines(spark.createDataFrame(rows, "g string, x double, y double").filter("g = 'a'"), ["g"], "x", "y", concavity=0).toPandas().sort_values("i")
+    assert list(map(tuple, whole[["x", "y"]].to_numpy().tolist())) == hull(p["a"])
