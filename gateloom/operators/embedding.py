@@ -145,8 +145,10 @@ def grid_clusters(events: DataFrame, features: Sequence[str], bins: int = 20, de
 
 
 def pca(events: DataFrame, features: Sequence[str], k: int = 2, row: str = "row_index") -> DataFrame:
-    """row and k principal components."""
+    """row and k principal components; fewer than two rows have none, so zeros."""
     v = vectors(scaled(events, features), features)
+    if len(v.take(2)) < 2:
+        return v.select(row, *[F.lit(0.0).alias(f"c{i}") for i in range(k)])
     out = PCA(k=k, inputCol="_v", outputCol="_c").fit(v).transform(v)
     return out.select(row, *[vector_to_array("_c")[i].alias(f"c{i}") for i in range(k)])
 
