@@ -35,13 +35,14 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: Colu
     Each group is cut into ranges of the first column of order (a number, date or time); a range is summed in its task, and the sums of the ranges before it, a few numbers a group, are added.
     Rows with one and the same first value stay together.
     """
-    cut = df.withColumn("_range", ranges(df, order[0], n)).withColumn("_weight", weight)
-    sums = cut.groupBy(*by, "_range").agg(F.sum("_weight").alias("_sum"))
-    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*by, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # in a struct null equals null, and the window and the join below share one shuffle
+    cut = df.withColumn("_range", ranges(df, order[0], n)).withColumn("_weight", weight).withColumn("_key", F.struct(*by, "_range"))
+    sums = cut.groupBy("_key").agg(F.sum("_weight").alias("_sum"))
+    earlier = Window.partitionBy(*[F.col("_key")[c] for c in by]).orderBy(F.col("_key")["_range"]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_key", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = cut.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
-    return joined(own, offsets, [*by, "_range"]).select(*df.columns, (F.col("_inside") + F.col("_offset")).alias(name))
+    return own.join(offsets, "_key").select(*df.columns, (F.col("_inside") + F.col("_offset")).alias(name))
 
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "row_index", n: int = RANGES) -> DataFrame:
@@ -63,7 +64,7 @@ def values_at(rows: DataFrame, keys: Sequence[str], ranks: DataFrame, bins: int
     """
     def counted(open_: DataFrame, bin_: Column) -> DataFrame:
         brackets = open_.select(*keys, "below", "low", "high").distinct()
-        met = joined(rows, brackets, keys).filter((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
+        met = joined(rows, F.broadcast(brackets) if small else brackets, keys).filter((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
         bins_ = met.groupBy(*keys, "below", bin_.alias("bin")).agg(F.count("*").alias("in_bin"), F.min("v").alias("least"), F.max("v").alias("most"))
         order = Window.partitionBy(*keys, "below").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         bins_ = bins_.withColumn("start", F.col("below") + F.coalesce(F.sum("in_bin").over(order), F.lit(0)))
@@ -74,9 +75,12 @@ def values_at(rows: DataFrame, keys: Sequence[str], ranks: DataFrame, bins: int
     finer = F.least(F.floor((half("v") - half("low")) / (half("high") - half("low")) * bins), F.lit(bins - 1).cast("bigint"))
     keys, stages, done = list(keys), Stages(rows.sparkSession), []
     at = ranks.select(*keys, "rank", F.lit(0).cast("bigint").alias("below"), F.col("n").cast("bigint"), "low", "high")
-    while (most := at.filter("low < high").agg(F.max("n")).first()[0] or 0) > few:
+    most, asked = at.agg(F.max(F.when(F.col("low") < F.col("high"), F.col("n"))), F.count("*")).first()
+    small = asked <= FEW  # brackets are broadcast only if they are counted to be few
+    while (most or 0) > few:
         done.append(at.filter("low = high"))
         at = stages.store(counted(at.filter("low < high"), finer), f"brackets{len(done)}")
+        most = at.filter("low < high").agg(F.max("n")).first()[0]
     return reduce(DataFrame.unionByName, [*done, counted(at, F.col("v")) if most else at]).select(*keys, "rank", F.col("low").alias("value"))
 
 
