@@ -93,10 +93,21 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*$", "")
 
 
+def as_text(x: Column, form: str) -> Column:
+    """Numbers by a printf form as C writes them, rounded by their exact binary value, ties to even; Java's format_string rounds ties up."""
+    return F.udf(lambda v: None if v is None else form % v, "string", useArrow=True)(x)
+
+
+def scientific(x: Column) -> Column:
+    """Two digits after the point and an exponent."""
+    return as_text(x, "%.2e")
+
+
 def intensity(x: Column) -> Column:
-    """Scientific from 1e5 on and below 0.01 (but 0), else a grouped whole number."""
+    """Scientific from 1e5 on and below 0.01 (but 0), else a grouped whole number; -0 for what rounds up to 0."""
     a = F.abs(x)
-    return F.when((a >= 1e5) | ((a < 0.01) & (x != 0)), F.format_string("%.2e", x)).otherwise(F.format_number(F.round(x, 0), 0))
+    whole = F.when((x > -0.5) & (x < 0), "-0").otherwise(F.format_number(F.round(x, 0).cast("bigint"), 0))
+    return F.when((a >= 1e5) | ((a < 0.01) & (x != 0)), scientific(x)).otherwise(whole)
 
 
 def csv_quoted(text: Column) -> Column:

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gateloom.functions.scalars import as_text
 from gateloom.operators.gates import Gate, Population
 
 
@@ -316,6 +317,6 @@ def gating_methods(counts: DataFrame, tree: Sequence[Population], aliases: Mappi
     share = F.col("count") * 100.0 / F.col("parent_count")
     stat = counts.where("parent_count > 0").groupBy("population").agg(F.avg(share).alias("m"), F.coalesce(F.stddev_samp(share), F.lit(0.0)).alias("sd"), F.count("*").alias("n"))
     rows = counts.sparkSession.createDataFrame(nodes, "i int, population string, name string, kind string, axes string, parent string").join(stat, "population", "left")
-    part = F.format_string("%s is a %s on %s and held %.1f%% of %s (SD %.1f, samples: %d)", "name", "kind", "axes", F.coalesce("m", F.lit(0.0)), "parent", F.coalesce("sd", F.lit(0.0)), F.coalesce("n", F.lit(0)))
+    part = F.format_string("%s is a %s on %s and held %s%% of %s (SD %s, samples: %d)", "name", "kind", "axes", as_text(F.coalesce("m", F.lit(0.0)), "%.1f"), "parent", as_text(F.coalesce("sd", F.lit(0.0)), "%.1f"), F.coalesce("n", F.lit(0)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", part.alias("t")))), lambda x: x["t"]), ". ")
     return rows.agg(F.concat(F.lit("Gates, from the outermost in. "), text, F.lit(". Each percentage is averaged over the samples in which the enclosing population has events.")).alias("text"))

@@ -168,3 +168,25 @@ def test_outline_of_a_ring():
     pts = np.concatenate([np.stack([r * np.cos(a), r * np.sin(a)], axis=1) for r in (7, 8.5, 10)])
     assert area(outline(pts, 2.0)) < 0.95 * area(outline(pts, 0.0))
     assert len(outline(np.array([(0, 0), (2, 0), (2, 2), (0, 2), (1, 1)], float))) >= 4
+
+
+def test_intensity_format_on_ties_and_odd_numbers(spark, tmp_path):
+    import shutil
+
+    import duckdb
+
+    from gateloom.plans import registry
+    from tests.oracle import TABLES, check
+
+    for t in set(TABLES) - {"customer"}:
+        shutil.copyfile(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+    odd = "1245, -1245, 1235, 8.765, 12.5, 0.05, -0.05, 0.02, -0.3, -0.5, 0.5, 2.5, 0, -0.0, 1e-9, 1e-7, -0.01, 0.004, 99999.5, 1e5, 123450, 124500, -1e300, 1e-310, null, 'nan', 'inf', '-inf'"
+    duckdb.execute(f"copy (select 's' as c_mktsegment, row_number() over () as c_custkey, x::double as c_acctbal from (select unnest([{', '.join(repr(v.strip(chr(39))) if v != 'null' else v for v in odd.split(', '))}]) as x)) to '{tmp_path}/customer.parquet' (format parquet)")
+    check(spark, str(tmp_path), registry.QUERIES["intensity_format"], registry.ORACLE_SQL["intensity_format"])
+
+
+def test_text_of_numbers_rounds_as_c(spark):
+    from gateloom.functions.scalars import as_text
+
+    got = spark.createDataFrame([(12.25,), (0.05,), (None,)], "x double").select(as_text(F.col("x"), "%.1f")).collect()
+    assert [r[0] for r in got] == ["12.2", "0.1", None]
