@@ -221,8 +221,8 @@ def population(events: DataFrame, gates: Sequence[Gate]) -> DataFrame:
 
 
 def members(events: DataFrame, index: DataFrame, keys: Sequence[str] = ("sample", "row_index")) -> DataFrame:
-    """Rows whose keys an index population lists."""
-    return events.join(index, list(keys), "left_semi")
+    """Rows whose keys an index population lists. The index is hashed in its tasks; events stream past it unsorted."""
+    return events.join(index.hint("shuffle_hash"), list(keys), "left_semi")
 
 
 def rule(clauses: Sequence[tuple[str, bool]], thresholds: dict[str, float], channels: Iterable[str]) -> Column:

@@ -93,3 +93,24 @@ def test_huber_slopes_are_those_of_each_group(spark):
     assert got["zero"] == got["none"] == 0
     for k, true in (("a", 2.0), ("b", -0.5)):
         assert got[k] == pytest.approx(huber_slope(x[g == k], y[g == k]), abs=1e-4) and got[k] == pytest.approx(true, abs=0.15)
+
+
+def test_numbering_of_many_rows_takes_more_tasks(spark, monkeypatch):
+    """What a task sorts doesn't grow with the rows; the numbers stay."""
+    monkeypatch.setattr(order, "TASK_ROWS", 100, raising=False)
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
+    out = order.numbered(df, ["g"], ["x"])
+    assert out.filter(F.col("row_index") != F.floor(F.col("x") / 3)).count() == 0
+    assert "RepartitionByExpression" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_sample_ranks_few_rows(spark):
+    """The rows of least key of each sample, null included, though only some of them are ranked; also where a sample has fewer."""
+    from gateloom.operators import analysis
+
+    df = spark.range(60_000).select(F.when(F.col("id") < 50, "few").when(F.col("id") % 2 == 0, "even").alias("sample"), F.col("id").alias("row_index"))
+    got = analysis.equal_sample(df, 2_000)
+    keyed = [(r["sample"], r["_k"], r["row_index"]) for r in df.withColumn("_k", analysis.portable_key("sample", "row_index")).collect()]
+    for s, n in (("few", 50), ("even", 2_000), (None, 2_000)):
+        assert {r["row_index"] for r in got.collect() if r["sample"] == s} == {i for _, i in sorted((k, i) for own, k, i in keyed if own == s)[:n]}
+    assert "_last" in got._jdf.queryExecution().optimizedPlan().toString()
