@@ -22,7 +22,7 @@ def files(spark: SparkSession, sf_dir: str) -> str:
     """The samples as FCS files in a shared folder."""
     folder = shared_path(spark, "fcs")
     os.makedirs(local_form(folder))
-    fcs.write_files(lineitem_events(spark, sf_dir, with_index=True), CHANNELS, local_form(folder)).collect()  # a row for each sample
+    fcs.write_files(lineitem_events(spark, sf_dir, with_index=True), CHANNELS, local_form(folder), by_row=True)
     return folder
 
 

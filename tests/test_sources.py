@@ -121,3 +121,30 @@ def test_stream(spark, tmp_path):
     q = binned(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "v").writeStream.format("memory").queryName("binned").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("binned").agg(F.sum("n")).first()[0] == 100 and spark.table("binned").count() == 10
+
+
+def test_files_are_written_and_read_by_ranges(spark, tmp_path, monkeypatch):
+    """Blocks of a sample are written by several tasks; what mounted files hold never comes as one row."""
+    monkeypatch.setattr(fcs, "WRITTEN", 50, raising=False)
+    ev = spark.range(700).select((F.col("id") % 3).cast("string").alias("sample"), (F.col("id") * 2).alias("row_index"), F.col("id").cast("double").alias("x"), (-F.col("id")).cast("double").alias("y")).repartition(7)
+    made = {r["sample"]: r["events"] for r in fcs.write_files(ev, ["x", "y"], str(tmp_path)).collect()}
+    assert made == {"0": 234, "1": 233, "2": 233} and sorted(p.name for p in tmp_path.iterdir()) == ["0.fcs", "1.fcs", "2.fcs"]
+    df = fcs.read_events(spark, str(tmp_path), ["y", "x"], size=160)
+    assert "content" not in df._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in fcs.read_keywords(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    got = df.toPandas().sort_values(["sample", "row_index"])
+    for s in range(3):
+        own = got[got["sample"] == str(s)]
+        assert own["x"].tolist() == [float(i) for i in range(s, 700, 3)] and (own["y"] == -own["x"]).all() and own["row_index"].tolist() == list(range(len(own)))
+    with pytest.raises(Exception, match="doesn't count"):
+        fcs.write_files(ev, ["x"], str(tmp_path / "gaps"), by_row=True)
+    with pytest.raises(Exception, match="no such channel"):
+        fcs.read_events(spark, str(tmp_path), ["q"]).count()
+
+
+def test_files_of_other_stores_are_decoded_from_their_content(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.fcs").write_bytes(fcs.written(X, ["x", "y", "z"]))
+    plain = fcs.listed
+    monkeypatch.setattr(fcs, "listed", lambda *a: (plain(*a)[0], False))
+    assert [(r["row_index"], r["z"], r["x"]) for r in fcs.read_events(spark, str(tmp_path), ["z", "x"]).collect()] == [(0, 3.0, 1.5), (1, 6.0, 4.0)]
+    assert {r["keyword"]: r["value"] for r in fcs.read_keywords(spark, str(tmp_path)).collect()}["$TOT"] == "2"
