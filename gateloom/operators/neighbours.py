@@ -18,6 +18,8 @@ from gateloom.core.shared import Stages
 
 #: Rows of a run that are compared each with each.
 RUN = 512
+#: Rows whose lists are merged at once.
+MERGED = 2_000
 #: Planes of an order.
 PLANES = 24
 LIST = "array<struct<d: float, h: int, b: bigint>>"
@@ -60,10 +62,33 @@ def vectors_of(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
+def best_of(owner: np.ndarray, d: np.ndarray, h: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k least entries (d, h, b) of each owner, each once, by owner."""
+    order = np.lexsort((b, h, d, owner))
+    owner, d, h, b = owner[order], d[order], h[order], b[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (b[1:] != b[:-1]) | (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    owner, d, h, b = owner[new], d[new], h[new], b[new]
+    starts = np.nonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])[0]
+    keep = np.arange(len(owner)) - np.repeat(starts, np.diff(np.r_[starts, len(owner)])) < k
+    return owner[keep], d[keep], h[keep], b[keep]
+
+
 def merged(lists: DataFrame, k: int) -> DataFrame:
     """id, nb: the k best of all lists of an id, each neighbour once."""
-    best = F.slice(F.array_distinct(F.array_sort(F.flatten(F.collect_list("nb")))), 1, k)
-    return lists.groupBy("id").agg(best.alias("nb"))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, MERGED):
+                batch = whole.slice(at, MERGED)
+                size = batch.column("nb").value_lengths().to_numpy()
+                flat = batch.column("nb").flatten()
+                owner, d, h, b = best_of(np.repeat(np.arange(len(size)), size), *[flat.field(i).to_numpy() for i in range(3)], k)
+                entries = pa.StructArray.from_arrays([pa.array(d), pa.array(h), pa.array(b)], names=["d", "h", "b"])
+                ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(size)))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), entries)], names=["id", "nb"])
+
+    return lists.groupBy("id").agg(F.flatten(F.collect_list("nb")).alias("nb")).mapInArrow(run, f"id bigint, nb {LIST}")
 
 
 def run_lists(points: DataFrame, k: int, orders: int, run: int, seed: int) -> DataFrame:

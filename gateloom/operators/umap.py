@@ -24,8 +24,8 @@ from gateloom.operators.neighbours import neighbour_graph
 
 #: Places that rows are pushed away from in a round, and how many of them each sampled edge meets.
 NEGATIVES, PUSHES = 4096, 5
-#: Rows of a part of the layout, about.
-PART = 50_000
+#: Rows of a part of the layout, about, and partitions for each part, so that few tasks get two.
+PART, SPREAD = 20_000, 8
 
 
 def weights(d: np.ndarray, k: int) -> np.ndarray:
@@ -125,7 +125,7 @@ def layout(start: DataFrame, edges: DataFrame, stages: Stages, rounds: int = 12,
 
         met = both.join(places.select(F.col("id").alias("tail"), "y1", "y2"), "tail").select("part", "head", "tail", "w", "y1", "y2")
         own = places.select("part", F.col("id").alias("head"), F.lit(None).cast("bigint").alias("tail"), F.lit(None).cast("double").alias("w"), "y1", "y2")
-        places = stages.store(met.unionAll(own).repartition(parts, "part").mapInArrow(run, "id bigint, part int, y1 double, y2 double"), "places")
+        places = stages.store(met.unionAll(own).repartition(SPREAD * parts if parts > 1 else 1, "part").mapInArrow(run, "id bigint, part int, y1 double, y2 double"), "places")
     return places
 
 

@@ -263,3 +263,18 @@ def test_snapshot_is_made_once(spark, tmp_path):
     key = snapshots.digest(df, "twice", {"k": 1})
     assert snapshots.restored(spark, folder, key).count() == 30 and snapshots.restored(spark, folder, "none") is None
     assert snapshots.with_coordinates(df, again).count() == 30
+
+
+def test_merged_lists_are_the_best_of_all(spark):
+    """Entries by distance, then tie, then neighbour, each once; an id without neighbours keeps an empty list."""
+    from gateloom.operators import neighbours
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [(float(np.float32(d)), int(d * 8) % 3, int(b)) for d, b in zip(rng.integers(0, 6, 9) / 4, rng.integers(0, 5, 9))]) for i in rng.integers(0, 40, 400)] + [(99, [])]
+    lists = spark.createDataFrame(rows, f"id bigint, nb {neighbours.LIST}")
+    got = {r["id"]: [tuple(e) for e in r["nb"]] for r in neighbours.merged(lists, 7).collect()}
+    want = {}
+    for i, nb in rows:
+        want.setdefault(i, set()).update(nb)
+    assert got == {i: sorted(nb)[:7] for i, nb in want.items()}
+    assert "array_sort" not in neighbours.merged(lists, 7)._jdf.queryExecution().optimizedPlan().toString()
