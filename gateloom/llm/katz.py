@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gateloom.llm.common import WordHashes, ascii_words, blocked, blocks_of, lean, memory, mixed, opened, shards, texts_of
+from gateloom.llm.common import WordHashes, ascii_words, blocked, blocks_of, forget, lean, memory, mixed, opened, shards, texts_of
 
 #: Counts up to this are discounted; tokens of a context beyond which it is split; folds and the one held out.
 K, SALT_TOKENS, FOLDS, HELD = 5, 4_000_000, 7, 2
@@ -64,6 +64,7 @@ class Block:
     def __init__(self, rows: pa.Table):
         held = rows.column("held_out").to_pylist()
         docs = [np.append(hashes_of(ascii_words(t, lower=True)), END) for t in texts_of(rows.column("text"))]
+        forget()  # hashes of words aren't needed beside the arrays that follow
         self.size = np.fromiter(map(len, docs), np.int64, len(docs))
         docs.append(np.array([BEGIN], np.uint64))
         flat = np.concatenate(docs)
@@ -93,21 +94,28 @@ class Block:
         del pair
         # parts: one for each context, more for a hot one, whether or not the block has words in all of them
         own = np.unique(ctx)
+        at = np.searchsorted(own, ctx).astype(np.int32)
+        del ctx
         salts = 1 + total[own].astype(np.int64) // SALT_TOKENS
         base = np.cumsum(salts) - salts
         self.part_ctx = np.repeat(np.arange(len(own)), salts)
         sub = np.arange(int(salts.sum())) - base[self.part_ctx]
-        at = np.searchsorted(own, ctx)
-        part = base[at] + (mixed(self.ids[word]) % salts[at].astype(np.uint64)).astype(np.int64)
+        part = base[at]
+        hot = np.nonzero(salts[at] > 1)[0]
+        part[hot] += (mixed(self.ids[word[hot]]) % salts[at[hot]].astype(np.uint64)).astype(np.int64)
+        del hot
         name = self.ids[own][self.part_ctx]
         name = np.where(sub == 0, name, mixed(name + sub.astype(np.uint64) * _MUL))
         order = np.argsort(name, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.name, self.part_ctx = name[order], self.part_ctx[order]
-        by = np.argsort(rank[part].astype(np.uint64) * n + word.astype(np.uint64), kind="stable")
-        self.ctx, self.word, self.pair_count = at[by].astype(np.int32), word[by], count[by].astype(np.int32)
-        self.part_size = np.bincount(rank[part], minlength=len(order))
+        part = rank[part]
+        self.part_size = np.bincount(part, minlength=len(order))
+        by = np.argsort(part.astype(np.uint64) * n + word.astype(np.uint64), kind="stable")
+        del part
+        self.ctx, self.word, self.pair_count = at[by], word[by], count[by].astype(np.int32)
+        del at, word, count
         back = np.empty(len(by), np.int32)
         back[by] = np.arange(len(by), dtype=np.int32)
         self.pair_of_token = back[self.pair_of_token]
@@ -197,28 +205,38 @@ def pair_answers(rows: DataFrame, words: DataFrame, n: int) -> DataFrame:
     def answer(batches):
         lean()
         for bucket, parts in by_bucket(batches).items():
+            blocks = [p[0] for p in parts]
             name, size, word, count, weight = ([unpack(p[i], WIDE if i == 3 else 8) for p in parts] for i in range(1, 6))
-            u, ctx = np.unique(np.concatenate(name), return_inverse=True)
-            of = np.repeat(ctx, np.concatenate(size).astype(np.int64))
-            w = np.concatenate(word)
-            order = np.lexsort((w, of))
-            o, w = of[order], w[order]
+            lengths = [len(x) for x in name]
+            grams = [len(x) for x in word]
+            parts.clear()
+            name, size, word = np.concatenate(name), np.concatenate(size).astype(np.int64), np.concatenate(word)
+            count, weight = np.concatenate(count).astype(np.int64), np.concatenate(weight).astype(np.int64)
+            u, ctx = np.unique(name, return_inverse=True)
+            o = np.repeat(ctx, size)
+            del name, size
+            order = np.lexsort((word, o))
+            o, w = o[order], word[order]
+            del word
             new = np.r_[True, (o[1:] != o[:-1]) | (w[1:] != w[:-1])] if len(o) else np.zeros(0, bool)
+            del w
             group = np.cumsum(new) - 1
             total = np.zeros(int(new.sum()), np.int64)
-            np.add.at(total, group, np.concatenate(count).astype(np.int64)[order])
-            c, weights = o[new], np.concatenate(weight).astype(np.int64)[order][new] + 1
+            np.add.at(total, group, count[order])
+            c, weights = o[new], weight[order[new]] + 1
+            del o, new, count, weight
             stats = np.zeros((K + 3, len(u)), np.int64)
             for i, (mask, add) in enumerate([(total > 0, total), *((total == r, 1) for r in range(1, K + 1)), (total > K, total), (total > 0, weights)]):
                 np.add.at(stats[i], c[mask], add[mask] if isinstance(add, np.ndarray) else add)
             each = np.empty(len(order), np.int64)
             each[order] = total[group]
+            del order, group
             of_counts = pack(np.array([(total == r).sum() for r in range(1, K + 2)]))
             at = part = 0
-            for (block, *_), own, grams in zip(parts, name, word, strict=True):
-                yield batch(["block", "level", "bucket", "x0", "x1"], (block, 2, bucket, pack(each[at : at + len(grams)]), pack(stats[:, ctx[part : part + len(own)]].reshape(-1))))
-                at += len(grams)
-                part += len(own)
+            for block, names_, pairs in zip(blocks, lengths, grams, strict=True):
+                yield batch(["block", "level", "bucket", "x0", "x1"], (block, 2, bucket, pack(each[at : at + pairs]), pack(stats[:, ctx[part : part + names_]].reshape(-1))))
+                at += pairs
+                part += names_
             yield batch(["block", "level", "bucket", "x0", "x1"], *((j, 3, bucket, of_counts, b"") for j in range(n)))
 
     asked = rows.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(ask, "bucket int, block int, x0 binary, x1 binary, x2 binary, x3 binary, x4 binary")
