@@ -25,7 +25,7 @@ from gateloom.operators.neighbours import neighbour_graph
 #: Places that rows are pushed away from in a round, and how many of them each sampled edge meets.
 NEGATIVES, PUSHES = 4096, 5
 #: Rows of a part of the layout, about, and partitions for each part, so that few tasks get two.
-PART, SPREAD = 20_000, 8
+PART, SPREAD = 50_000, 8
 
 
 def weights(d: np.ndarray, k: int) -> np.ndarray:
