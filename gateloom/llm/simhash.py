@@ -31,8 +31,8 @@ from gateloom.llm.common import ascii_words, bites, dealt, forget, gathered, lea
 WORDS, RADIUS, BANDS = 3, 3, 6
 #: Rows (query x block) that are compared at a time.
 ROWS = 400_000
-#: Fingerprints of a key from which on they are compared in blocks.
-FEW = 8
+#: Fingerprints of a key from which on they are compared in blocks; pairs that are given at a time, about.
+FEW, PAIRS = 8, 1_000_000
 _ONE = np.uint64(1)
 
 
@@ -140,10 +140,13 @@ def pairs_in(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS):
             hit = within(planes, blk, fps[q], radius)
             hit &= np.where(m[blk] == 64, ~np.uint64(0), (_ONE << m[blk].astype(np.uint64) % np.uint64(64)) - _ONE)
             some = np.nonzero(hit)[0]
-            if len(some):
-                bits = np.unpackbits(hit[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ends, a = np.cumsum(np.bitwise_count(hit[some]), dtype=np.int64), 0
+            while a < len(some):  # where all are alike a row has 64 pairs
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
+                part, a = some[a:b], b
+                bits = np.unpackbits(hit[part].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 r, lane = np.nonzero(bits)
-                x, y = q[some[r]], start[blk[some[r]]] + lane
+                x, y = q[part[r]], start[blk[part[r]]] + lane
                 new = x < y
                 yield x[new], y[new]
         blocks.clear(), base.clear(), count.clear(), queries.clear()
@@ -166,24 +169,27 @@ def pairs_in(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS):
     yield from flush()
 
 
-def links_in(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a spanning forest of the links between fingerprints of equal key; key sorted."""
-    n = len(fps)
-    at = np.arange(n)
-    a, b = [], []
+def joined(n: int, pairs) -> np.ndarray:
+    """The least place of each of n places' component under pairs (x, y), which come piece by piece."""
+    at, a, b = np.arange(n), [], []
 
     def forest() -> np.ndarray:
         out = roots(n, np.concatenate([*a, np.arange(n)]), np.concatenate([*b, at])) if a else at
         a.clear(), b.clear()
         return out
 
-    for x, y in pairs_in(key, fps, radius):
+    for x, y in pairs:
         a.append(x)
         b.append(y)
         if sum(map(len, a)) > 2_000_000:
             at = forest()
-    at = forest()
-    child = np.nonzero(at != np.arange(n))[0]
+    return forest()
+
+
+def links_in(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a spanning forest of the links between fingerprints of equal key; key sorted."""
+    at = joined(len(fps), pairs_in(key, fps, radius))
+    child = np.nonzero(at != np.arange(len(fps)))[0]
     return child, at[child]
 
 
@@ -259,6 +265,8 @@ SHINGLE, SIMILAR, SAMPLE = 5, 0.8, 5_000
 FAR = 22
 #: The same for three more fingerprints together: 29 of 192 on average, with a deviation of 5, and 96 for unrelated sets.
 FAR_MORE = 62
+#: Bits of an odd sketch at most.
+ODD = 8_192
 #: Nodes of a key from which on it is dealt in parts, and nodes that all parts have.
 SPLIT, LEADS = 4_096, 32
 
@@ -304,6 +312,54 @@ def sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.minimum(n, m) >= (SIMILAR - 1e-9) * np.maximum(n, m)
 
 
+def odd_sketch(members: np.ndarray) -> bytes:
+    """A bit for each remainder of a set's members, set if an odd number of them has it: 4 bits a member or so, ODD bits at most.
+
+    Sketches of two sets differ in no more bits than the sets in members, also when the longer one is folded to the shorter's length.
+    """
+    bits = min(ODD, max(64, 1 << (4 * len(members) - 1).bit_length())) if len(members) else 64
+    return np.packbits(np.bincount((members % np.uint32(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+class Sketches:
+    """Odd sketches of sets of n members, to rule out pairs that can't be SIMILAR."""
+
+    def __init__(self, sketches: list[bytes], n: np.ndarray):
+        self.n, self.words = n.astype(np.int64), np.array([len(x) // 8 for x in sketches], np.int64)
+        own = {w: np.nonzero(self.words == w)[0] for w in np.unique(self.words).tolist()}
+        rows = {w: np.frombuffer(b"".join(sketches[i] for i in at.tolist()), np.uint64).reshape(-1, w) for w, at in own.items()}
+        self.tables = {}
+        for w, at in own.items():
+            place, table = np.full(len(sketches), -1), [rows[w]]
+            place[at] = np.arange(len(at))
+            if 2 * w in own:
+                place[own[2 * w]] = len(at) + np.arange(len(own[2 * w]))
+                table.append(rows[2 * w][:, :w] ^ rows[2 * w][:, w:])
+            self.tables[w] = place, np.concatenate(table)
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """False for pairs of places whose sets differ in too many members."""
+        out, words = np.ones(len(x), bool), np.minimum(self.words[x], self.words[y])
+        most = (1 - SIMILAR) / (1 + SIMILAR) * (self.n[x] + self.n[y]) + 1e-6
+        for w in np.unique(words).tolist():
+            place, table = self.tables[w]
+            own = np.nonzero((words == w) & (place[x] >= 0) & (place[y] >= 0))[0]
+            for i in range(0, len(own), step := max(1, (1 << 20) // w)):
+                p = own[i : i + step]
+                out[p] = np.bitwise_count(table[place[x[p]]] ^ table[place[y[p]]]).sum(axis=1, dtype=np.int64) <= most[p]
+        return out
+
+
+def grouped_nodes(at: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """sig and columns of the places that share their component (at) with others, once for each (sig, node): sig is a digest of the nodes of the component."""
+    digest = np.zeros(len(at), np.uint64)
+    np.add.at(digest, at, mixed(columns["node"].view(np.uint64)))
+    own = np.nonzero(np.bincount(at, minlength=len(at))[at] > 1)[0]
+    sig = digest[at[own]].view(np.int64)
+    once = np.unique(np.stack([sig, columns["node"][own]]), axis=1, return_index=True)[1]
+    return pa.RecordBatch.from_arrays([pa.array(sig[once]), *(pa.array(c[own[once]]) for c in columns.values())], names=["sig", *columns])
+
+
 def met(**columns: np.ndarray) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
     kinds = {"u": pa.int64(), "v": pa.int64(), "key": pa.int64(), "node": pa.int64(), "n": pa.int32(), "fp": pa.int64()}
@@ -351,7 +407,8 @@ def set_links(texts: DataFrame, least: DataFrame, common: tuple[np.ndarray, np.n
     n - ceil(SIMILAR n) + 1 members of the other among its own first ones, in any order of all members: rare ones go first
     here (common has members and how often one of `every` documents has them). Sets with a first member in common are compared
     by fingerprint, bit-sliced; each is set against the first of those within FAR bits, and then, where no link
-    has connected them yet, all others are. What counts is the Jaccard similarity. Only the texts that are compared move.
+    has connected them yet, all others are, by odd sketches, which rule out nothing that is similar, then by their members.
+    What counts is the Jaccard similarity. Only the texts that are compared move.
     """
     spark = texts.sparkSession
     n_parts = shards(spark)
@@ -389,9 +446,9 @@ def set_links(texts: DataFrame, least: DataFrame, common: tuple[np.ndarray, np.n
             part = (mixed(short.astype(np.uint64) + (salt.astype(np.uint64) << np.uint64(32))) % np.uint64(n_parts)).astype(np.int64)
             yield dealt(part, dict(zip(ENTRY, (short, salt.astype(np.int32), split[row].astype(np.int32), node[i[row]], size[i[row]], fp[i[row]]))), names)
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """node, data (32 bits of each member of its set) of the nodes of pairs; a bitmap of bounded size lets few other texts through."""
-        need = stored(least.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node").select("least.id", "least.own"), "needed")
+    def compared(nodes: DataFrame) -> DataFrame:
+        """node, data (32 bits of each member of its set) of nodes; a bitmap of bounded size lets few other texts through."""
+        need = stored(least.join(nodes.distinct(), "node").select("least.id", "least.own"), "needed")
         bits = np.zeros(1 << 22, bool)
         bits[need.select(F.pmod("own", F.lit(1 << 22)).alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
         packed = np.packbits(bits).tobytes()
@@ -419,21 +476,55 @@ def set_links(texts: DataFrame, least: DataFrame, common: tuple[np.ndarray, np.n
                 keep = pa.array([jaccard(x, y) >= SIMILAR - 1e-12 for x, y in zip(*sets)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("u", "v")], names=["u", "v"])
 
-        sets = compared(pairs)
+        sets = compared(pairs.select(F.explode(F.array("u", "v")).alias("node")))
         for c in ("u", "v"):
             pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("data").alias(f"d{c}")), c)
         return stored(pairs.select("u", "v", "du", "dv").mapInArrow(run, "u bigint, v bigint"), "similar")
 
-    def across(batches):
+    def by_key(batches, key: str) -> dict[str, object] | None:
         table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if table is None:
-            return
-        table = table.sort_by("key")
-        key, node, n, fp, root = (table.column(c).to_numpy() for c in ("key", "node", "n", "fp", "root"))
-        for x, y in pairs_in(key, fp.view(np.uint64), FAR):
-            open_ = sizes_fit(n[x], n[y]) & (root[x] != root[y])
-            pair = np.unique(np.stack([np.maximum(node[x], node[y])[open_], np.minimum(node[x], node[y])[open_]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["u", "v"])
+            return None
+        table = table.sort_by(key)
+        return {c: table.column(c).to_pylist() if pa.types.is_binary(table.schema.field(c).type) else table.column(c).to_numpy() for c in table.column_names}
+
+    def candidates(e, key: str, *filters):
+        for x, y in pairs_in(e[key], e["fp"].view(np.uint64), FAR):
+            for keep in (lambda x, y: sizes_fit(e["n"][x], e["n"][y]) & (e["root"][x] != e["root"][y]), *filters):
+                ok = keep(x, y)
+                x, y = x[ok], y[ok]
+            yield x, y
+
+    # candidates never leave their task as pairs, whose number is the square of a group's: a key's nodes fall into the groups that candidates
+    # connect, and then into those that closer comparison connects; a group that stands under many keys is one
+    def across(batches):
+        if e := by_key(batches, "key"):
+            yield grouped_nodes(joined(len(e["node"]), candidates(e, "key")), **{c: e[c] for c in ("node", "n", "fp", "root")})
+
+    def closer(batches):
+        if e := by_key(batches, "sig"):
+            near = Sketches(e["sketch"], e["size"]).near
+            yield grouped_nodes(joined(len(e["node"]), candidates(e, "sig", near)), **{c: e[c] for c in ("node", "n", "fp", "root")})
+
+    def alike(batches):
+        if e := by_key(batches, "sig"):
+            sets = [np.frombuffer(x, np.uint32) for x in e["data"]]
+            near = Sketches([odd_sketch(x) for x in sets], np.array([len(x) for x in sets])).near
+            at = np.arange(len(sets))
+            for x, y in candidates(e, "sig", near):
+                for i in range(0, len(x), 1_024):
+                    p, q = x[i : i + 1_024], y[i : i + 1_024]
+                    p, q = p[at[p] != at[q]], q[at[p] != at[q]]
+                    ok = np.array([jaccard(sets[v], sets[w]) >= SIMILAR - 1e-12 for v, w in zip(p.tolist(), q.tolist())], bool)
+                    if ok.any():
+                        at = roots(len(at), np.concatenate([p[ok], np.arange(len(at))]), np.concatenate([q[ok], at]))
+            child = np.nonzero(at != np.arange(len(at)))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(e["node"][child]), pa.array(e["node"][at[child]])], names=["u", "v"])
+
+    def sketches(batches):
+        for b in bites(batches):
+            sets = [np.frombuffer(x, np.uint32) for x in b.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(x) for x in sets], pa.int32()), pa.array([odd_sketch(x) for x in sets], pa.binary())], names=["node", "size", "sketch"])
 
     rows = texts.select("text").mapInArrow(spread, "part int, data binary").repartition(n_parts, "part")
     both = stored(rows.mapInArrow(meet, MET), "met")
@@ -443,8 +534,13 @@ def set_links(texts: DataFrame, least: DataFrame, common: tuple[np.ndarray, np.n
     rest = both.where("key IS NOT NULL").select("key", "node", "n", "fp").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = rest.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
     rest = stored(rest.join(open_keys, "key").distinct(), "apart")
-    more = rest.repartition(n_parts, "key").mapInArrow(across, "u bigint, v bigint").distinct()
-    return found.union(verified(stored(more, "pairs")))
+    kind = "sig bigint, node bigint, n int, fp bigint, root bigint"
+    groups = stored(rest.repartition(n_parts, "key").mapInArrow(across, kind).distinct(), "groups")
+    sets = compared(groups.select("node"))
+    sketched = sets.mapInArrow(sketches, "node bigint, size int, sketch binary")
+    groups = stored(groups.join(sketched, "node").repartition(n_parts, "sig").mapInArrow(closer, kind).distinct(), "groups")
+    more = groups.join(sets, "node").repartition(n_parts, "sig").mapInArrow(alike, "u bigint, v bigint").distinct()
+    return found.union(stored(more, "similar"))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:

@@ -253,6 +253,54 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
         assert got == want and 60 <= len(want) < len(rows)
 
 
+def test_near_duplicates_of_a_group_below_the_threshold(spark, monkeypatch):
+    """Texts of one form that are all a bit too unlike: no table between the stages grows with the square of their number."""
+    whole, sizes = simhash.stored, []
+
+    def stored(df, name="stage"):
+        out = whole(df, name)
+        sizes[-1].append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    for n in (50, 200):
+        rng, rows = np.random.default_rng(3), []
+        for i in range(n):
+            w = [f"f{k}" for k in range(120)]
+            for k in rng.choice(120, 3, replace=False):
+                w[k] = f"e{rng.integers(0, 10**6)}"
+            rows.append((i, " ".join(w)))
+        sets = [shingles(t) for _, t in rows]
+        links = [(i, j) for i in range(n) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        sizes.append([])
+        got = {r["doc_id"] for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        assert got == set(simhash.roots(n, *np.array(links, int).reshape(-1, 2).T).tolist()) and len(got) > n / 2
+    assert all(many <= 6 * max(few, 50) for (_, few), (name, many) in zip(*sizes) if name != "links"), sizes
+
+
+def test_odd_sketches_rule_out_nothing_similar():
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 32, int(rng.integers(50, 6_000)), np.uint32))
+        k = int(len(a) * rng.uniform(0, 0.5))
+        sets += [a, np.unique(np.concatenate([a[k // 2 :], rng.integers(0, 1 << 32, k - k // 2, np.uint32)]))]
+    n = np.array([len(x) for x in sets])
+    near = simhash.Sketches([simhash.odd_sketch(x) for x in sets], n).near
+    x, y = np.arange(0, 600, 2), np.arange(1, 600, 2)
+    alike = np.array([simhash.jaccard(sets[i], sets[j]) for i, j in zip(x, y)])
+    kept = near(x, y)
+    assert kept[alike >= 0.8].all() and not kept[alike < 0.68].any() and (alike < 0.68).any() and (alike >= 0.8).any()
+    fit = simhash.sizes_fit(n[x[1:]], n[x[:-1]])
+    assert fit.any() and not near(x[1:][fit], x[:-1][fit]).any()
+
+
+def test_pairs_of_a_large_key_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 1_000)
+    found = list(simhash.pairs_in(np.zeros(300, np.int64), np.zeros(300, np.uint64), 3))
+    assert sum(len(x) for x, _ in found) == 300 * 299 // 2 and max(len(x) for x, _ in found) <= 1_000
+
+
 def corner_rows(rng, n):
     return np.rec.fromarrays([rng.integers(0, 1 << 64, n, np.uint64), rng.permutation(400)[:n] * 5, rng.integers(0, 60, n), np.zeros(n), np.zeros(n)], dtype=images.CORNER)
 
