@@ -522,25 +522,37 @@ def score(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[int, float]
     return len(agree), float(weight[agree].sum() / whole)
 
 
+def moved(pairs: DataFrame, pictures: DataFrame) -> DataFrame:
+    """block, id, other, data: the pairs (block, b, a) as b and other, and the corners of each of a block's pictures once, not once a pair."""
+    need = pairs.select("block", F.explode(F.array("a", "b")).alias("id")).distinct()
+    rows = need.join(pictures.select("id", "data"), "id").select("block", "id", F.lit(None).cast("bigint").alias("other"), "data")
+    return rows.union(pairs.select("block", F.col("b").alias("id"), F.col("a").alias("other"), F.lit(None).cast("binary").alias("data")))
+
+
 def verified(pairs: DataFrame, pictures: DataFrame, weigh: Weights) -> DataFrame:
     """The pairs (b, a) whose corners agree on turn, scale and shift, in SHARE of b's weight or more."""
     told = pairs.sparkSession.sparkContext.broadcast(weigh)
 
     def run(batches):
-        for r in bites(batches):
-            a, b = ([np.frombuffer(x, CORNER) for x in r.column(c).to_pylist()] for c in ("da", "db"))
+        data, pairs = {}, []
+        for r in batches:
+            for i, other, x in zip(*(r.column(c).to_pylist() for c in ("id", "other", "data"))):
+                if other is None:
+                    data[i] = x
+                else:
+                    pairs.append((i, other))
+        for k in range(0, len(pairs), 10_000):
             keep = []
-            for x, y in zip(a, b):
+            for b, a in pairs[k : k + 10_000]:
+                x, y = np.frombuffer(data[a], CORNER), np.frombuffer(data[b], CORNER)
                 n, share = score(x, y, told.value.of(y["d"]))
-                keep.append(n >= agreeing(len(y)) and share >= SHARE - 1e-9)
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([r.column("b").filter(keep), r.column("a").filter(keep)], names=["b", "a"])
-
-    pairs = stored(pairs.select("b", "a"), "to-verify")
-    some = join_small(pictures.select("id", "data"), pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), ["id"], "left_semi")
-    for c in ("a", "b"):
-        pairs = pairs.join(some.select(F.col("id").alias(c), F.col("data").alias(f"d{c}")), c)
-    return pairs.select("a", "b", "da", "db").mapInArrow(run, "b bigint, a bigint")
+                if n >= agreeing(len(y)) and share >= SHARE - 1e-9:
+                    keep.append((b, a))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in keep], pa.int64()) for c in (0, 1)], names=["b", "a"])
+
+    n = shards(pairs.sparkSession)
+    pairs = stored(pairs.select("b", "a").withColumn("block", F.pmod(F.xxhash64("b"), F.lit(n)).cast("int")), "to-verify")
+    return moved(pairs, pictures).repartition(n, "block").mapInArrow(run, "b bigint, a bigint")
 
 
 def links(pictures: DataFrame, dense: int = 16) -> DataFrame:

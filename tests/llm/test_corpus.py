@@ -334,6 +334,13 @@ def test_image_copies_behind_unrelated_leads(spark):
     assert {r["id"]: r["class_id"] for r in images.image_copies(rows).collect()} == {1: 1, 2: 2, 3: 1}
 
 
+def test_corners_move_once_a_block(spark):
+    pictures = spark.createDataFrame([(i, bytearray(b"x")) for i in range(20)], "id bigint, data binary")
+    pairs = spark.createDataFrame([(b % 2, b, a) for b in range(20) for a in range(b)], "block int, b bigint, a bigint")
+    rows = images.moved(pairs, pictures).collect()
+    assert sum(r["data"] is not None for r in rows) <= 40 and sum(r["other"] is not None for r in rows) == 190
+
+
 def test_images_against_all_pairs(spark, monkeypatch):
     """Copies, crops and edits among images that share furniture: the classes are those of comparing all pairs, dense keys and split keys too."""
     rng = np.random.default_rng(9)
