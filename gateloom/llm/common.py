@@ -113,12 +113,16 @@ def bites(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterable[pa.Rec
             yield b.slice(i, rows)
 
 
-def lean() -> None:
-    """Makes this process give large arrays back to the system as soon as they are freed (glibc only; elsewhere nothing)."""
+def lean(least: int = 1 << 18) -> None:
+    """Makes this process give arrays of `least` bytes or more back to the system as soon as they are freed (glibc only; elsewhere nothing).
+
+    Each such array is made of fresh pages, which takes longer than to fill it: where many are made, `least` should be above their size.
+    """
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.mallopt(-3, least)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 4 * least if least > 1 << 18 else 1 << 17)  # M_TRIM_THRESHOLD, by default 128 KB
         libc.malloc_trim(0)
     except (OSError, AttributeError):
         pass

@@ -19,6 +19,8 @@ ids count as one image; an empty table gives an empty table; other columns are i
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,6 +42,12 @@ ASKED, NEED, FAR, AROUND = 0.5, 0.05, 20, 32
 COMMON, SPLIT, LEADS = 500_000, 4_096, 32
 #: Bits that tell keys of several pictures, and of them in a piece.
 SEVERAL, PAGE = 1 << 26, 1 << 20
+#: Pixels that are handled at a time: few enough to stay in a core's cache.
+PIXELS = 250_000
+#: Bytes of arrays that aren't kept for reuse.
+LARGE = 1 << 24
+#: Pictures that move in a pass, as a multiple of all pictures.
+ROOM = 1.5
 #: Corners this near in rows and columns compete.
 NEAR = 9
 
@@ -91,18 +99,23 @@ def box(a: np.ndarray) -> np.ndarray:
 
 def greatest(a: np.ndarray, width: int = NEAR) -> np.ndarray:
     """The greatest value among width x width pixels around each."""
+    r = width // 2
+    m = np.full((a.shape[0] + 2 * r, a.shape[1] + 2 * r), -np.inf, a.dtype)
+    m[r : a.shape[0] + r, r : a.shape[1] + r] = a
     for axis in (0, 1):
-        b = np.moveaxis(a, axis, 0)
-        r = width // 2
-        m = np.full((b.shape[0] + 2 * r, b.shape[1]), -np.inf, b.dtype)
-        m[r:-r] = b
         have = 1
         while have < width:
             step = min(have, width - have)
-            m = np.maximum(m[: len(m) - step], m[step:])
+            m = np.maximum(m[:-step], m[step:]) if axis == 0 else np.maximum(m[:, :-step], m[:, step:])
             have += step
-        a = np.moveaxis(m, 0, axis)
-    return a
+    return m
+
+
+def halved(a: np.ndarray) -> np.ndarray:
+    """The means of 2 x 2 pixels; an odd row or column is left out."""
+    h, w = a.shape[0] // 2 * 2, a.shape[1] // 2 * 2
+    rows = a[0:h:2].astype(np.float32) + a[1:h:2]
+    return (rows[:, 0:w:2] + rows[:, 1:w:2]) / np.float32(4)
 
 
 def described(images: list[np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -111,7 +124,7 @@ def described(images: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     width = max((i.shape[1] for i in images), default=0) + 2 * gap
     out = []
     for scale in (0, 1):
-        own = [i if not scale else i[: i.shape[0] // 2 * 2, : i.shape[1] // 2 * 2].reshape(i.shape[0] // 2, 2, i.shape[1] // 2, 2).mean(axis=(1, 3), dtype=np.float32) for i in images]
+        own = images if not scale else [halved(i) for i in images]
         height = [len(i) for i in own]
         top = np.cumsum([gap, *(h + gap for h in height)])
         tall = np.zeros((int(top[-1]), width), np.float32)
@@ -132,13 +145,14 @@ def described(images: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         y, x, image = y[inside], x[inside], image[inside]
         flat, at = smooth.reshape(-1), y * width + x
         turn, d = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64)
-        for i in range(0, len(at), 20_000):
-            p = at[i : i + 20_000]
-            patch = flat[p[:, None] + DISC[:, 0] * width + DISC[:, 1]]
-            turn[i : i + 20_000] = np.rint(np.arctan2(patch @ DISC[:, 0], patch @ DISC[:, 1]) * (TURNS / 2 / np.pi)).astype(np.int64) % TURNS
-            t = TESTS[turn[i : i + 20_000]]
-            v = flat[np.clip(p[:, None, None] + t[..., 0] * width + t[..., 1], 0, len(flat) - 1)]
-            d[i : i + 20_000] = np.packbits(v[..., 0] < v[..., 1], axis=1, bitorder="little").view(np.uint64).reshape(-1)
+        disc, (one, two) = DISC[:, 0] * width + DISC[:, 1], np.moveaxis(TESTS[..., 0] * width + TESTS[..., 1], 2, 0)
+        for i in range(0, len(at), 2_000):
+            p = at[i : i + 2_000, None]
+            moment = (flat.take(p + disc) @ DISC.astype(np.float32)).astype(np.float64)
+            t = np.rint(np.arctan2(moment[:, 0], moment[:, 1]) * (TURNS / 2 / np.pi)).astype(np.int64) % TURNS
+            turn[i : i + 2_000] = t
+            # the gap is wider than a patch: no place is outside
+            d[i : i + 2_000] = np.packbits(flat.take(p + one[t]) < flat.take(p + two[t]), axis=1, bitorder="little").view(np.uint64).reshape(-1)
         out.append((image, y - top[image], x - gap, np.full(len(at), scale), turn, d))
     return tuple(np.concatenate(c) for c in zip(*out))
 
@@ -151,14 +165,14 @@ def corners(images: DataFrame) -> DataFrame:
     """id, pixels (a digest of shape and pixels; null without pixels), n, data (n records of CORNER) of images(id bigint, image binary)."""
 
     def run(batches):
-        lean()
+        lean(LARGE)
         for b in bites(batches):
             ids, data = b.column("id").to_pylist(), b.column("image").to_pylist()
             part, held, at = [], 0, 0
             for i, raw in enumerate(data):
                 part.append(decoded(raw))
                 held += part[-1].size
-                if held >= 1_000_000 or i == len(data) - 1:
+                if held >= PIXELS or i == len(data) - 1:
                     image, y, x, scale, turn, d = described(part)
                     order = np.argsort(image, kind="stable")
                     rows = np.zeros(len(order), CORNER)
@@ -186,6 +200,45 @@ def grown(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
 
 
+def hashed(key: np.ndarray) -> np.ndarray:
+    """The bit that stands for a key in a bitmap of SEVERAL bits."""
+    return mixed(key.view(np.uint64)) % np.uint64(SEVERAL)
+
+
+def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def paged(h: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The numbers and bits of the pieces of a bitmap in which the bits h are set."""
+    h = np.unique(h)
+    page, first = np.unique(h // np.uint64(PAGE), return_index=True)
+    out = []
+    for part in np.split(h % np.uint64(PAGE), first[1:]) if len(h) else ():
+        bits = np.zeros(PAGE, bool)
+        bits[part.astype(np.int64)] = True
+        out.append(squeeze(np.packbits(bits, bitorder="little")))
+    return pa.array(page.astype(np.int64)), pa.array(out, pa.binary())
+
+
+def bitmap(pages: DataFrame) -> np.ndarray:
+    """The union of pages(key bigint, bits binary), made by paged(): SEVERAL bits at most reach the driver, a row for each piece."""
+
+    def merged(batches):
+        pages: dict[int, np.ndarray] = {}
+        for b in batches:
+            for p, data in zip(b.column("key").to_pylist(), b.column("bits").to_pylist()):
+                bits = grown(data)
+                pages[p] = bits if p not in pages else pages[p] | bits
+        if pages:
+            yield pa.RecordBatch.from_arrays([pa.array(list(pages)), pa.array([squeeze(x) for x in pages.values()], pa.binary())], names=["key", "bits"])
+
+    out = np.zeros(SEVERAL // 8, np.uint8)
+    for r in pages.select("key", "bits").repartition(shards(pages.sparkSession), "key").mapInArrow(merged, "key bigint, bits binary").collect():
+        out[r["key"] * PAGE // 8 : (r["key"] + 1) * PAGE // 8] = grown(r["bits"])
+    return out
+
+
 class Weights:
     """How much a corner tells: log2(1 + pictures / pictures with its rarer half).
 
@@ -208,8 +261,7 @@ class Weights:
     def useful(self, key: np.ndarray) -> np.ndarray:
         """False for keys that can't make two pictures meet: known to be asked by nobody, or held by one picture."""
         known, at = self.known(key)
-        h = mixed(key.view(np.uint64)) % np.uint64(SEVERAL)
-        out = self.several[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1 == 1
+        out = has(self.several, hashed(key))
         return out & (~known | self.asked[at]) if len(self.asked) else out
 
     def held(self, key: np.ndarray) -> np.ndarray:
@@ -257,32 +309,16 @@ def weights(pictures: DataFrame) -> Weights:
         often = np.zeros(len(key), np.int64)
         np.add.at(often, inv, got["n"])
         some = (often >= least) & (often > 1)
-        h = np.unique(mixed(key[often > 1].view(np.uint64)) % np.uint64(SEVERAL))
-        page, first = np.unique(h // np.uint64(PAGE), return_index=True)
-        for p, part in zip(page.tolist(), np.split(h % np.uint64(PAGE), first[1:])):
-            bits = np.zeros(PAGE, bool)
-            bits[part.astype(np.int64)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([len(part)]), pa.array([squeeze(np.packbits(bits, bitorder="little"))], pa.binary())], names=["key", "n", "bits"])
+        page, bits = paged(hashed(key[often > 1]))
+        yield pa.RecordBatch.from_arrays([page, pa.array(np.zeros(len(page), np.int64)), bits], names=["key", "n", "bits"])
         yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(often[some]), pa.nulls(int(some.sum()), pa.binary())], names=["key", "n", "bits"])
 
-    def merged(batches):
-        pages: dict[int, np.ndarray] = {}
-        for b in batches:
-            for p, data in zip(b.column("key").to_pylist(), b.column("bits").to_pylist()):
-                bits = grown(data)
-                pages[p] = bits if p not in pages else pages[p] | bits
-        if pages:
-            yield pa.RecordBatch.from_arrays([pa.array(list(pages)), pa.array([squeeze(x) for x in pages.values()], pa.binary())], names=["key", "bits"])
-
     found = stored(pictures.select("data").mapInArrow(spread, "part int, data binary").repartition(n, "part").mapInArrow(count, "key bigint, n bigint, bits binary"), "keys")
     rows = found.where("bits IS NULL").select("key", "n").toArrow()
     key, often = (rows.column(c).to_numpy() for c in ("key", "n"))
     order = np.argsort(key)
     out = Weights(key[order], often[order], least, size["n"])
-    out.several[:] = 0
-    # one row for each page: SEVERAL bits at most reach the driver
-    for r in found.where("bits IS NOT NULL").select("key", "bits").repartition(n, "key").mapInArrow(merged, "key bigint, bits binary").collect():
-        out.several[r["key"] * PAGE // 8 : (r["key"] + 1) * PAGE // 8] = grown(r["bits"])
+    out.several = bitmap(found.where("bits IS NOT NULL"))
     told = pictures.sparkSession.sparkContext.broadcast(out)
 
     def asked(batches):
@@ -327,8 +363,8 @@ def agreeing(n) -> np.ndarray:
 ENTRY = {"key": np.int64, "salt": np.int32, "split": np.int32, "other": np.uint32, "id": np.int64, "n": np.int32, "around": np.uint64, "asks": np.float32}
 
 
-def entries(pictures: DataFrame, weigh: Weights) -> DataFrame:
-    """Corners under their keys, dealt by key. Keys that are known to be asked by nobody are left out.
+def entries(pictures: DataFrame, weigh: Weights, table: int) -> DataFrame:
+    """Corners under their keys of a table (0 or 1), dealt by key. Keys that are known to be asked by nobody are left out.
 
     An image asks with its weightiest corners, those that hold ASKED of its weight together; all its corners answer. A key of
     more than SPLIT pictures is dealt in parts; LEADS or so of its entries, the first by a hash of the id, go to all of them.
@@ -345,19 +381,19 @@ def entries(pictures: DataFrame, weigh: Weights) -> DataFrame:
                 continue
             of, d = np.repeat(np.arange(len(n)), n), r["d"]
             asks, around = weigh.asking(d, n), surroundings(of, r)
-            for t, k in enumerate(keys(d)):
-                use = np.nonzero(weigh.useful(k))[0]
-                k, i = k[use], of[use]
-                held = weigh.held(k)
-                split, draw = 1 + held // SPLIT, mixed(ids.view(np.uint64))[i]
-                lead = (split > 1) & (draw.astype(np.float64) / 2.0**64 * held < LEADS)
-                times = np.where(lead, split, 1)
-                row = np.repeat(np.arange(len(k)), times)
-                salt = np.where(lead[row], np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times), (draw[row] % split[row].astype(np.uint64)).astype(np.int64))
-                part = (mixed(k[row].view(np.uint64) + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n_parts)).astype(np.int64)
-                other = (d >> np.uint64(32) if t == 0 else d & np.uint64(0xFFFFFFFF)).astype(np.uint32)[use]
-                columns = (k, salt.astype(np.int32), split.astype(np.int32)[row], other, ids[i], n[i].astype(np.int32), around[use], asks[use])
-                yield dealt(part, {c: x if len(x) == len(row) and c in ("salt", "split") else x[row] for c, x in zip(ENTRY, columns)}, names)
+            k = keys(d)[table]
+            use = np.nonzero(weigh.useful(k))[0]
+            k, i = k[use], of[use]
+            held = weigh.held(k)
+            split, draw = 1 + held // SPLIT, mixed(ids.view(np.uint64))[i]
+            lead = (split > 1) & (draw.astype(np.float64) / 2.0**64 * held < LEADS)
+            times = np.where(lead, split, 1)
+            row = np.repeat(np.arange(len(k)), times)
+            salt = np.where(lead[row], np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times), (draw[row] % split[row].astype(np.uint64)).astype(np.int64))
+            part = (mixed(k[row].view(np.uint64) + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n_parts)).astype(np.int64)
+            other = (d >> np.uint64(32) if table == 0 else d & np.uint64(0xFFFFFFFF)).astype(np.uint32)[use]
+            columns = (k, salt.astype(np.int32), split.astype(np.int32)[row], other, ids[i], n[i].astype(np.int32), around[use], asks[use])
+            yield dealt(part, {c: x if len(x) == len(row) and c in ("salt", "split") else x[row] for c, x in zip(ENTRY, columns)}, names)
 
     return pictures.select("id", "n", "data").mapInArrow(spread, "part int, data binary").repartition(n_parts, "part")
 
@@ -422,7 +458,7 @@ def meet(batches, dense: int):
 
     In a key where more than dense pairs an entry meet, each gives those with the first dense in an order of hashes, the same in all keys.
     """
-    lean()
+    lean(LARGE)
     e = gathered(batches, ENTRY)
     order = np.lexsort((mixed(e["id"].view(np.uint64)), e["salt"], e["key"]))
     e = {c: x[order] for c, x in e.items()}
@@ -456,7 +492,8 @@ def meet(batches, dense: int):
 
 def candidates(pictures: DataFrame, weigh: Weights, dense: int = 16) -> tuple[DataFrame, DataFrame]:
     """(b, a, w) of pairs that met, w the share of b's weight that did; and the entries of dense keys (all that are dealt in parts). See entries() and meet()."""
-    found = stored(entries(pictures, weigh).mapInArrow(lambda batches: meet(batches, dense), MET), "met")
+    # one table after the other, so that the entries of one only are in the shuffle
+    found = reduce(DataFrame.union, [stored(entries(pictures, weigh, t).mapInArrow(lambda batches: meet(batches, dense), MET), "met") for t in (0, 1)])
     pairs = found.where("entry IS NULL").groupBy("b", "a").agg(F.sum("w").alias("w"))
     return pairs, found.where("entry IS NOT NULL").select("entry.*")
 
@@ -485,26 +522,28 @@ def across(dense: DataFrame, root: DataFrame) -> DataFrame:
     return rows.repartition(n_parts, "key").mapInArrow(run, "b bigint, a bigint").distinct()
 
 
-def at_edge(r: np.ndarray) -> np.ndarray:
-    """Corners so near the edge of what an image's corners span that a cut there would have changed their patch; in columns only beyond WIDTH."""
-    out = np.zeros(len(r), bool)
-    for scale in (0, 1):
-        own = np.nonzero(r["scale"] == scale)[0]
-        for axis, least in (("y", 0), ("x", WIDTH >> scale)):
-            v = r[axis][own]
-            if len(v) and v.max() - v.min() > least:
-                out[own[(v < v.min() + PATCH) | (v > v.max() - PATCH)]] = True
+def at_edge(r: np.ndarray, of: np.ndarray | int = 0) -> np.ndarray:
+    """Corners so near the edge of what an image's corners span that a cut there would have changed their patch; in columns only beyond WIDTH. of: the number of each corner's image."""
+    group = of * 2 + r["scale"].astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    new = np.r_[True, group[order][1:] != group[order][:-1]][: len(r)]
+    first, at, out = np.nonzero(new)[0], np.cumsum(new) - 1, np.zeros(len(r), bool)
+    for axis, least in (("y", 0), ("x", WIDTH)) if len(r) else ():
+        v = r[axis][order]
+        low, high = np.minimum.reduceat(v, first), np.maximum.reduceat(v, first)
+        wide = high - low > least >> r["scale"][order[first]].astype(np.int64)
+        out[order] |= wide[at] & ((v < low[at] + PATCH) | (v > high[at] - PATCH))
     return out
 
 
-def score(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[int, float]:
+def score(a: np.ndarray, b: np.ndarray, weight: np.ndarray, edge: np.ndarray | None = None) -> tuple[int, float]:
     """How many corners of b (fewer than a's, or as many) agree with corners of a, and their share of b's weight: bins of LEAST_BIN or more count.
 
-    Corners at_edge() that match nothing are left out of that weight.
+    Corners at_edge() (edge, if known) that match nothing are left out of that weight.
     """
     near = np.bitwise_count(a["d"][:, None] ^ b["d"]) <= BITS
     some = near.any(axis=0)
-    whole = max(1e-300, weight[some | ~at_edge(b)].sum())
+    whole = max(1e-300, weight[some | ~(at_edge(b) if edge is None else edge)].sum())
     if weight[some].sum() < SHARE * whole:
         return 0, 0.0
     p, q = np.nonzero(near)
@@ -522,48 +561,154 @@ def score(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[int, float]
     return len(agree), float(weight[agree].sum() / whole)
 
 
-def moved(pairs: DataFrame, pictures: DataFrame) -> DataFrame:
-    """block, id, other, data: the pairs (block, b, a) as b and other, and the corners of each of a block's pictures once, not once a pair."""
-    need = pairs.select("block", F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = need.join(pictures.select("id", "data"), "id").select("block", "id", F.lit(None).cast("bigint").alias("other"), "data")
+def hopeful(many: list[np.ndarray], d: np.ndarray, weight: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Which of many images (their descriptors) have enough corners like those of one to reach SHARE in score(); none that does is left out."""
+    out, sizes = [], np.array([len(x) for x in many])
+    ends = np.cumsum(sizes)
+    k = 0
+    while k < len(many):
+        e = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 1_000_000 // max(1, len(d)), "right")))
+        near = np.bitwise_count(np.concatenate(many[k:e])[:, None] ^ d) <= BITS
+        some = np.logical_or.reduceat(near, np.cumsum(sizes[k:e]) - sizes[k:e], axis=0)
+        out.append(some @ weight >= (SHARE - 1e-6) * ((some | ~edge) @ weight))
+        k = e
+    return np.concatenate(out)
+
+
+class Cells:
+    """Where pairs are compared: a hash of a gives the pass and the column, one of b the row; a cell is one task of its pass.
+
+    So a picture moves to a row or a column of cells at most, and in a pass not much more moves than room (pictures),
+    which keeps the disk in proportion to the input however many pairs there are.
+    """
+
+    def __init__(self, n: int, pairs: int, bs: int, As: int, room: int):
+        self.passes = 1
+        while True:
+            self.rows = min(n, max(1, round((n * bs * self.passes / max(1, As)) ** 0.5)))
+            self.columns = n // self.rows
+            if min(2 * pairs / self.passes, self.columns * bs + self.rows * As / self.passes) <= room or self.passes >= max(1, As):
+                break
+            self.passes += 1 + self.passes // 8
+        self.names = slots(n)
+
+    def row(self, b: np.ndarray) -> np.ndarray:
+        return (mixed(b.view(np.uint64)) % np.uint64(self.rows)).astype(np.int64)
+
+    def column(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pass and the column."""
+        h = (mixed(a.view(np.uint64)) >> np.uint64(32)) % np.uint64(self.columns * self.passes)
+        return (h // np.uint64(self.columns)).astype(np.int64), (h % np.uint64(self.columns)).astype(np.int64)
+
+    def dealt(self, pairs: DataFrame, turn: int) -> DataFrame:
+        """block, b, a of the pairs of a pass."""
+
+        def run(batches):
+            for r in batches:
+                b, a = r.column("b").to_numpy(), r.column("a").to_numpy()
+                at, column = self.column(a)
+                own = at == turn
+                yield pa.RecordBatch.from_arrays([pa.array(self.names[self.row(b[own]) * self.columns + column[own]]), pa.array(b[own]), pa.array(a[own])], names=["block", "b", "a"])
+
+        return pairs.select("b", "a").mapInArrow(run, "block int, b bigint, a bigint")
+
+    def homes(self, ids: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """place in ids, block: the cells of a pass that may ask for a picture, as b or as a."""
+        at, column = self.column(ids)
+        own = np.nonzero(at == turn)[0]
+        as_b = self.row(ids)[:, None] * self.columns + np.arange(self.columns)
+        as_a = np.arange(self.rows) * self.columns + column[own, None]
+        row = np.r_[np.repeat(np.arange(len(ids)), self.columns), np.repeat(own, self.rows)]
+        both = np.unique(row * len(self.names) + np.r_[as_b.reshape(-1), as_a.reshape(-1)])
+        return both // len(self.names), self.names[both % len(self.names)]
+
+
+def moved(pairs: DataFrame, pictures: DataFrame, homes=None) -> DataFrame:
+    """block, id, other, data: the pairs (block, b, a) as b and other, and the corners of each of a block's pictures once, not once a pair.
+
+    homes: gives place and block of those blocks that may need one of some ids (all, if not given). Pictures aren't joined with pairs: a bitmap of
+    pictures and blocks tells where each is needed, so that corners are shuffled once; two of the same bit move once more than needed.
+    """
+    if homes is None:
+        blocks = np.array([r["block"] for r in pairs.select("block").distinct().collect()], np.int32)
+        homes = lambda ids: (np.repeat(np.arange(len(ids)), len(blocks)), np.tile(blocks, len(ids)))
+    both = lambda ids, block: hashed(ids + block.astype(np.int64) * -7046029254386353131)
+
+    def needed(batches):
+        for r in batches:
+            b, a, block = (r.column(c).to_numpy() for c in ("b", "a", "block"))
+            yield pa.RecordBatch.from_arrays(list(paged(np.r_[both(b, block), both(a, block)])), names=["key", "bits"])
+
+    told = pictures.sparkSession.sparkContext.broadcast(squeeze(bitmap(pairs.mapInArrow(needed, "key bigint, bits binary"))))
+
+    def spread(batches):
+        bits = grown(told.value)
+        for r in bites(batches, 1024):
+            ids = r.column("id").to_numpy()
+            row, block = homes(ids)
+            use = has(bits, both(ids[row], block))
+            row, block = row[use], block[use]
+            for k in range(0, len(row), 4_096):
+                own = row[k : k + 4_096]
+                yield pa.RecordBatch.from_arrays([pa.array(block[k : k + 4_096]), pa.array(ids[own]), pa.nulls(len(own), pa.int64()), r.column("data").take(pa.array(own))], names=["block", "id", "other", "data"])
+
+    rows = pictures.where("id IS NOT NULL").select("id", "data").mapInArrow(spread, "block int, id bigint, other bigint, data binary")
     return rows.union(pairs.select("block", F.col("b").alias("id"), F.col("a").alias("other"), F.lit(None).cast("binary").alias("data")))
 
 
 def verified(pairs: DataFrame, pictures: DataFrame, weigh: Weights) -> DataFrame:
-    """The pairs (b, a) whose corners agree on turn, scale and shift, in SHARE of b's weight or more."""
-    told = pairs.sparkSession.sparkContext.broadcast(weigh)
+    """The pairs (b, a) whose corners agree on turn, scale and shift, in SHARE of b's weight or more. See Cells for how they are dealt."""
+    spark = pairs.sparkSession
+    told, n = spark.sparkContext.broadcast(weigh), shards(spark)
 
     def run(batches):
-        data, pairs = {}, []
+        lean(LARGE)
+        data, b, a = {}, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for r in batches:
-            for i, other, x in zip(*(r.column(c).to_pylist() for c in ("id", "other", "data"))):
-                if other is None:
-                    data[i] = x
-                else:
-                    pairs.append((i, other))
-        for k in range(0, len(pairs), 10_000):
+            pair = r.column("other").is_valid().to_numpy(zero_copy_only=False)
+            some = r.filter(pa.array(pair))
+            b.append(some.column("id").to_numpy()), a.append(some.column("other").to_numpy())
+            some = r.filter(pa.array(~pair))
+            data.update(zip(some.column("id").to_pylist(), some.column("data").to_pylist()))
+        b, a = np.concatenate(b), np.concatenate(a)
+        order = np.lexsort((a, b))
+        b, a = b[order], a[order]
+        edges = np.r_[np.nonzero(np.r_[True, b[1:] != b[:-1]][: len(b)])[0], len(b)].tolist()
+        for k in range(0, len(edges) - 1, 256):
+            some = edges[k : k + 257]
+            own = [np.frombuffer(data[i], CORNER) for i in b[some[:-1]].tolist()]
+            cut, every = np.cumsum([len(x) for x in own])[:-1], np.concatenate(own)
+            weight, edge = told.value.of(every["d"]), at_edge(every, np.repeat(np.arange(len(own)), [len(x) for x in own]))
             keep = []
-            for b, a in pairs[k : k + 10_000]:
-                x, y = np.frombuffer(data[a], CORNER), np.frombuffer(data[b], CORNER)
-                n, share = score(x, y, told.value.of(y["d"]))
-                if n >= agreeing(len(y)) and share >= SHARE - 1e-9:
-                    keep.append((b, a))
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in keep], pa.int64()) for c in (0, 1)], names=["b", "a"])
-
-    n = shards(pairs.sparkSession)
-    pairs = stored(pairs.select("b", "a").withColumn("block", F.pmod(F.xxhash64("b"), F.lit(n)).cast("int")), "to-verify")
-    return moved(pairs, pictures).repartition(n, "block").mapInArrow(run, "b bigint, a bigint")
+            for x, y, r, w, e in zip(some, some[1:], own, np.split(weight, cut), np.split(edge, cut)):
+                ids = a[x:y].tolist()
+                for first in range(0, len(ids), 1_000):
+                    many = [np.frombuffer(data[i], CORNER) for i in ids[first : first + 1_000]]
+                    for j in np.nonzero(hopeful([m["d"] for m in many], r["d"], w, e))[0].tolist():
+                        agree, share = score(many[j], r, w, e)
+                        if agree >= agreeing(len(r)) and share >= SHARE - 1e-9:
+                            keep.append(x + first + j)
+            yield pa.RecordBatch.from_arrays([pa.array(b[keep], pa.int64()), pa.array(a[keep], pa.int64())], names=["b", "a"])
+
+    pairs = stored(pairs.select("b", "a"), "to-verify")
+    size = pairs.agg(F.count("*").alias("n"), F.approx_count_distinct("b").alias("b"), F.approx_count_distinct("a").alias("a")).first()
+    cells = Cells(n, size["n"], size["b"], size["a"], int(ROOM * weigh.pictures))
+    out = []
+    for turn in range(cells.passes):
+        rows = moved(cells.dealt(pairs, turn), pictures, lambda ids, turn=turn: cells.homes(ids, turn))
+        out.append(stored(rows.repartition(n, "block").mapInArrow(run, "b bigint, a bigint"), "linked"))
+    return reduce(DataFrame.union, out)
 
 
 def links(pictures: DataFrame, dense: int = 16) -> DataFrame:
     """b, a: links of pictures(id, n, data), enough to connect all that are linked."""
     weigh = weights(pictures)
     pairs, rest = candidates(pictures, weigh, dense)
-    found = stored(verified(pairs.where(F.col("w") >= NEED), pictures, weigh), "linked")
+    found = verified(pairs.where(F.col("w") >= NEED), pictures, weigh)
     if not rest.limit(1).count():
         return found
     root = components(found.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return found.union(verified(stored(across(rest, root), "across"), pictures, weigh))
+    return found.union(verified(across(rest, root), pictures, weigh))
 
 
 def image_copies(images: DataFrame) -> DataFrame:

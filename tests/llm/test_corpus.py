@@ -341,6 +341,45 @@ def test_corners_move_once_a_block(spark):
     assert sum(r["data"] is not None for r in rows) <= 40 and sum(r["other"] is not None for r in rows) == 190
 
 
+def test_few_corners_move_at_a_time(spark, monkeypatch):
+    """All pairs of 200 pictures, dealt over 64 tasks: a step moves a picture a few times at most, and what is linked is what comparing each pair tells."""
+    rng, pictures = np.random.default_rng(6), {}
+    for i in range(200):
+        pictures[i * 3] = corner_rows(rng, 24)
+        if i % 4 == 1:
+            pictures[i * 3]["d"][: 12 + i % 11] = pictures[i * 3 - 3]["d"][: 12 + i % 11]
+            for c in ("y", "x"):
+                pictures[i * 3][c] = pictures[i * 3 - 3][c] + 12
+    frame = spark.createDataFrame([(i, len(r), bytearray(r.tobytes())) for i, r in pictures.items()], "id bigint, n int, data binary").persist()
+    pairs = spark.createDataFrame([(b, a) for b in pictures for a in pictures if a < b], "b bigint, a bigint")
+    weigh, whole, sizes = images.weights(frame), images.moved, []
+
+    def moved(*args):
+        rows = whole(*args)
+        sizes.append(rows.where("data IS NOT NULL").count())
+        return rows
+
+    monkeypatch.setattr(images, "moved", moved)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = sorted((r["b"], r["a"]) for r in images.verified(pairs, frame, weigh).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    scores = {(b, a): images.score(pictures[a], pictures[b], weigh.of(pictures[b]["d"])) for b in pictures for a in pictures if a < b}
+    assert got == sorted(p for p, (n, share) in scores.items() if n >= images.agreeing(24) and share >= images.SHARE) and 10 < len(got) < 50
+    assert max(sizes) <= 8 * len(pictures), sizes
+
+
+def test_edges_of_many_images_at_once():
+    rng = np.random.default_rng(2)
+    many = [corner_rows(rng, n) for n in (1, 30, 5)]
+    for r in many:
+        r["x"], r["scale"] = rng.integers(0, 200, len(r)), rng.integers(0, 2, len(r))
+    every = images.at_edge(np.concatenate(many), np.repeat(np.arange(3), [len(r) for r in many]))
+    assert every.tolist() == np.concatenate([images.at_edge(r) for r in many]).tolist() and every.any() and not every.all()
+
+
 def test_images_against_all_pairs(spark, monkeypatch):
     """Copies, crops and edits among images that share furniture: the classes are those of comparing all pairs, dense keys and split keys too."""
     rng = np.random.default_rng(9)
