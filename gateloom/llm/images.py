@@ -251,6 +251,13 @@ class Weights:
         #: One bit for each of SEVERAL hash values of keys, set if two pictures or more hold a key with it.
         self.several = np.full(SEVERAL // 8, 255, np.uint8)
 
+    def __getstate__(self):
+        # a broadcast is a file on the driver and on each executor
+        return self.__dict__ | {"several": squeeze(self.several)}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state | {"several": grown(state["several"])})
+
     def known(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether a key is among the counted ones, and where."""
         if not len(self.key):

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import zlib
 from collections import Counter, defaultdict
 
@@ -371,6 +372,15 @@ def test_few_corners_move_at_a_time(spark, monkeypatch):
     assert max(sizes) <= 8 * len(pictures), sizes
 
 
+def test_weights_are_sent_without_empty_bits():
+    weigh = images.Weights(np.array([3, 9]), np.array([5, 7]), 2, 5_000)
+    weigh.several[:] = 0
+    weigh.several[[5, 70_000]] = 7
+    sent = pickle.dumps(weigh)
+    got, key = pickle.loads(sent), np.arange(10_000)
+    assert len(sent) < 100_000 and (got.several == weigh.several).all() and (got.held(key) == weigh.held(key)).all() and (got.useful(key) == weigh.useful(key)).all()
+
+
 def test_edges_of_many_images_at_once():
     rng = np.random.default_rng(2)
     many = [corner_rows(rng, n) for n in (1, 30, 5)]
