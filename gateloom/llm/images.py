@@ -8,10 +8,13 @@ A corner weighs the more the fewer pictures hold it: page furniture that all sha
 still has all its own weight in it. Descriptors meet in Hamming tables: two halves of 32 bits, of which one is equal wherever two
 descriptors differ in one bit at most. An image asks with its weightiest corners, ASKED of its weight; SHARE of it must agree for a
 link (corners at the edge that a cut may have changed count only if they match), so part of what it asks with meets. Two corners that meet must also stand in like surroundings, told by a majority of
-hashes of the corners around them. Pairs in which NEED of the weight met are compared, corner by corner: matches vote for the turn,
+hashes of the corners around them. Pairs that met are compared, corner by corner: matches vote for the turn,
 scale and shift between the two images, bins of LEAST_BIN or more count, so that several pieces that moved apart (an insertion) add
-up, and a pair is linked if SHARE of the weight agrees. Links become classes. Under a key that many alike images hold each is first
-compared with few others; then all that no link has connected yet.
+up, and a pair is linked if SHARE of the weight agrees. Links become classes.
+
+Pictures fall into blocks by a hash of the id. A task compares a block with itself; then one for each two blocks compares what links haven't
+connected. Each picture is compared with few others first, then with all that meet it in no class with it yet. Pairs never leave a task, and a key
+that many hold is spread over all; the comparisons of pictures that meet and stay apart are the square of their number all the same.
 
 Cases: a null, empty or undecodable image has no corner, no link and a class of its own; null ids get no link; repeated
 ids count as one image; an empty table gives an empty table; other columns are ignored.
@@ -27,7 +30,6 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from gateloom.llm.common import bites, dealt, gathered, join_small, lean, mixed, shards, slots, stored
 from gateloom.llm.simhash import components
@@ -36,10 +38,10 @@ from gateloom.llm.simhash import components
 WIDTH, PATCH, TURNS, RESPONSE, BIN = 64, 7, 16, 2.0e6, 6
 #: Votes that a bin needs to count; corners that a link needs, and their share of the weight of the image with fewer; differing bits.
 LEAST_BIN, LEAST, SHARE, BITS = 3, 8, 0.6, 4
-#: Share of its weight that an image asks with, and that must meet; differing bits of surroundings, which are so many rows to both sides.
-ASKED, NEED, FAR, AROUND = 0.5, 0.05, 20, 32
-#: Keys that reach the driver at most; pictures of a key from which on it is dealt in parts, and entries that all parts have.
-COMMON, SPLIT, LEADS = 500_000, 4_096, 32
+#: Share of its weight that an image asks with; differing bits of surroundings, which are so many rows to both sides.
+ASKED, FAR, AROUND = 0.5, 20, 32
+#: Keys that reach the driver at most; entries of a key in a task beyond which each first meets few; corners of a block that are in arrays at a time.
+COMMON, SPLIT, HELD = 500_000, 64, 1_500_000
 #: Bits that tell keys of several pictures, and of them in a piece.
 SEVERAL, PAGE = 1 << 26, 1 << 20
 #: Pixels that are handled at a time: few enough to stay in a core's cache.
@@ -347,15 +349,17 @@ def surroundings(of: np.ndarray, r: np.ndarray) -> np.ndarray:
     y = (of.astype(np.int64) * 2 + r["scale"]) * (1 << 22) + r["y"]
     order = np.argsort(y, kind="stable")
     y, d = y[order], r["d"][order]
-    out = np.zeros(len(d), np.uint64)
     low, high = (mixed(k.view(np.uint64)) for k in keys(d))
     a, b = np.searchsorted(y, y - AROUND, "left"), np.searchsorted(y, y + AROUND, "right")
-    for bits in range(0, 64, 8):  # eight bits at a time: few sums are held
-        votes = np.zeros((len(d) + 1, 8), np.int32)
-        for h in (low, high):
-            votes[1:] += np.unpackbits((h >> np.uint64(bits)).astype(np.uint8)[:, None], axis=1, bitorder="little").astype(np.int32) * 2 - 1
-        votes = np.cumsum(votes, axis=0, dtype=np.int32)
-        out |= np.packbits(votes[b] > votes[a], axis=1, bitorder="little").reshape(-1).astype(np.uint64) << np.uint64(bits)
+    # some bits at a time are counted in lanes of one number, which are wide enough for the two halves of all that stand around
+    most = int((b - a).max(initial=0))
+    lane = 8 if most < 1 << 7 else 16 if most < 1 << 15 else 32
+    ones = np.uint64(sum(1 << i for i in range(0, 64, lane)))
+    more = (np.uint64((1 << lane - 1) - 1) - (b - a).astype(np.uint64)) * ones
+    sums, out = np.zeros(len(d) + 1, np.uint64), np.zeros(len(d), np.uint64)
+    for bit in np.arange(lane, dtype=np.uint64):
+        np.cumsum((low >> bit & ones) + (high >> bit & ones), out=sums[1:])
+        out |= (sums[b] - sums[a] + more >> np.uint64(lane - 1) & ones) << bit
     back = np.empty_like(out)
     back[order] = out
     return back
@@ -366,169 +370,6 @@ def agreeing(n) -> np.ndarray:
     return np.clip(n, LEAST_BIN, LEAST)
 
 
-#: A corner under one of its keys: its part of the key and how many there are, the other half, its image with the number of its corners, its surroundings, its share of the image's weight (0: it doesn't ask).
-ENTRY = {"key": np.int64, "salt": np.int32, "split": np.int32, "other": np.uint32, "id": np.int64, "n": np.int32, "around": np.uint64, "asks": np.float32}
-
-
-def entries(pictures: DataFrame, weigh: Weights, table: int) -> DataFrame:
-    """Corners under their keys of a table (0 or 1), dealt by key. Keys that are known to be asked by nobody are left out.
-
-    An image asks with its weightiest corners, those that hold ASKED of its weight together; all its corners answer. A key of
-    more than SPLIT pictures is dealt in parts; LEADS or so of its entries, the first by a hash of the id, go to all of them.
-    """
-    spark = pictures.sparkSession
-    n_parts = shards(spark)
-    names, told = slots(n_parts), spark.sparkContext.broadcast(weigh)
-
-    def spread(batches):
-        weigh = told.value
-        for b in bites(batches, 2048):
-            ids, n, r = flat(b)
-            if not len(n):
-                continue
-            of, d = np.repeat(np.arange(len(n)), n), r["d"]
-            asks, around = weigh.asking(d, n), surroundings(of, r)
-            k = keys(d)[table]
-            use = np.nonzero(weigh.useful(k))[0]
-            k, i = k[use], of[use]
-            held = weigh.held(k)
-            split, draw = 1 + held // SPLIT, mixed(ids.view(np.uint64))[i]
-            lead = (split > 1) & (draw.astype(np.float64) / 2.0**64 * held < LEADS)
-            times = np.where(lead, split, 1)
-            row = np.repeat(np.arange(len(k)), times)
-            salt = np.where(lead[row], np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times), (draw[row] % split[row].astype(np.uint64)).astype(np.int64))
-            part = (mixed(k[row].view(np.uint64) + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n_parts)).astype(np.int64)
-            other = (d >> np.uint64(32) if table == 0 else d & np.uint64(0xFFFFFFFF)).astype(np.uint32)[use]
-            columns = (k, salt.astype(np.int32), split.astype(np.int32)[row], other, ids[i], n[i].astype(np.int32), around[use], asks[use])
-            yield dealt(part, {c: x if len(x) == len(row) and c in ("salt", "split") else x[row] for c, x in zip(ENTRY, columns)}, names)
-
-    return pictures.select("id", "n", "data").mapInArrow(spread, "part int, data binary").repartition(n_parts, "part")
-
-
-def meeting(e: dict[str, np.ndarray], group: np.ndarray, apart: np.ndarray | None = None):
-    """x, y: places of entries of one group (runs of equal numbers) that may be the same corner, x of the image with fewer corners, which asks.
-
-    Each corner of x's image meets one of y's image at most. apart: only entries that differ in it meet.
-    """
-    first = np.nonzero(np.r_[True, group[1:] != group[:-1]])[0] if len(group) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[first, len(group)])
-    at = np.cumsum(np.r_[False, group[1:] != group[:-1]])[: len(group)]
-    asks = np.nonzero((e["asks"] > 0) & (size[at] > 1))[0] if len(group) else first
-    ends = np.cumsum(size[at[asks]])
-    a = 0
-    while a < len(asks):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 1_000_000, "right")))
-        q, a = asks[a:b], b
-        m = size[at[q]]
-        x = np.repeat(q, m)
-        y = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[at[q]], m)
-        off = np.bitwise_count(e["other"][x] ^ e["other"][y])
-        # equal in both halves: the first table has it
-        near = (off <= BITS) & (np.bitwise_count(e["around"][x] ^ e["around"][y]) <= FAR) & ((off > 0) | (e["key"][x] >> 32 == 0))
-        x, y = x[near], y[near]
-        n, i = e["n"], e["id"]
-        near = (n[x] < n[y]) | ((n[x] == n[y]) & (i[x] > i[y]))
-        if apart is not None:
-            near &= apart[x] != apart[y]
-        x, y = x[near], y[near]
-        order = np.lexsort((i[y], x))
-        x, y = x[order], y[order]
-        new = np.r_[True, (x[1:] != x[:-1]) | (i[y[1:]] != i[y[:-1]])] if len(x) else near[:0]
-        yield x[new], y[new]
-
-
-HELD = "key bigint, other bigint, id bigint, n int, around bigint, asks float"
-MET = f"b bigint, a bigint, w double, entry struct<{HELD}>"
-
-
-def met(rows: list[np.ndarray], entry: dict[str, np.ndarray] | None = None) -> pa.RecordBatch:
-    kind = pa.struct([("key", pa.int64()), ("other", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("around", pa.int64()), ("asks", pa.float32())])
-    if entry is not None:
-        n = len(entry["id"])
-        held = pa.StructArray.from_arrays([pa.array(entry[f.name].view(np.int64) if f.name == "around" else entry[f.name].astype(f.type.to_pandas_dtype())) for f in kind], fields=list(kind))
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), held], names=["b", "a", "w", "entry"])
-    b, a, w = rows
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(a, pa.int64()), pa.array(w, pa.float64()), pa.nulls(len(b), kind)], names=["b", "a", "w", "entry"])
-
-
-def summed(b: list, a: list, w: list) -> list[np.ndarray]:
-    """The weights of equal pairs added up."""
-    b, a, w = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, b), (np.int64, a), (np.float64, w)))
-    order = np.lexsort((a, b))
-    b, a, w = b[order], a[order], w[order]
-    new = np.nonzero(np.r_[True, (b[1:] != b[:-1]) | (a[1:] != a[:-1])])[0] if len(b) else np.zeros(0, np.int64)
-    return [b[new], a[new], np.add.reduceat(w, new) if len(new) else w]
-
-
-def meet(batches, dense: int):
-    """MET rows of the entries of a task: pairs with the weight of b's corners that met a's; and all entries of keys too dense to give all pairs.
-
-    In a key where more than dense pairs an entry meet, each gives those with the first dense in an order of hashes, the same in all keys.
-    """
-    lean(LARGE)
-    e = gathered(batches, ENTRY)
-    order = np.lexsort((mixed(e["id"].view(np.uint64)), e["salt"], e["key"]))
-    e = {c: x[order] for c, x in e.items()}
-    new = (e["key"][1:] != e["key"][:-1]) | (e["salt"][1:] != e["salt"][:-1])
-    group = np.cumsum(np.r_[False, new])[: len(order)]
-    size = np.bincount(group)
-    total, few = np.zeros(len(size), np.int64), np.zeros(len(size), bool)
-    few[group[e["split"] > 1]] = True
-    given = np.zeros(len(order), np.int64)
-    out, held = ([], [], []), 0
-    for x, y in meeting(e, group):
-        total += np.bincount(group[x], minlength=len(size))
-        few |= total > dense * size
-        late, early = np.maximum(x, y), np.minimum(x, y)
-        by = np.lexsort((early, late))
-        x, y, late = x[by], y[by], late[by]
-        rank = np.arange(len(late)) - np.searchsorted(late, late, "left") + given[late]
-        keep = ~few[group[late]] | (rank < dense)
-        x, y = x[keep], y[keep]
-        np.add.at(given, late[keep], 1)
-        out[0].append(e["id"][x]), out[1].append(e["id"][y]), out[2].append(e["asks"][x].astype(np.float64))
-        held += len(x)
-        if held > 2_000_000:
-            yield met(summed(*out))
-            out, held = ([], [], []), 0
-    yield met(summed(*out))
-    own = np.nonzero(few[group])[0]
-    for a in range(0, len(own), 100_000):
-        yield met([], {c: x[own[a : a + 100_000]] for c, x in e.items()})
-
-
-def candidates(pictures: DataFrame, weigh: Weights, dense: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(b, a, w) of pairs that met, w the share of b's weight that did; and the entries of dense keys (all that are dealt in parts). See entries() and meet()."""
-    # one table after the other, so that the entries of one only are in the shuffle
-    found = reduce(DataFrame.union, [stored(entries(pictures, weigh, t).mapInArrow(lambda batches: meet(batches, dense), MET), "met") for t in (0, 1)])
-    pairs = found.where("entry IS NULL").groupBy("b", "a").agg(F.sum("w").alias("w"))
-    return pairs, found.where("entry IS NOT NULL").select("entry.*")
-
-
-def across(dense: DataFrame, root: DataFrame) -> DataFrame:
-    """b, a: pairs that meet under a dense key and that are in no class together yet (root: node, root)."""
-    n_parts = shards(dense.sparkSession)
-
-    def run(batches):
-        table = pa.Table.from_batches(batches, schema) if (batches := list(batches)) else None
-        if table is None:
-            return
-        table = table.sort_by("key")
-        column = lambda c: table.column(c).to_numpy()
-        e = {c: column(c).view(np.uint64) if c == "around" else column(c) for c in schema.names}
-        group = np.cumsum(np.r_[False, e["key"][1:] != e["key"][:-1]])[: len(table)]
-        for x, y in meeting(e, group, e["root"]):
-            pair = np.unique(np.stack([e["id"][x], e["id"][y]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["b", "a"])
-
-    rows = dense.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    some = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("asks").alias("z")).where("x < y AND z > 0").select("key")
-    names = [x.split()[0] for x in HELD.split(", ")] + ["root"]
-    rows = stored(rows.join(some, "key").select(*names).distinct(), "open")
-    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in rows.schema])
-    return rows.repartition(n_parts, "key").mapInArrow(run, "b bigint, a bigint").distinct()
-
-
 def at_edge(r: np.ndarray, of: np.ndarray | int = 0) -> np.ndarray:
     """Corners so near the edge of what an image's corners span that a cut there would have changed their patch; in columns only beyond WIDTH. of: the number of each corner's image."""
     group = of * 2 + r["scale"].astype(np.int64)
@@ -543,6 +384,16 @@ def at_edge(r: np.ndarray, of: np.ndarray | int = 0) -> np.ndarray:
     return out
 
 
+def bins(a: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Numbers of the voting bins (turn, scale and shift) of corners a that match corners own."""
+    turn = (own["turn"].astype(np.int64) - a["turn"]) % TURNS
+    s, ls = own["scale"].astype(np.int64), a["scale"].astype(np.int64)
+    c, sn, grown = np.cos(turn * 2 * np.pi / TURNS), np.sin(turn * 2 * np.pi / TURNS), 2.0 ** (s - ls)
+    x, y, lx, ly = own["x"] * 2.0**s, own["y"] * 2.0**s, a["x"] * 2.0**ls, a["y"] * 2.0**ls
+    tx, ty = np.rint((x - grown * (c * lx - sn * ly)) / BIN).astype(np.int64), np.rint((y - grown * (sn * lx + c * ly)) / BIN).astype(np.int64)
+    return ((ty & 0xFFFFFFFF) << 24) | ((tx & 0xFFFF) << 8) | (turn << 2) | (s - ls + 1)
+
+
 def score(a: np.ndarray, b: np.ndarray, weight: np.ndarray, edge: np.ndarray | None = None) -> tuple[int, float]:
     """How many corners of b (fewer than a's, or as many) agree with corners of a, and their share of b's weight: bins of LEAST_BIN or more count.
 
@@ -554,13 +405,7 @@ def score(a: np.ndarray, b: np.ndarray, weight: np.ndarray, edge: np.ndarray | N
     if weight[some].sum() < SHARE * whole:
         return 0, 0.0
     p, q = np.nonzero(near)
-    a, own = a[p], b[q]
-    turn = (own["turn"].astype(np.int64) - a["turn"]) % TURNS
-    s, ls = own["scale"].astype(np.int64), a["scale"].astype(np.int64)
-    c, sn, grown = np.cos(turn * 2 * np.pi / TURNS), np.sin(turn * 2 * np.pi / TURNS), 2.0 ** (s - ls)
-    x, y, lx, ly = own["x"] * 2.0**s, own["y"] * 2.0**s, a["x"] * 2.0**ls, a["y"] * 2.0**ls
-    tx, ty = np.rint((x - grown * (c * lx - sn * ly)) / BIN).astype(np.int64), np.rint((y - grown * (sn * lx + c * ly)) / BIN).astype(np.int64)
-    where = ((ty & 0xFFFFFFFF) << 24) | ((tx & 0xFFFF) << 8) | (turn << 2) | (s - ls + 1)
+    where = bins(a[p], b[q])
     # a corner of b votes once in a bin, and counts once however many bins it is in
     vote = np.unique(np.stack([where, q]), axis=1)
     _, at, n = np.unique(vote[0], return_inverse=True, return_counts=True)
@@ -707,20 +552,381 @@ def verified(pairs: DataFrame, pictures: DataFrame, weigh: Weights) -> DataFrame
     return reduce(DataFrame.union, out)
 
 
+def spread(n: int) -> int:
+    """The number of blocks that make n / 2 pairs of two at most: what moves grows with it, and a session has more partitions than cores."""
+    return max(1, int(((4 * n + 1) ** 0.5 + 1) / 2))
+
+
+def cells(n: int) -> dict[tuple[int, int], int]:
+    """A task for each two blocks, in both orders."""
+    k = spread(n)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    return {p: i for i, (x, y) in enumerate(pairs) for p in ((x, y), (y, x))}
+
+
+def block_of(ids: np.ndarray, k: int) -> np.ndarray:
+    return (mixed(ids.view(np.uint64)) % np.uint64(k)).astype(np.int64)
+
+
+#: Flags of a corner that moves: its turn, its scale, whether its keys may make two pictures meet, whether it is at_edge().
+TURN, SCALE, USEFUL, EDGE = 15, 16, (32, 64), 128
+
+
+def packed(ids: np.ndarray, n: np.ndarray, asked: np.ndarray, rows: np.ndarray, flags: np.ndarray) -> bytes:
+    """Pictures with their corners, those that ask first: `asked` of n. opened() reads them."""
+    columns = [ids, n.astype(np.int32), asked.astype(np.int32), rows["d"], rows["y"], rows["x"], flags]
+    planes = (np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(ids), len(rows)]).tobytes() + b"".join(planes))
+
+
+def opened(data: bytes) -> list[np.ndarray]:
+    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), 16, []
+    sizes = raw[:16].view(np.int64).tolist()
+    for kind, many in ((np.int64, 0), (np.int32, 0), (np.int32, 0), (np.uint64, 1), (np.int32, 1), (np.int32, 1), (np.uint8, 1)):
+        k, m = np.dtype(kind).itemsize, sizes[many]
+        out.append(np.ascontiguousarray(raw[at : at + m * k].reshape(k, m).T).view(kind).reshape(-1))
+        at += m * k
+    return out
+
+
+def homes(block: int, n: int, alone: bool) -> tuple[list[int], list[bool]]:
+    """The tasks that need a block, and whether it is the second of two there; alone: the one task that compares it with itself."""
+    task = cells(n)
+    others = [j for j in range(spread(n)) if j != block]
+    return ([block], [False]) if alone else ([task[block, j] for j in others], [block > j for j in others])
+
+
+#: Pictures, or ids with their roots, for a task: side is false for the first of two blocks.
+MOVED = "part int, side boolean, data binary, roots binary"
+
+
+def to_tasks(block: int, n: int, alone: bool, names: np.ndarray, data: bytes | None, roots: bytes | None) -> pa.RecordBatch:
+    part, side = homes(block, n, alone)
+    return pa.RecordBatch.from_arrays([pa.array(names[part]), pa.array(side, pa.bool_()), *(pa.array([x] * len(part), pa.binary()) for x in (data, roots))], names=["part", "side", "data", "roots"])
+
+
+def blocks(pictures: DataFrame, weigh: Weights, alone: bool) -> DataFrame:
+    """MOVED rows: pictures packed by block, a hash of the id, once for each task that needs them.
+
+    An image asks with its weightiest corners, those that hold ASKED of its weight together; all its corners answer.
+    """
+    n = shards(pictures.sparkSession)
+    k, names, told = spread(n), slots(n), pictures.sparkSession.sparkContext.broadcast(weigh)
+
+    def run(batches):
+        lean(LARGE)
+        weigh = told.value
+        for b in bites(batches, 2048):
+            ids, n_corners, r = flat(b)
+            if not len(ids):
+                continue
+            of, low, high = np.repeat(np.arange(len(ids)), n_corners), *keys(r["d"])
+            asks = weigh.asking(r["d"], n_corners) > 0
+            flags = (r["turn"] | r["scale"] * SCALE | weigh.useful(low) * np.uint8(USEFUL[0]) | weigh.useful(high) * np.uint8(USEFUL[1]) | at_edge(r, of) * np.uint8(EDGE)).astype(np.uint8)
+            block = block_of(ids, k)
+            order = np.lexsort((~asks, of, block[of]))
+            r, flags, asked, at = r[order], flags[order], np.bincount(of, asks, minlength=len(ids)), 0
+            for i in np.unique(block).tolist():
+                own = np.nonzero(block == i)[0]
+                end = at + int(n_corners[own].sum())
+                yield to_tasks(i, n, alone, names, packed(ids[own], n_corners[own], asked[own], r[at:end], flags[at:end]), None)
+                at = end
+
+    return pictures.where("id IS NOT NULL").select("id", "n", "data").mapInArrow(run, MOVED)
+
+
+class Forest:
+    """Classes of numbers under links, of which those are kept that joined two."""
+
+    def __init__(self, parent: np.ndarray):
+        self.parent, self.links = parent.tolist(), []
+
+    def top(self, i: int) -> int:
+        p = self.parent
+        while p[i] != i:
+            p[i] = i = p[p[i]]
+        return i
+
+    def join(self, b: np.ndarray, a: np.ndarray) -> None:
+        for x, y in zip(b.tolist(), a.tolist()):
+            i, j = self.top(x), self.top(y)
+            if i != j:
+                self.parent[max(i, j)] = min(i, j)
+                self.links.append((x, y))
+
+    def roots(self) -> np.ndarray:
+        at = np.array(self.parent, np.int64)
+        while (at[at] != at).any():
+            at = at[at]
+        return at
+
+
+def runs(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """All numbers of runs that have these lengths and starts."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def pieces(sizes: np.ndarray, most: int):
+    """Bounds of runs of sizes that add up to about `most`, one size at least."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+class Meeting:
+    """Pictures that meet in a task, in arrays, and the links found between them."""
+
+    def __init__(self, parts: list[tuple[int, np.ndarray, list[np.ndarray]]], forest: Forest, weigh: Weights):
+        """parts: side, numbers in the forest and opened() pictures; only pictures of two sides meet, or, if there is but one, all."""
+        self.forest = forest
+        self.side = np.concatenate([np.full(len(number), side) for side, number, _ in parts])
+        self.number = np.concatenate([number for _, number, _ in parts])
+        self.whole = bool((self.side == self.side[0]).all())
+        columns = []
+        for *_, (ids, n, asked, d, y, x, flags) in parts:
+            start, of = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+            weight, asks = weigh.of(d), np.arange(len(d)) - start[of] < asked[of]
+            inner = np.where(flags & EDGE, 0, weight)
+            sums = [np.add.reduceat(w, start) for w in (weight, np.where(asks, weight, 0), np.where(asks, inner, 0), inner)]
+            columns.append((ids, n.astype(np.int64), asked.astype(np.int64), *sums, d, y, x, flags, weight, asks, surroundings(of, {"d": d, "y": y, "scale": (flags & SCALE > 0).astype(np.uint8)})))
+        #: Of pictures: the weight of all corners and of those that ask, and the same without corners at an edge. Then of corners.
+        self.ids, self.n, self.asked, self.all, self.some, self.some_inner, self.inner, self.d, self.y, self.x, self.flags, self.weight, self.asks, self.around = (np.concatenate(c) for c in zip(*columns))
+        self.start, self.of = np.cumsum(self.n) - self.n, np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
+        #: Of two pictures the one of lower rank asks.
+        self.rank = np.empty(len(self.n), np.int64)
+        self.rank[np.lexsort((-self.ids, self.n))] = np.arange(len(self.n))
+        self.compared = 0
+
+    def table(self, t: int) -> dict[str, np.ndarray]:
+        """Corners that may meet under keys of a table (0 or 1), sorted by key: their places, the numbers of their keys, their other halves."""
+        half = self.d.view(np.uint32).reshape(-1, 2)
+        at = np.nonzero(self.flags & USEFUL[t])[0].astype(np.int32)
+        key = half[at, t]
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        group = np.cumsum(np.r_[False, key[1:] != key[:-1]], dtype=np.int32)[: len(at)]
+        size, left = np.bincount(group), np.bincount(group, self.side[self.of[at]])
+        keep = (size > 1) & (np.bincount(group, self.asks[at]) > 0) & (self.whole | ((left > 0) & (left < size)))
+        group, at = (np.cumsum(keep, dtype=np.int32) - 1)[group[keep[group]]], at[keep[group]]
+        return {"at": at, "group": group, "other": half[at, 1 - t]}
+
+    def met(self, e: dict[str, np.ndarray], t: int, x: np.ndarray, low: np.ndarray, high: np.ndarray, root: np.ndarray):
+        """Numbers b * pictures + a of pictures in no class together, of which entry x of b and one of low to high (not included), of a, may be the same corner."""
+        some = high > low
+        x, low, high = x[some], low[some], high[some]
+        for a, b in pieces(high - low, 300_000):
+            many = high[a:b] - low[a:b]
+            y = runs(many, low[a:b])
+            off = np.bitwise_count(np.repeat(e["other"][x[a:b]], many) ^ e["other"][y])
+            # equal in both halves: the first table has it
+            near = np.flatnonzero(off <= BITS if t == 0 else (off <= BITS) & (off > 0))
+            p, q = e["at"][np.repeat(x[a:b], many)[near]], e["at"][y[near]]
+            near = np.bitwise_count(self.around[p] ^ self.around[q]) <= FAR
+            p, q = self.of[p[near]].astype(np.int64), self.of[q[near]]
+            near = (self.rank[p] < self.rank[q]) & (root[p] != root[q])
+            if not self.whole:
+                near &= self.side[p] != self.side[q]
+            yield p[near] * len(self.n) + q[near]
+
+    def root(self) -> np.ndarray:
+        return self.forest.roots()[self.number]
+
+    def settle(self, found: list[np.ndarray]) -> None:
+        """Compares pairs that met: one of each picture that asks first, that which met most often, then twice as many each time, always those that no link has connected."""
+        code, times = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+        b, a = code // max(1, len(self.n)), code % max(1, len(self.n))
+        order = np.lexsort((-times, b))
+        b, a, take = b[order], a[order], 1
+        while len(b):
+            root = self.root()
+            apart = root[b] != root[a]
+            b, a = b[apart], a[apart]
+            place = np.arange(len(b)) - np.searchsorted(b, b, "left")
+            now = place < take
+            self.compare(b[now], a[now])
+            b, a, take = b[~now], a[~now], 4 * take
+
+    def links(self, dense: int) -> None:
+        """Adds to the forest what links all that are linked: first by keys of few entries, then by others, under which each entry first meets few."""
+        tables, found, held = [], [], 0
+        for t in (0, 1):
+            e = self.table(t)
+            size = np.bincount(e["group"])
+            first, small = np.cumsum(size) - size, size[e["group"]] <= SPLIT
+            x = np.nonzero(self.asks[e["at"]] & small)[0]
+            for code in self.met(e, t, x, first[e["group"][x]], (first + size)[e["group"][x]], self.root()):
+                found.append(code)
+                held += len(code)
+                if held > 1_000_000:
+                    self.settle(found)
+                    found, held = [], 0
+            tables.append({c: v[~small] for c, v in e.items()})
+        self.settle(found)
+        rng = np.random.default_rng(0)
+        for take in (*sorted({1, max(1, dense // 4), dense}), 0):
+            for t, e in enumerate(tables):
+                self.large(e, t, take, rng)
+
+    def large(self, e: dict[str, np.ndarray], t: int, take: int, rng: np.random.Generator) -> None:
+        """Compares pictures that meet under keys of many entries, `take` of an entry and in no class with it, or all (0)."""
+        root = self.root()
+        of = self.of[e["at"]]
+        where = (e["group"] * np.int64(2) + self.side[of]) << 32 | root[of]
+        order = np.argsort(where)
+        e, where = {c: v[order] for c, v in e.items()}, where[order]
+        x = np.nonzero(self.asks[e["at"]])[0]
+        own = where[x] & 0xFFFFFFFF
+        to = where[x] >> 32 if self.whole else where[x] >> 32 ^ 1
+        # all of the other side but those of the same root, who stand together
+        bounds = [np.searchsorted(where, v) for v in (to << 32, to << 32 | own, (to << 32 | own) + 1, (to + 1) << 32)]
+        if take:
+            left = bounds[1] - bounds[0] >= bounds[3] - bounds[2]
+            low, high = np.where(left, bounds[0], bounds[2]), np.where(left, bounds[1], bounds[3])
+            low = low + (rng.random(len(x)) * np.maximum(0, high - low - take + 1)).astype(np.int64)
+            high = np.minimum(low + take, high)
+        else:
+            x, low, high = np.r_[x, x], np.r_[bounds[0], bounds[2]], np.r_[bounds[1], bounds[3]]
+        found, held = [], 0
+        for code in self.met(e, t, x, low, high, root):
+            found.append(code)
+            held += len(code)
+            if held > 1_000_000:
+                self.settle(found)
+                found, held, root[:] = [], 0, self.root()
+        self.settle(found)
+
+    def compare(self, b: np.ndarray, a: np.ndarray) -> None:
+        """Links pictures b (sorted) and a whose corners agree, see score(); most can be told from the corners that ask."""
+        self.compared += len(b)
+        hope = [i + np.nonzero(self.near(b[i:j], a[i:j], True)[0])[0] for i, j in pieces(self.n[a], 500_000)]
+        hope = np.concatenate([np.zeros(0, np.int64), *hope])
+        b, a = b[hope], a[hope]
+        for i, j in pieces(self.n[a], 200_000):
+            hope, whole, pair, q, p = self.near(b[i:j], a[i:j])
+            own = hope[pair]
+            agree, share = self.agreement(j - i, pair[own], q[own], p[own], whole)
+            own = (agree >= agreeing(self.n[b[i:j]])) & (share >= SHARE - 1e-9)
+            self.forest.join(self.number[b[i:j][own]], self.number[a[i:j][own]])
+
+    def near(self, b: np.ndarray, a: np.ndarray, asked: bool = False) -> tuple[np.ndarray, ...]:
+        """Whether pairs may reach SHARE, by those corners of each b that ask only (asked; as if all others matched) or by all; the weight that a share is of; and all matches: the place of the pair, the corner of b and that of a."""
+        m = self.n[a]
+        ends = np.cumsum(m)
+        at = runs(m, self.start[a])
+        d, k = self.d[at], (self.asked if asked else self.n)[b]
+        first, size, bounds = self.start[b].tolist(), k.tolist(), [0, *ends.tolist()]
+        found, where = [], []
+        edges = np.r_[np.nonzero(np.r_[True, b[1:] != b[:-1]][: len(b)])[0], len(b)].tolist()
+        for x, y in zip(edges, edges[1:]):
+            own = self.d[first[x] : first[x] + size[x], None]
+            for lo, hi in pieces(m[x:y], 150_000 // size[x]) if (bounds[y] - bounds[x]) * size[x] > 150_000 else ((0, y - x),):
+                z, e = bounds[x + lo], bounds[x + hi]
+                found.append(np.flatnonzero(np.bitwise_count(own ^ d[z:e]) <= BITS))
+                where.append((len(found[-1]), e - z, z, first[x]))
+        n, width, z, top = np.array(where, np.int64).reshape(-1, 4).T
+        match = np.concatenate([np.zeros(0, np.int64), *found])
+        q = match // np.repeat(width, n)
+        p = match - q * np.repeat(width, n) + np.repeat(z, n)
+        q += np.repeat(top, n)
+        pair = np.repeat(np.arange(len(a)), m)[p]
+        # matches of a pair and a corner of b stand together
+        new = np.r_[True, (q[1:] != q[:-1]) | (pair[1:] != pair[:-1])][: len(q)]
+        w, e = self.weight[q[new]], self.flags[q[new]] & EDGE > 0
+        got, out = np.bincount(pair[new], w, len(a)), np.bincount(pair[new], np.where(e, 0, w), len(a))
+        rest = (self.all - self.some)[b] if asked else 0
+        whole = got + (self.some_inner if asked else self.inner)[b] - out + rest
+        return got + rest >= (SHARE - 1e-6) * whole, whole, pair, q, at[p]
+
+    def agreement(self, n: int, pair: np.ndarray, q: np.ndarray, p: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """score() of n pairs at once: pair, the corner of b and that of a of each match, and the weight that a pair's share is of."""
+        where = bins(*({"y": self.y[i], "x": self.x[i], "scale": self.flags[i] & SCALE > 0, "turn": self.flags[i] & TURN} for i in (p, q)))
+        order = np.lexsort((q, where, pair))
+        pair, q, where = pair[order], q[order], where[order]
+        # a corner of b votes once in a bin, and counts once however many bins it is in
+        new = np.r_[True, (pair[1:] != pair[:-1]) | (where[1:] != where[:-1]) | (q[1:] != q[:-1])][: len(q)]
+        pair, q, where = pair[new], q[new], where[new]
+        at = np.cumsum(np.r_[False, (pair[1:] != pair[:-1]) | (where[1:] != where[:-1])])[: len(q)]
+        use = (np.bincount(at) >= LEAST_BIN)[at]
+        both = np.unique(np.stack([pair[use], q[use]]), axis=1)
+        return np.bincount(both[0], minlength=n), np.bincount(both[0], self.weight[both[1]], minlength=n) / np.maximum(1e-300, whole)
+
+
+def copies_in(one: list[bytes], two: list[bytes], known: list[bytes], weigh: Weights, dense: int = 16) -> tuple[np.ndarray, Forest]:
+    """ids, and a forest (of places in them) of links that connect all that is linked between packed() pictures: those of one with those of two, or, without two, among themselves.
+
+    known: ids and roots of classes that are connected already. So many corners as HELD are in arrays at a time, twice; the others stay packed.
+    """
+    ids, parts = [np.zeros(0, np.int64)], []
+    for side, many in enumerate((one, two)):
+        held = HELD
+        for data in many:
+            own, n = opened(data)[:2]
+            held += int(n.sum())
+            if held > HELD:
+                parts.append([])
+                held = int(n.sum())
+            parts[-1].append((side, sum(map(len, ids)) + np.arange(len(own)), data))
+            ids.append(own)
+    ids = np.concatenate(ids)
+    parent, order = np.arange(len(ids)), np.argsort(ids, kind="stable")
+    for data in known:
+        own, root = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64).reshape(2, -1)
+        parent[order[np.searchsorted(ids, own, sorter=order)]] = order[np.searchsorted(ids, root, sorter=order)]
+    forest = Forest(parent)
+    for i, x in enumerate(parts):
+        for y in parts[i:]:
+            if two and x[0][0] == y[0][0]:
+                continue
+            got = x if x is y else [(k, *rest) for k, part in enumerate((x, y)) for _, *rest in part]
+            Meeting([(side, number, opened(data)) for side, number, data in got], forest, weigh).links(dense)
+    return ids, forest
+
+
 def links(pictures: DataFrame, dense: int = 16) -> DataFrame:
-    """b, a: links of pictures(id, n, data), enough to connect all that are linked."""
-    weigh = weights(pictures)
-    pairs, rest = candidates(pictures, weigh, dense)
-    found = verified(pairs.where(F.col("w") >= NEED), pictures, weigh)
-    if not rest.limit(1).count():
-        return found
-    root = components(found.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return found.union(verified(across(rest, root), pictures, weigh))
+    """b, a: links of pictures(id, n, data), enough to connect all that are linked. All pictures that meet are compared, unless links have connected them already.
+
+    Pairs don't leave their task, which holds a block of pictures, or two of them once each has been compared with itself; it gives a forest of links.
+    dense: how many an entry first meets under a key of more than SPLIT.
+    """
+    spark = pictures.sparkSession
+    n = shards(spark)
+    weigh, k, names = weights(pictures), spread(n), slots(n)
+    parts = [blocks(pictures, weigh, alone) for alone in (True, False)]
+    weigh.several = np.zeros(0, np.uint8)  # what follows doesn't need it
+    told = spark.sparkContext.broadcast(weigh)
+
+    def run(batches):
+        lean(LARGE)
+        sides, known = ([], []), []
+        for r in batches:
+            for side, data, roots in zip(*(r.column(c).to_pylist() for c in ("side", "data", "roots"))):
+                sides[side].append(data) if roots is None else known.append(roots)
+        if any(sides):
+            ids, forest = copies_in(*sides, known, told.value, dense)
+            b, a = ids[np.array(forest.links, np.int64).reshape(-1, 2)].T
+            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(a), pa.nulls(len(b), pa.binary())], names=["b", "a", "roots"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[0]]), pa.nulls(1, pa.int64()), pa.array([squeeze(np.stack([ids, ids[forest.roots()]]))], pa.binary())], names=["b", "a", "roots"])
+
+    def known(batches):
+        for r in batches:
+            for i, roots in zip(r.column("b").to_numpy(), r.column("roots").to_pylist()):
+                yield to_tasks(int(block_of(np.array([i]), k)[0]), n, False, names, None, roots)
+
+    found = "b bigint, a bigint, roots binary"
+    alone = stored(parts[0].repartition(n, "part").mapInArrow(run, found), "linked")
+    if k == 1:
+        return alone.where("a IS NOT NULL").select("b", "a")
+    both = parts[1].union(alone.where("roots IS NOT NULL").mapInArrow(known, MOVED))
+    two = stored(both.repartition(n, "part").mapInArrow(run, found), "linked")
+    return alone.union(two).where("a IS NOT NULL").select("b", "a")
 
 
 def image_copies(images: DataFrame) -> DataFrame:
     """id, n_corners, class_id (the least id of its class) for each row of images(id bigint, image binary)."""
-    found = stored(corners(images), "corners")
+    found = stored(corners(images), "corners", "zstd")
     size = found.groupBy("id").agg(F.sum("n").cast("bigint").alias("n_corners"))
     some = found.where("id IS NOT NULL AND pixels IS NOT NULL")
     # equal images are one picture, that of the least id, and link to it whatever corners they have

@@ -390,6 +390,65 @@ def test_edges_of_many_images_at_once():
     assert every.tolist() == np.concatenate([images.at_edge(r) for r in many]).tolist() and every.any() and not every.all()
 
 
+def test_pictures_that_met_in_one_corner_are_compared(spark):
+    """Of what agrees only one corner asks and has an equal half, too little of the weight to tell: the pair is compared all the same."""
+    rng = np.random.default_rng(3)
+    b = corner_rows(rng, 40)
+    b["y"] = np.r_[np.arange(22), 300 + 5 * np.arange(18)]
+    a = np.concatenate([b, corner_rows(rng, 1)])
+    a["d"][22:28] ^= np.uint64(1 << 40 | 1)
+    a["d"][28:] = rng.integers(0, 1 << 64, 13, np.uint64)
+    asks = images.weights(spark.createDataFrame([(i, len(r), bytearray(r.tobytes())) for i, r in ((1, a), (2, b))], "id bigint, n int, data binary")).asking(b["d"], np.array([40]))
+    assert 0 < asks[:22].sum() < 0.05
+    assert linked(spark, {1: a, 2: b}) == [(2, 1)]
+
+
+def test_links_of_alike_images_are_a_forest(spark):
+    """Links of a large group don't grow with its square; nor do the pairs compared, as those that links connect are left out."""
+    rng, pictures = np.random.default_rng(5), {}
+    whole = corner_rows(rng, 40)
+    for i in range(150):
+        pictures[i] = whole.copy()
+        pictures[i]["d"][rng.choice(40, 4, replace=False)] = rng.integers(0, 1 << 64, 4, np.uint64)
+    found = linked(spark, pictures)
+    assert (simhash.roots(150, *np.array(found).T) == 0).all() and len(found) < 4 * 150
+    frame = spark.createDataFrame([(i, len(r), bytearray(r.tobytes())) for i, r in pictures.items()], "id bigint, n int, data binary")
+    weigh, packs, compared = images.weights(frame), [], []
+    for i, r in pictures.items():
+        asks = weigh.asking(r["d"], np.array([40])) > 0
+        packs.append(images.packed(np.array([i]), np.array([40]), np.array([asks.sum()]), np.concatenate([r[asks], r[~asks]]), np.full(40, sum(images.USEFUL), np.uint8)))
+
+    class Meeting(images.Meeting):
+        def compare(self, b, a):
+            compared.append(len(b))
+            super().compare(b, a)
+
+    for held in (images.HELD, 1_000):
+        with pytest.MonkeyPatch.context() as to:
+            to.setattr(images, "Meeting", Meeting)
+            to.setattr(images, "HELD", held)
+            ids, forest = images.copies_in(packs, [], [], weigh)
+            assert (forest.roots() == 0).all() and len(forest.links) == 149
+            half = images.copies_in(packs[:75], packs[75:], [images.squeeze(np.stack([np.arange(75), np.zeros(75, np.int64)]))], weigh)[1]
+            assert (half.roots() == 0).all() and len(half.links) == 75
+    assert sum(compared) < 4 * 150 * 8
+
+
+def test_surroundings_against_counting():
+    """Lanes of 8 and of 16 bits."""
+    rng = np.random.default_rng(7)
+    for n, rows in ((300, 400), (900, 60)):
+        r = corner_rows(rng, 300)
+        r = np.concatenate([r] * 3)[:n]
+        r["y"], r["scale"], r["d"] = rng.integers(0, rows, n), rng.integers(0, 2, n), rng.integers(0, 1 << 64, n, np.uint64)
+        of = np.repeat([0, 1], [n // 3, n - n // 3])
+        bits = [np.unpackbits(images.mixed(k.view(np.uint64)).view(np.uint8).reshape(n, 8), axis=1, bitorder="little") for k in images.keys(r["d"])]
+        votes = (bits[0].astype(int) + bits[1]) * 2 - 2
+        near = (of[:, None] == of) & (r["scale"][:, None] == r["scale"]) & (r["y"] >= r["y"][:, None] - images.AROUND) & (r["y"] <= r["y"][:, None] + images.AROUND)
+        want = np.packbits(near.astype(int) @ votes > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+        assert (images.surroundings(of, r) == want).all()
+
+
 def test_images_against_all_pairs(spark, monkeypatch):
     """Copies, crops and edits among images that share furniture: the classes are those of comparing all pairs, dense keys and split keys too."""
     rng = np.random.default_rng(9)
