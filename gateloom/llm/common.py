@@ -30,8 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str = "stage", compression: str = "snappy") -> DataFrame:
-    """Writes df as Parquet into the shared folder and returns the table read again; this cuts the lineage."""
+def stored(df: DataFrame, name: str = "stage", compression: str | None = None) -> DataFrame:
+    """Writes df as Parquet (in the session's compression, unless given) into the shared folder and returns the table read again; this cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gateloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
